@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function of session and folder) and ORACLES (name to DuckDB SQL).
-MODULES = ["query_packing", "query_langid", "query_simhash", "query_decontaminate", "query_quality"]
+MODULES = ["query_packing", "query_bitsliced", "query_langid", "query_simhash", "query_chat", "query_decontaminate", "query_quality"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
