@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from concord.llm.common import map_batches
 #: About so many rows of each language are taken to fit the probabilities.
 FIT_ROWS = 3000
 #: Words that a Python worker remembers.
-CACHE = 200_000
+CACHE = 400_000
 #: Weight of the probabilities of all languages together in each language's own.
 PRIOR = 50.0
 UNKNOWN = "und"
@@ -108,6 +109,43 @@ class Model:
     weights: dict[str, tuple[float, ...]]
     floor: tuple[float, ...]
     longest: int
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+
+class Scorer:
+    """Log-likelihoods of texts under each language; remembers the first CACHE words."""
+
+    #: The scorer of the model in use in this Python worker, which tasks share.
+    current: tuple[str, Scorer] | None = None
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((CACHE, len(model.languages)))
+
+    @classmethod
+    def of(cls, model: Model) -> Scorer:
+        if cls.current is None or cls.current[0] != model.key:
+            cls.current = (model.key, cls(model))
+        return cls.current[1]
+
+    def log_likelihood(self, words: list[str]) -> np.ndarray:
+        m, known, total = self.model, self.known, np.zeros(len(self.model.languages))
+        at = [known.get(w, -1) for w in words]
+        if -1 in at:
+            for i, x in enumerate(at):
+                if x < 0:
+                    w = words[i]
+                    if (x := known.get(w, -1)) < 0:
+                        logs = forward(w, m.weights, m.floor, m.longest)
+                        if len(known) == CACHE:
+                            total += logs
+                            continue
+                        x = known[w] = len(known)
+                        self.table[x] = logs
+                    at[i] = x
+            at = [x for x in at if x >= 0]
+        return total + self.table[at].sum(0) if at else total
 
 
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, vocab: str | None = None) -> Model:
@@ -142,7 +180,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
                 for w, n in seen.items():
                     if (parts := known.get(w)) is None:
                         parts = expected_pieces(w, weight, min(longest, 16))
-                        if len(known) < CACHE // 4:
+                        if len(known) < CACHE // 8:
                             known[w] = parts
                     for p, x in parts.items():
                         into[p] += n * x
@@ -179,27 +217,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str]
 
     def make():
         m = shared.value
-        width = len(m.languages)
-        known: dict[str, int] = {}
-        table = np.zeros((CACHE, width))
-
-        def log_likelihood(words: list[str]) -> np.ndarray:
-            at = [known.get(w, -1) for w in words]
-            total = np.zeros(width)
-            if -1 in at:
-                for i, x in enumerate(at):
-                    if x < 0:
-                        w = words[i]
-                        if (x := known.get(w, -1)) < 0:
-                            logs = forward(w, m.weights, m.floor, m.longest)
-                            if len(known) == CACHE:
-                                total += logs
-                                continue
-                            x = known[w] = len(known)
-                            table[x] = logs
-                        at[i] = x
-                at = [x for x in at if x >= 0]
-            return total + table[at].sum(0) if at else total
+        width, scorer = len(m.languages), Scorer.of(m)
 
         def run(cols):
             names, scores = [], []
@@ -210,7 +228,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str]
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                logs = log_likelihood(words)
+                logs = scorer.log_likelihood(words)
                 best = int(logs.argmax())
                 names.append(m.languages[best])
                 scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
