@@ -30,6 +30,8 @@ from concord.llm.common import map_batches
 FIT_ROWS = 3000
 #: Words that a Python worker remembers.
 CACHE = 400_000
+#: Texts that are scored at once.
+GROUP = 200
 #: Weight of the probabilities of all languages together in each language's own.
 PRIOR = 50.0
 UNKNOWN = "und"
@@ -86,6 +88,57 @@ def forward(word: str, weights: dict[str, tuple[float, ...]], floor: tuple[float
     return [a + math.log(x) for a, x in zip(logs, alpha[-1])]
 
 
+class PieceTable:
+    """Pieces by length as sorted hashes, so that many words are cut up at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, weights: dict[str, tuple[float, ...]], floor: tuple[float, ...], longest: int):
+        self.floor, self.longest = np.array(floor), longest
+        self.power = [np.uint64(1)]
+        for _ in range(longest):
+            self.power.append(np.uint64(int(self.power[-1]) * int(self.BASE) % (1 << 64)))
+        by_size: dict[int, list[tuple[int, tuple[float, ...]]]] = defaultdict(list)
+        for piece, w in weights.items():
+            h = 0
+            for c in piece:
+                h = (h * int(self.BASE) + ord(c)) % (1 << 64)
+            by_size[len(piece)].append((h, w))
+        self.hashes = {k: np.array(sorted(h for h, _ in v), np.uint64) for k, v in by_size.items()}
+        self.weights = {k: np.array([w for _, w in sorted(v)]) for k, v in by_size.items()}
+
+    def _found(self, size: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows whose substring is a piece, the places of those pieces)."""
+        if size not in self.hashes:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.searchsorted(self.hashes[size], hashes)
+        at[at == len(self.hashes[size])] = 0
+        rows = np.flatnonzero(self.hashes[size][at] == hashes)
+        return rows, at[rows]
+
+    def forward(self, words: list[str]) -> np.ndarray:
+        """What forward() gives for each word, for words of equal length."""
+        n = len(words[0]) + 1
+        codes = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
+        prefix = np.zeros((n + 1, len(words)), np.uint64)
+        for i in range(n):
+            prefix[i + 1] = prefix[i] * self.BASE + codes[:, i]
+        alpha, logs = [np.ones((len(words), len(self.floor)))], np.zeros((len(words), len(self.floor)))
+        for end in range(1, n + 1):
+            total = alpha[-1] * self.floor
+            for size in range(1, min(self.longest, len(alpha)) + 1):
+                rows, at = self._found(size, prefix[end] - prefix[end - size] * self.power[size])
+                if rows.size:
+                    more = alpha[-size][rows] * self.weights[size][at]
+                    total[rows] = more if size == 1 else total[rows] + more
+            alpha = [*alpha[-self.longest + 1 :], total] if self.longest > 1 else [total]
+            if end % 8 == 0:
+                top = np.max(alpha, axis=0)
+                alpha = [x / top for x in alpha]
+                logs += np.log(top)
+        return logs + np.log(alpha[-1])
+
+
 def expected_pieces(word: str, weight: Callable[[str], float], longest: int) -> dict[str, float]:
     """Expected number of each piece over all segmentations of the word."""
     word = _START + word
@@ -115,11 +168,14 @@ class Model:
 class Scorer:
     """Log-likelihoods of texts under each language; remembers the first CACHE words."""
 
+    #: Longer words are cut up one by one.
+    SHORT = 40
     #: The scorer of the model in use in this Python worker, which tasks share.
     current: tuple[str, Scorer] | None = None
 
     def __init__(self, model: Model):
         self.model = model
+        self.pieces = PieceTable(model.weights, model.floor, model.longest)
         self.known: dict[str, int] = {}
         self.table = np.zeros((CACHE, len(model.languages)))
 
@@ -129,23 +185,35 @@ class Scorer:
             cls.current = (model.key, cls(model))
         return cls.current[1]
 
-    def log_likelihood(self, words: list[str]) -> np.ndarray:
-        m, known, total = self.model, self.known, np.zeros(len(self.model.languages))
-        at = [known.get(w, -1) for w in words]
-        if -1 in at:
-            for i, x in enumerate(at):
-                if x < 0:
-                    w = words[i]
-                    if (x := known.get(w, -1)) < 0:
-                        logs = forward(w, m.weights, m.floor, m.longest)
-                        if len(known) == CACHE:
-                            total += logs
-                            continue
-                        x = known[w] = len(known)
-                        self.table[x] = logs
-                    at[i] = x
-            at = [x for x in at if x >= 0]
-        return total + self.table[at].sum(0) if at else total
+    def _words(self, words: list[str]) -> np.ndarray:
+        m, out = self.model, np.zeros((len(words), len(self.model.languages)))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            if len(w) <= self.SHORT:
+                by_length[len(w)].append(i)
+            else:
+                out[i] = forward(w, m.weights, m.floor, m.longest)
+        for rows in by_length.values():
+            out[rows] = self.pieces.forward([words[i] for i in rows])
+        return out
+
+    def log_likelihoods(self, texts: list[list[str]]) -> np.ndarray:
+        """A row of the languages' log-likelihoods for each list of words."""
+        known = self.known
+        new = list({w for words in texts for w in words if w not in known})
+        scored = self._words(new)
+        room = min(len(new), CACHE - len(known))
+        self.table[len(known) : len(known) + room] = scored[:room]
+        known.update(zip(new[:room], range(len(known), len(known) + room)))
+        rest, extra = dict(zip(new[room:], range(len(new) - room))), scored[room:]
+        out = np.zeros((len(texts), len(self.model.languages)))
+        for i, words in enumerate(texts):
+            at = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+            seen = at >= 0
+            out[i] = self.table[at[seen]].sum(0)
+            if not seen.all():
+                out[i] += extra[[rest[words[j]] for j in np.flatnonzero(~seen)]].sum(0)
+        return out
 
 
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, vocab: str | None = None) -> Model:
@@ -220,18 +288,19 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str]
         width, scorer = len(m.languages), Scorer.of(m)
 
         def run(cols):
-            names, scores = [], []
-            for body in cols[text]:
-                body = body.as_py() or ""
-                words = words_of(body)
-                if not width or not (any(map(str.isalpha, words)) or any(map(str.isalpha, body))):
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                logs = scorer.log_likelihood(words)
-                best = int(logs.argmax())
-                names.append(m.languages[best])
-                scores.append(float(1.0 / np.exp(logs - logs[best]).sum()))
+            names, scores, column = [], [], cols[text]
+            for at in range(0, len(column), GROUP):
+                bodies = [x or "" for x in column[at : at + GROUP].to_pylist()]
+                words = [words_of(x) for x in bodies]
+                every = scorer.log_likelihoods(words) if width else None
+                for i, body in enumerate(bodies):
+                    if not width or not (any(map(str.isalpha, words[i])) or any(map(str.isalpha, body))):
+                        names.append(UNKNOWN)
+                        scores.append(0.0)
+                        continue
+                    best = int(every[i].argmax())
+                    names.append(m.languages[best])
+                    scores.append(float(1.0 / np.exp(every[i] - every[i][best]).sum()))
             return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
 
         return run
