@@ -105,8 +105,8 @@ def bootstrap_mean(df: DataFrame, value: str, order: Sequence[str], replicates:
 
 def cluster_bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     rows = df.filter(F.col(value).isNotNull()).select(cluster, value)
-    per = rows.groupBy(cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c"))
-    draws = resampled_clusters(per, cluster, replicates, seed).groupBy("b").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("c"))).alias("draw"))
+    per = rows.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
+    draws = resampled_clusters(per, cluster, replicates, seed).groupBy("b").agg((F.sum(F.col("weight") * F.col("_s")) / F.sum(F.col("weight") * F.col("_c"))).alias("draw"))
     return rows.agg(F.avg(value).alias("point"), F.count("*").alias("n")).crossJoin(interval(draws, "draw"))  # one row each
 
 

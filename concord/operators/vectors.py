@@ -19,6 +19,8 @@ from concord.sources.shared import cut
 #: Rows of a block; a product of two blocks takes 32 MB.
 BLOCK_ROWS = 2048
 COPIES = 16
+#: Similarities that agree to so many decimals are equal, as sums of products depend on their order.
+DECIMALS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -94,7 +96,7 @@ def knn_edges(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
                 a, b = np.array(ids, np.int64), np.array(ids2, np.int64)
                 order = np.argsort(b, kind="stable")
                 b, y = b[order], np.frombuffer(data2).reshape(len(b), width)[order]
-                sim = np.frombuffer(data).reshape(len(a), width) @ y.T
+                sim = np.round(np.frombuffer(data).reshape(len(a), width) @ y.T, DECIMALS)
                 sim[a[:, None] == b[None, :]] = -np.inf
                 take = min(k, len(b))
                 cut_at = np.partition(sim, len(b) - take, axis=1)[:, len(b) - take]

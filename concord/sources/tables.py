@@ -26,9 +26,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def is_utf8(spark: SparkSession, path: str) -> bool:
     """Whether every line of a text file is valid UTF-8."""
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
-    raw = F.encode("value", "ISO-8859-1")
-    return lines.filter(~F.is_valid_utf8(raw.cast("string"))).isEmpty()
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).isEmpty()
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
