@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from concord.llm.warc import audit, response_record
+from concord.llm.warc import audit_leaves, laid_out, leaves_of, response_record
 
 #: Pages of one file.
 PER_FILE = 500
 
 
 def replica(pages: DataFrame) -> DataFrame:
-    """The pages in files of PER_FILE numbers each: file, offset, record, page_id, last in its file or not."""
-    rows = pages.select("page_id", F.floor(F.col("page_id") / PER_FILE).cast("string").alias("file"), response_record(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
-    sizes = rows.select("file", "page_id", F.octet_length("record").alias("size"))
-    order = Window.partitionBy("file").orderBy("page_id")
-    places = sizes.select(
-        F.col("page_id").alias("of"), F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.lead("page_id").over(order).isNull().alias("is_last")
-    )
-    return rows.join(places, rows["page_id"] == places["of"]).drop("of")
-
-
-def damaged(records: DataFrame) -> DataFrame:
-    """A replica in which one byte of every 37th page is wrong and every 7th file has lost its last record."""
+    """The pages as records in files of PER_FILE numbers each: file, offset, record. Until the records are laid out, offset is the page's number."""
+    return pages.select(F.floor(F.col("page_id") / PER_FILE).cast("string").alias("file"), F.col("page_id").alias("offset"), response_record(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
+
+
+def with_wrong_bytes(records: DataFrame) -> DataFrame:
+    """A replica in which one byte of every 37th page is wrong."""
     wrong = F.concat(F.lit(b"WARC/1.1"), F.substring("record", 9, 1 << 30))
-    left = records.filter(~(F.col("is_last") & (F.col("file").cast("long") % 7 == 3)))
-    return left.withColumn("record", F.when(F.col("page_id") % 37 == 5, wrong).otherwise(F.col("record")))
+    return records.withColumn("record", F.when(F.col("offset") % 37 == 5, wrong).otherwise(F.col("record")))
+
+
+def without_last(leaves: DataFrame) -> DataFrame:
+    """The leaves of a replica whose every 7th file has lost its last record."""
+    last = F.lead("offset").over(Window.partitionBy("file").orderBy("offset")).isNull()
+    return leaves.withColumn("is_last", last).filter(~(F.col("is_last") & (F.col("file").cast("long") % 7 == 3))).drop("is_last")
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = replica(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return audit(records, damaged(records)).withColumnRenamed("first", "offset")
+    expected, found = leaves_of(records), without_last(leaves_of(with_wrong_bytes(records)))
+    return audit_leaves(laid_out(expected, "offset"), laid_out(found, "offset")).withColumnRenamed("first", "offset")
 
 
 QUERIES = {"op5_warc_fixity": op5_warc_fixity}

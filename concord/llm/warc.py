@@ -83,13 +83,21 @@ class Tree:
     levels: list[DataFrame]
 
 
-def build_tree(records: DataFrame, fanout: int = FANOUT, height: int | None = None) -> Tree:
+def leaves_of(records: DataFrame) -> DataFrame:
+    """(file, offset, length, digest) of records (file, offset, record): all that a tree needs of their bytes."""
+    return records.select(F.col("file").cast("string").alias("file"), "offset", F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"), F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest"))
+
+
+def laid_out(leaves: DataFrame, place: str) -> DataFrame:
+    """Leaves with the offsets that they have when each file's records follow one another in order of `place`."""
+    before = Window.partitionBy("file").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    return leaves.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
+
+
+def build_tree(leaves: DataFrame, fanout: int = FANOUT, height: int | None = None) -> Tree:
     """The trees of all files of a replica; height is that of the tree to compare with, if it is higher."""
-    place = Window.partitionBy("file").orderBy("offset")
-    leaves = records.select(
-        F.col("file").cast("string").alias("file"), F.col("offset").alias("first"), (F.col("offset") + F.coalesce(F.octet_length("record"), F.lit(0))).alias("stop"), F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest")
-    ).withColumn("offset", F.col("first"))
-    levels = [materialise(leaves.withColumn("node", (F.row_number().over(place) - 1).cast("long")).drop("offset"), "leaves")]
+    node = (F.row_number().over(Window.partitionBy("file").orderBy("offset")) - 1).cast("long")
+    levels = [materialise(leaves.select("file", node.alias("node"), F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("stop"), "digest"), "leaves")]
     most = levels[0].agg(F.max("node")).first()[0]
     needed = 0
     while most is not None and most // fanout**needed:
@@ -127,6 +135,15 @@ def compare(expected: Tree, found: Tree, fanout: int = FANOUT) -> DataFrame:
     return differing.select("file", "node", first.alias("first"), (stop - first).alias("length"), status.alias("status"), F.col("x.digest").alias("digest_expected"), F.col("y.digest").alias("digest_found"))
 
 
+def audit_leaves(expected: DataFrame, found: DataFrame, fanout: int = FANOUT) -> DataFrame:
+    """audit() of replicas whose records are hashed already, as leaves_of() gives them."""
+    a = build_tree(expected, fanout)
+    b = build_tree(found, fanout, len(a.levels) - 1)
+    if len(b.levels) > len(a.levels):
+        a = build_tree(expected, fanout, len(b.levels) - 1)
+    return compare(a, b, fanout)
+
+
 def audit(expected: DataFrame, found: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The records in which two replicas (file, offset, record) differ, as compare() tells them.
 
@@ -135,8 +152,4 @@ def audit(expected: DataFrame, found: DataFrame, fanout: int = FANOUT) -> DataFr
     one replica has is missing or extra record by record; two empty replicas do not differ.
     Other columns do not matter.
     """
-    a = build_tree(expected, fanout)
-    b = build_tree(found, fanout, len(a.levels) - 1)
-    if len(b.levels) > len(a.levels):
-        a = build_tree(expected, fanout, len(b.levels) - 1)
-    return compare(a, b, fanout)
+    return audit_leaves(leaves_of(expected), leaves_of(found), fanout)
