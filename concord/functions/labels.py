@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions.text import listed
+
 # Answers that count as yes or no, and code policies by site family.
 YES = ("yes", "y", "1", "true")
 NO = ("no", "n", "0", "false")
@@ -108,3 +110,31 @@ def argmax_class(values: Sequence[Column], names: Sequence[str]) -> Column:
     """Name of the largest value, the first of equals; NULLs are skipped."""
     vector = F.array(*values)
     return F.try_element_at(F.array(*map(F.lit, names)), F.array_position(vector, F.array_max(vector)).cast("int"))
+
+
+def decode_by_policy(long: DataFrame, policies: DataFrame) -> DataFrame:
+    """(case_id, finding, vocabulary, value) from native codes (case_id, site, native, code).
+
+    policies is the dimension table (site, native, finding, vocabulary, positive, negatives); several
+    native columns of one finding give their largest label. A native column without a policy drops out.
+    """
+    joined = long.join(policies, ["site", "native"])
+    code = number(joined["code"])
+    value = F.when(code == F.col("positive"), 1.0).when(F.exists("negatives", lambda x: x == code), 0.0)
+    return joined.withColumn("value", value).groupBy("case_id", "finding", "vocabulary").agg(F.max("value").alias("value"))
+
+
+def subject_columns(sex: Column, age: Column, position: Column, view: Column, zero_is_missing: bool = False) -> list[Column]:
+    """Normalised sex, age and view: coded sex, no age of zero where it means missing, the position else the view."""
+    a = number(age)
+    return [sex_code(sex).alias("sex"), (F.when(a != 0, a) if zero_is_missing else a).alias("age"), F.coalesce(present(position), present(view)).alias("view")]
+
+
+def has_category(cell: Column, category: str) -> Column:
+    """1 or 0: whether the list written in a cell holds a category; NULL for a NULL cell."""
+    return F.array_contains(listed(cell), category).cast("double")
+
+
+def only_category(cell: Column, category: str) -> Column:
+    """1 or 0: whether the category is the list's only item."""
+    return (listed(cell) == F.array(F.lit(category))).cast("double")

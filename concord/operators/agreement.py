@@ -196,3 +196,36 @@ def rbf_cka(sample: DataFrame, encoder_a: str, encoder_b: str, largest: int = 20
     centre = lambda m: m - m.mean(0) - m.mean(1)[:, None] + m.mean()
     hsic = lambda a, b: float((centre(a) * centre(b)).sum())
     return hsic(k, l) / np.sqrt(hsic(k, k) * hsic(l, l))
+
+
+def top_singular_share(gram: np.ndarray) -> float:
+    """Share of the largest squared singular value in all, from a Gram matrix with the extra component."""
+    values = np.linalg.eigvalsh(gram[:-1, :-1])
+    return float(values[-1] / values.sum())
+
+
+def consensus_state(done: int, expected: int, converged: bool) -> str:
+    """pending until every encoder is there, then ready, or not_converged."""
+    return "pending" if done < expected else "ready" if converged else "not_converged"
+
+
+def usable_encoders(vectors: DataFrame, cases: DataFrame, lost_encoders: float = 0.25, lost_cases: float = 0.2) -> DataFrame:
+    """Finite vectors of the cases that every kept encoder has.
+
+    Encoders that lack more than lost_cases of the cases go first; the query fails if more than
+    lost_encoders of the encoders or lost_cases of the cases would be lost.
+    """
+    from concord.operators.relational import in_all
+    from concord.operators.vectors import finite_rows
+
+    rows = finite_rows(vectors).join(cases.select("case_id").distinct(), "case_id", "left_semi")
+    n_cases, n_encoders = cases.select("case_id").distinct().count(), vectors.select("encoder").distinct().count()
+    kept = rows.groupBy("encoder").agg(F.countDistinct("case_id").alias("n")).filter(F.col("n") >= (1 - lost_cases) * n_cases)
+    names = [r.encoder for r in kept.collect()]
+    if len(names) < (1 - lost_encoders) * n_encoders:
+        raise ValueError(f"{len(names)} of {n_encoders} encoders have enough finite vectors")
+    rows = rows.filter(F.col("encoder").isin(*names))
+    shared = in_all(rows, "case_id", "encoder")
+    if shared.count() < (1 - lost_cases) * n_cases:
+        raise ValueError("too few cases have a finite vector of every encoder")
+    return rows.join(shared, "case_id", "left_semi")

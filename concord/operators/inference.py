@@ -310,3 +310,79 @@ def detectable_effect(error: float, n: int | None = None, alpha: float = 0.05, p
 def by_replicate(draws: DataFrame, statistic: Callable, schema: str) -> DataFrame:
     """Any statistic of a pandas frame for each replicate b; a replicate must fit into a task."""
     return draws.groupBy("b").applyInPandas(lambda f: statistic(f), schema)
+
+
+def gap_reference(overall: float, counts: Sequence[tuple[int, int]], draws: int = REPLICATES, seed: int = 0) -> dict[str, float | int | None]:
+    """Range that subgroup AUROCs of equal truth would show, by the variance for their class counts.
+
+    counts are few pairs of positives and negatives; a driver-side simulation over them.
+    """
+    import numpy as np
+
+    usable = [(p, q) for p, q in counts if p > 0 and q > 0]
+    if len(usable) < 2 or overall != overall:
+        return {"reference_mean": None, "reference_std": None, "reference_ci_low": None, "reference_ci_high": None, "n_subgroups": len(usable)}
+    a = min(max(overall, 1e-6), 1 - 1e-6)
+    p, q = np.array(usable, float).T
+    both, one = a / (2 - a) - a * a, 2 * a * a / (1 + a) - a * a
+    sd = np.sqrt(np.maximum((a * (1 - a) + (p - 1) * both + (q - 1) * one) / (p * q), 1e-12))
+    ranges = np.ptp(np.random.default_rng(seed).normal(a, sd, (draws, len(sd))), axis=1)
+    low, high = np.percentile(ranges, [2.5, 97.5])
+    return {"reference_mean": float(ranges.mean()), "reference_std": float(ranges.std(ddof=1)), "reference_ci_low": float(low), "reference_ci_high": float(high), "n_subgroups": len(usable)}
+
+
+def student_p(t: float, df: float) -> float:
+    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
+    from math import exp, lgamma, log
+
+    x, a, b = df / (df + t * t), df / 2, 0.5
+
+    def fraction(a: float, b: float, x: float) -> float:
+        tiny = 1e-300
+        c, d = 1.0, 1 - (a + b) * x / (a + 1)
+        d = 1 / (d or tiny)
+        out = d
+        for m in range(1, 300):
+            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 + step * d, 1 + step / c
+                d, c = 1 / (d or tiny), c or tiny
+                out *= d * c
+            if abs(d * c - 1) < 1e-14:
+                break
+        return out
+
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+    return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
+
+
+def correlation_p(r: float | None, n: int) -> float | None:
+    """Two-sided p of a correlation or rank correlation of n pairs."""
+    if r is None or n < 3:
+        return None
+    return 0.0 if abs(r) >= 1 else student_p(r * ((n - 2) / (1 - r * r)) ** 0.5, n - 2)
+
+
+def paired_gain(df: DataFrame, before: str, after: str, least_gain: float = 0.01, alpha: float = 0.05) -> dict[str, float | bool | None]:
+    """Paired t-test of a gain: passed if p is below alpha and the mean gain above a share of the baseline."""
+    r = df.filter(F.col(before).isNotNull() & F.col(after).isNotNull()).agg(F.avg(F.col(after) - F.col(before)).alias("gain"), F.stddev_samp(F.col(after) - F.col(before)).alias("sd"), F.avg(before).alias("base"), F.count("*").alias("n")).first()
+    if r.n < 2 or r.sd is None:
+        return {"gain": r.gain, "p_value": None, "passed": False}
+    p = student_p(r.gain / (r.sd / r.n**0.5), r.n - 1) if r.sd > 0 else (0.0 if r.gain else 1.0)
+    return {"gain": r.gain, "p_value": p, "passed": bool(p < alpha and r.gain > least_gain * abs(r.base))}
+
+
+def contrast(pairs: DataFrame, a: str, b: str, value: str, group: str, first: str, second: str) -> DataFrame:
+    """Difference of the mean pair values of two groups, with a jackknife over units."""
+    rows = pairs.filter(F.col(group).isin(first, second))
+    difference = F.avg(F.when(F.col(group) == first, F.col(value))) - F.avg(F.when(F.col(group) == second, F.col(value)))
+    return jackknife_units(rows, a, b, difference)
+
+
+def reported(df: DataFrame, prefix: str, share: bool = True) -> DataFrame:
+    """Statistics under the names of reports: prefix_mean and the like, in percent if they are shares, with raw twins."""
+    names = {"point": "mean", "std": "std", "ci_low": "ci_low", "ci_high": "ci_high"}
+    shown = lambda c: F.round(F.col(c) * (100.0 if share else 1.0), 1)
+    cols = [x for c, n in names.items() if c in df.columns for x in (shown(c).alias(f"{prefix}_{n}"), F.col(c).alias(f"{prefix}_{n}_raw"))]
+    return df.select(*(F.col(c) for c in df.columns if c not in names), *cols)

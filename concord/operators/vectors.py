@@ -28,10 +28,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once for each row, where a lambda would compute it for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalised(v: Column) -> Column:
     """The vector in double, divided by its length; a zero vector as it is."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    divided = lambda u, size: F.transform(u, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    return let(v, lambda u: let(F.sqrt(dot(u, u)), lambda size: divided(u, size)))
 
 
 def sliced(v: Column, first: int, length: int) -> Column:
