@@ -228,11 +228,10 @@ def permutation_groups(df: DataFrame, value: str, group: str, order: Sequence[st
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "p_fdr") -> DataFrame:
     """df with the adjusted p-values of each family and whether they lie below 0.05; NULL p stays NULL."""
     some = F.col(p).isNotNull()
-    up = Window.partitionBy(*by, some).orderBy(p).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    i = F.row_number().over(Window.partitionBy(*by, some).orderBy(p))
-    m = F.count("*").over(Window.partitionBy(*by, some))
-    first = df.withColumn("_q", F.when(some, F.col(p) * m / i))
-    return first.withColumn(out, F.when(some, F.least(F.lit(1.0), F.min("_q").over(up)))).withColumn("significant_fdr05", F.coalesce(F.col(out) < 0.05, F.lit(False))).drop("_q")
+    first = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by, some).orderBy(p))).withColumn("_m", F.count("*").over(Window.partitionBy(*by, some)))
+    down = Window.partitionBy(*by, some).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running minimum from the largest
+    out_p = F.when(some, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(down)))
+    return first.withColumn(out, out_p).withColumn("significant_fdr05", F.coalesce(F.col(out) < 0.05, F.lit(False))).drop("_i", "_m")
 
 
 def exceedance(draws: DataFrame, draw: str, observed: Column) -> Column:

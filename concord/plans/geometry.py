@@ -209,7 +209,7 @@ def centroid_grade_order(spark, d):
 
 @query("""SELECT 'quantity' AS block, round(regr_r2(l_extendedprice, l_quantity), 6) AS alone FROM lineitem UNION ALL SELECT 'discount', round(regr_r2(l_extendedprice, l_discount), 6) FROM lineitem""")
 def block_r2(spark, d):
-    rows = table(spark, d, "lineitem").select(F.lit("x").alias("encoder"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("case_id"), F.array("l_extendedprice", "l_quantity", "l_discount").alias("embedding"))
+    rows = table(spark, d, "lineitem").select(F.lit("x").alias("encoder"), F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("case_id"), F.array("l_extendedprice", "l_quantity", "l_discount").alias("embedding"))
     found = A.block_r_squared(V.grams(rows)["x", "x"], 0, {"quantity": [1], "discount": [2]})
     return spark.createDataFrame([(k, round(found[k]["alone"], 6)) for k in ("quantity", "discount")], "block string, alone double")
 
