@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,22 @@ from pyspark.sql import types as T
 LOCAL_DIR = "file:///tmp/checkpoints"
 
 
+#: What this Python worker remembers between tasks.
+_held: tuple[Hashable, Any] | None = None
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The object of this key, kept between the tasks of a worker; it takes the place of one with another key.
+
+    So the memory of a worker is bounded by one operator's, however many run one after another.
+    """
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        _held = (key, make())
+    return _held[1]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import map_batches
+from concord.llm.common import held, map_batches
 
 #: About so many rows of each language are taken to fit the probabilities.
 FIT_ROWS = 3000
@@ -170,21 +170,12 @@ class Scorer:
 
     #: Longer words are cut up one by one.
     SHORT = 40
-    #: The scorer of the model in use in this Python worker, which tasks share.
-    current: tuple[str, Scorer] | None = None
-
     def __init__(self, model: Model):
         self.model = model
         self.pieces = PieceTable(model.weights, model.floor, model.longest)
         self.known: dict[str, int] = {}
         self.table = np.zeros((CACHE, len(model.languages)))
 
-    @classmethod
-    def of(cls, model: Model) -> Scorer:
-        if cls.current is None or cls.current[0] != model.key:
-            cls.current = (model.key, cls(model))
-        return cls.current[1]
-
     def _words(self, words: list[str]) -> np.ndarray:
         m, out = self.model, np.zeros((len(words), len(self.model.languages)))
         by_length: dict[int, list[int]] = defaultdict(list)
@@ -285,7 +276,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str]
 
     def make():
         m = shared.value
-        width, scorer = len(m.languages), Scorer.of(m)
+        width, scorer = len(m.languages), held(("language", m.key), lambda: Scorer(m))
 
         def run(cols):
             names, scores, column = [], [], cols[text]

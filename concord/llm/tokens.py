@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 
+from concord.llm.common import held
+
 #: Words that one Python worker remembers.
 CACHE = 600_000
 
@@ -30,14 +31,17 @@ def byte_characters() -> list[str]:
     return [chr(b if seen else next(hidden)) for b, seen in enumerate(visible)]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, special_as_text: bool = False) -> Callable[[str | None], bytes]:
     """Function from a text to its ids as little-endian unsigned 32-bit numbers.
 
     For tokenizers that drop white space and keep letters apart from stops: a text's ids are then
     those of its words in order, and each different word is encoded once. special_as_text reads
-    the strings of special tokens as ordinary text.
+    the strings of special tokens as ordinary text. A worker keeps the words between its tasks.
     """
+    return held(("tokens", path, special_as_text), lambda: _encoder(path, special_as_text))
+
+
+def _encoder(path: str, special_as_text: bool) -> Callable[[str | None], bytes]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
