@@ -73,17 +73,17 @@ def segment_counts(fp: Column) -> Column:
     return one.bitwiseOR(F.shiftleft(two, 1))
 
 
-def _group_masks() -> list[int]:
-    bounds = [round(i * SEGMENTS / GROUPS) for i in range(GROUPS + 1)]
+def _group_masks(groups: int) -> list[int]:
+    bounds = [round(i * SEGMENTS / groups) for i in range(groups + 1)]
     masks = [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(bounds, bounds[1:])]
-    keys = [sum(c) for c in combinations(masks, GROUPS - DISTANCE)]
+    keys = [sum(c) for c in combinations(masks, groups - DISTANCE)]
     return [k - (1 << 64) if k >= 1 << 63 else k for k in keys]
 
 
-def grid_cells(fps: DataFrame) -> DataFrame:
+def grid_cells(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
     """(cell, fp) for each distinct fp and each of its cells."""
     counts = segment_counts(F.col("fp"))
-    keys = F.array(*(F.struct(F.lit(i).alias("plane"), F.col("counts").bitwiseAND(F.lit(m)).alias("at")) for i, m in enumerate(_group_masks())))
+    keys = F.array(*(F.struct(F.lit(i).alias("plane"), F.col("counts").bitwiseAND(F.lit(m)).alias("at")) for i, m in enumerate(_group_masks(groups))))
     spread = fps.select("fp", counts.alias("counts")).select("fp", F.explode(keys).alias("key"))
     return spread.select(F.xxhash64("key.plane", "key.at").alias("cell"), "fp")
 
@@ -233,13 +233,14 @@ def _search_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield rows.take(False)
 
 
-def links(fps: DataFrame) -> DataFrame:
+def links(fps: DataFrame, groups: int = GROUPS) -> DataFrame:
     """(a, b) of distinct fingerprints within DISTANCE, enough to connect each class.
 
     fps holds distinct values in column fp. No pair of a class is emitted twice over from one
-    cell: a cell of n members gives at most n - 1 links.
+    cell: a cell of n members gives at most n - 1 links. Any number of groups above DISTANCE finds
+    every link; more groups make more, smaller cells, which pays beyond some 10 ** 8 fingerprints.
     """
-    cells = grid_cells(fps).repartition("cell").sortWithinPartitions("cell", "fp")
+    cells = grid_cells(fps, groups).repartition("cell").sortWithinPartitions("cell", "fp")
     found = materialise(cells.mapInArrow(_search_cells, _FOUND), "cells")
     out = found.filter("b IS NOT NULL").select("a", "b")
     large = found.filter("b IS NULL").select(F.col("a").alias("fp"), "cell", "piece")
@@ -252,7 +253,7 @@ def links(fps: DataFrame) -> DataFrame:
     return out.union(dealt.mapInArrow(_search_pieces, _LINKS)).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keeps: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keeps: list[str] | None = None, shingle: int = SHINGLE, seed: int = SEED, groups: int = GROUPS) -> DataFrame:
     """One row per row of docs: the columns `keeps` (the id alone by default), fp, fingerprint, component_id.
 
     Texts are lower-cased in A-Z and cut at ASCII white space; fingerprints within DISTANCE bits
@@ -264,7 +265,7 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     keeps = [c for c in (keeps or [doc_id]) if c not in ("fp", "fingerprint", "component_id")]
     printed = materialise(with_fingerprint(docs, text, list(dict.fromkeys([*keeps, doc_id])), shingle, seed), "fingerprints")
     reps = materialise(printed.groupBy("fp").agg(F.min(doc_id).alias("first_id")), "distinct")
-    roots = components(links(reps.select("fp")))
+    roots = components(links(reps.select("fp"), groups))
     member = roots.join(reps, roots["v"] == reps["fp"]).select("fp", "root", "first_id")
     smallest = member.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classed = member.join(smallest, "root").select("fp", "class_id")
