@@ -121,6 +121,6 @@ def dose_control(spark, d):
     return rounded(C.cross_map(C.dosed_views(clean, [0.0, 0.5, 0.9]), ["clean"], ["dose_0.0", "dose_0.5", "dose_0.9"], K), "value")
 
 
-@query("""SELECT event_type, count(*) AS n, round(avg(value) * 1.0, 1) AS v_mean, avg(value) AS v_mean_raw FROM events GROUP BY 1""")
+@query("""SELECT event_type, count(*) AS n, round(avg(value) * 1.0, 1) AS v_mean, round(avg(value), 6) AS v_mean_raw FROM events GROUP BY 1""")
 def report_columns(spark, d):
-    return I.reported(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("point")), "v", share=False)
+    return rounded(I.reported(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("point")), "v", share=False), "v_mean_raw")
