@@ -101,15 +101,16 @@ def knn_edges(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
                 a, b = np.array(ids, np.int64), np.array(ids2, np.int64)
                 order = np.argsort(b, kind="stable")
                 b, y = b[order], np.frombuffer(data2).reshape(len(b), width)[order]
-                sim = np.round(np.frombuffer(data).reshape(len(a), width) @ y.T, DECIMALS)
+                exact = np.frombuffer(data).reshape(len(a), width) @ y.T
+                sim = np.round(exact, DECIMALS)
                 sim[a[:, None] == b[None, :]] = -np.inf
                 take = min(k, len(b))
                 cut_at = np.partition(sim, len(b) - take, axis=1)[:, len(b) - take]
                 src, dst = np.nonzero((sim >= cut_at[:, None]) & np.isfinite(sim))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(src), pa.string()), pa.array(a[src]), pa.array(b[dst]), pa.array(sim[src, dst])], names=_EDGES.names)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(src), pa.string()), pa.array(a[src]), pa.array(b[dst]), pa.array(exact[src, dst])], names=_EDGES.names)
 
     found = pairs.select("encoder", "ids", "width", "data", "ids2", "data2").mapInArrow(run, _EDGES)
-    best = F.row_number().over(Window.partitionBy("encoder", "src").orderBy(F.desc("similarity"), "dst"))
+    best = F.row_number().over(Window.partitionBy("encoder", "src").orderBy(F.desc(F.round("similarity", DECIMALS)), "dst"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k)
 
 

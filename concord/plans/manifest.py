@@ -121,14 +121,15 @@ def taxonomy_distance(spark, d):
     return a.crossJoin(b).select("class_a", "class_b", X.taxonomy_distance(F.col("class_a"), F.col("class_b"), F.col("ga"), F.col("gb")).alias("distance"))
 
 
-@query("""SELECT least(c_nationkey, s_nationkey) AS pair_lo, greatest(c_nationkey, s_nationkey) AS pair_hi, round(avg(o_totalprice), 4) AS mean_value, count(*) AS n
+@query("""SELECT least(c_nationkey, s_nationkey) AS pair_lo, greatest(c_nationkey, s_nationkey) AS pair_hi, round(avg(o_totalprice) * count(*) * 100)::BIGINT AS total_cents, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
 def pair_key_means(spark, d):
     line = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     customer, supplier = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return R.pair_means(rows, "c_nationkey", "s_nationkey", "o_totalprice").withColumn("mean_value", F.round("mean_value", 4))
+    means = R.pair_means(rows, "c_nationkey", "s_nationkey", "o_totalprice")
+    return means.select("pair_lo", "pair_hi", F.round(F.col("mean_value") * F.col("n") * 100).cast("long").alias("total_cents"), "n")  # whole cents, free of rounding
 
 
 @query("""SELECT o_orderkey, 'arm' || o_orderstatus AS arm, 'L' || o_custkey AS level, o_orderpriority AS backbone, NULL::VARCHAR AS seed FROM orders""")
