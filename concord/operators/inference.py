@@ -67,6 +67,15 @@ def slope(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), F.count("*").alias("n"))
 
 
+def positions(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """df with the place of each row, from 0, in an order of the whole table, without a window over all rows."""
+    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_total"))
+    before = totals.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_inside", inside).join(before, F.col("_part") == F.col("_of")).withColumn(out, F.col("_before") + F.col("_inside")).drop("_part", "_of", "_inside", "_before")
+
+
 def replicated(df: DataFrame, replicates: int) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
 
@@ -155,8 +164,12 @@ def subsampled(df: DataFrame, id_col: str, m: int, replicates: int, seed: int) -
 
 def block_jackknife(df: DataFrame, value: str, id_col: str, blocks: int = 20, seed: int = 0) -> DataFrame:
     """Standard error of the mean by leaving out one of equal blocks at a time. Block sums stand for the rows."""
-    order = Window.orderBy(hash_key(seed, F.col(id_col)), id_col)
-    per = df.filter(F.col(value).isNotNull()).select(F.ntile(blocks).over(order).alias("block"), value).groupBy("block").agg(F.sum(value).alias("s"), F.count("*").alias("c"))
+    rows = df.filter(F.col(value).isNotNull()).select(hash_key(seed, F.col(id_col)).alias("_key"), F.col(id_col).alias("_id"), F.col(value).alias("_x"))
+    n = rows.count()
+    longer, size = n % blocks, n // blocks  # the first blocks hold a row more
+    at = F.col("_at")
+    block = F.when(at < longer * (size + 1), F.floor(at / (size + 1))).otherwise(longer + F.floor((at - longer * (size + 1)) / max(1, size)))
+    per = positions(rows, ["_key", "_id"], "_at").groupBy(block.alias("block")).agg(F.sum("_x").alias("s"), F.count("*").alias("c"))
     every = per.agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
     left = per.crossJoin(F.broadcast(every)).select(((F.col("_s") - F.col("s")) / (F.col("_c") - F.col("c"))).alias("v"), (F.col("_s") / F.col("_c")).alias("point"))  # one row
     g = F.count("*")
