@@ -23,6 +23,23 @@ def _rank(by: Sequence[str], seed: int | str, id_col: str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(hash_key(seed, F.col(id_col)), id_col))
 
 
+def hash_ranked(df: DataFrame, by: Sequence[str], seed: int | str, id_col: str) -> DataFrame:
+    """df with `_rank`: the place of each row of a group in hash order, from 1, for groups of any size.
+
+    A group is sorted in the pieces that the first four digits of the hash make; the rows before
+    each piece come from counts.
+    """
+    keyed = df.withColumn("_key", hash_key(seed, F.col(id_col))).withColumn("_digits", F.substring("_key", 1, 4))
+    counts = keyed.groupBy(*by, "_digits").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_digits").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_digits").alias("_of"), before.alias("_before"))
+    same = F.col("_digits") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_digits").orderBy("_key", id_col))
+    return keyed.join(placed, same).withColumn("_rank", F.col("_before") + inside).drop("_key", "_digits", "_of", "_before", *(f"_by_{c}" for c in by))
+
+
 def cap_per_group(df: DataFrame, group: str, cap: int, seed: int, id_col: str) -> DataFrame:
     """At most cap rows of each group; all if cap is not positive."""
     return df if cap <= 0 else df.withColumn("_rank", _rank([group], seed, id_col)).filter(F.col("_rank") <= cap).drop("_rank")
@@ -47,8 +64,8 @@ def balanced(df: DataFrame, label: str, n: int, seed: int, id_col: str) -> DataF
 
 def matched_draw(df: DataFrame, group: str, n: int, seed: int, id_col: str) -> DataFrame:
     """n rows of every group that has so many; none of the others."""
-    size = F.count("*").over(Window.partitionBy(group))
-    return df.filter(F.col(group).isNotNull()).withColumn("_size", size).withColumn("_rank", _rank([group], seed, id_col)).filter((F.col("_size") >= n) & (F.col("_rank") <= n)).drop("_size", "_rank")
+    large = df.filter(F.col(group).isNotNull()).groupBy(group).count().filter(F.col("count") >= n).select(group)
+    return df.withColumn("_rank", _rank([group], seed, id_col)).filter(F.col("_rank") <= n).drop("_rank").join(large, group, "left_semi")
 
 
 def subgroup_draws(df: DataFrame, attributes: Sequence[str], seed: int, id_col: str, low: int = 2, high: int = 20) -> DataFrame:
@@ -57,7 +74,7 @@ def subgroup_draws(df: DataFrame, attributes: Sequence[str], seed: int, id_col:
     levels = levels.select(id_col, "x.*").filter(F.coalesce(F.col("level"), F.lit("")) != "")
     sizes = levels.groupBy("attribute", "level").count()
     usable = sizes.groupBy("attribute").agg(F.count("*").alias("n_levels"), F.min("count").alias("least")).filter(F.col("n_levels").between(low, high))
-    ranked = levels.join(usable, "attribute").withColumn("_rank", _rank(["attribute", "level"], seed, id_col))
+    ranked = hash_ranked(levels, ["attribute", "level"], seed, id_col).join(usable, "attribute")
     return ranked.filter(F.col("_rank") <= F.col("least")).select("attribute", "level", id_col)
 
 
@@ -107,7 +124,7 @@ def unit_split(df: DataFrame, unit: str, seed: int, share: float = 0.7) -> DataF
 
 def matched_sides(df: DataFrame, side: str, grade: str, seed: int, id_col: str) -> DataFrame:
     """As many rows of one side as of the other within each grade."""
-    ranked = df.filter(F.col(side).isNotNull() & F.col(grade).isNotNull()).withColumn("_rank", _rank([grade, side], seed, id_col))
+    ranked = hash_ranked(df.filter(F.col(side).isNotNull() & F.col(grade).isNotNull()), [grade, side], seed, id_col)
     sizes = ranked.groupBy(grade, side).agg(F.count("*").alias("_n"))
     least = sizes.groupBy(grade).agg(F.when(F.count("*") == 2, F.min("_n")).otherwise(0).alias("_least"))
     return ranked.join(least, grade).filter(F.col("_rank") <= F.col("_least")).drop("_rank", "_least")
