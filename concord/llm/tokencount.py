@@ -83,7 +83,9 @@ def read_flat(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, dtype:
     file is a number, in the order of paths. Each file is read by one task and must fit into it;
     cut larger ones before.
     """
-    files = spark.read.format("binaryFile").load(path).withColumn("file", F.dense_rank().over(Window.orderBy("path")) - 1)
+    files = spark.read.format("binaryFile").load(path)
+    numbers = files.select(F.col("path").alias("of")).withColumn("file", F.row_number().over(Window.orderBy("of")) - 1)  # names only
+    files = files.join(numbers, F.col("path") == F.col("of"))
     width = block_ids * np.dtype(dtype).itemsize
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(width).cast("long"))
     return files.filter("length > 0").select("file", "content", F.posexplode(starts)).select("file", F.col("pos").cast("long").alias("block"), F.substring("content", F.col("col").cast("int") + 1, F.lit(width)).alias("data"))
