@@ -109,8 +109,9 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 10, b
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         order = rng.permutation(len(pages))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
+        pools = [sorted(order[at : at + 20 * batch], key=lambda k: len(pages[k])) for at in range(0, len(order), 20 * batch)]
+        batches = [pool[at : at + batch] for pool in pools for at in range(0, len(pool), batch)]  # pages of like length, for little padding
+        for rows in (batches[i] for i in rng.permutation(len(batches))):
             x, mask = padded([pages[k] for k in rows])
             y = np.zeros(mask.shape, np.float32)
             for j, k in enumerate(rows):

@@ -25,7 +25,9 @@ NAMES = {
     "form": "form search searchform login contact signup subscribe-form",
     "share": "share social sharing share-buttons tools meta-share",
 }
-MAIN_NAMES = "content article post entry main story text body post-content article-body entry-content page-content"
+MAIN_NAMES = "content article post entry main story text body post-content article-body entry-content page-content hentry single blog-post news-item"
+#: Names that tell nothing of a part, alone or joined to one that does.
+NEUTRAL = "wrapper wrap container inner outer row col column grid layout site page block section box area primary secondary group list item wp js top main left right center large small home blog theme body default panel unit module".split()
 
 
 class Maker:
@@ -38,6 +40,19 @@ class Maker:
         return "".join(self.r.choices(LETTERS, k=self.r.randint(2, 9)))
 
     def prose(self, low: int, high: int) -> str:
+        """Sentences, or now and then something unlike them, as articles may hold anything."""
+        odd = self.r.random()
+        if odd < 0.2:
+            words = [self.word() for _ in range(self.r.randint(low, high))]
+            if odd < 0.05:
+                return " | ".join(words) + self.r.choice(["", " |"])
+            if odd < 0.09:
+                return " ".join(f"{w.upper()}!!" for w in words)
+            if odd < 0.13:
+                return " ".join(w + self.r.choice(["###", "$$$", "&amp;&amp;", "%%%", "***"]) for w in words)
+            if odd < 0.16:
+                return " ".join([words[0]] * len(words))
+            return " ".join(words) + self.r.choice(["", " 2024", ":", " +1 555 0100", " a@b.example"])
         out, left = [], self.r.randint(low, high)
         while left > 0:
             n = min(left, self.r.randint(1, 14))
@@ -57,8 +72,28 @@ class Maker:
         self.labels += labels
 
     def attribute(self, kind: str) -> str:
-        names = (MAIN_NAMES if kind == "main" else NAMES[kind]).split()
-        return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}"'
+        name = self.r.choice((MAIN_NAMES if kind == "main" else NAMES[kind]).split())
+        chance = self.r.random()
+        if chance < 0.2:
+            name = f"{self.r.choice(NEUTRAL)}-{name}"
+        elif chance < 0.4:
+            name = f"{name}-{self.r.choice(NEUTRAL)}"
+        if self.r.random() < 0.25:
+            name = " ".join(self.r.sample([name, self.r.choice(NEUTRAL)], 2))
+        return f' {self.r.choice(["class", "class", "id"])}="{name}"'
+
+    def neutral(self) -> str:
+        """Attributes that tell nothing, or none."""
+        names = " ".join("-".join(self.r.choices(NEUTRAL, k=self.r.randint(1, 2))) for _ in range(self.r.randint(1, 2)))
+        return f' {self.r.choice(["class", "id"])}="{names}"' if self.r.random() < 0.75 else ""
+
+    def wrapped(self, parts, most: int) -> None:
+        """What parts() puts, inside some elements that tell nothing."""
+        depth = self.r.randint(0, most) if self.r.random() < 0.6 else 0
+        for _ in range(depth):
+            self.put(f"<div{self.neutral()}>")
+        parts()
+        self.put("</div>" * depth)
 
     def opened(self, tag: str, kind: str) -> tuple[str, str]:
         """An element of the part's own tag, or a div that is named after it."""
@@ -113,9 +148,17 @@ class Maker:
         outer = self.r.random() < 0.2 and tag == "article"
         self.put(("<main>" if outer else "") + a)
         if self.r.random() < 0.85:
-            self.put(f"<h1>{self.prose(2, 9)}</h1>", 1)
-        loose = self.r.random() < 0.3
+            head = self.r.random() < 0.15
+            self.put("<header>" * head + f"<h1{self.attribute('main') if self.r.random() < 0.2 else ''}>{self.prose(2, 9)}</h1>" + "</header>" * head, 1)
+        inner = self.r.random() < 0.4
+        if inner:
+            self.put(f"<div{self.attribute('main') if self.r.random() < 0.7 else self.neutral()}>")
+        loose, section = self.r.random() < 0.3, False
+        sections = self.r.random() < 0.2
         for _ in range(self.r.randint(1, 14)):
+            if sections and self.r.random() < 0.3:
+                self.put("</section>" * section + f"<section{self.neutral() if self.r.random() < 0.3 else ''}>")
+                section = True
             kind = self.r.random()
             if kind < 0.68:
                 text = self.prose(1, 90)
@@ -125,7 +168,8 @@ class Maker:
             elif kind < 0.76:
                 self.put(f"<p><b>{self.prose(1, 30)}<br>", 1)
             elif kind < 0.82:
-                self.put(f"<h2>{self.prose(1, 6)}</h2>", 1)
+                h = self.r.choice(["h2", "h2", "h3", "h4"])
+                self.put(f"<{h}>{self.prose(1, 6)}</{h}>", 1)
             elif kind < 0.86:
                 n = self.r.randint(2, 5)
                 self.put("<ul>" + "".join(f"<li>{self.prose(1, 12)}</li>" for _ in range(n)) + "</ul>", *[1] * n)
@@ -133,24 +177,41 @@ class Maker:
                 self.put(f"<blockquote>{self.prose(3, 30)}</blockquote>", 1)
             elif kind < 0.91:
                 self.put("<table>" + "".join(f"<tr><td>{self.word()}</td><td>{self.word()}</td></tr>" for _ in range(2)) + "</table>", *[1] * 4)
-            elif kind < 0.93:
+            elif kind < 0.92:
                 self.put(f"<pre>{self.prose(2, 20)}</pre>", 1)
+            elif kind < 0.935:
+                self.put(f"<figure><img src=a.png><figcaption>{self.prose(1, 9)}</figcaption></figure>", 1)
             else:
                 self.part(self.r.choice(["ad", "ad", "aside", "share", "notice", "form"]))
-        if self.r.random() < 0.1:
+        self.put("</section>" * section + ("</div>" if inner else ""))
+        if self.r.random() < 0.2:
             self.part("comments")
         self.put(b + ("</main>" if outer else ""))
 
     def page(self) -> tuple[str, list[int]]:
         """(html, label of each block in order)."""
         self.parts, self.labels = [], []
-        self.put(f"<!DOCTYPE html><html><head><title>{self.prose(1, 6)}</title><style>p{{}}</style></head><body>")
-        for kind, chance in (("notice", 0.2), ("header", 0.4), ("nav", 0.8), ("ad", 0.5), ("form", 0.15), ("aside", 0.15)):
-            if self.r.random() < chance:
-                self.part(kind)
-        self.article()
-        for kind, chance in (("share", 0.15), ("ad", 0.25), ("comments", 0.35), ("aside", 0.35), ("form", 0.15), ("nav", 0.15), ("notice", 0.15), ("footer", 0.85)):
-            if self.r.random() < chance:
-                self.part(kind)
+        self.put(f"<!DOCTYPE html><html><head><title>{self.prose(1, 6)}</title><style>p{{}}</style></head><body{self.neutral()}>")
+
+        def some(*chances: tuple[str, float]) -> None:
+            for kind, chance in chances:
+                if self.r.random() < chance:
+                    self.wrapped(lambda kind=kind: self.part(kind), 2)
+
+        def middle() -> None:
+            some(("aside", 0.15))
+            self.wrapped(self.article, 3)
+            some(("share", 0.15), ("ad", 0.25), ("comments", 0.35), ("aside", 0.35), ("form", 0.15))
+
+        def whole() -> None:
+            some(("notice", 0.2), ("header", 0.4), ("nav", 0.8), ("ad", 0.5), ("form", 0.15))
+            if self.r.random() < 0.04:
+                for _ in range(self.r.randint(1, 5)):
+                    self.put(f"<p>{self.prose(2, 60)}</p>", 1)
+            else:
+                self.wrapped(middle, 2)
+            some(("nav", 0.15), ("notice", 0.15), ("footer", 0.85))
+
+        self.wrapped(whole, 2)
         self.put("" if self.r.random() < 0.1 else "</body></html>")
         return "".join(self.parts), self.labels
