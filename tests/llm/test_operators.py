@@ -396,6 +396,15 @@ def test_extraction_of_a_page(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_inside_wrappers_without_meaning():
+    page = """<html><body class="home blog"><div id="wrapper"><div id="masthead"><a href="/">My Site</a></div><div class="main-nav"><a href="/a">Home</a> <a href="/b">About us</a></div>
+<div id="primary"><div class="post hentry"><h1 class="entry-title">Big news today</h1><div class="entry-content"><p>The council met on Tuesday.</p><div class="wp-ad-slot">Sponsored: buy shoes</div><h2>Details</h2>
+<ul><li>First point here</li></ul></div></div></div><div id="secondary" class="widget-area"><h3>Recent posts</h3></div><div id="comments"><ol class="commentlist"><li><p>Great article.</p></li></ol></div><div id="colophon">Privacy policy</div></div></body></html>"""
+    blocks = htmlblocks.blocks_of(page)
+    main = extract.default_labeller().label([htmlblocks.features(blocks)])[0]
+    assert [b.text for b, m in zip(blocks, main) if m] == ["Big news today", "The council met on Tuesday.", "Details", "First point here"]
+
+
 def test_labeller_on_pages_not_seen():
     model, maker, right, n = extract.default_labeller(), Maker(1234), 0, 0
     for _ in range(60):
