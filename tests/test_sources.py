@@ -94,3 +94,15 @@ def test_stream_adds_each_case_once(spark, tmp_path):
     ingest_vectors(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert sorted(r.case_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
     assert json.dumps(sorted(spark.read.parquet(f"{tmp_path}/out").columns)) == '["batch", "case_id", "embedding", "encoder", "pool"]'
+
+
+def test_intermediate_tables_are_cleared(spark):
+    import os
+
+    from concord.sources import shared
+
+    shared.clear(spark)
+    df = shared.cut(spark.range(5))
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert shared.clear(spark) == 1 and not os.path.exists(path) and shared.clear(spark) == 0
