@@ -1,18 +1,15 @@
-"""What the operators share: the cluster's shared folder and Arrow batch mapping."""
+"""What the operators share: written steps, what a worker remembers, Arrow batch mapping."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Used only by a local session that names no spark.checkpoint.dir.
-LOCAL_DIR = "file:///tmp/checkpoints"
-
+from concord.sources.shared import cut
 
 #: What this Python worker remembers between tasks.
 _held: tuple[Hashable, Any] | None = None
@@ -30,22 +27,9 @@ def held(key: Hashable, make: Callable[[], Any]) -> Any:
     return _held[1]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = LOCAL_DIR
-    return f"{base.rstrip('/')}/concord-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return cut(df, label)
 
 
 def map_batches(

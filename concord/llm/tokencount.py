@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import shared_dir
 from concord.llm.tokens import default_tokenizer, encoder
+from concord.sources.shared import shared_dir
 
 #: Ids of a block.
 BLOCK_IDS = 1 << 19
