@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.operators.inference import spearman
+from concord.operators.sampling import capped
 from concord.operators.vectors import dot
 
 
@@ -179,9 +180,9 @@ def rsa(sample: DataFrame, encoder_a: str, encoder_b: str) -> DataFrame:
 
 
 def rbf_cka(sample: DataFrame, encoder_a: str, encoder_b: str, largest: int = 2000) -> float:
-    """Gaussian-kernel CKA on at most `largest` cases, with the first encoder's median distance as width for both."""
+    """Gaussian-kernel CKA on at most `largest` cases, the first by hash, with the first encoder's median distance as width for both."""
     wide = sample.filter(F.col("encoder").isin(encoder_a, encoder_b)).groupBy("case_id").pivot("encoder", [encoder_a, encoder_b]).agg(F.first("embedding"))
-    rows = wide.dropna().orderBy("case_id").limit(largest).collect()
+    rows = capped(wide.dropna(), largest, 0, "case_id").collect()
     x, y = (np.array([r[e] for r in rows], np.float64) for e in (encoder_a, encoder_b))
 
     def squared(m: np.ndarray) -> np.ndarray:

@@ -145,7 +145,17 @@ _RANKED = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1)
 p AS (SELECT round(list_inner_product(x.v, y.v), 9) AS sa, round(list_inner_product(z.v, w.v), 9) AS sb FROM a x JOIN a y ON x.id < y.id JOIN b z ON z.id = x.id JOIN b w ON w.id = y.id WHERE x.id IN (SELECT vec_id FROM s) AND y.id IN (SELECT vec_id FROM s)),
 r AS (SELECT {_RANKED.format('sa')} AS x, {_RANKED.format('sb')} AS y FROM p) SELECT round(corr(x, y), 5) AS spearman, count(*) AS n FROM r""")
 def rsa_spearman(spark, d):
-    chosen = S.capped(table(spark, d, "embeddings").select("vec_id"), 150, 0, "vec_id")
+    return _rsa(spark, d, 150)
+
+
+@query()
+def rsa_spearman_whole(spark, d):
+    """On the sample of 2000 that the operator is made for."""
+    return _rsa(spark, d, 2000)
+
+
+def _rsa(spark, d, n):
+    chosen = S.capped(table(spark, d, "embeddings").select("vec_id"), n, 0, "vec_id")
     v = views(spark, d, "va", "vb").join(chosen, F.col("case_id") == F.col("vec_id"), "left_semi")
     pairs = rounded(A.similarity_pairs(v, "va", "vb"), "s_a", "s_b", digits=9)
     return rounded(spearman(pairs, "s_a", "s_b"), "spearman", digits=5)
@@ -153,7 +163,7 @@ def rsa_spearman(spark, d):
 
 @query()
 def cka_rbf(spark, d):
-    return spark.createDataFrame([(round(float(A.rbf_cka(views(spark, d, "va", "vb"), "va", "vb", 300)), 6),)], "cka_rbf double")
+    return spark.createDataFrame([(round(float(A.rbf_cka(views(spark, d, "va", "vb"), "va", "vb")), 6),)], "cka_rbf double")
 
 
 @query(f"""WITH s AS (SELECT vec_id, row_number() OVER (ORDER BY md5('1|' || vec_id), vec_id) - 1 AS pos FROM embeddings ORDER BY 2 LIMIT 8), x AS ({_view('va')})
@@ -180,11 +190,20 @@ def class_centroid_distance(spark, d):
 p AS (SELECT b, m.label, e.embedding FROM m JOIN e ON m.k = e.i), c0 AS (SELECT b, label, i, avg(embedding[i]::DOUBLE) AS m FROM p, unnest(range(1, 65)) t(i) GROUP BY ALL), c AS (SELECT b, label, list(m ORDER BY i) AS v, greatest(sqrt(sum(m * m)), 1e-9) AS s FROM c0 GROUP BY ALL)
 SELECT x.b::INT AS b, round(avg(1 - list_inner_product(x.v, y.v) / (x.s * y.s)), 6) AS mean_distance FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1""")
 def structural_reference(spark, d):
+    return _structure(table(spark, d, "embeddings").filter("vec_id < 200"), 10)
+
+
+@query()
+def structural_reference_whole(spark, d):
+    """All vectors, with the replicates of the reference."""
+    return _structure(table(spark, d, "embeddings"), 200)
+
+
+def _structure(e, replicates):
     from concord.operators.inference import numbered
 
-    e = table(spark, d, "embeddings").filter("vec_id < 200")
     places = numbered(e.select("vec_id", "embedding"), ["vec_id"]).drop("n")
-    moved = permuted(e.select("vec_id", "label"), "label", ["vec_id"], 10, 0).join(places, "i").withColumn("group", F.concat_ws("|", "b", "label"))
+    moved = permuted(e.select("vec_id", "label"), "label", ["vec_id"], replicates, 0).join(places, "i").withColumn("group", F.concat_ws("|", "b", "label"))
     centres = V.centroids(moved, "group").select(F.split("group", r"\|")[0].cast("int").alias("b"), F.split("group", r"\|")[1].cast("int").alias("label"), "centroid")
     other = centres.select(F.col("b").alias("b2"), F.col("label").alias("l2"), F.col("centroid").alias("c2"))
     pairs = centres.join(other, (F.col("b") == F.col("b2")) & (F.col("label") < F.col("l2")))
@@ -199,6 +218,17 @@ def triplet_choice(spark, d):
     return V.triplet_choice(t, views(spark, d, "full")).select("tid", "nearer")
 
 
+@query()
+def triplet_choice_whole(spark, d):
+    """All orders, with endpoints among all vectors by their place in the order of ids."""
+    from concord.operators.inference import positions
+
+    orders, v = table(spark, d, "orders"), positions(views(spark, d, "full"), ["case_id"], "at")
+    n = max(1, v.count())
+    t = orders.select(F.col("o_orderkey").alias("tid"), (F.col("o_orderkey") % n).alias("a"), (F.col("o_custkey") % n).alias("b"), ((F.col("o_orderkey") + F.col("o_custkey")) % n).alias("c"))
+    return V.triplet_choice(t, v.drop("case_id").withColumnRenamed("at", "case_id")).select("tid", "nearer")
+
+
 @query(f"""WITH {_CENTRES.format('(SELECT * FROM embeddings WHERE label = 0)')}, r AS (SELECT e.label, round(1 - list_inner_product(e.embedding::DOUBLE[], c.v) / c.s, 9) AS dist FROM embeddings e, c WHERE e.label >= 1),
 k AS (SELECT {_RANKED.format('label')} AS x, {_RANKED.format('dist')} AS y FROM r) SELECT round(corr(x, y), 5) AS spearman, count(*) AS n FROM k""")
 def centroid_grade_order(spark, d):

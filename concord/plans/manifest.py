@@ -94,8 +94,17 @@ def row_dependent_lookup(spark, d):
 @query(r"""WITH s AS (SELECT conv_id, min(CASE WHEN role = 'system' THEN trim(text) END) AS a, min(CASE WHEN role = 'user' THEN trim(text) END) AS b, min(trim(text)) AS c FROM conversations WHERE turn < 2 GROUP BY conv_id)
 SELECT conv_id, CASE WHEN coalesce(nullif(a, ''), nullif(b, '')) IS NULL THEN coalesce(c, '') ELSE concat_ws(chr(10), nullif(a, ''), nullif(b, '')) END AS report FROM s""")
 def section_combine(spark, d):
+    return _sections(table(spark, d, "conversations").filter("turn < 2"))
+
+
+@query()
+def section_combine_whole(spark, d):
+    return _sections(table(spark, d, "conversations"))
+
+
+def _sections(turns):
     part = lambda r: F.min(F.when(F.col("role") == r, F.trim("text")))
-    s = table(spark, d, "conversations").filter("turn < 2").groupBy("conv_id").agg(part("system").alias("a"), part("user").alias("b"), F.min(F.trim("text")).alias("c"))
+    s = turns.groupBy("conv_id").agg(part("system").alias("a"), part("user").alias("b"), F.min(F.trim("text")).alias("c"))
     return s.select("conv_id", X.combined_sections(F.col("a"), F.col("b"), fallback=F.col("c")).alias("report"))
 
 

@@ -114,9 +114,13 @@ def jackknife_units(spark, d):
 _EVENTS = "(SELECT event_id, event_type, value, user_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE event_id < 400)"
 
 
+def all_events(spark, d):
+    return table(spark, d, "events").select("event_id", "event_type", "value", "user_id")
+
+
 def small_events(spark, d):
-    """The first events, a result table for permutation tests."""
-    return table(spark, d, "events").filter("event_id < 400").select("event_id", "event_type", "value", "user_id")
+    """The first events, which SQL can permute. The queries named *_whole do the same over all rows, without a twin."""
+    return all_events(spark, d).filter("event_id < 400")
 
 
 _MOVED = "m AS (SELECT b, value, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM e, unnest(range(0, 100)) t(b))"
@@ -127,7 +131,16 @@ o AS (SELECT avg(value) FILTER (f) - avg(value) FILTER (NOT f) AS difference, co
 r AS (SELECT b, avg(value) FILTER (k < n_a) - avg(value) FILTER (k >= n_a) AS draw FROM m, o GROUP BY b)
 SELECT round(difference, 6) AS difference, n_a, n_b, CASE WHEN n_a >= 2 AND n_b >= 2 THEN (SELECT (count(*) FILTER (abs(draw) >= abs(difference)) + 1) / (count(*) + 1.0)::DOUBLE FROM r) END AS p_value FROM o""")
 def permutation_2(spark, d):
-    return rounded(I.permutation_two(small_events(spark, d), "value", "event_type", "click", ["event_id"], 100), "difference")
+    return _two(small_events(spark, d))
+
+
+def _two(events):
+    return rounded(I.permutation_two(events, "value", "event_type", "click", ["event_id"], 100), "difference")
+
+
+@query()
+def permutation_2_whole(spark, d):
+    return _two(all_events(spark, d))
 
 
 def _f(by: str, source: str) -> str:
@@ -140,7 +153,16 @@ def _f(by: str, source: str) -> str:
 o AS {_f('', 'e')}, r AS {_f('b', 'x')}
 SELECT round(f, 6) AS f, g AS n_groups, n::BIGINT AS n, (SELECT (count(*) FILTER (r.f >= o.f) + 1) / (count(*) + 1.0)::DOUBLE FROM r) AS p_value FROM o""")
 def permutation_k(spark, d):
-    return rounded(I.permutation_groups(small_events(spark, d), "value", "event_type", ["event_id"], 100), "f")
+    return _groups(small_events(spark, d))
+
+
+def _groups(events):
+    return rounded(I.permutation_groups(events, "value", "event_type", ["event_id"], 100), "f")
+
+
+@query()
+def permutation_k_whole(spark, d):
+    return _groups(all_events(spark, d))
 
 
 @query(f"""WITH e AS (SELECT user_id % 8 AS reader, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE event_id < 400), {_MOVED}, x AS (SELECT m.b, m.value, e.reader FROM m JOIN e ON m.k = e.i),
@@ -148,7 +170,16 @@ s AS (SELECT b, reader, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM
 s0 AS (SELECT reader, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM e GROUP BY 1), o AS (SELECT (sum(c * m * m) - sum(c * m) ** 2 / sum(c)) / (sum(c * m * m) - sum(c * m) ** 2 / sum(c) + sum(c * v)) AS share, sum(c)::BIGINT AS n, count(*) AS n_groups FROM s0)
 SELECT round(share, 6) AS share, n, n_groups, round((SELECT avg(draw) FROM r), 6) AS reference_mean, (SELECT (count(*) FILTER (draw >= share) + 1) / (count(*) + 1.0)::DOUBLE FROM r) AS p_raw, round(share - (SELECT avg(draw) FROM r), 6) AS excess FROM o""")
 def reader_variance_share(spark, d):
-    rows = small_events(spark, d).withColumn("reader", F.col("user_id") % 8)
+    return _readers(small_events(spark, d))
+
+
+@query()
+def reader_variance_share_whole(spark, d):
+    return _readers(all_events(spark, d))
+
+
+def _readers(events):
+    rows = events.withColumn("reader", F.col("user_id") % 8)
     return rounded(I.variance_share_reference(rows, "value", "reader", ["event_id"], 100), "share", "reference_mean", "excess")
 
 
@@ -173,6 +204,11 @@ def bh_fdr(spark, d):
     return rounded(I.benjamini_hochberg(p_values(spark, d).filter("event_id < 400"), "p_raw"), "p_raw", "p_fdr", digits=12)
 
 
+@query()
+def bh_fdr_whole(spark, d):
+    return rounded(I.benjamini_hochberg(p_values(spark, d), "p_raw"), "p_raw", "p_fdr", digits=12)
+
+
 @query("""SELECT event_type, (count(*) FILTER (value >= 50) + 1) / (count(value) + 1.0)::DOUBLE AS p FROM events GROUP BY 1""")
 def exceedance_p(spark, d):
     e = table(spark, d, "events")
@@ -234,8 +270,17 @@ m AS (SELECT event_type, avg(v) AS m FROM w GROUP BY 1), o AS (SELECT max(m) - m
 s AS (SELECT b, v, row_number() OVER (PARTITION BY b, user_id ORDER BY md5('0|' || b || '|' || user_id || '|' || event_type), event_type) AS g FROM w, unnest(range(0, 50)) q(b)), n AS (SELECT b, g, avg(v) AS m FROM s GROUP BY ALL), c AS (SELECT b, max(m) - min(m) AS draw FROM n GROUP BY 1)
 SELECT round(r, 6) AS observed_range, g AS n_groups, round(avg(draw), 6) AS reference_mean, round(quantile_cont(draw, 0.025), 6) AS reference_ci_low, round(quantile_cont(draw, 0.975), 6) AS reference_ci_high, (count(*) FILTER (draw >= r) + 1) / (count(*) + 1.0)::DOUBLE AS p_reference, round(r - avg(draw), 6) AS excess FROM o, c GROUP BY r, g""")
 def subgroup_range(spark, d):
+    return _range(table(spark, d, "events").filter("user_id < 60"))
+
+
+@query()
+def subgroup_range_whole(spark, d):
+    return _range(table(spark, d, "events"))
+
+
+def _range(events):
     from concord.operators.relational import in_all
 
-    e = table(spark, d, "events").filter("user_id < 60").groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
+    e = events.groupBy("user_id", "event_type").agg(F.avg("value").alias("v"))
     full = e.join(in_all(e, "user_id", "event_type"), "user_id", "left_semi")
     return rounded(I.range_reference(full, "user_id", "event_type", "v", 50), "observed_range", "reference_mean", "reference_ci_low", "reference_ci_high", "excess")
