@@ -30,6 +30,10 @@ from concord.llm.common import held, map_batches
 FIT_ROWS = 3000
 #: Words that a Python worker remembers.
 CACHE = 400_000
+#: Longer words are not remembered while fitting; they are read whole all the same.
+REMEMBERED = 64
+#: Below this a forward value is carried on in a smaller unit.
+SMALL = 1e-100
 #: Texts that are scored at once.
 GROUP = 200
 #: Weight of the probabilities of all languages together in each language's own.
@@ -140,19 +144,33 @@ class PieceTable:
 
 
 def expected_pieces(word: str, weight: Callable[[str], float], longest: int) -> dict[str, float]:
-    """Expected number of each piece over all segmentations of the word."""
+    """Expected number of each piece over all segmentations of the word, however long it is.
+
+    What a prefix is worth (alpha) is kept in units that shrink along the word, so it never becomes 0;
+    the way back carries the share of the segmentations that have a cut there.
+    """
     word = _START + word
     n = len(word)
     arcs = [(i, j, word[i:j], w) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (w := weight(word[i:j])) > 0 or j == i + 1]
     arcs = [(i, j, p, w or 1e-9) for i, j, p, w in arcs]
-    alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-    for i, j, _, w in arcs:
+    alpha, unit, share = [1.0] + [0.0] * n, [0] * (n + 1), [0.0] * n + [1.0]
+    at = shrunk = 0
+    for i, j, _, w in [*arcs, (n, n, "", 0.0)]:
+        if i > at:
+            at = i
+            if alpha[i] < SMALL:
+                shrunk += 1
+                for k in range(i, min(n, i + longest) + 1):
+                    alpha[k] /= SMALL
+            unit[i] = shrunk
         alpha[j] += alpha[i] * w
-    for i, j, _, w in reversed(arcs):
-        beta[i] += w * beta[j]
     out: dict[str, float] = defaultdict(float)
-    for i, j, p, w in arcs:
-        out[p] += alpha[i] * w * beta[j] / alpha[n]
+    for i, j, p, w in reversed(arcs):
+        part = alpha[i] * w / alpha[j]
+        for _ in range(unit[j] - unit[i]):
+            part /= SMALL
+        share[i] += share[j] * part
+        out[p] += share[j] * part
     return out
 
 
@@ -233,13 +251,13 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
             words: dict[str, Counter] = defaultdict(Counter)
             for language, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for w in words_of(body.as_py()):
-                    words[language][w[:64]] += 1
+                    words[language][w] += 1
             for language, seen in words.items():
                 into = sums[language]
                 for w, n in seen.items():
                     if (parts := known.get(w)) is None:
                         parts = expected_pieces(w, weight, min(longest, 16))
-                        if len(known) < CACHE // 8:
+                        if len(w) <= REMEMBERED and len(known) < CACHE // 8:
                             known[w] = parts
                     for p, x in parts.items():
                         into[p] += n * x

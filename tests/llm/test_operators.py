@@ -166,6 +166,23 @@ def test_expected_pieces_count_every_character():
     assert sum(n * len(p) for p, n in parts.items()) == pytest.approx(5)
 
 
+@pytest.mark.parametrize("word", ["漢" * 500, "ab" * 300, "漢字" * 100 + "ab" * 100 + "ա" * 200, "b" * 400 + "漢" * 30])
+def test_expected_pieces_of_long_runs(word):
+    weight = {"▁": 0.1, "a": 0.3, "ab": 0.2, "b": 0.2}
+    parts = langid.expected_pieces(word, lambda p: weight.get(p, 0.0), 3)
+    assert sum(n * len(p) for p, n in parts.items()) == pytest.approx(len(word) + 1)
+    pairs = word.count("ab")  # every "ab" is one piece or two, whatever is around it
+    assert parts.get("ab", 0.0) == pytest.approx(pairs * 0.2 / (0.2 + 0.3 * 0.2))
+
+
+def test_language_is_learned_from_whole_runs(spark):
+    start = "漢" * 64
+    docs = spark.createDataFrame([(1, start + "山" * 300, "x", "s", 0), (2, start + "川" * 300, "y", "s", 0)], DOCS)
+    model = langid.fit(docs, F.lit(True))
+    found = langid.predict(docs.select("doc_id", F.substring("text", 65, 20).alias("text")), model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {1: "x", 2: "y"} and min(r.score for r in found) > 0.9
+
+
 def test_language_of_held_out_texts(spark):
     r, pools = random.Random(3), {"en": "the and this with from that have would there".split(), "de": "und der nicht mit eine haben würde auch über".split()}
     rows = [(i, " ".join(r.choices(pools[k], k=30)), k, "s", 0) for i in range(120) for k in (r.choice(["en", "de"]),)]
