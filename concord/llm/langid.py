@@ -10,6 +10,7 @@ the pieces' expected counts over all cuts.
 from __future__ import annotations
 
 import math
+import random
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -28,6 +29,8 @@ from concord.llm.common import held, map_batches
 
 #: About so many rows of each language are taken to fit the probabilities.
 FIT_ROWS = 3000
+#: About so many rows of each language are taken to tell texts from shuffled letters.
+LIMIT_ROWS = 300
 #: Words that a Python worker remembers.
 CACHE = 400_000
 #: Longer words are not remembered while fitting; they are read whole all the same.
@@ -225,6 +228,17 @@ class Scorer:
         return out
 
 
+def _chosen(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, rows: int) -> DataFrame | None:
+    """(lang, text) of about so many usable rows of each language, by a hash of their id; None if there are none."""
+    usable = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    n_rows = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    if not n_rows:
+        return None
+    share = F.create_map(*(F.lit(x) for k, n in n_rows.items() for x in (k, int(min(1.0, rows / n) * (1 << 31)))))
+    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 31))
+    return usable.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+
+
 def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, vocab: str | None = None) -> Model:
     """Piece probabilities of every non-null language among the rows where learn is true.
 
@@ -233,13 +247,9 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     and language.
     """
     vocab = vocab or default_vocabulary()
-    usable = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n_rows = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not n_rows:
+    chosen = _chosen(docs, learn, doc_id, text, lang, fit_rows)
+    if chosen is None:
         return Model([], {}, (), 1)
-    share = F.create_map(*(F.lit(x) for k, n in n_rows.items() for x in (k, int(min(1.0, fit_rows / n) * (1 << 31)))))
-    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 31))
-    chosen = usable.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("piece", T.StringType()), T.StructField("n", T.DoubleType())])
 
     def count(batches):
@@ -282,22 +292,68 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     return Model(languages, weights, floor, min(longest, max((len(p) for p in weights), default=1)))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str] | None = None) -> DataFrame:
-    """The columns `keeps` of docs, lang_pred and score.
+def letters_of(words: list[str]) -> int:
+    """Characters of the words, with the mark that each begins with."""
+    return sum(map(len, words)) + len(words)
+
+
+def shuffled(words: list[str], seed: int) -> list[str]:
+    """Words of the same lengths from the same letters in a random order."""
+    letters = list("".join(words))
+    random.Random(seed).shuffle(letters)
+    out, at = [], 0
+    for w in words:
+        out.append("".join(letters[at : at + len(w)]))
+        at += len(w)
+    return out
+
+
+def limits(docs: DataFrame, model: Model, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = LIMIT_ROWS) -> dict[str, float]:
+    """For each language the log-likelihood per letter half-way between its rows and the same rows with their letters shuffled.
+
+    Each side is the median over about `rows` rows where learn is true, so odd rows among them do not
+    count. Unlike the posterior, the measure neither depends on how many languages there are nor
+    grows with the text.
+    """
+    chosen = _chosen(docs, learn & F.col(lang).isin(model.languages), doc_id, text, lang, rows)
+    if chosen is None:
+        return {}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("own", T.DoubleType()), T.StructField("shuffled", T.DoubleType())])
+
+    def measure(batches):
+        m = shared.value
+        scorer, place = Scorer(m), {k: i for i, k in enumerate(m.languages)}
+        for batch in batches:
+            out = []
+            for language, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if words := words_of(body.as_py()):
+                    both = scorer.log_likelihoods([words, shuffled(words, len(words))])[:, place[language]] / letters_of(words)
+                    out.append((language, *map(float, both)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=schema.names)
+
+    found = chosen.mapInArrow(measure, schema).groupBy("lang").agg(F.percentile("own", 0.5).alias("own"), F.percentile("shuffled", 0.5).alias("shuffled"))
+    return {r.lang: (r.own + r.shuffled) / 2 for r in found.collect()}
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str] | None = None, per_letter: str | None = None) -> DataFrame:
+    """The columns `keeps` of docs, lang_pred and score; and under the name per_letter, if given, the log-likelihood per letter of lang_pred.
 
     score is the posterior probability of lang_pred under equal priors, over the whole text; ties
     go to the language that sorts first. A text that is null or has no letter, and any text
-    where nothing was learned, gets `und` and score 0. Rows that repeat are scored alike; an empty
+    where nothing was learned, gets `und`, score 0 and no likelihood. Rows that repeat are scored alike; an empty
     table gives no rows; columns of docs with the name of a new one are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    more = [T.StructField(per_letter, T.DoubleType())] if per_letter else []
 
     def make():
         m = shared.value
         width, scorer = len(m.languages), held(("language", m.key), lambda: Scorer(m))
 
         def run(cols):
-            names, scores, column = [], [], cols[text]
+            names, scores, each, column = [], [], [], cols[text]
             for at in range(0, len(column), GROUP):
                 bodies = [x or "" for x in column[at : at + GROUP].to_pylist()]
                 words = [words_of(x) for x in bodies]
@@ -306,15 +362,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keeps: list[str]
                     if not width or not (any(map(str.isalpha, words[i])) or any(map(str.isalpha, body))):
                         names.append(UNKNOWN)
                         scores.append(0.0)
+                        each.append(None)
                         continue
                     best = int(every[i].argmax())
                     names.append(m.languages[best])
                     scores.append(float(1.0 / np.exp(every[i] - every[i][best]).sum()))
-            return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())}
+                    each.append(float(every[i][best] / letters_of(words[i])) if words[i] else None)
+            return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), per_letter: pa.array(each, pa.float64())}
 
         return run
 
-    return map_batches(docs, make, [text], keeps if keeps is not None else docs.columns, _PREDICTED)
+    return map_batches(docs, make, [text], keeps if keeps is not None else docs.columns, [*_PREDICTED, *more])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
