@@ -16,13 +16,14 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu "
     "nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-UNSEEN = frozenset("script style template noscript svg iframe title textarea object canvas math".split())
+UNSEEN = frozenset("script style template noscript svg iframe title textarea canvas".split())
 #: What the start of an element ends, if it is open; and the elements that keep what is outside open.
 ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("html body table ul ol dl div section article aside main nav header footer form select blockquote".split())
 
+#: A quote quotes only after the = of an attribute; any other is part of a name or value, and the tag ends at its >.
 _MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|</?\Z",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))?+)*+)(?:>|\Z)|</?\Z",
     re.S,
 )
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)

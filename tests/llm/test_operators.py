@@ -413,6 +413,19 @@ def test_extraction_of_a_page(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "tag", ['<p class=x">', "<p title=don't>", "<p it's>", '<p a="x"">', '<p ="x>', "<p class=x\" id='y'>", '<p title="a > b" data-x = \'c > "d\'>', "<p/class=x>", "<p a=b=\"c>"]
+)
+def test_quotes_in_tags(tag):
+    page = f'<body>{tag}First part.</p><p>Second.</p><p id="z">Third isn\'t.</p></body>'
+    assert [b.text for b in htmlblocks.blocks_of(page)] == ["First part.", "Second.", "Third isn't."]
+
+
+def test_text_of_math_and_objects():
+    page = '<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data="a.pdf"><param name="a"><p>The whole report as text.</p></object><p>End.</p></article>'
+    assert [b.text for b in htmlblocks.blocks_of(page)] == ["Let x=2 hold.", "The whole report as text.", "End."]
+
+
 def test_extraction_inside_wrappers_without_meaning():
     page = """<html><body class="home blog"><div id="wrapper"><div id="masthead"><a href="/">My Site</a></div><div class="main-nav"><a href="/a">Home</a> <a href="/b">About us</a></div>
 <div id="primary"><div class="post hentry"><h1 class="entry-title">Big news today</h1><div class="entry-content"><p>The council met on Tuesday.</p><div class="wp-ad-slot">Sponsored: buy shoes</div><h2>Details</h2>
