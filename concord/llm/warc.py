@@ -124,7 +124,7 @@ def compare(expected: Tree, found: Tree, fanout: int = FANOUT) -> DataFrame:
         a, b = expected.levels[level], found.levels[level]
         if differing is not None:
             up = differing.select(F.col("file").alias("up_file"), F.col("node").alias("up_node"))
-            under = (F.col("file") == F.col("up_file")) & (F.floor(F.col("node") / fanout) == F.col("up_node"))
+            under = F.col("file").eqNullSafe(F.col("up_file")) & (F.floor(F.col("node") / fanout) == F.col("up_node"))
             a, b = a.join(up, under, "left_semi"), b.join(up, under, "left_semi")
         x = a.select("file", "node", F.struct("first", "stop", "digest").alias("x"))
         y = b.select("file", "node", F.struct("first", "stop", "digest").alias("y"))

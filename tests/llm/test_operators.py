@@ -294,6 +294,15 @@ def test_audit_finds_each_damage(spark):
     assert warc.audit(nulls, nulls).count() == 0
 
 
+def test_audit_of_records_without_a_file_name(spark):
+    rows = [(None, i * 100, b"record %d" % i) for i in range(20)] + [("f", i * 100, b"x%d" % i) for i in range(20)]
+    a = spark.createDataFrame(rows, "file string, offset long, record binary")
+    for fanout in (64, 4):  # one level and several
+        found = sorted((r.first, r.status) for r in warc.audit(a, a, fanout).collect() if r.file is None)
+        assert found == sorted((i * 100, s) for i in range(20) for s in ("missing", "extra"))
+        assert warc.audit(a.filter("file = 'f'"), a, fanout).groupBy("file", "status").count().collect() == [(None, "extra", 20)]
+
+
 def test_warc_files_round_trip(spark, tmp_path):
     import gzip
 
