@@ -146,7 +146,7 @@ class PieceTable:
         return logs + np.log(alpha[-1])
 
 
-def expected_pieces(word: str, weight: Callable[[str], float], longest: int) -> dict[str, float]:
+def expected_pieces(word: str, weight: Callable[[str], float | None], longest: int) -> dict[str, float]:
     """Expected number of each piece over all segmentations of the word, however long it is.
 
     What a prefix is worth (alpha) is kept in units that shrink along the word, so it never becomes 0;
@@ -154,8 +154,14 @@ def expected_pieces(word: str, weight: Callable[[str], float], longest: int) ->
     """
     word = _START + word
     n = len(word)
-    arcs = [(i, j, word[i:j], w) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1) if (w := weight(word[i:j])) > 0 or j == i + 1]
-    arcs = [(i, j, p, w or 1e-9) for i, j, p, w in arcs]
+    arcs = []
+    for i in range(n):
+        for j in range(i + 1, min(n, i + longest) + 1):
+            p = word[i:j]
+            if w := weight(p):
+                arcs.append((i, j, p, w))
+            elif j == i + 1:
+                arcs.append((i, j, p, 1e-9))
     alpha, unit, share = [1.0] + [0.0] * n, [0] * (n + 1), [0.0] * n + [1.0]
     at = shrunk = 0
     for i, j, _, w in [*arcs, (n, n, "", 0.0)]:
@@ -244,7 +250,9 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
 
     A language of more than fit_rows such rows is represented by about fit_rows of them, chosen
     by a hash of their id and read whole; what comes to the driver is one number for each piece
-    and language.
+    and language. Rows with a null text or language teach nothing, texts without letters neither;
+    rows that repeat count as often as they stand; an empty table gives a model without languages;
+    other columns do not matter.
     """
     vocab = vocab or default_vocabulary()
     chosen = _chosen(docs, learn, doc_id, text, lang, fit_rows)
@@ -254,7 +262,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
 
     def count(batches):
         ids, longest = vocabulary(vocab)
-        weight = lambda p: 1.0 / (ids[p] + 1000) if p in ids else 0.0  # noqa: E731  more common pieces have smaller numbers
+        weight = {p: 1.0 / (i + 1000) for p, i in ids.items()}.get  # more common pieces have smaller numbers
         known: dict[str, dict[str, float]] = {}
         sums: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         for batch in batches:
@@ -266,7 +274,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
                 into = sums[language]
                 for w, n in seen.items():
                     if (parts := known.get(w)) is None:
-                        parts = expected_pieces(w, weight, min(longest, 16))
+                        parts = expected_pieces(w, weight, longest)
                         if len(w) <= REMEMBERED and len(known) < CACHE // 8:
                             known[w] = parts
                     for p, x in parts.items():
