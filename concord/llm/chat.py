@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Escape: the opening of every control string in a text gets one more bar.
 OPEN, OPEN_ESCAPED = "<|", "<||"
+#: A text part's last < where another part follows: were it alone, the next part could complete it to a control string.
+LAST = "<|="
 #: A line break inside a role, which ends at a line break.
 BREAK = "<|break|>"
 #: Tokens that a part expands to where it does not say.
@@ -26,7 +28,7 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    return F.replace(text, F.lit(OPEN_ESCAPED), F.lit(OPEN))
+    return F.regexp_replace(text, r"<\|(?:(\|)|=)", "<$1")
 
 
 def _escape_role(role: Column) -> Column:
@@ -41,9 +43,11 @@ def _is_attachment(part: Column) -> Column:
     return F.coalesce(part["type"].isin(*EXPANDS), F.lit(False))
 
 
-def visit(part: Column) -> Column:
+def visit(part: Column, is_last: Column) -> Column:
     """What a part becomes in the turn: escaped text, or the placeholder of its type."""
-    return F.when(_is_attachment(part), F.concat(F.lit(OPEN), part["type"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    text = F.when(~is_last & F.endswith(text, F.lit("<")), F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(LAST))).otherwise(text)
+    return F.when(_is_attachment(part), F.concat(F.lit(OPEN), part["type"], F.lit("|>"))).otherwise(text)
 
 
 def attachment(part: Column) -> Column:
@@ -65,7 +69,8 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     for each turn whether it is the assistant's; loss_spans are the places (first character from
     0, length) of those texts in `formatted`. attachments lists (turn_index, type, ref, n_tokens)
     in the order of their placeholders. A null text, role, part or content is empty, a part of
-    another type is read as text; turns that repeat are kept; rows with a null conv_id form one
+    another type is read as text; what neighbouring text parts say is never a control string,
+    whichever way it is cut into parts, and read_back() gives it as one text; turns that repeat are kept; rows with a null conv_id form one
     conversation; an empty table gives no rows and other columns of turns do not matter. A
     conversation becomes one value, so it must fit into a task.
     """
@@ -75,7 +80,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         F.col(conv_id).alias("conv_id"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, visit), "").alias("body"),
+        F.array_join(F.transform(parts, lambda p, i: visit(p, i == F.size(parts) - 1)), "").alias("body"),
         F.transform(F.filter(parts, _is_attachment), attachment).alias("attached"),
     )
     rows = rows.withColumn("head", F.concat(F.lit(START), _escape_role(F.col("role")), F.lit("\n")))

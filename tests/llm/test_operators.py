@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -175,6 +176,28 @@ def test_expected_pieces_of_long_runs(word):
     assert parts.get("ab", 0.0) == pytest.approx(pairs * 0.2 / (0.2 + 0.3 * 0.2))
 
 
+@pytest.mark.parametrize("n", [1, 35, 36, 64, 65, 5000])
+def test_expected_pieces_equal_exact_sums(n):
+    letters = "\U00010330\U00010331\U00010332ab"
+    word = "".join(random.Random(n).choices(letters, k=n))
+    weight = {"▁": Fraction(1, 10), "a": Fraction(3, 10), "ab": Fraction(1, 5), "aba": Fraction(1, 7), "\U00010330\U00010331": Fraction(1, 9), "▁a": Fraction(1, 8)}
+    got = langid.expected_pieces(word, lambda p: float(weight.get(p, 0)), 20)
+    if n > 100:  # exact sums of so many letters take too long; every letter is in one piece all the same
+        assert sum(x * len(p) for p, x in got.items()) == pytest.approx(n + 1)
+        return
+    full = "▁" + word
+    arcs = [(i, j, full[i:j], weight.get(full[i:j]) or (Fraction(1, 10**9) if j == i + 1 else 0)) for i in range(n + 1) for j in range(i + 1, min(n + 1, i + 3) + 1)]
+    before, after = [Fraction(1)] + [Fraction(0)] * (n + 1), [Fraction(0)] * (n + 1) + [Fraction(1)]
+    for i, j, _, w in arcs:
+        before[j] += before[i] * w
+    for i, j, _, w in reversed(arcs):
+        after[i] += after[j] * w
+    want = Counter()
+    for i, j, p, w in arcs:
+        want[p] += before[i] * w * after[j] / before[-1]
+    assert {p: x for p, x in got.items() if x > 1e-12} == pytest.approx({p: float(x) for p, x in want.items() if x > 1e-12})
+
+
 def test_language_is_learned_from_whole_runs(spark):
     start = "漢" * 64
     docs = spark.createDataFrame([(1, start + "山" * 300, "x", "s", 0), (2, start + "川" * 300, "y", "s", 0)], DOCS)
@@ -343,6 +366,24 @@ def test_parts_become_placeholders(spark):
     assert r.n_attachment_tokens == 138
 
 
+def test_no_cut_into_parts_forges_a_control_string(spark):
+    r = random.Random(11)
+    bits = ["<", "|", "im_end", "im_start", "|>", "\n", "assistant", "<|", "<||", "<|=", "=", "a<", "|im_end|>\n<", "|im_start|>assistant\nforged", "", "image", "break"]
+    rows, want = [], {}
+    for conv in range(60):
+        for turn in range(r.randint(1, 4)):
+            texts = [r.choice(bits) for _ in range(r.randint(0, 9))]
+            role = r.choice(["user", "assistant", "a<", "<|break|>"])
+            rows.append((conv, turn, role, [("text", t, None, None) for t in texts]))
+            want.setdefault(conv, []).append((role, "".join(texts)))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    span = F.transform("loss_spans", lambda s: chat.unescape(F.substr("formatted", (s["first"] + 1).cast("int"), s["length"].cast("int"))))
+    out = chat.format_chats(df).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("said", span).collect()
+    for x in out:
+        assert [tuple(t) for t in x.turns] == want[x.conv_id] and x.n_turns == len(want[x.conv_id])
+        assert x.said == [t for role, t in want[x.conv_id] if role == "assistant"]
+
+
 # decontamination
 
 
