@@ -1,6 +1,7 @@
 """Small cases of every operator: brute force, round trips, nulls, empty tables, ties, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -102,12 +103,11 @@ def test_encoder_equals_the_tokenizer():
 
 
 def brute_top_k(rows, queries, k):
-    good = [(i, np.floor(256.0 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, tuple(math.floor(256.0 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for q, v in good:
+    for at, (q, v) in enumerate(good):
         if q in queries:
-            n = lambda w: int(sum(a * b for a, b in zip(v.tolist(), w.tolist())))
-            best = sorted((-n(w), i) for i, w in good if i != q)[:k]
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for j, (i, w) in enumerate(good) if j != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -116,6 +116,7 @@ def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(0)
     vectors = [(int(i), [float(x) for x in r.normal(0, 0.3, 6).astype(np.float32)]) for i in r.permutation(300)]
     vectors += [(1000 + i, vectors[0][1]) for i in range(40)]  # ties
+    vectors += [(50, [0.5] * 6), (50, [0.5] * 6), (100, [-0.25] * 6), (2004, [0.5, -0.5])]  # ids that repeat, with other vectors and with the same
     vectors += [(2000, None), (2001, [0.1, None, 0.2, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, [0.5, -0.5]), (2005, []), (None, [1.0] * 6)]
     df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<float>, score string")
     queries = {i for i, _ in vectors if i is not None and i % 50 == 0} | {2004}
@@ -123,6 +124,17 @@ def test_top_k_equals_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == brute_top_k(vectors, queries, 5)
 
 
+def test_top_k_of_large_components(spark):
+    r = np.random.default_rng(1)
+    vectors = [(i, [float(np.float32(x)) for x in r.normal(0, 1, 3) * 10.0 ** r.integers(0, 5)]) for i in range(40)] + [(60, [70000.0, 1.0]), (61, [1e-9, -1e9])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    few = {0, 10, 60}
+    assert sorted(map(tuple, bitsliced.top_k(df, df.filter(F.col("vec_id").isin(*few)), 3, block_rows=16).collect())) == brute_top_k(vectors, few, 3)
+    with pytest.raises(Exception, match="leaves the range"):
+        huge = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>")
+        bitsliced.top_k(huge, huge, 1).collect()
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [0.5, 0.5]), (50, [0.25, 0.25])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, bitsliced.top_k(df, df, 5).collect())) == [(0, 1, 50, 16384), (50, 1, 0, 16384)]
