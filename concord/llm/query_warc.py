@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.llm.warc import audit_leaves, laid_out, leaves_of, response_record
@@ -12,45 +12,48 @@ PER_FILE = 500
 
 
 def replica(pages: DataFrame) -> DataFrame:
-    """The pages as records in files of PER_FILE numbers each: file, offset, record. Until the records are laid out, offset is the page's number."""
-    return pages.select(F.floor(F.col("page_id") / PER_FILE).cast("string").alias("file"), F.col("page_id").alias("offset"), response_record(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
+    """The pages as records in files of PER_FILE numbers each: file, offset, record. Until the records are laid out, offset is twice the page's number."""
+    return pages.select(F.floor(F.col("page_id") / PER_FILE).cast("string").alias("file"), (F.col("page_id") * 2).alias("offset"), response_record(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
 
 
-def with_wrong_bytes(records: DataFrame) -> DataFrame:
-    """A replica in which one byte of every 37th page is wrong."""
+def damaged(pages: DataFrame) -> DataFrame:
+    """A replica in which one byte of every 37th page is wrong, and every file has lost a record in its middle and holds one too many."""
+    number = F.col("page_id")
+    records = replica(pages.filter(F.coalesce(number % PER_FILE != 240, F.lit(True))))
     wrong = F.concat(F.lit(b"WARC/1.1"), F.substring("record", 9, 1 << 30))
-    return records.withColumn("record", F.when(F.col("offset") % 37 == 5, wrong).otherwise(F.col("record")))
-
-
-def without_last(leaves: DataFrame) -> DataFrame:
-    """The leaves of a replica whose every 7th file has lost its last record."""
-    last = F.lead("offset").over(Window.partitionBy("file").orderBy("offset")).isNull()
-    return leaves.withColumn("is_last", last).filter(~(F.col("is_last") & (F.col("file").cast("long") % 7 == 3))).drop("is_last")
+    records = records.withColumn("record", F.when(F.col("offset") / 2 % 37 == 5, wrong).otherwise(F.col("record")))
+    more = pages.filter(number % PER_FILE == 120)
+    more = more.select(F.floor(number / PER_FILE).cast("string").alias("file"), (number * 2 + 1).alias("offset"), response_record(F.col("url"), F.concat(F.lit("more-"), number.cast("string")), F.lit("more")).alias("record"))
+    return records.unionByName(more)
 
 
 def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = replica(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    expected, found = leaves_of(records), without_last(leaves_of(with_wrong_bytes(records)))
-    return audit_leaves(laid_out(expected, "offset"), laid_out(found, "offset")).withColumnRenamed("first", "offset")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return audit_leaves(laid_out(leaves_of(replica(pages)), "offset"), laid_out(leaves_of(damaged(pages)), "offset"))
 
 
 QUERIES = {"op5_warc_fixity": op5_warc_fixity}
 ORACLES = {
     "op5_warc_fixity": r"""
-WITH r AS (
-  SELECT page_id, page_id // 500 AS f, 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
-    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rest
-  FROM pages
-), s AS (
-  SELECT *, row_number() OVER w - 1 AS node, strlen(rest) + 10 AS length,
-    coalesce(sum(strlen(rest) + 10) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS "offset", lead(page_id) OVER w IS NULL AS is_last
-  FROM r WINDOW w AS (PARTITION BY f ORDER BY page_id)
+WITH parts AS (
+  SELECT page_id, page_id // 500 AS f, page_id * 2 AS place, '<urn:page:' || page_id || '>' AS id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages
+  UNION ALL SELECT NULL, page_id // 500, page_id * 2 + 1, '<urn:page:more-' || page_id || '>', coalesce(url, ''), 'more' FROM pages WHERE page_id % 500 = 120
+), r AS (
+  SELECT *, 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: ' || id || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body || chr(13) || chr(10) || chr(13) || chr(10) AS rest
+  FROM parts
+), expected AS (
+  SELECT *, strlen(rest) + 10 AS length, coalesce(sum(strlen(rest) + 10) OVER (PARTITION BY f ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM r WHERE page_id IS NOT NULL
+), found AS (
+  SELECT *, strlen(rest) + 10 AS length, coalesce(sum(strlen(rest) + 10) OVER (PARTITION BY f ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM r WHERE page_id IS NULL OR page_id % 500 <> 240
 ), d AS (
-  SELECT *, CASE WHEN is_last AND f % 7 = 3 THEN 'missing' WHEN page_id % 37 = 5 THEN 'corrupt' END AS status FROM s
+  SELECT f, id, begins, length, rest, CASE WHEN page_id % 500 = 240 THEN 'missing' ELSE 'corrupt' END AS status FROM expected WHERE page_id % 500 = 240 OR page_id % 37 = 5
+  UNION ALL SELECT f, id, begins, length, rest, 'extra' FROM found WHERE page_id IS NULL
 )
-SELECT f::VARCHAR AS file, node::BIGINT AS node, "offset"::BIGINT AS "offset", length::BIGINT AS length, status,
-  sha256('WARC/1.0' || chr(13) || chr(10) || rest) AS digest_expected,
-  CASE WHEN status = 'corrupt' THEN sha256('WARC/1.1' || chr(13) || chr(10) || rest) END AS digest_found
-FROM d WHERE status IS NOT NULL"""
+SELECT f::VARCHAR AS file, id, begins::BIGINT AS "offset", length::BIGINT AS length, status,
+  CASE WHEN status <> 'extra' THEN sha256('WARC/1.0' || chr(13) || chr(10) || rest) END AS digest_expected,
+  CASE status WHEN 'corrupt' THEN sha256('WARC/1.1' || chr(13) || chr(10) || rest) WHEN 'extra' THEN sha256('WARC/1.0' || chr(13) || chr(10) || rest) END AS digest_found
+FROM d"""
 }

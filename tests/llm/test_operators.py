@@ -315,26 +315,46 @@ def test_near_duplicates_of_nothing(spark):
 
 
 def test_audit_finds_each_damage(spark):
-    rows = [(f"f{f}", i * 100, f"record {f} {i}".encode()) for f in range(3) for i in range(40)]
+    rows = [(f"f{f}", i * 100, f"record {f} {i}".encode()) for f in range(3) for i in range(100)]
     schema = "file string, offset long, record binary"
-    bad = [r for r in rows if r[:2] != ("f1", 3900)]  # one is lost
+    bad = [r for r in rows if r[:2] != ("f1", 4000)]  # one is lost in the middle, and what follows has other offsets
+    bad = [(f, at - 100 * (f == "f1" and at > 4000), x) for f, at, x in bad]
     bad[5] = (*bad[5][:2], b"wrong")
-    bad.append(("f2", 4000, b"more"))
+    bad.append(("f2", 3950, b"more"))
     a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(bad, schema)
-    found = {(r.file, r.first, r.status) for r in warc.audit(a, b, fanout=4).collect()}
-    assert found == {("f0", 500, "corrupt"), ("f1", 3900, "missing"), ("f2", 4000, "extra")}
+    found = {(r.file, r.offset, r.status) for r in warc.audit(a, b, fanout=4, span=1000).collect()}
+    assert found == {("f0", 500, "corrupt"), ("f1", 4000, "missing"), ("f2", 3950, "extra")}
     assert warc.audit(a, a).count() == 0 and warc.audit(a.limit(0), a.limit(0)).count() == 0
     assert warc.audit(a.limit(0), b).count() == len(bad)
     nulls = spark.createDataFrame([("f", 0, None), ("f", None, b"x")], schema)
     assert warc.audit(nulls, nulls).count() == 0
 
 
+def test_audit_descends_only_where_replicas_differ(spark):
+    rows = [("f", i * 100, f"record {i}".encode()) for i in range(400)]
+    schema = "file string, offset long, record binary"
+    leaves = [warc.leaves_of(spark.createDataFrame(x, schema)).select(F.lit(side).alias("side"), "*") for side, x in (("expected", rows), ("found", rows[:150] + rows[151:]))]
+    levels = warc.build_trees(leaves[0].union(leaves[1]), 4, 1 << 20)
+    assert len(levels) >= 4 and levels[1].filter("side = 'found'").count() > 50
+    assert 1 <= warc.odd_nodes(levels[1]).count() <= 4
+
+
+def test_audit_by_id_and_of_repeats(spark):
+    record = lambda i, body: f"WARC/1.0\r\nWARC-Record-ID: <urn:{i}>\r\n\r\n{body}".encode()
+    rows = [("f", i * 10, record(i, "same")) for i in range(60)] + [("g", i, b"again") for i in range(3000)]
+    bad = [("f", i * 10, record(i, "other" if i in (3, 4) else "same")) for i in range(60) if i != 5] + [("g", i, b"again") for i in range(2998)]
+    a, b = (spark.createDataFrame(x, "file string, offset long, record binary") for x in (rows, bad))
+    found = sorted((r.file, r.id, r.offset, r.status) for r in warc.audit(a, b, fanout=4).collect())
+    assert found == [("f", "<urn:3>", 30, "corrupt"), ("f", "<urn:4>", 40, "corrupt"), ("f", "<urn:5>", 50, "missing"), ("g", "", 2998, "missing"), ("g", "", 2999, "missing")]
+
+
 def test_audit_of_records_without_a_file_name(spark):
     rows = [(None, i * 100, b"record %d" % i) for i in range(20)] + [("f", i * 100, b"x%d" % i) for i in range(20)]
     a = spark.createDataFrame(rows, "file string, offset long, record binary")
     for fanout in (64, 4):  # one level and several
-        found = sorted((r.first, r.status) for r in warc.audit(a, a, fanout).collect() if r.file is None)
-        assert found == sorted((i * 100, s) for i in range(20) for s in ("missing", "extra"))
+        assert warc.audit(a, a, fanout).count() == 0
+        found = warc.audit(a, a.filter("offset <> 700 OR file IS NOT NULL"), fanout).collect()
+        assert [(r.file, r.offset, r.status) for r in found] == [(None, 700, "missing")]
         assert warc.audit(a.filter("file = 'f'"), a, fanout).groupBy("file", "status").count().collect() == [(None, "extra", 20)]
 
 
