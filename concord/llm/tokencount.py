@@ -1,10 +1,11 @@
 """Token counts of documents in flat token files by a scan for separators.
 
 A flat file is a stream of little-endian ids without an index, each document followed by an
-end-of-document id; it is read as blocks that pay no heed to documents. Each block is searched
-for the separator at once, and gives its length and the separators' places. A prefix scan over
-the blocks of a file then carries position, document number and the last separator from block
-to block, which stitches documents that lie across blocks.
+end-of-document id. Spark reads it in byte ranges that pay no heed to documents or ids. Each block
+of such a range is searched for the separator at once, in every alignment that its unknown place
+in the file allows, and gives its length and the places found. A prefix scan over the blocks
+of a file then carries position, document number and the last separator from block to block,
+which settles the alignment and stitches ids and documents that lie across blocks.
 """
 
 from __future__ import annotations
@@ -16,111 +17,131 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.llm.common import materialise
 from concord.llm.tokens import default_tokenizer, encoder
 from concord.sources.shared import shared_dir
 
-#: Ids of a block.
-BLOCK_IDS = 1 << 19
 DTYPE = "<u2"
 #: The end-of-document id of the default tokenizer.
 END_OF_DOCUMENT = 49407
+#: Byte at which Spark may end a row while it reads a flat file; the more common, the shorter the rows. It stays part of the data.
+ROW_END = 0x0A
 
-_FLAT = [T.StructField("file", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("ordinal", T.LongType())]
-_FOUND = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("ends", T.ArrayType(T.LongType()))])
+_IDS = [T.StructField("_file", T.IntegerType()), T.StructField("_ordinal", T.LongType()), T.StructField("_ids", T.BinaryType())]
+_FOUND = T.StructType(
+    [T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n_bytes", T.LongType())]
+    + [T.StructField("places", T.ArrayType(T.LongType())), T.StructField("head", T.BinaryType()), T.StructField("tail", T.BinaryType())]
+)
 
 
-def write_flat(docs: DataFrame, text: str, keeps: list[str], tokenizer: str | None = None, end_id: int = END_OF_DOCUMENT, block_ids: int = BLOCK_IDS, dtype: str = DTYPE) -> tuple[DataFrame, DataFrame]:
-    """(blocks: file, block, data; manifest: file, ordinal and the columns `keeps`), written to the shared folder.
+def write_flat(docs: DataFrame, text: str, keeps: list[str], tokenizer: str | None = None, end_id: int = END_OF_DOCUMENT, dtype: str = DTYPE) -> tuple[str, DataFrame]:
+    """(folder of flat files below the shared folder, manifest: the columns `keeps`, of_file, of_ordinal).
 
-    Each task writes one flat file of the texts it reads, in order. Strings of special tokens
-    inside texts are ordinary text, so a text never holds the separator. A null text is empty. The
-    manifest only tells whose count is whose; the scan does not read it.
+    One flat file holds the texts of one task, in order; of_file is the name of its folder. Strings
+    of special tokens inside texts are ordinary text, so a text never holds the separator; an id
+    that dtype cannot hold fails the job. A null text is empty, texts that repeat are written each
+    for itself, and an empty table gives no files and an empty manifest. Kept columns may have any
+    names but the two new ones, which replace them. The manifest only tells whose count is whose; the scan does not read it.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
-    schema = T.StructType([*_FLAT, *(docs.schema[c] for c in keeps)])
+    keeps = [c for c in keeps if c not in ("of_file", "of_ordinal")]
+    names = [f"_kept_{i}" for i in range(len(keeps))]
+    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keeps)), *_IDS])
+    if not 0 <= end_id <= np.iinfo(dtype).max:
+        raise ValueError("the separator does not fit into dtype")
 
     def run(batches):
-        encode, end, width = encoder(tokenizer, True), np.array([end_id], dtype).tobytes(), block_ids * np.dtype(dtype).itemsize
-        task, block, ordinal, held = TaskContext.get().partitionId(), 0, 0, bytearray()
-
-        def out(blocks: list[bytes], own: list[pa.Array], first: int) -> pa.RecordBatch:
-            n, m = len(blocks), len(own[0]) if own else 0
-            cols = [
-                pa.array(np.full(n + m, task, np.int32)),
-                pa.array([*range(block - n, block), *[None] * m], pa.int64()),
-                pa.array([*blocks, *[None] * m], pa.binary()),
-                pa.array([*[None] * n, *range(first, first + m)], pa.int64()),
-            ]
-            cols += [pa.concat_arrays([pa.nulls(n, c.type), c]) for c in own]
-            return pa.RecordBatch.from_arrays(cols, names=schema.names)
-
-        own = []
+        encode, most, ordinal, task = encoder(tokenizer, True), np.iinfo(dtype).max, 0, TaskContext.get().partitionId()
         for batch in batches:
-            blocks, first = [], ordinal
-            own = batch.columns[1:]
-            for body in batch.column(0):
-                held += np.frombuffer(encode(body.as_py()), "<u4").astype(dtype).tobytes() + end
-                while len(held) >= width:
-                    blocks.append(bytes(held[:width]))
-                    del held[:width]
-                    block += 1
-                ordinal += 1
-            yield out(blocks, own, first)
-        if held:
-            block += 1
-            yield out([bytes(held)], [c.slice(0, 0) for c in own], ordinal)
-
+            out = []
+            for body in batch.column(len(keeps)):
+                ids = np.frombuffer(encode(body.as_py()), "<u4")
+                if ids.size and ids.max() > most:
+                    raise ValueError("a token id does not fit into dtype")
+                if (ids == end_id).any():
+                    raise ValueError("a text holds the separator")
+                out.append(ids.astype(dtype).tobytes())
+            n = batch.num_rows
+            more = [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), pa.array(out, pa.binary())]
+            ordinal += n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
+
+    rows = docs.select(*(docs[f"`{c}`"].alias(n) for n, c in zip(names, keeps)), docs[f"`{text}`"].alias("_text")).mapInArrow(run, schema)
+    rows = materialise(rows, "ids")
     path = f"{shared_dir(spark)}/flat"
-    rows = docs.select(F.col(f"`{text}`").alias("_text"), *(docs[f"`{c}`"] for c in keeps)).mapInArrow(run, schema)
-    rows.write.option("compression", "zstd").parquet(path)
-    written = spark.read.schema(schema).parquet(path)
-    return written.filter("data IS NOT NULL").select("file", "block", "data"), written.filter("data IS NULL").select("file", "ordinal", *keeps)
+    end = np.array([end_id], dtype).tobytes().decode("latin-1")
+    # Spark's text writer puts out the bytes of a value as they are, and the line separator after each
+    files = rows.select("_file", "_ordinal", "_ids").repartition("_file").sortWithinPartitions("_file", "_ordinal").select(F.col("_ids").cast("string").alias("value"), "_file")
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "none").partitionBy("_file").text(path)
+    file = F.concat(F.lit("_file="), F.col("_file").cast("string"))
+    return path, rows.select(*(F.col(n).alias(c) for n, c in zip(names, keeps)), file.alias("of_file"), F.col("_ordinal").alias("of_ordinal"))
 
 
-def read_flat(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, dtype: str = DTYPE) -> DataFrame:
-    """(file, block, data) of flat files on any file system that Spark reads.
+def read_flat(spark: SparkSession, path: str, row_end: int = ROW_END) -> DataFrame:
+    """(file, size, block, data) of flat files on any file system that Spark reads, of any size, in byte ranges.
 
-    file is a number, in the order of paths. Each file is read by one task and must fit into it;
-    cut larger ones before.
+    file is the path, size its length in bytes, block the first byte of the range. The rows of a range are in order, and
+    end at bytes of value row_end, which they keep; the last row of a file has one such byte too many if the file
+    does not end in it. Nothing else is changed. Empty files have no rows.
     """
-    files = spark.read.format("binaryFile").load(path)
-    numbers = files.select(F.col("path").alias("of")).withColumn("file", F.row_number().over(Window.orderBy("of")) - 1)  # names only
-    files = files.join(numbers, F.col("path") == F.col("of"))
-    width = block_ids * np.dtype(dtype).itemsize
-    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(width).cast("long"))
-    return files.filter("length > 0").select("file", "content", F.posexplode(starts)).select("file", F.col("pos").cast("long").alias("block"), F.substring("content", F.col("col").cast("int") + 1, F.lit(width)).alias("data"))
+    lines = spark.read.option("lineSep", chr(row_end)).option("recursiveFileLookup", "true").text(path)
+    meta = F.col("_metadata")
+    return lines.select(meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_block_start"].alias("block"), F.concat(F.col("value").cast("binary"), F.lit(bytes([row_end]))).alias("data"))
 
 
 def count_tokens(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, dtype: str = DTYPE) -> DataFrame:
-    """(file, ordinal, start, n_tokens, closed): one row per document of each file, in order.
+    """(file, ordinal, start, n_tokens, closed): one row per document of each file, in order; blocks as read_flat() gives them.
 
     ordinal counts from 0, start is the place of the first id in the file, n_tokens leaves the
     separator out, and closed is false for ids after the last separator. Two separators in a row
     are an empty document; an empty file or table gives no rows; null data is an empty block.
-    Blocks of any and of unequal length will do, and other columns do not matter; a block that
-    is there twice counts twice.
+    Ranges of any and of unequal length will do, and other columns do not matter; files of the same bytes
+    count each for itself. Bytes at the end that are no whole id are left out.
     """
+    width, end = np.dtype(dtype).itemsize, np.array([end_id], dtype).tobytes()
 
     def run(batches):
+        part: dict[tuple, int] = {}
         for batch in batches:
-            ids = [np.frombuffer(x or b"", dtype) for x in batch.column(2).to_pylist()]
-            ends = [np.flatnonzero(x == end_id) for x in ids]
-            offsets = np.r_[0, np.cumsum([len(x) for x in ends])].astype(np.int32)
-            places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *ends])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in ids], pa.int64()), places], names=_FOUND.names)
-
-    typed = blocks.select(F.col("file").cast("int").alias("file"), F.col("block").cast("long").alias("block"), "data")
+            files, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            edges = [i for i in range(batch.num_rows) if i == 0 or starts[i] != starts[i - 1] or files[i] != files[i - 1]] + [batch.num_rows]
+            rows = []
+            for a, b in zip(edges, edges[1:]):
+                data = b"".join(batch.column(2).slice(a, b - a).to_pylist())
+                found = []
+                for shift in range(width):
+                    ids = np.frombuffer(data, dtype, max(0, len(data) - shift) // width, shift) if len(data) > shift else np.empty(0, dtype)
+                    found.append(np.flatnonzero(ids == end_id) * width + shift)
+                key = (files[a], starts[a])
+                part[key] = part.get(key, -1) + 1
+                rows.append((*key, part[key], len(data), np.sort(np.concatenate(found)), data[: width - 1], data[max(0, len(data) - width + 1) :]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=_FOUND.names)
+
+    typed = blocks.select("file", F.col("block").cast("long").alias("block"), F.coalesce("data", F.lit(b"")).alias("data"))
     found = typed.mapInArrow(run, _FOUND)
-    order = Window.partitionBy("file").orderBy("block")
+    sizes = blocks.groupBy(F.col("file").alias("of")).agg(F.max("size").alias("size"))
+    order = Window.partitionBy("file").orderBy("block", "part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("at", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    found = found.withColumn("at", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
+    # the last bytes before a block, and its first ones: a separator may lie across
+    tail, none = F.lit(b""), F.lit(b"")
+    for back in range(1, width):
+        tail = F.concat(F.coalesce(F.lag("tail", back).over(order), none), tail)
+    found = found.withColumn("left", F.substring(tail, F.greatest(F.octet_length(tail) - width + 2, F.lit(1)), F.lit(width - 1)))
+    across = F.concat("left", "head")
+    begins = [F.when(F.substring(across, k, width) == F.lit(end), F.col("at") - F.octet_length("left") + k - 1) for k in range(1, width)]
+    crossing = F.filter(F.array(*begins), lambda x: x.isNotNull() & (x < F.col("at")) & (x + width > F.col("at")))
+    places = F.concat(crossing, F.transform("places", lambda x: x + F.col("at")))
+    ends = F.transform(F.filter(places, lambda x: x % width == 0), lambda x: (x / width).cast("long"))
+    found = found.select("file", "block", "part", "at", "n_bytes", ends.alias("ends"))
     found = found.withColumn("done", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    found = found.withColumn("last_end", F.col("at") + F.element_at(F.col("ends"), F.when(F.size("ends") > 0, F.lit(-1))))
+    found = found.withColumn("last_end", F.element_at(F.col("ends"), F.when(F.size("ends") > 0, F.lit(-1))))
     found = found.withColumn("previous", F.coalesce(F.max("last_end").over(before), F.lit(-1).cast("long")))
     found = found.withColumn("is_last", F.lead("block").over(order).isNull())
-    ends = F.transform("ends", lambda x: x + F.col("at"))
-    tail = F.when(F.col("is_last") & (F.coalesce("last_end", "previous") < F.col("at") + F.col("n_ids") - 1), F.array(F.col("at") + F.col("n_ids"))).otherwise(F.array().cast("array<bigint>"))
-    spread = found.select("file", "done", "previous", F.size("ends").alias("n_ends"), F.concat(ends, tail).alias("stops"))
+    found = found.join(sizes, F.col("file") == F.col("of"))
+    n_ids = F.floor(F.col("size") / width)
+    tail = F.when(F.col("is_last") & (F.coalesce("last_end", "previous") < n_ids - 1), F.array(n_ids)).otherwise(F.array().cast("array<bigint>"))
+    spread = found.select("file", "done", "previous", F.size("ends").alias("n_ends"), F.concat("ends", tail).alias("stops"))
     each = spread.select("file", "done", "previous", "n_ends", "stops", F.posexplode("stops").alias("i", "stop"))
     start = F.when(F.col("i") == 0, F.col("previous")).otherwise(F.col("stops")[F.col("i") - 1]) + 1
     return each.select("file", (F.col("done") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("i") < F.col("n_ends")).alias("closed"))

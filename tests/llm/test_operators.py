@@ -452,31 +452,74 @@ def test_decontamination_equals_brute_force(spark, max_windows):
 # token counts
 
 
-@pytest.mark.parametrize("block_ids", [1, 7, 1 << 19])
-def test_token_counts_in_flat_files(spark, block_ids):
-    texts = TEXTS[1:8] + ["water stone garden"] * 9 + ["<|endoftext|>"]
-    blocks, manifest = tokencount.write_flat(documents(spark, texts, True).repartition(3), "text", ["doc_id"], block_ids=block_ids)
-    counts = tokencount.count_tokens(blocks)
-    got = {r.doc_id: r.n_tokens for r in manifest.join(counts, ["file", "ordinal"]).collect()}
+@pytest.mark.parametrize("split", ["100", "1g"])
+def test_token_counts_in_flat_files(spark, split):
+    texts = TEXTS[1:8] + ["water stone garden"] * 9 + ["<|endoftext|>", LONG]
+    docs = documents(spark, texts, True).repartition(3)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        path, manifest = tokencount.write_flat(docs, "text", [c for c in docs.columns if c != "text"])
+        counts = tokencount.count_tokens(tokencount.read_flat(spark, path))
+        counts = counts.select(F.element_at(F.split("file", "/"), -2).alias("of_file"), F.col("ordinal").alias("of_ordinal"), F.col("n_tokens").alias("counted"), "closed")
+        rows = manifest.join(counts, ["of_file", "of_ordinal"]).collect()
+        assert counts.filter("NOT closed").count() == 0 and counts.count() == len(texts)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     tok = Tokenizer.from_file(tokens.default_tokenizer())
     tok.encode_special_tokens = True
-    assert got == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
-    assert counts.filter("NOT closed").count() == 0 and counts.count() == len(texts)
+    assert {r.doc_id: r.counted for r in rows} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    assert {r.data for r in rows} == {"clash"}
+    path, manifest = tokencount.write_flat(docs.limit(0), "text", ["doc_id"])
+    assert manifest.count() == 0
+
+
+def test_flat_files_refuse_ids_that_do_not_fit(spark):
+    with pytest.raises(ValueError):
+        tokencount.write_flat(documents(spark, ["a"]), "text", ["doc_id"], end_id=70000)
+    with pytest.raises(Exception, match="does not fit"):
+        tokencount.write_flat(documents(spark, ["water garden"]), "text", ["doc_id"], end_id=9, dtype="u1")
+
+
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_separators_in_any_alignment_and_across_ranges(spark, dtype):
+    r, width, end = random.Random(3), np.dtype(dtype).itemsize, 0x0A0A
+    rows, want = [], []
+    for f in range(6):
+        ids = [r.choice([end, 0x0A00, 0x000A, 0x0A0B, 7]) for _ in range(r.randint(1, 60))]
+        data, at = np.array(ids, dtype).tobytes(), 0
+        ends = [i for i, x in enumerate(ids) if x == end]
+        for k, (a, b) in enumerate(zip([-1, *ends], [*ends, len(ids)])):
+            if b < len(ids) or a + 1 < len(ids):
+                want.append((str(f), k, a + 1, b - a - 1, b < len(ids)))
+        while at < len(data):
+            n = r.randint(1, 7)
+            rows.append((str(f), len(data), at, data[at : at + n]))
+            at += n
+    df = spark.createDataFrame(rows, "file string, size long, block long, data binary").repartition(3)
+    assert sorted(map(tuple, tokencount.count_tokens(df, end_id=end, dtype=dtype).collect())) == sorted(want)
 
 
 def test_token_counts_of_open_and_empty_files(spark):
-    data = [(0, 0, np.array([5, 5, 9], "<u2").tobytes()), (0, 1, None), (0, 2, np.array([9, 4], "<u2").tobytes()), (1, 0, b"")]
-    df = spark.createDataFrame(data, "file int, block long, data binary")
+    data = [("0", 10, 0, np.array([5, 5, 9], "<u2").tobytes()), ("0", 10, 1, None), ("0", 10, 2, np.array([9, 4], "<u2").tobytes()), ("1", 0, 0, b"")]
+    df = spark.createDataFrame(data, "file string, size long, block long, data binary")
     got = sorted(map(tuple, tokencount.count_tokens(df, end_id=9).collect()))
-    assert got == [(0, 0, 0, 2, True), (0, 1, 3, 0, True), (0, 2, 4, 1, False)]
+    assert got == [("0", 0, 0, 2, True), ("0", 1, 3, 0, True), ("0", 2, 4, 1, False)]
     assert tokencount.count_tokens(df.limit(0), end_id=9).count() == 0
 
 
-def test_flat_files_are_read_in_blocks(spark, tmp_path):
-    ids = np.array([1, 2, 9, 3, 9, 9, 4, 9], "<u2")
+def test_flat_files_are_read_in_byte_ranges(spark, tmp_path):
+    r = np.random.default_rng(0)
+    ids = r.choice([1, 2, 9, 10, 2560, 2570], 3000).astype("<u2")
     (tmp_path / "f.bin").write_bytes(ids.tobytes())
-    got = tokencount.count_tokens(tokencount.read_flat(spark, f"file://{tmp_path}", block_ids=3), end_id=9).orderBy("ordinal").collect()
-    assert [r.n_tokens for r in got] == [2, 1, 0, 1]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "501")
+    try:
+        blocks = tokencount.read_flat(spark, f"file://{tmp_path}")
+        got = [r.n_tokens for r in tokencount.count_tokens(blocks, end_id=9).orderBy("ordinal").collect()]
+        assert blocks.select("block").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    ends = np.flatnonzero(ids == 9)
+    assert got == [*(np.diff(np.r_[-1, ends]) - 1).tolist(), *([2999 - ends[-1]] if ends[-1] < 2999 else [])]
 
 
 # extraction
