@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from concord.llm.blocklabeller import Labeller, train
 from concord.llm.common import map_batches
-from concord.llm.htmlblocks import blocks_of, features
+from concord.llm.htmlblocks import blocks_of, features, features_of
 from concord.llm.pagemaker import Maker
 
 #: Made-up pages that the labeller is trained on.
@@ -54,7 +54,7 @@ def extract(pages: DataFrame, html: str = "html", keeps: list[str] | None = None
             bodies, texts, sizes, kept = cols[html], [], [], []
             for at in range(0, len(bodies), GROUP):
                 group = [blocks_of(x.as_py()) for x in bodies[at : at + GROUP]]
-                for blocks, main in zip(group, model.label([features(b) for b in group])):
+                for blocks, main in zip(group, model.label(features_of(group))):
                     texts.append(" ".join(b.text for b, m in zip(blocks, main) if m))
                     sizes.append(len(blocks))
                     kept.append(int(main.sum()))

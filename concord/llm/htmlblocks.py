@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
+from itertools import chain
 
 import numpy as np
 
@@ -33,11 +35,22 @@ PATH, LEAF, WORDS, NUMBERS = 256, 32, 32, 9
 WIDTH = PATH + LEAF + WORDS + NUMBERS
 
 
+class Path:
+    """An open element inside its parent; places are the bits of the hashed tags and names of all that are open."""
+
+    __slots__ = ("tag", "places", "depth")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Path | None):
+        self.tag = tag
+        self.places = _name_places(tag, names) | (parent.places if parent else 0)
+        self.depth = parent.depth + 1 if parent else 1
+
+
 @dataclass
 class Block:
-    """A run of text between block boundaries: the open elements with their names, its text, characters in links."""
+    """A run of text between block boundaries: the innermost open element, its text, characters in links."""
 
-    path: tuple[tuple[str, ...], ...]
+    path: Path | None
     text: str
     linked: int
 
@@ -45,14 +58,16 @@ class Block:
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order, with character references decoded and white space made single spaces.
 
-    Markup, comments, and what scripts, styles and other unseen elements hold are left out. Ends of
-    elements may be missing, and a page may break off anywhere.
+    Markup, comments, and what scripts, styles and the other elements of UNSEEN hold are left out: of an svg nothing is
+    read, of noscript neither, as it stands in for a script; text in math and object is read. Ends of
+    elements may be missing, elements may be nested to any depth, and a page may break off anywhere.
     """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Path] = []
+    is_open: Counter[str] = Counter()
     held: list[str] = []
-    path: tuple[tuple[str, ...], ...] = ()
+    path: Path | None = None
     linked = at = 0
 
     def flush() -> None:
@@ -64,11 +79,15 @@ def blocks_of(page: str | None) -> list[Block]:
             held, linked = [], 0
 
     def close(names: tuple[str, ...], scope: frozenset[str]) -> None:
+        if not any(map(is_open.get, names)):
+            return
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
+            if stack[i].tag in names:
+                for x in stack[i:]:
+                    is_open[x.tag] -= 1
                 del stack[i:]
                 return
-            if stack[i][0] in scope:
+            if stack[i].tag in scope:
                 return
 
     while at < len(page):
@@ -77,10 +96,10 @@ def blocks_of(page: str | None) -> list[Block]:
         if stop > at:
             piece = page[at:stop]
             if not held and not piece.isspace():
-                path = tuple(names for _, names in stack)
+                path = stack[-1] if stack else None
             if held or not piece.isspace():
                 held.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if is_open["a"]:
                 linked += len(piece)
         if not mark:
             break
@@ -104,36 +123,72 @@ def blocks_of(page: str | None) -> list[Block]:
             close(ENDS[tag], SCOPE - {"div"} if tag == "li" else SCOPE)
         if tag not in VOID:
             named = " ".join(x for m in _NAMED.findall(mark[3]) for x in m).lower() if "=" in mark[3] else ""
-            stack.append((tag, (tag, *_WORD.findall(named))))
+            stack.append(Path(tag, tuple(_WORD.findall(named)), stack[-1] if stack else None))
+            is_open[tag] += 1
     flush()
     return out
 
 
-@lru_cache(maxsize=100_000)
 def _bucket(kind: str, name: str, size: int) -> int:
     return zlib.crc32(f"{kind}:{name}".encode("utf-8", "surrogatepass")) % size
 
 
 @lru_cache(maxsize=20_000)
-def _path_places(path: tuple[tuple[str, ...], ...]) -> tuple[tuple[int, ...], int]:
-    names = {_bucket("tag", e[0], PATH) for e in path} | {_bucket("name", n, PATH) for e in path for n in e[1:]}
-    return tuple(names), _bucket("leaf", path[-1][0] if path else "", LEAF)
+def _name_places(tag: str, names: tuple[str, ...]) -> int:
+    places = 1 << _bucket("tag", tag, PATH)
+    for n in names:
+        places |= 1 << _bucket("name", n, PATH)
+    return places
+
+
+@lru_cache(maxsize=1000)
+def _leaf(tag: str) -> int:
+    return PATH + _bucket("leaf", tag, LEAF)
+
+
+class _Words(dict):
+    """Bucket of each word; remembers the first 100,000."""
+
+    def __missing__(self, word: str) -> int:
+        at = _bucket("word", word, WORDS)
+        if len(self) < 100_000:
+            self[word] = at
+        return at
+
+
+_words = _Words()
 
 
 def features(blocks: list[Block]) -> np.ndarray:
     """One row of WIDTH numbers per block: its tag path, its hashed words, and its shape and place."""
+    return features_of([blocks])[0]
+
+
+def features_of(pages: list[list[Block]]) -> list[np.ndarray]:
+    """features() of every page."""
+    blocks = [b for page in pages for b in page]
     n = len(blocks)
     x = np.zeros((n, WIDTH), np.float32)
-    for i, b in enumerate(blocks):
-        names, leaf = _path_places(b.path)
-        x[i, list(names)] = 1
-        x[i, PATH + leaf] = 1
-        words = b.text.lower().split()
-        hashed = np.bincount([_bucket("word", w, WORDS) for w in words], minlength=WORDS)
-        x[i, PATH + LEAF : PATH + LEAF + WORDS] = hashed / len(words)
-        size = len(b.text)
-        x[i, -NUMBERS:] = (
-            np.log1p(size) / 5, np.log1p(len(words)) / 4, b.linked / size, sum(map(b.text.count, ".,;:!?")) / len(words), b.text[-1] in ".!?:;\"”",
-            i / n, len(b.path) / 10, "©" in b.text, np.log1p(n) / 5,
-        )
-    return x
+    if not n:
+        return [x[:0] for _ in pages]
+    sizes = [len(page) for page in pages]
+    of_page = np.repeat(np.array(sizes), sizes)
+    place = np.concatenate([np.arange(k) for k in sizes])
+    bits = b"".join([(b.path.places if b.path else 0).to_bytes(PATH // 8, "little") for b in blocks])
+    x[:, :PATH] = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").reshape(n, PATH)
+    x[np.arange(n), [_leaf(b.path.tag if b.path else "") for b in blocks]] = 1
+    texts = [b.text for b in blocks]
+    words = [t.lower().split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, n)
+    at = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+    hashed = np.bincount(np.repeat(np.arange(n) * WORDS, counts) + at, minlength=n * WORDS).reshape(n, WORDS)
+    x[:, PATH + LEAF : PATH + LEAF + WORDS] = hashed / counts[:, None]
+    size = np.fromiter(map(len, texts), np.int64, n)
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    stops = np.fromiter((len(t) - len(t.translate(None, b".,;:!?")) for t in raw), np.int64, n)
+    more = (
+        np.log1p(size) / 5, np.log1p(counts) / 4, np.fromiter((b.linked for b in blocks), np.int64, n) / size, stops / counts, [t[-1] in ".!?:;\"”" for t in texts],
+        place / of_page, np.fromiter((b.path.depth if b.path else 0 for b in blocks), np.int64, n) / 10, ["©" in t for t in texts], np.log1p(of_page) / 5,
+    )
+    x[:, -NUMBERS:] = np.stack([np.asarray(c, float) for c in more], 1)
+    return np.split(x, np.cumsum(sizes)[:-1])

@@ -546,6 +546,13 @@ def test_quotes_in_tags(tag):
     assert [b.text for b in htmlblocks.blocks_of(page)] == ["First part.", "Second.", "Third isn't."]
 
 
+def test_deep_and_unclosed_elements_take_time_in_proportion():
+    blocks = htmlblocks.blocks_of("<div class=a>x" * 50_000 + "</p></b></i>" * 50_000)
+    assert len(blocks) == 50_000 and blocks[-1].path.depth == 50_000
+    assert htmlblocks.features(blocks[-10:]).shape == (10, htmlblocks.WIDTH)
+    assert [b.text for b in htmlblocks.blocks_of("<p>a<svg><text>no</text></svg> b<noscript>no</noscript></p>")] == ["a", "b"]
+
+
 def test_text_of_math_and_objects():
     page = '<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><object data="a.pdf"><param name="a"><p>The whole report as text.</p></object><p>End.</p></article>'
     assert [b.text for b in htmlblocks.blocks_of(page)] == ["Let x=2 hold.", "The whole report as text.", "End."]
