@@ -8,6 +8,7 @@ block selects further, and a direct comparison confirms.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,17 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import map_batches, materialise
+from concord.llm.common import held, map_batches, materialise
 
 WINDOW = 10
-#: Windows in one broadcast table; a larger benchmark is searched for in several passes.
-MAX_WINDOWS = 200_000
+#: Bytes of windows in one broadcast table; a larger benchmark is searched for in several passes.
+MAX_BYTES = 16 << 20
+#: What a window takes besides its words.
+WINDOW_BYTES = 64
 
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 _TABLE = bytes(b if b in _KEPT else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 _SPAN = T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
-_STATE = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
+_STATE = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("_hits", T.ArrayType(T.LongType()))]
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
@@ -37,10 +40,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Searcher:
-    """Finds windows of one length in a list of words."""
+    """Finds windows of one length in a list of words; windows have numbers."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[str]]):
-        self.items = windows
+    def __init__(self, windows: dict[tuple[bytes, ...], int]):
+        self.numbers = windows
         self.m = len(next(iter(windows)))
         self.block = min(2, self.m)
         self.jump = self.m - self.block + 1
@@ -80,14 +83,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def search(words: list[bytes], searchers: list[Searcher]) -> tuple[list[tuple[int, int]], set[str]]:
-    """Merged word ranges inside occurrences, and the items that they belong to."""
-    spans, items = [], set()
+def search(words: list[bytes], searchers: list[Searcher]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Merged word ranges inside occurrences, and the numbers of the windows that occur."""
+    spans, numbers = [], set()
     for s in searchers:
         for start, window in s.find(words):
             spans.append((start, start + s.m - 1))
-            items.update(s.items[window])
-    return merged(spans), items
+            numbers.add(s.numbers[window])
+    return merged(spans), numbers
 
 
 def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -108,39 +111,41 @@ def benchmark_windows(benchmark: DataFrame, item_id: str, text: str, window: int
     return named.mapInArrow(run, schema).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _searchers(rows: list[tuple[str, list[str]]]) -> list[Searcher]:
+def _searchers(rows: list[tuple[str, int]]) -> list[Searcher]:
     by_length: dict[int, dict] = defaultdict(dict)
-    for window, items in rows:
+    for window, number in rows:
         words = tuple(window.encode("utf-8", "surrogatepass").split(b" "))
-        by_length[len(words)][words] = items
+        by_length[len(words)][words] = number
     return [Searcher(w) for w in by_length.values()]
 
 
 def _pass(docs: DataFrame, text: str, keeps: list[str], table: Broadcast, again: bool) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def make():
-        searchers = _searchers(table.value)
+        searchers = held(("windows", key), lambda: _searchers(table.value))
 
         def run(cols):
-            counts, spans, items = [], [], []
-            before = zip(cols["spans"].to_pylist(), cols["items"].to_pylist()) if again else None
+            counts, spans, hits = [], [], []
+            before = zip(cols["spans"].to_pylist(), cols["_hits"].to_pylist()) if again else None
             for body in cols[text]:
                 words = words_of(body.as_py())
-                found, names = search(words, searchers)
+                found, numbers = search(words, searchers)
                 if again:
                     old, known = next(before)
-                    found, names = merged([*((x["first"], x["last"]) for x in old), *found]), names | set(known)
+                    found, numbers = merged([*((x["first"], x["last"]) for x in old), *found]), numbers | set(known)
                 counts.append(len(words))
                 spans.append([{"first": a, "last": b} for a, b in found])
-                items.append(sorted(names))
-            return {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, pa.list_(pa.string()))}
+                hits.append(sorted(numbers))
+            return {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, _SPANS), "_hits": pa.array(hits, pa.list_(pa.int64()))}
 
         return run
 
-    return map_batches(docs, make, [text, *(("spans", "items") if again else ())], keeps, _STATE)
+    return map_batches(docs, make, [text, *(("spans", "_hits") if again else ())], keeps, _STATE)
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, text: str = "text", keeps: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_windows: int = MAX_WINDOWS
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", keeps: list[str] | None = None, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_bytes: int = MAX_BYTES, items: bool = True
 ) -> DataFrame:
     """The columns `keeps` of docs with n_words, spans, items, n_hit and contaminated.
 
@@ -148,22 +153,34 @@ def find_contamination(
     window, items the sorted ids, as strings, of the items with occurring windows. A null or
     wordless text has no words and no hit; items without words match nothing; a null item id
     reads as the empty string; items or documents that repeat count as they stand, items of
-    equal id once. An empty benchmark hits nothing. Columns of docs with the name of a new one
-    are replaced. The window table that is broadcast holds at most about max_windows windows;
-    a larger benchmark is taken in parts, each searched for in a pass of its own.
+    equal id once. An empty benchmark hits nothing, an empty table gives no rows. Columns of docs with the name of a new one
+    are replaced. The window table that is broadcast holds words and numbers of windows, at most about max_bytes;
+    a larger benchmark is taken in parts, each searched for in a pass of its own. Which items a window belongs to is joined
+    to the documents that hold one, from a table of the kept columns; without `items` that is left out.
     """
     spark = docs.sparkSession
     keeps = keeps if keeps is not None else docs.columns
-    windows = materialise(benchmark_windows(benchmark, item_id, item_text, window), "windows")
-    parts = max(1, -(-windows.count() // max_windows))
+    windows = materialise(benchmark_windows(benchmark, item_id, item_text, window).withColumn("number", F.monotonically_increasing_id()), "windows")
+    size = windows.agg(F.sum(F.octet_length("window") + WINDOW_BYTES)).first()[0] or 0
+    parts = max(1, -(-size // max_bytes))
     found = docs
     for k in range(parts):
-        part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k)
-        table = spark.sparkContext.broadcast([(r.window, r.items) for r in part.collect()])
+        part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).select("window", "number")
+        table = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         kept = keeps if k == parts - 1 else list(dict.fromkeys([*keeps, text]))
         found = _pass(found, text, kept, table, again=k > 0)
         if k < parts - 1:
             found = materialise(found, f"part-{k}")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    names = [c for c in found.columns if c not in ("n_hit", "contaminated")]
-    return found.select(*names, hit.alias("n_hit"), (F.size("spans") > 0).alias("contaminated"))
+    new = ("n_hit", "contaminated", "_hits", *(["items"] if items else []))
+    names = [f"`{c}`" for c in found.columns if c not in new]
+    measured = found.select(*names, "_hits", hit.alias("n_hit"), (F.size("spans") > 0).alias("contaminated"))
+    if not items:
+        return measured.drop("_hits")
+    rows = materialise(measured.withColumn("_row_found", F.monotonically_increasing_id()), "found")
+    each = rows.filter("contaminated").select(F.col("_row_found").alias("_of_row"), F.explode("_hits").alias("_number"))
+    each = each.join(windows.select(F.col("number").alias("_number"), F.col("items").alias("_items")), "_number")
+    named = each.groupBy("_of_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items"))
+    out = rows.filter("contaminated").join(named, F.col("_row_found") == F.col("_of_row"), "left").drop("_row_found", "_of_row", "_hits")
+    clean = rows.filter("NOT contaminated").withColumn("items", F.array().cast("array<string>")).drop("_row_found", "_hits")
+    return out.unionByName(clean)

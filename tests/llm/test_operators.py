@@ -433,17 +433,19 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("max_windows", [100_000, 7])
-def test_decontamination_equals_brute_force(spark, max_windows):
+@pytest.mark.parametrize("max_bytes", [1 << 20, 800])
+def test_decontamination_equals_brute_force(spark, max_bytes):
     r = random.Random(8)
     items = [(i, " ".join(r.choices("a b c d".split(), k=n))) for i, n in enumerate([12, 11, 10, 30, 3, 2, 9])] + [(7, "Étude"), (8, None), (9, " .,"), (None, "q r s t")]
     items += [(10, items[0][1]), (10, items[0][1])]
     texts = [" ".join(r.choices("a b c d x".split(), k=r.randint(0, 60))) for _ in range(40)] + [f"X, {items[3][1]}. Y étude", None, "", LONG, "É" * 2000, "q R s-t"]
     docs = documents(spark, texts, True)
-    found = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), keeps=["doc_id", "text"], max_windows=max_windows)
+    found = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), keeps=["doc_id", "text"], max_bytes=max_bytes)
     for x in found.collect():
         n, hits, names = brute_hits(x.text, items)
         assert (x.n_words, x.n_hit, x["items"], x.contaminated) == (n, hits, names, hits > 0)
+    plain = decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), max_bytes=max_bytes, items=False)
+    assert plain.count() == len(texts) and {r["items"] for r in plain.collect()} == {"clash"}
     none = decontaminate.find_contamination(docs, spark.createDataFrame([], "item_id long, text string"), keeps=["doc_id"])
     assert none.filter("contaminated").count() == 0 and none.count() == len(texts)
     assert decontaminate.find_contamination(docs.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
