@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from concord.operators.inference import spearman
+from concord.operators.inference import permuted, spearman
+from concord.operators.order import positions
 from concord.operators.sampling import capped
-from concord.operators.vectors import dot
+from concord.operators.vectors import finite_rows, grams, knn_edges, neighbour_lists
+from concord.sources.shared import cut
 
 
 def encoder_pairs(lists: DataFrame) -> DataFrame:
@@ -89,8 +95,10 @@ def _centred(g: np.ndarray) -> np.ndarray:
 
 
 def linear_cka(grams: dict, a: str, b: str) -> float:
+    """Linear kernel alignment; 0 where one side does not vary."""
     x, y, xy = _centred(grams[a, a]), _centred(grams[b, b]), _centred(grams[a, b])
-    return float((xy**2).sum() / (np.linalg.norm(x) * np.linalg.norm(y)))
+    scale = np.linalg.norm(x) * np.linalg.norm(y)
+    return float((xy**2).sum() / scale) if scale > 0 else 0.0
 
 
 def procrustes(grams: dict, a: str, b: str) -> float:
@@ -164,14 +172,31 @@ def generalised_procrustes(grams: dict, encoders: list[str], iterations: int = 2
     return {e: float(x) for e, x in residual.items()}, history, False
 
 
-def similarity_pairs(vectors: DataFrame, encoder_a: str, encoder_b: str) -> DataFrame:
-    """(i, j, s_a, s_b): inner products of every two cases of a bounded sample, in two encoders."""
-    both = {}
-    for name, e in (("a", encoder_a), ("b", encoder_b)):
-        both[name] = vectors.filter(F.col("encoder") == e).select("case_id", F.col("embedding").alias(f"v{name}"))
-    rows = both["a"].join(both["b"], "case_id")
-    other = rows.select(F.col("case_id").alias("j"), F.col("va").alias("wa"), F.col("vb").alias("wb"))
-    return rows.join(other, F.col("case_id") < F.col("j")).select(F.col("case_id").alias("i"), "j", dot(F.col("va"), F.col("wa")).alias("s_a"), dot(F.col("vb"), F.col("wb")).alias("s_b"))
+def similarity_pairs(vectors: DataFrame, encoder_a: str, encoder_b: str, largest: int = 5000) -> DataFrame:
+    """(i, j, s_a, s_b): inner products of every two cases of a sample, in two encoders; more than `largest` cases are refused.
+
+    The sample goes to every task, which multiplies its own cases by it.
+    """
+    of = lambda e: F.first(F.when(F.col("encoder") == e, F.col("embedding")), ignorenulls=True)
+    rows = cut(vectors.groupBy("case_id").agg(of(encoder_a).alias("va"), of(encoder_b).alias("vb")).dropna())
+    if (n := rows.count()) > largest:
+        raise ValueError(f"{n} cases make too many pairs: draw a sample of at most {largest}")
+    sample = rows.orderBy("case_id").toArrow()
+    dense = lambda c: (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1)
+    every = (sample.column(0).to_numpy(), dense(sample.column(1)), dense(sample.column(2))) if n else None
+    shared = vectors.sparkSession.sparkContext.broadcast(every)
+    schema = T.StructType([T.StructField("i", rows.schema["case_id"].dataType), T.StructField("j", rows.schema["case_id"].dataType), T.StructField("s_a", T.DoubleType()), T.StructField("s_b", T.DoubleType())])
+
+    def run(batches):
+        ids, x, y = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                own = part.column(0).to_numpy()
+                r, c = np.nonzero(own[:, None] < ids[None])
+                yield pa.RecordBatch.from_arrays([pa.array(own[r]), pa.array(ids[c]), pa.array((dense(part.column(1)) @ x.T)[r, c]), pa.array((dense(part.column(2)) @ y.T)[r, c])], names=schema.names)
+
+    return rows.repartition(max(1, n // 250)).mapInArrow(run, schema)
 
 
 def rsa(sample: DataFrame, encoder_a: str, encoder_b: str) -> DataFrame:
@@ -180,7 +205,10 @@ def rsa(sample: DataFrame, encoder_a: str, encoder_b: str) -> DataFrame:
 
 
 def rbf_cka(sample: DataFrame, encoder_a: str, encoder_b: str, largest: int = 2000) -> float:
-    """Gaussian-kernel CKA on at most `largest` cases, the first by hash, with the first encoder's median distance as width for both."""
+    """Gaussian-kernel CKA on at most `largest` cases, the first by hash, with the first encoder's median distance as width for both.
+
+    `largest` bounds what comes to the driver. Where one side does not vary, the value is 0.
+    """
     wide = sample.filter(F.col("encoder").isin(encoder_a, encoder_b)).groupBy("case_id").pivot("encoder", [encoder_a, encoder_b]).agg(F.first("embedding"))
     rows = capped(wide.dropna(), largest, 0, "case_id").collect()
     x, y = (np.array([r[e] for r in rows], np.float64) for e in (encoder_a, encoder_b))
@@ -190,13 +218,89 @@ def rbf_cka(sample: DataFrame, encoder_a: str, encoder_b: str, largest: int = 20
         return np.maximum(s[:, None] + s[None] - 2 * m @ m.T, 0)
 
     dx, dy = squared(x), squared(y)
+    for m in (dx, dy):
+        np.fill_diagonal(m, 0.0)
+    if not (dx > 0).any() or not (dy > 0).any():
+        return 0.0
     width = np.median(dx[dx > 0])
     k, l = np.exp(-dx / (2 * width)), np.exp(-dy / (2 * width))  # noqa: E741
     for m in (k, l):
         np.fill_diagonal(m, 0.0)
     centre = lambda m: m - m.mean(0) - m.mean(1)[:, None] + m.mean()
     hsic = lambda a, b: float((centre(a) * centre(b)).sum())
-    return hsic(k, l) / np.sqrt(hsic(k, k) * hsic(l, l))
+    scale = hsic(k, k) * hsic(l, l)
+    return hsic(k, l) / float(np.sqrt(scale)) if scale > 0 else 0.0
+
+
+def metric_suite(vectors: DataFrame, encoder_a: str, encoder_b: str, ks: Sequence[int] = (5, 10, 20, 50), primary: int = 10, largest: int = 2000) -> dict[str, float | None]:
+    """Every agreement metric of two encoders on the cases that both have finite vectors of.
+
+    One neighbour graph for each encoder serves all k; linear alignment and the rotation read the
+    vectors once, and RBF alignment and RSA take at most `largest` cases, the first by hash.
+    """
+    both = cut(finite_rows(vectors.filter(F.col("encoder").isin(encoder_a, encoder_b))).select("encoder", "case_id", "embedding"))
+    shared = both.groupBy("case_id").agg(F.countDistinct("encoder").alias("n")).filter("n = 2").select("case_id")
+    both = cut(both.join(shared, "case_id", "left_semi"))
+    n = shared.count()
+    edges = cut(knn_edges(both, max(*ks, primary)))
+    lists, sums, out = neighbour_lists(edges), grams(both), {}
+    sample = cut(both.join(capped(shared, largest, 0, "case_id"), "case_id", "left_semi"))
+    for k in dict.fromkeys([*ks, primary]):
+        r = mutual_knn(lists, k).first()
+        out[f"mknn_k{k}"] = r.mknn if r else None
+        out[f"cknna_k{k}"] = cknna(edges, *sorted((encoder_a, encoder_b)), n, k)
+        out[f"cknna_binary_graph_k{k}"] = cknna_binary(edges.filter(F.col("rank") <= k), encoder_a, encoder_b, n, k) if n else None
+    out["cka_linear"] = linear_cka(sums, encoder_a, encoder_b) if n else None
+    out["cka_rbf"] = rbf_cka(sample, encoder_a, encoder_b, largest) if n else None
+    out["procrustes"] = procrustes(sums, encoder_a, encoder_b) if n else None
+    out["rsa_spearman"] = rsa(sample, encoder_a, encoder_b).first().spearman if n > 2 else None
+    return out | {"headline_mknn": out[f"mknn_k{primary}"], "headline_cknna": out[f"cknna_k{primary}"]}
+
+
+def safe_mutual_knn(vectors: DataFrame, encoder_a: str, encoder_b: str, k: int = 10, least: int = 20, largest: int = 2000, seed: int = 42) -> DataFrame:
+    """(mknn, n) of the cases with finite vectors in both encoders, at most `largest` of them by hash; mknn is NULL below `least`."""
+    good = finite_rows(vectors.filter(F.col("encoder").isin(encoder_a, encoder_b))).select("encoder", "case_id", "embedding")
+    shared = good.groupBy("case_id").agg(F.countDistinct("encoder").alias("_n")).filter("_n = 2").select("case_id")
+    chosen = cut(good.join(capped(shared, largest, seed, "case_id"), "case_id", "left_semi"))
+    rows = row_overlap(neighbour_lists(knn_edges(chosen, k)), k)
+    return rows.agg(F.when(F.count("*") >= least, F.avg("overlap")).alias("mknn"), F.count("*").alias("n"))
+
+
+def block_reference(rows: DataFrame, id_col: str, outcome: str, blocks: dict[str, Sequence[str]], replicates: int, seed: int = 0) -> DataFrame:
+    """(block, r2_alone, r2_unique, r2_full, reference_mean, reference_ci_low, reference_ci_high, excess, p_value) of each block of columns.
+
+    r2_unique is what the full model loses without the block. Its reference are replicates in which
+    the rows of the block are in a random order, those of all other columns as they are. Each
+    replicate needs the products of a few columns alone, so all are sums in one pass over rows times replicates.
+    """
+    columns = [c for cols in blocks.values() for c in cols]
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    base = cut(positions(rows.filter(F.col(outcome).isNotNull()).select(id_col, F.col(outcome).cast("double").alias("_y"), *(value(c).alias(c) for c in columns)), [id_col], "i"))
+    names = ["_y", *columns]
+
+    def products(df: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
+        every = [*(F.col(c) for c in names), F.lit(1.0)]
+        pairs = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
+        out = {}
+        for r in df.groupBy(*by).agg(*(F.sum(every[i] * every[j]).alias(f"p{n}") for n, (i, j) in enumerate(pairs))).collect():  # a row a replicate
+            g = np.zeros((len(every), len(every)))
+            for n, (i, j) in enumerate(pairs):
+                g[i, j] = g[j, i] = r[f"p{n}"]
+            out[tuple(r[c] for c in by)] = g
+        return out
+
+    gram, out = products(base, []).get(()), []
+    at = {name: [1 + columns.index(c) for c in cols] for name, cols in blocks.items()}
+    shares = block_r_squared(gram, 0, at)
+    for name, cols in blocks.items():
+        moved = permuted(base.select("i", F.struct(*cols).alias("_block")), "_block", ["i"], replicates, seed)
+        mixed = base.drop(*cols).join(moved, "i").select("b", "_y", *(c for c in columns if c not in cols), *(F.col(f"_block.`{c}`").alias(c) for c in cols))
+        draws = np.array([block_r_squared(g, 0, at)[name]["unique"] for g in products(mixed, ["b"]).values()], float)
+        own = shares[name]["unique"]
+        low, high = np.percentile(draws, [2.5, 97.5])
+        out.append((name, shares[name]["alone"], own, shares["full"]["alone"], float(draws.mean()), float(low), float(high), own - float(draws.mean()), float((int((draws >= own).sum()) + 1) / (len(draws) + 1))))
+    schema = "block string, r2_alone double, r2_unique double, r2_full double, reference_mean double, reference_ci_low double, reference_ci_high double, excess double, p_value double"
+    return rows.sparkSession.createDataFrame(out, schema)
 
 
 def top_singular_share(gram: np.ndarray) -> float:

@@ -12,41 +12,17 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators.order import carried, grouped_names, positions, ranked, same_group, spread
 from concord.operators.sampling import hash_key, hash_number
 from concord.sources.shared import cut
 
 REPLICATES = 1000
 
 
-def average_rank(value: str | Column, by: Sequence[str | Column] = ()) -> Column:
-    """Rank within each group, equal values sharing the mean of theirs."""
-    c = F.col(value) if isinstance(value, str) else value
-    return F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2.0
-
-
-def ranked(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the average rank of a value in the whole table, without a window over all rows.
-
-    Counts of the distinct values are range-partitioned; each partition sums its own, and the
-    sums of the partitions before, one number each, are added.
-    """
-    counts = df.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(value).withColumn("_part", F.spark_partition_id())
-    counts = cut(counts)
-    totals = counts.groupBy("_part").agg(F.sum("_n").alias("_total"))
-    before = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
-    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("_inside", inside).join(before, "_part")
-    rank = F.col("_before") + F.col("_inside") + (F.col("_n") + 1) / 2.0
-    return df.join(placed.select(F.col(value).alias("_value"), rank.alias(out)), F.col(value).eqNullSafe(F.col("_value")), "left").drop("_value")
-
-
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Correlation of average ranks over the rows that have both values."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if by:
-        both = both.withColumn("_rx", average_rank(x, by)).withColumn("_ry", average_rank(y, by))
-    else:
-        both = ranked(ranked(both, x, "_rx"), y, "_ry")
+    both = cut(df.select(*dict.fromkeys([*by, x, y])).filter(F.col(x).isNotNull() & F.col(y).isNotNull()))
+    both = ranked(ranked(both, x, "_rx", by), y, "_ry", by)
     return both.groupBy(*by).agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
 
 
@@ -67,22 +43,13 @@ def slope(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r_squared"), F.count("*").alias("n"))
 
 
-def positions(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """df with the place of each row, from 0, in an order of the whole table, without a window over all rows."""
-    placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_total"))
-    before = totals.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a partition
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_inside", inside).join(before, F.col("_part") == F.col("_of")).withColumn(out, F.col("_before") + F.col("_inside")).drop("_part", "_of", "_inside", "_before")
-
-
 def replicated(df: DataFrame, replicates: int) -> DataFrame:
     return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
 
 
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """A result table with place i of each row, from 0, and their number n. For tables of results, not of cases."""
-    return df.withColumn("i", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    """df with place i of each row, from 0, and their number n."""
+    return positions(df, order, "i").crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))  # one row
 
 
 def resampled(df: DataFrame, order: Sequence[str], replicates: int, seed: int) -> DataFrame:
@@ -142,8 +109,8 @@ def bootstrap_slope(df: DataFrame, x: str, y: str, order: Sequence[str], replica
 
 def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve from average ranks; NULL with a single class."""
-    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
-    rows = rows.withColumn("_r", average_rank(score, by)) if by else ranked(rows, score, "_r")
+    rows = cut(df.select(*dict.fromkeys([*by, label, score])).filter(F.col(label).isin(0, 1) & F.col(score).isNotNull()))
+    rows = ranked(rows, score, "_r", by)
     pos = F.sum((F.col(label) == 1).cast("double"))
     neg = F.sum((F.col(label) == 0).cast("double"))
     total = F.sum(F.when(F.col(label) == 1, F.col("_r")).otherwise(0.0))
@@ -157,7 +124,7 @@ def bootstrap_auroc(df: DataFrame, label: str, score: str, order: Sequence[str],
 
 
 def subsampled(df: DataFrame, id_col: str, m: int, replicates: int, seed: int) -> DataFrame:
-    """m rows without replacement for every replicate b."""
+    """m rows without replacement for every replicate b. Up to m of a thousand or so, a task passes on its own m best of a replicate."""
     place = F.row_number().over(Window.partitionBy("b").orderBy(hash_key(seed, F.col("b"), F.col(id_col)), id_col))
     return replicated(df, replicates).withColumn("_place", place).filter(F.col("_place") <= m).drop("_place")
 
@@ -199,10 +166,10 @@ def normal_p(point: float | None, error: float | None) -> float | None:
 
 
 def permuted(df: DataFrame, value: str, order: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Rows (b, i, value): the values of a result table in a random order for every replicate."""
-    rows = numbered(df, order)
-    place = F.row_number().over(Window.partitionBy("b").orderBy(hash_key(seed, F.col("b"), F.col("i")), "i")) - 1
-    return replicated(rows.select("i", value), replicates).select("b", place.alias("i"), value)
+    """Rows (b, i, value): the values of a table in a random order for every replicate."""
+    rows = replicated(positions(df.select(*dict.fromkeys([*order, value])), order, "i").select("i", value), replicates)
+    rows = rows.withColumn("_key", hash_key(seed, F.col("b"), F.col("i")))
+    return positions(rows, ["_key", "i"], "_place", ["b"]).select("b", F.col("_place").alias("i"), value)
 
 
 def permutation_two(df: DataFrame, value: str, group: str, first: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
@@ -239,12 +206,24 @@ def permutation_groups(df: DataFrame, value: str, group: str, order: Sequence[st
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "p_fdr") -> DataFrame:
-    """df with the adjusted p-values of each family and whether they lie below 0.05; NULL p stays NULL."""
-    some = F.col(p).isNotNull()
-    first = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by, some).orderBy(p))).withColumn("_m", F.count("*").over(Window.partitionBy(*by, some)))
-    down = Window.partitionBy(*by, some).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a running minimum from the largest
-    out_p = F.when(some, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(down)))
-    return first.withColumn(out, out_p).withColumn("significant_fdr05", F.coalesce(F.col(out) < 0.05, F.lit(False))).drop("_i", "_m")
+    """df with the adjusted p-values of each family and whether they lie below 0.05; NULL p stays NULL.
+
+    The work is on the distinct p-values of a family: their cumulative counts, and the running
+    minimum from the largest down, which is carried from partition to partition.
+    """
+    df = cut(df)
+    counts = spread(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("_n")), [*by, p])
+    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_m")).select(*grouped_names(by), "_m")
+    rows = carried(counts, [p], "_n", "_before", by).join(F.broadcast(sizes) if not by else sizes, same_group(by)).drop(*(f"_by_{c}" for c in by))
+    rows = rows.withColumn("_q", F.col(p) * F.col("_m") / (F.col("_before") + F.col("_n")))
+    inside = F.min("_q").over(Window.partitionBy("_part", *by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    parts = rows.groupBy("_part", *by).agg(F.min("_q").alias("_least"))
+    later = F.min("_least").over(Window.partitionBy(*by).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))  # one row a partition and group
+    parts = parts.select(F.col("_part").alias("_of"), *grouped_names(by), later.alias("_later"))
+    rows = rows.withColumn("_inside", inside).join(parts, (F.col("_part") == F.col("_of")) & same_group(by))
+    adjusted = rows.select(*(F.col(f"_by_{c}") for c in by), F.col(p).alias("_p"), F.least(F.lit(1.0), "_inside", F.coalesce("_later", F.lit(1.0))).alias(out))
+    found = df.join(adjusted, same_group(by) & (F.col(p) == F.col("_p")), "left").drop("_p", *(f"_by_{c}" for c in by))
+    return found.withColumn("significant_fdr05", F.coalesce(F.col(out) < 0.05, F.lit(False)))
 
 
 def exceedance(draws: DataFrame, draw: str, observed: Column) -> Column:
@@ -260,6 +239,15 @@ def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
     return first.withColumn("_e", chance).select(*by, F.when(F.col("_e") != 1, (F.col("agreement") - F.col("_e")) / (1 - F.col("_e"))).alias("kappa"), "agreement", "n")
 
 
+def kappa_permutation(df: DataFrame, a: str, b: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """kappa() of the whole table with its two-sided p under random orders of the second readings, (count + 1) / (replicates + 1)."""
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*order, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    places = positions(rows, order, "i").select("i", "_a")
+    draws = kappa(permuted(rows, "_b", order, replicates, seed).join(places, "i"), "_a", "_b", ["b"]).select(F.col("kappa").alias("draw"))
+    observed = kappa(rows, "_a", "_b")
+    return draws.crossJoin(F.broadcast(observed)).groupBy("kappa", "agreement", "n").agg(((F.sum((F.abs("draw") >= F.abs("kappa")).cast("long")) + 1) / (F.count("draw") + 1.0)).alias("p_value"))  # one row
+
+
 def variance_share(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
     """Share of the variance of a value that lies between groups."""
     per = df.filter(F.col(value).isNotNull()).groupBy(*by, group).agg(F.count("*").alias("c"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
@@ -296,6 +284,15 @@ def mantel(d: DataFrame, a: str, b: str, x: str, y: str, objects: DataFrame, rep
     return draws.crossJoin(F.broadcast(observed)).groupBy("spearman", "n").agg(((F.sum((F.abs("draw") >= F.abs("spearman")).cast("long")) + 1) / (F.count("*") + 1.0)).alias("p_value"))  # one row
 
 
+def mantel_entries(d: DataFrame, x: str, y: str, order: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
+    """mantel() for pairs that are no full triangle: the entries of the second distance are permuted, not the objects."""
+    rows = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*order, F.col(x).alias("x"), F.col(y).alias("y"))
+    places = positions(rows, order, "i").select("i", "x")
+    draws = spearman(permuted(rows, "y", order, replicates, seed).join(places, "i"), "x", "y", ["b"]).select(F.col("spearman").alias("draw"))
+    observed = spearman(rows, "x", "y")
+    return draws.crossJoin(F.broadcast(observed)).groupBy("spearman", "n").agg(((F.sum((F.abs("draw") >= F.abs("spearman")).cast("long")) + 1) / (F.count("*") + 1.0)).alias("p_value"))  # one row
+
+
 def range_reference(wide: DataFrame, row_id: str, group: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """Range of the group means, and its reference when values are shuffled between groups within each row."""
     means = wide.groupBy(group).agg(F.avg(value).alias("m"))

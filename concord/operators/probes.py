@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions.numbers import chance_corrected, retention
-from concord.operators.inference import auroc
-from concord.operators.sampling import hash_key
+from concord.operators.agreement import affine_map
+from concord.operators.inference import auroc, interval, permuted, resampled_clusters
+from concord.operators.order import positions
+from concord.operators.sampling import capped, hash_key, unit_split
+from concord.operators.vectors import finite_rows, grams
+from concord.sources.shared import cut
 
 C = 0.1
 ITERATIONS = 150
@@ -121,3 +125,69 @@ def mapped(df: DataFrame, matrix: np.ndarray, embedding: str = "embedding") -> D
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return df.mapInArrow(run, schema)
+
+
+def probe_reference(rows: DataFrame, label: str, subject: str, id_col: str, replicates: int, seed: int = 0, most: int = 8000, least: int = 200) -> DataFrame | None:
+    """One row: a probe's AUROC on subjects that it has not seen, with a bootstrap over subjects and its reference under shuffled training labels.
+
+    Training and test rows are at most `most` each, the first by hash. None below `least` labelled
+    rows, 100 training and 50 test rows, or with one class on a side. A fit for every replicate is on
+    the driver's schedule and distributed itself.
+    """
+    kept = finite_rows(rows.filter(F.col(label).isin(0, 1)))
+    if not usable(kept, label, least):
+        return None
+    parts = unit_split(kept, subject, seed)
+    train, test = (cut(capped(parts.filter(F.col("part") == p), most, seed, id_col)) for p in ("train", "test"))
+    if not usable(train, label, 100) or not usable(test, label, 50):
+        return None
+    scored = cut(fit_probe(train, label).score(test).select(id_col, subject, label, "score"))
+    observed = auroc(scored, label, "score").first()
+    draws = []
+    for b in range(replicates):
+        places = positions(train.select(id_col, "embedding"), [id_col], "i").select("i", "embedding")
+        moved = permuted(train.select(id_col, label), label, [id_col], 1, f"{seed}:{b}").drop("b").join(places, "i")
+        draws.append(auroc(fit_probe(moved, label).score(test), label, "score").first().auroc)
+    spread = interval(auroc(resampled_clusters(scored, subject, 200, seed).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int")))), label, "score", ["b"]), "auroc").first()
+    mean, (low, high) = float(np.mean(draws)), np.percentile(draws, [2.5, 97.5])
+    out = (observed.auroc, spread.std, spread.ci_low, spread.ci_high, mean, float(low), float(high), observed.auroc - mean, (sum(x >= observed.auroc for x in draws) + 1) / (len(draws) + 1.0), train.count(), test.count(), observed.n_positive)
+    names = "auroc double, std double, ci_low double, ci_high double, reference_mean double, reference_ci_low double, reference_ci_high double, excess double, p_raw double, n_train long, n_test long, n_positive long"
+    return rows.sparkSession.createDataFrame([out], names)
+
+
+def map_budgets(train: DataFrame, test: DataFrame, findings: Sequence[str], source: str, target: str, budgets: Sequence[int], id_col: str = "case_id", seed: int = 0) -> DataFrame:
+    """(enc_src, enc_tgt, finding, n_map_images, auroc, oracle_auroc, retention, chance_corrected) as the map sees more cases.
+
+    The budgets are prefixes of one order of the training cases, that of a hash, so a larger one holds the
+    smaller. The target's probes are fitted once. A budget below the larger width plus 2 fails, as the map
+    would be underdetermined, and so does one that has fewer cases.
+    """
+    both = finite_rows(train.filter(F.col("encoder").isin(source, target)))
+    shared = both.groupBy(id_col).agg(F.countDistinct("encoder").alias("_n")).filter("_n = 2").select(id_col)
+    order = positions(shared.withColumn("_key", hash_key(seed, F.col(id_col))), ["_key", id_col], "_place").select(id_col, "_place")
+    ranked_rows = cut(both.join(order, id_col))
+    width, cases = both.agg(F.max(F.size("embedding"))).first()[0] or 0, shared.count()
+    if bad := [b for b in budgets if b < width + 2 or b > cases]:
+        raise ValueError(f"map budgets {bad} are below the width plus 2 or above the cases")
+    fitting = ranked_rows.filter((F.col("encoder") == target) & (F.col("_place") < max(budgets)))
+    own, moved, out = test.filter(F.col("encoder") == target), {}, None
+    for b in budgets:
+        matrix = affine_map(grams(ranked_rows.filter(F.col("_place") < b).select("encoder", F.col(id_col).alias("case_id"), "embedding")), source, target)
+        moved[b] = mapped(test.filter(F.col("encoder") == source), matrix)
+    for f in findings:
+        if not usable(fitting, f, LEAST_TRAIN) or not usable(own, f, LEAST_TEST):
+            continue
+        probe = fit_probe(fitting, f)
+        oracle = auroc(probe.score(own), f, "score").select(F.col("auroc").alias("oracle_auroc"))
+        for b in budgets:
+            one = auroc(probe.score(moved[b]), f, "score").select(F.lit(source).alias("enc_src"), F.lit(target).alias("enc_tgt"), F.lit(f).alias("finding"), F.lit(b).alias("n_map_images"), "auroc").crossJoin(oracle)  # one row each
+            out = one if out is None else out.unionByName(one)
+    if out is None:
+        return train.sparkSession.createDataFrame([], "enc_src string, enc_tgt string, finding string, n_map_images int, auroc double, oracle_auroc double, retention double, chance_corrected double")
+    return out.withColumn("retention", retention(F.col("auroc"), F.col("oracle_auroc"))).withColumn("chance_corrected", chance_corrected(F.col("auroc"), F.col("oracle_auroc")))
+
+
+def budget_summary(sweep: DataFrame) -> DataFrame:
+    """Medians and quartiles of a map-budget sweep by number of cases."""
+    middle = lambda c, q=0.5: F.percentile(c, q)
+    return sweep.groupBy("n_map_images").agg(F.count("auroc").alias("n_rows"), middle("auroc").alias("median_auroc"), middle("oracle_auroc").alias("median_oracle_auroc"), middle("retention").alias("median_retention"), middle("retention", 0.25).alias("q25_retention"), middle("retention", 0.75).alias("q75_retention"), middle("chance_corrected").alias("median_chance_corrected"))

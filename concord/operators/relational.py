@@ -15,6 +15,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
+def preferred(df: DataFrame, keys: Sequence[str], source: str, order: Sequence[str]) -> DataFrame:
+    """One row per key, from the first of the sources in `order` that has it; other sources come last."""
+    place = F.coalesce(*(F.when(F.col(source) == name, F.lit(i)) for i, name in enumerate(order)), F.lit(len(order)))
+    return first_per_key(df, keys, [place, source])
+
+
 def left_join_first(left: DataFrame, right: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
     """Every row of left with the first row of right of its key."""
     return left.join(first_per_key(right, [key], order), key, "left")

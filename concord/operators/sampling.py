@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators.order import carried, spread
+
 
 def hash_key(seed: int | str, *ids: Column) -> Column:
     """The key by which samples are ordered: MD5 of the seed and the ids."""
@@ -80,9 +82,9 @@ def subgroup_draws(df: DataFrame, attributes: Sequence[str], seed: int, id_col:
 
 def take_until(df: DataFrame, unit: str, cap: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows of whole units, added in hash order until there are cap rows or more."""
-    sizes = df.groupBy(*by, unit).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*by).orderBy(hash_key(seed, F.col(unit)), unit).rowsBetween(Window.unboundedPreceding, 0)
-    chosen = sizes.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).filter(F.col("_before") < cap)
+    sizes = df.groupBy(*by, unit).agg(F.count("*").alias("_n")).withColumn("_key", hash_key(seed, F.col(unit)))
+    order = ["_key", unit]
+    chosen = carried(spread(sizes, [*by, *order]), order, "_n", "_before", by).filter(F.col("_before") < cap)
     return df.join(chosen.select(*by, unit), [*by, unit], "left_semi")
 
 

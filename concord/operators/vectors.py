@@ -18,7 +18,8 @@ from concord.sources.shared import cut
 
 #: Rows of a block; a product of two blocks takes 32 MB.
 BLOCK_ROWS = 2048
-COPIES = 16
+#: Blocks that a task holds of each side at most.
+STRIP = 16
 #: Similarities that agree to so many decimals are equal, as sums of products depend on their order.
 DECIMALS = 12
 
@@ -61,7 +62,7 @@ def _matrix(values: pa.Array) -> np.ndarray:
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
 
-_BLOCK = T.StructType([T.StructField(n, t) for n, t in (("encoder", T.StringType()), ("block", T.IntegerType()), ("ids", T.ArrayType(T.LongType())), ("width", T.IntegerType()), ("data", T.BinaryType()))])
+_BLOCK = T.StructType([T.StructField(n, t) for n, t in (("encoder", T.StringType()), ("block", T.IntegerType()), ("ids", T.BinaryType()), ("width", T.IntegerType()), ("data", T.BinaryType()))])
 _EDGES = T.StructType([T.StructField(n, t) for n, t in (("encoder", T.StringType()), ("src", T.LongType()), ("dst", T.LongType()), ("similarity", T.DoubleType()))])
 
 
@@ -77,39 +78,80 @@ def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
                 groups.setdefault(name, []).append((ids[own], _matrix(batch.column(2).take(pa.array(own)))))
         for name, parts in groups.items():
             ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            one = [[str(name)], [TaskContext.get().partitionId()], [ids.tolist()], [m.shape[1]], [m.tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, (pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()))], names=_BLOCK.names)
+            one = [[str(name)], [TaskContext.get().partitionId()], [ids.astype("<i8").tobytes()], [m.shape[1]], [m.tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, (pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], names=_BLOCK.names)
 
     return cut(vectors.select("encoder", "case_id", "embedding").repartition(n).mapInArrow(run, _BLOCK)), n
 
 
+def _rows_of(table: pa.Table, suffix: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of each block, in order of id."""
+    out = []
+    for ids, width, data in zip(*(table.column(c + suffix).to_pylist() for c in ("ids", "width", "data"))):
+        key = np.frombuffer(ids, "<i8")
+        order = np.argsort(key, kind="stable")
+        out.append((key[order], np.frombuffer(data).reshape(len(key), width)[order]))
+    return out
+
+
+def nearest(exact: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's k largest similarities, at most; equal ones by their column, and none of a case with itself."""
+    sim = np.round(exact, DECIMALS)
+    sim[src[:, None] == dst[None, :]] = -np.inf
+    sim[~np.isfinite(sim)] = -np.inf
+    take = min(k, sim.shape[1])
+    if not take or not len(sim):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least = np.partition(sim, sim.shape[1] - take, axis=1)[:, [sim.shape[1] - take]]
+    chosen = sim > least
+    ties = sim == least
+    room = take - chosen.sum(1)
+    plain = ties.sum(1) == room
+    chosen[plain] |= ties[plain]
+    for i in np.flatnonzero(~plain):
+        chosen[i, np.flatnonzero(ties[i])[: room[i]]] = True
+    return np.nonzero(chosen & np.isfinite(sim))
+
+
 def knn_edges(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """(encoder, src, dst, similarity, rank): each row's k nearest by inner product within its encoder.
 
     A row is not its own neighbour, by id; equal similarities go by ascending id. case_id is a long.
+    Rows without an encoder, a case or a vector belong to no graph. Blocks of rows meet in the cells of
+    a grid: a block is copied along its row and its column of the grid, not to every other block, and a
+    cell passes on k edges of a case at most, however many are equal.
     """
-    blocks, n = _blocks(vectors, rows)
-    copies = min(COPIES, n)
-    left = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"), F.pmod("block", F.lit(copies)).alias("copy"))
-    right = blocks.select(F.col("encoder").alias("e2"), F.col("block").alias("b2"), F.col("ids").alias("ids2"), F.col("data").alias("data2"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("c2"))
-    tasks = max(1, min(2048, n * n))
-    pairs = left.repartition(tasks, "encoder", "other", "copy").join(right.repartition(tasks, "e2", "b2", "c2").hint("shuffle_hash"), (F.col("encoder") == F.col("e2")) & (F.col("other") == F.col("b2")) & (F.col("copy") == F.col("c2")))
-
-    def run(batches):
-        for batch in batches:
-            for name, ids, width, data, ids2, data2 in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.array(ids, np.int64), np.array(ids2, np.int64)
-                order = np.argsort(b, kind="stable")
-                b, y = b[order], np.frombuffer(data2).reshape(len(b), width)[order]
-                exact = np.frombuffer(data).reshape(len(a), width) @ y.T
-                sim = np.round(exact, DECIMALS)
-                sim[a[:, None] == b[None, :]] = -np.inf
-                take = min(k, len(b))
-                cut_at = np.partition(sim, len(b) - take, axis=1)[:, len(b) - take]
-                src, dst = np.nonzero((sim >= cut_at[:, None]) & np.isfinite(sim))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(src), pa.string()), pa.array(a[src]), pa.array(b[dst]), pa.array(exact[src, dst])], names=_EDGES.names)
-
-    found = pairs.select("encoder", "ids", "width", "data", "ids2", "data2").mapInArrow(run, _EDGES)
+    usable = vectors.filter(F.col("encoder").isNotNull() & F.col("case_id").isNotNull() & F.col("embedding").isNotNull())
+    blocks, n = _blocks(usable, rows)
+    side = min(n, max(-(-n // STRIP), int(vectors.sparkSession.sparkContext.defaultParallelism**0.5)))
+    strip, every = F.pmod("block", F.lit(side)), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    left = blocks.select("encoder", strip.alias("i"), every.alias("j"), "ids", "width", "data")
+    right = blocks.select(F.col("encoder").alias("of"), every.alias("k"), strip.alias("l"), F.col("ids").alias("ids2"), F.col("width").alias("width2"), F.col("data").alias("data2"))
+
+    empty = pa.schema([("encoder", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("similarity", pa.float64())])
+
+    def cell(one: pa.Table, other: pa.Table) -> pa.Table:
+        if not one.num_rows or not other.num_rows:
+            return pa.table([pa.array([], f.type) for f in empty], names=_EDGES.names)
+        out, names, against = [], one.column("encoder"), _rows_of(other, "2")
+        for src, x in _rows_of(one):
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            for dst, y in against:
+                exact = x @ y.T
+                i, j = nearest(exact, src, dst, k)
+                found.append((i, dst[j], exact[i, j]))
+            i, d, s = (np.concatenate([f[c] for f in found]) for c in range(3))
+            if len(against) > 1:  # the best of the cell
+                order = np.lexsort((d, -np.round(s, DECIMALS), i))
+                i, d, s = i[order], d[order], s[order]
+                first = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
+                place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) if len(i) else i
+                i, d, s = i[place < k], d[place < k], s[place < k]
+            out.append((src[i], d, s))
+        src, dst, sim = (np.concatenate([np.empty(0, t), *(o[c] for o in out)]) for c, t in enumerate((np.int64, np.int64, np.float64)))
+        return pa.table([pa.array([names[0].as_py()] * len(src), pa.string()), pa.array(src), pa.array(dst), pa.array(sim)], names=_EDGES.names)
+
+    found = left.groupBy("encoder", "i", "j").cogroup(right.groupBy("of", "k", "l")).applyInArrow(cell, _EDGES)
     best = F.row_number().over(Window.partitionBy("encoder", "src").orderBy(F.desc(F.round("similarity", DECIMALS)), "dst"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k)
 
@@ -201,6 +243,12 @@ def relative(vectors: DataFrame, anchors: DataFrame, largest: int = 1 << 15) ->
     return vectors.select("encoder", "case_id", "embedding").mapInArrow(run, schema)
 
 
+def aligned(manifest: DataFrame, vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
+    """manifest with the vector of its case from one encoder's table, the first of several; null where there is none."""
+    one = vectors.groupBy("case_id").agg(F.min(embedding).alias(embedding))
+    return manifest.drop(embedding).join(one, "case_id", "left")
+
+
 def triplet_choice(triplets: DataFrame, vectors: DataFrame, tie: float = 1e-9) -> DataFrame:
     """triplets (a, b, c, ...) with `nearer`: b or c, whichever is nearer to a; ties and absent vectors drop out."""
     v = vectors.select("case_id", "embedding")

@@ -8,7 +8,7 @@ from concord.functions import labels as L
 from concord.operators import inference as I
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
-from concord.plans.geometry import K, _mknn, views
+from concord.plans.geometry import _RANKED, K, _edges, _mknn, _view, views
 from concord.plans.manifest import _PAIRS, nation_pairs
 from concord.plans.statistics import rounded
 
@@ -38,7 +38,15 @@ def split_roles(spark, d):
     return C.case_splits(pool, ["1-URGENT"])
 
 
-@query()
+_PAIR_OVERLAPS = f"""{_edges('full', 'va', 'vb', 'floor_a')}, q AS (SELECT * FROM (VALUES (5), (10)) t(k)),
+o AS (SELECT k, x.e AS ea, p.e AS eb, x.src, count(y.dst)::DOUBLE / k AS overlap FROM q JOIN edge x ON x.r <= k JOIN (SELECT DISTINCT e FROM edge) p ON x.e < p.e LEFT JOIN edge y ON y.e = p.e AND y.src = x.src AND y.dst = x.dst AND y.r <= k GROUP BY k, x.e, p.e, x.src)"""
+
+
+@query(f"""WITH {_PAIR_OVERLAPS}, n AS (SELECT greatest(1, round_even(0.632 * count(DISTINCT src), 0)) AS m FROM edge),
+s AS (SELECT k, ea, eb, b, overlap, row_number() OVER (PARTITION BY k, ea, eb, b ORDER BY md5('0|' || b || '|' || src), src) AS r FROM o, unnest(range(0, 20)) t(b)), w AS (SELECT k, ea, eb, b, avg(overlap) AS draw FROM s, n WHERE r <= m GROUP BY ALL),
+i AS (SELECT k, ea, eb, stddev_samp(draw) AS sd, quantile_cont(draw, 0.025) AS lo, quantile_cont(draw, 0.975) AS hi FROM w GROUP BY ALL)
+SELECT ea AS encoder_a, eb AS encoder_b, 'mknn_k' || k AS metric, round(avg(overlap), 6) AS value, count(*) AS n, CASE WHEN 'floor_a' IN (ea, eb) THEN 'floor' ELSE 'within' END AS comparison_type,
+round(any_value(sd), 6) AS value_std, round(any_value(lo), 6) AS value_ci_low, round(any_value(hi), 6) AS value_ci_high FROM o JOIN i USING (k, ea, eb) GROUP BY k, ea, eb""")
 def pairwise_map(spark, d):
     return rounded(C.pairwise_map(views(spark, d, "full", "va", "vb", "floor_a"), [5, K], replicates=20, floor=["floor_a"]), "value", "value_std", "value_ci_low", "value_ci_high")
 
@@ -70,14 +78,30 @@ def scaling_fits(spark, d):
     return rounded(rounded(out.select("outcome", "axis", "slope", "r_squared", "n", "spearman"), "slope", digits=4), "r_squared", "spearman")
 
 
-@query()
+def _knn_among(cases: str, group: str, names: tuple[str, ...], k: int) -> str:
+    """DuckDB: edges (g, e, src, dst) of each view among the cases (id, group) of each draw, and their pairwise overlaps o (g, ea, eb, src, overlap)."""
+    return f"""x AS ({' UNION ALL '.join(_view(n) for n in names)}), g AS ({cases}), xg AS (SELECT x.e, x.id, x.v, g.{group} AS g FROM x JOIN g ON x.id = g.id),
+edge AS (SELECT * FROM (SELECT a.g, a.e, a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.g, a.e, a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) AS r FROM xg a JOIN xg b ON a.g = b.g AND a.e = b.e AND a.id <> b.id) WHERE r <= {k}),
+o AS (SELECT x.g, x.e AS ea, p.e AS eb, x.src, count(y.dst)::DOUBLE / {k} AS overlap FROM edge x JOIN (SELECT DISTINCT e FROM edge) p ON x.e < p.e LEFT JOIN edge y ON y.g = x.g AND y.e = p.e AND y.src = x.src AND y.dst = x.dst GROUP BY ALL)"""
+
+
+_POSITIVES = "SELECT id, finding FROM (SELECT vec_id AS id, 'f' || label AS finding, row_number() OVER (PARTITION BY label ORDER BY md5('0|f' || label || '|' || vec_id), 'f' || label || '|' || vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label < 3) WHERE r <= 30 AND n >= 30"
+
+
+@query(f"""WITH {_knn_among(_POSITIVES, 'finding', ('va', 'vb'), 5)} SELECT g AS finding, ea AS encoder_a, eb AS encoder_b, round(avg(overlap), 6) AS mknn, count(*) AS n FROM o GROUP BY ALL""")
 def finding_agreement(spark, d):
     e = table(spark, d, "embeddings")
     positives = e.filter("label < 3").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("f"), "label").alias("finding"))
     return rounded(C.finding_agreement(views(spark, d, "va", "vb").drop("label"), positives, 30, 5), "mknn")
 
 
-@query()
+def _ladder(name: str) -> str:
+    return f"""SELECT '{name}' AS encoder, round(corr(x, y), 5) AS spearman, count(*) AS n FROM (SELECT {_RANKED.format('g')} AS x, {_RANKED.format('dist')} AS y FROM (
+SELECT least(e.label, 4) AS g, 1 - list_inner_product(x.v, c.v) AS dist FROM ({_view(name)}) x JOIN embeddings e ON e.vec_id = x.id, (SELECT list(m / s ORDER BY i) AS v FROM (SELECT i, m, greatest(sqrt(sum(m * m) OVER ()), 1e-9) AS s FROM (
+SELECT i, avg(x.v[i]) AS m FROM ({_view(name)}) x JOIN embeddings e ON e.vec_id = x.id, unnest(range(1, len(x.v) + 1)) t(i) WHERE e.label = 0 GROUP BY 1))) c WHERE e.label >= 1))"""
+
+
+@query(f"{_ladder('full')} UNION ALL {_ladder('va')}")
 def grade_ladder(spark, d):
     grades = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.least("label", F.lit(4)).alias("grade"))
     return rounded(C.grade_ladder(views(spark, d, "full", "va").drop("label"), grades, 20, 100), "spearman", digits=5)

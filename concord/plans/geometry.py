@@ -141,11 +141,11 @@ def gpa_consensus(spark, d):
 _RANKED = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)::DOUBLE"
 
 
-@query(f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 150), a AS ({_view('va')}), b AS ({_view('vb')}),
+@query(f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000), a AS ({_view('va')}), b AS ({_view('vb')}),
 p AS (SELECT round(list_inner_product(x.v, y.v), 9) AS sa, round(list_inner_product(z.v, w.v), 9) AS sb FROM a x JOIN a y ON x.id < y.id JOIN b z ON z.id = x.id JOIN b w ON w.id = y.id WHERE x.id IN (SELECT vec_id FROM s) AND y.id IN (SELECT vec_id FROM s)),
 r AS (SELECT {_RANKED.format('sa')} AS x, {_RANKED.format('sb')} AS y FROM p) SELECT round(corr(x, y), 5) AS spearman, count(*) AS n FROM r""")
 def rsa_spearman(spark, d):
-    return _rsa(spark, d, 150)
+    return _rsa(spark, d, 2000)
 
 
 @query()
@@ -161,7 +161,11 @@ def _rsa(spark, d, n):
     return rounded(spearman(pairs, "s_a", "s_b"), "spearman", digits=5)
 
 
-@query()
+@query(f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000), a AS ({_view('va')}), b AS ({_view('vb')}), x AS (SELECT a.id, a.v AS va, b.v AS vb FROM a JOIN b USING (id) JOIN s ON a.id = s.vec_id),
+q AS (SELECT x.id AS i, y.id AS j, greatest(list_inner_product(x.va, x.va) + list_inner_product(y.va, y.va) - 2 * list_inner_product(x.va, y.va), 0) AS da, greatest(list_inner_product(x.vb, x.vb) + list_inner_product(y.vb, y.vb) - 2 * list_inner_product(x.vb, y.vb), 0) AS db FROM x JOIN x y ON x.id <> y.id),
+w AS (SELECT median(da) AS w, (SELECT count(*) FROM x)::DOUBLE AS n FROM q WHERE da > 0), k AS (SELECT i, j, exp(-da / (2 * w)) AS k, exp(-db / (2 * w)) AS l, n FROM q, w), r AS (SELECT i, sum(k) AS rk, sum(l) AS rl FROM k GROUP BY 1),
+h AS (SELECT sum(k * l) AS kl, sum(k * k) AS kk, sum(l * l) AS ll, sum(k) AS sk, sum(l) AS sl, any_value(n) AS n FROM k), g AS (SELECT sum(rk * rl) AS kl, sum(rk * rk) AS kk, sum(rl * rl) AS ll FROM r)
+SELECT round((h.kl - 2 * g.kl / n + sk * sl / (n * n)) / sqrt((h.kk - 2 * g.kk / n + sk * sk / (n * n)) * (h.ll - 2 * g.ll / n + sl * sl / (n * n))), 6) AS cka_rbf FROM h, g""")
 def cka_rbf(spark, d):
     return spark.createDataFrame([(round(float(A.rbf_cka(views(spark, d, "va", "vb"), "va", "vb")), 6),)], "cka_rbf double")
 
@@ -186,11 +190,11 @@ def class_centroid_distance(spark, d):
     return rounded(V.centroid_distances(V.centroids(table(spark, d, "embeddings"), "label"), "label").filter("a < b"), "distance")
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i, label AS own FROM embeddings WHERE vec_id < 200), m AS (SELECT b, own AS label, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM e, unnest(range(0, 10)) t(b)),
+@query(f"""WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i, label AS own FROM embeddings), m AS (SELECT b, own AS label, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM e, unnest(range(0, 10)) t(b)),
 p AS (SELECT b, m.label, e.embedding FROM m JOIN e ON m.k = e.i), c0 AS (SELECT b, label, i, avg(embedding[i]::DOUBLE) AS m FROM p, unnest(range(1, 65)) t(i) GROUP BY ALL), c AS (SELECT b, label, list(m ORDER BY i) AS v, greatest(sqrt(sum(m * m)), 1e-9) AS s FROM c0 GROUP BY ALL)
 SELECT x.b::INT AS b, round(avg(1 - list_inner_product(x.v, y.v) / (x.s * y.s)), 6) AS mean_distance FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1""")
 def structural_reference(spark, d):
-    return _structure(table(spark, d, "embeddings").filter("vec_id < 200"), 10)
+    return _structure(table(spark, d, "embeddings"), 10)
 
 
 @query()
@@ -210,18 +214,21 @@ def _structure(e, replicates):
     return pairs.groupBy("b").agg(F.round(F.avg(1.0 - V.dot(F.col("centroid"), F.col("c2"))), 6).alias("mean_distance"))
 
 
-@query(f"""WITH x AS ({_view('full')}), t AS (SELECT o_orderkey AS tid, o_orderkey % 97 AS a, o_custkey % 89 AS b, (o_orderkey + o_custkey) % 83 AS c FROM orders WHERE o_orderkey < 2000),
+@query(f"""WITH x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM ({_view('full')})), n AS (SELECT greatest(1, count(*)) AS n FROM x), t AS (SELECT o_orderkey AS tid, o_orderkey % n AS a, o_custkey % n AS b, (o_orderkey + o_custkey) % n AS c FROM orders, n),
 z AS (SELECT tid, 1 - list_inner_product(x.v, y.v) AS db, 1 - list_inner_product(x.v, w.v) AS dc FROM t JOIN x ON x.id = t.a JOIN x y ON y.id = t.b JOIN x w ON w.id = t.c)
 SELECT tid, CASE WHEN db < dc THEN 'b' ELSE 'c' END AS nearer FROM z WHERE abs(db - dc) >= 1e-9""")
 def triplet_choice(spark, d):
-    t = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("tid"), (F.col("o_orderkey") % 97).alias("a"), (F.col("o_custkey") % 89).alias("b"), ((F.col("o_orderkey") + F.col("o_custkey")) % 83).alias("c"))
-    return V.triplet_choice(t, views(spark, d, "full")).select("tid", "nearer")
+    """All orders, with endpoints among all vectors by their place in the order of ids."""
+    return _triplets(spark, d)
 
 
 @query()
 def triplet_choice_whole(spark, d):
-    """All orders, with endpoints among all vectors by their place in the order of ids."""
-    from concord.operators.inference import positions
+    return _triplets(spark, d)
+
+
+def _triplets(spark, d):
+    from concord.operators.order import positions
 
     orders, v = table(spark, d, "orders"), positions(views(spark, d, "full"), ["case_id"], "at")
     n = max(1, v.count())

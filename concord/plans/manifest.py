@@ -194,7 +194,10 @@ def greedy_overshoot(spark, d):
     return S.take_until(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", 500, 42)
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT o_orderstatus AS g, o_custkey AS u, count(*) AS n FROM orders GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY md5('42|' || u), u) AS r FROM c),
+t AS (SELECT g, 0::BIGINT AS r, 0::BIGINT AS taken, NULL::BIGINT AS u FROM (SELECT DISTINCT g FROM s)
+UNION ALL SELECT s.g, s.r, CASE WHEN t.taken < 300 AND t.taken + s.n <= 300 THEN t.taken + s.n ELSE t.taken END, CASE WHEN t.taken < 300 AND t.taken + s.n <= 300 THEN s.u END FROM t JOIN s ON s.g = t.g AND s.r = t.r + 1)
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders o WHERE EXISTS (SELECT 1 FROM t WHERE t.g = o.o_orderstatus AND t.u = o.o_custkey)""")
 def greedy_skip(spark, d):
     return S.take_fitting(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_custkey", 300, 42, "o_orderstatus")
 

@@ -117,13 +117,9 @@ def scaling_fits(encoders: DataFrame, outcomes: Sequence[str], axes: Sequence[st
     return out.filter("n >= 4")
 
 
-def finding_agreement(vectors: DataFrame, positives: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame:
-    """(finding, encoder_a, encoder_b, mknn, n): agreement on the same number n of positive cases of each finding.
-
-    positives holds (case_id, finding); findings with fewer than n cases drop out.
-    """
-    drawn = S.matched_draw(positives.withColumn("_key", F.concat_ws("|", "finding", "case_id")), "finding", n, seed, "_key").select("finding", "case_id")
-    keyed = vectors.join(drawn, "case_id").withColumn("encoder", F.concat_ws("\t", "finding", "encoder"))
+def agreement_of_draws(vectors: DataFrame, drawn: DataFrame, k: int) -> DataFrame:
+    """(finding, encoder_a, encoder_b, mknn, n): agreement of every two encoders among the cases of each draw (case_id, finding)."""
+    keyed = vectors.select("encoder", "case_id", "embedding").join(drawn.select("finding", "case_id"), "case_id").withColumn("encoder", F.concat_ws("\t", "finding", "encoder"))
     lists = V.neighbour_lists(V.knn_edges(keyed, k)).select(F.split("encoder", "\t")[0].alias("finding"), F.split("encoder", "\t")[1].alias("encoder"), "case_id", "neighbours")
     a = lists.select("finding", F.col("encoder").alias("encoder_a"), "case_id", F.col("neighbours").alias("na"))
     b = lists.select("finding", F.col("encoder").alias("encoder_b"), "case_id", F.col("neighbours").alias("nb"))
@@ -131,6 +127,42 @@ def finding_agreement(vectors: DataFrame, positives: DataFrame, n: int, k: int,
     return a.join(b, ["finding", "case_id"]).filter("encoder_a < encoder_b").groupBy("finding", "encoder_a", "encoder_b").agg(F.avg(share).alias("mknn"), F.count("*").alias("n"))
 
 
+def finding_agreement(vectors: DataFrame, positives: DataFrame, n: int, k: int, seed: int = 0) -> DataFrame:
+    """(finding, encoder_a, encoder_b, mknn, n): agreement on the same number n of positive cases of each finding.
+
+    positives holds (case_id, finding); findings with fewer than n cases drop out.
+    """
+    drawn = S.matched_draw(positives.withColumn("_key", F.concat_ws("|", "finding", "case_id")), "finding", n, seed, "_key")
+    return agreement_of_draws(vectors, drawn, k)
+
+
+def demographic_agreement(vectors: DataFrame, cases: DataFrame, attributes: Sequence[str], k: int, seed: int = 0) -> DataFrame:
+    """(attribute, level, encoder_a, encoder_b, mknn, n) on draws of equal size from the levels of each attribute; cases has case_id and the attributes."""
+    drawn = S.subgroup_draws(cases, attributes, seed, "case_id").select("case_id", F.concat_ws("|", "attribute", "level").alias("finding"))
+    found = agreement_of_draws(vectors, drawn, k)
+    name = F.substring_index("finding", "|", 1)
+    return found.select(name.alias("attribute"), F.expr("substr(finding, length(substring_index(finding, '|', 1)) + 2)").alias("level"), "encoder_a", "encoder_b", "mknn", "n")
+
+
+def demographic_tests(agreement: DataFrame, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """For each attribute: range of the levels' means with its reference, and the p of a permutation F, each adjusted over attributes."""
+    out, rows = None, cut(agreement.withColumn("pair", F.concat_ws("|", "encoder_a", "encoder_b")))
+    for attribute in [r[0] for r in rows.select("attribute").distinct().orderBy("attribute").collect()]:
+        own = rows.filter(F.col("attribute") == attribute)
+        full = own.join(R.in_all(own, "pair", "level"), "pair", "left_semi")
+        one = I.range_reference(full, "pair", "level", "mknn", replicates, seed).crossJoin(I.permutation_groups(full, "mknn", "level", ["pair"], replicates, seed).select("f", F.col("p_value").alias("p_groups")))  # one row each
+        one = one.select(F.lit(attribute).alias("attribute"), "*")
+        out = one if out is None else out.unionByName(one)
+    return I.benjamini_hochberg(out, "p_reference", out="p_reference_fdr").drop("significant_fdr05").transform(lambda t: I.benjamini_hochberg(t, "p_groups", out="p_groups_fdr"))
+
+
+def gold_agreement(vectors: DataFrame, gold: DataFrame, k: int = 10, least: int = 20, largest: int = 2000, seed: int = 42) -> DataFrame:
+    """(finding, gold_alignment, n_pairs): mean agreement over encoder pairs on expert-labelled cases (case_id, finding), at most `largest` of each finding by hash."""
+    cases = S.cap_per_group(gold.select("case_id", "finding").distinct(), "finding", largest, seed, "case_id")
+    pairs = agreement_of_draws(V.finite_rows(vectors), cases, k).filter(F.col("n") >= least)
+    return pairs.groupBy("finding").agg(F.avg("mknn").alias("gold_alignment"), F.count("*").alias("n_pairs"))
+
+
 def grade_ladder(vectors: DataFrame, grades: DataFrame, healthy: int = 50, graded: int = 200) -> DataFrame | None:
     """Per encoder: rank correlation of the distance from the healthy centroid with the grade; None below the counts."""
     rows = vectors.join(grades, "case_id")
@@ -206,3 +238,133 @@ def dosed_views(vectors: DataFrame, doses: Sequence[float], seed: int = 0) -> Da
         mixed = F.zip_with(F.transform("embedding", lambda x: x * scale), noise(d), lambda x, e: d * x + (1 - d) * e)
         out = out.unionByName(clean.withColumn("encoder", F.lit(f"dose_{d}")).withColumn("embedding", V.normalised(mixed)))
     return out
+
+
+def width_control(encoders: DataFrame) -> DataFrame:
+    """(analysis, control, n_encoders, rho) of agreement with size and year, plain and with the width held: encoders has alignment, log_params, year, log_width."""
+    rows = encoders.filter(F.col("alignment").isNotNull() & F.col("log_width").isNotNull())
+    enough = rows.select("log_width").distinct().count() >= 3
+    plain = [("alignment_vs_log_width", "log_width", "alignment"), ("log_params_vs_log_width", "log_width", "log_params")]
+    held = [("alignment_vs_log_params_given_width", "log_params"), ("alignment_vs_year_given_width", "year")]
+    out = None
+    for name, x, y in plain:
+        one = I.spearman(rows, x, y).select(F.lit(name).alias("analysis"), F.lit("none").alias("control"), F.col("n").alias("n_encoders"), F.col("spearman").alias("rho"))
+        out = one if out is None else out.unionByName(one)
+    for name, x in held:
+        one = I.partial_spearman(rows, x, "alignment", "log_width").select(F.lit(name).alias("analysis"), F.lit("log10(embedding_width)").alias("control"), F.col("n").alias("n_encoders"), F.when(F.lit(enough), F.col("partial_spearman")).alias("rho"))
+        out = out.unionByName(one)
+    return out
+
+
+LINK = ["route", "level", "metric", "n_anchors", "objective_pair", "outcome"]
+
+
+def link_rows(alignment: DataFrame, retention: DataFrame, primary_metric: str) -> DataFrame:
+    """(route, level, metric, n_anchors, objective_pair, outcome, pair_lo, pair_hi, x, y): agreement beside each outcome of the same pair.
+
+    alignment has (metric, pair_lo, pair_hi, alignment), retention (route, n_anchors, pair_lo, pair_hi,
+    objective_pair, retention, chance_corrected). The primary metric also stands by objective pair.
+    """
+    both = alignment.join(retention, ["pair_lo", "pair_hi"]).unpivot(["route", "metric", "n_anchors", "objective_pair", "pair_lo", "pair_hi", "alignment"], ["retention", "chance_corrected"], "outcome", "y")
+    both = both.withColumnRenamed("alignment", "x").filter("x IS NOT NULL AND y IS NOT NULL")
+    every = both.withColumn("objective_pair", F.lit(None).cast("string")).withColumn("level", F.lit("all_pairs"))
+    each = both.filter((F.col("metric") == primary_metric) & F.col("objective_pair").isNotNull()).withColumn("level", F.lit("objective_pair"))
+    return every.unionByName(each).select(*LINK, "pair_lo", "pair_hi", "x", "y")
+
+
+def link_statistics(rows: DataFrame, least: int = 10, least_left: int = 4) -> DataFrame:
+    """For each group of link rows with enough pairs: rank correlation with its error by leaving out one unit at a time, slope and R²."""
+    rows = cut(rows.fillna({"objective_pair": "", "n_anchors": 0}))
+    sizes = rows.groupBy(*LINK).agg(F.count("*").alias("n_pairs"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r_squared")).filter(F.col("n_pairs") >= least)
+    units = rows.select(*LINK, F.col("pair_lo").alias("unit")).union(rows.select(*LINK, "pair_hi")).distinct()
+    kept = rows.join(units, LINK).filter((F.col("pair_lo") != F.col("unit")) & (F.col("pair_hi") != F.col("unit")))  # pair tables by their few units
+    left = I.spearman(kept, "x", "y", [*LINK, "unit"]).filter((F.col("n") >= least_left) & F.col("spearman").isNotNull())
+    g = F.count("*")
+    error = left.groupBy(*LINK).agg(F.when(g >= 3, F.sqrt((g - 1) / g * F.var_pop("spearman") * g)).alias("std"), g.alias("n_units"))
+    return I.spearman(rows, "x", "y", LINK).drop("n").withColumnRenamed("spearman", "rho").join(sizes, LINK).join(error, LINK, "left")
+
+
+def link_table(alignment: DataFrame, retention: DataFrame, primary: tuple[str, str, int], least: int = 10) -> DataFrame:
+    """link_statistics() with p, adjusted p and the decision: whether the one pre-specified row (route, metric, budget) shows that agreement predicts retention.
+
+    It does if its adjusted p, or p where there is none, lies below 0.05 and correlation and R² are positive. Without that one row it fails.
+    """
+    route, metric, budget = primary
+    stats = link_statistics(link_rows(alignment, retention, metric), least)
+    found = stats.collect()  # a row for each metric, route, budget and outcome
+    rows = [(*(r[c] for c in LINK), r.rho, r.slope, r.r_squared, r.n_pairs, r["std"], r.n_units, I.normal_p(r.rho, r["std"])) for r in found]
+    kinds = "route string, level string, metric string, n_anchors int, objective_pair string, outcome string, rho double, slope double, r_squared double, n_pairs long, std double, n_units long, p_raw double"
+    out = I.benjamini_hochberg(alignment.sparkSession.createDataFrame(rows, kinds), "p_raw", ["route", "level", "metric", "outcome"])
+    main = (F.col("route") == route) & (F.col("level") == "all_pairs") & (F.col("metric") == metric) & (F.col("n_anchors") == budget) & (F.col("outcome") == "retention")
+    if sum((r.route, r.level, r.metric, r.n_anchors, r.outcome) == (route, "all_pairs", metric, budget, "retention") for r in found) != 1:
+        raise ValueError("the pre-specified row of the link is not there once")
+    meets = main & (F.coalesce("p_fdr", "p_raw") < 0.05) & (F.col("rho") > 0) & (F.col("r_squared") > 0)
+    return out.withColumn("role", F.when(main, "primary").otherwise("")).withColumn("meets_rule", F.coalesce(meets, F.lit(False)))
+
+
+def class_pool(master: DataFrame, dataset: str, id_col: str, classes: dict[str, str], cap: int, seed: int = 0, subdir: str | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Manifest of a collection with one column for each class: at most cap cases of a class, which is that of the largest column, the first of equals.
+
+    classes maps native columns to the names they get. With files, a table with `path`, cases without an image drop out first.
+    """
+    rows = master.withColumn("image_key", F.col(id_col).cast("string")).withColumn("_class", L.argmax_class([F.col(c).cast("double") for c in classes], list(classes)))
+    if files is not None:
+        rows = with_files(rows.withColumn("_path", F.concat_ws("/", F.lit(subdir), "image_key")), files, "_path").drop("_path")
+    rows = S.cap_per_group(rows, "_class", cap, seed, "image_key")
+    return rows.select(
+        F.concat_ws("__", F.lit(dataset.replace("_", "__", 1)), "image_key").alias("case_id"), F.lit(dataset).alias("dataset"), F.lit(dataset.split("_")[0]).alias("modality"), F.lit("train").alias("split"), "image_key",
+        F.lit(subdir).cast("string").alias("image_subdir"), *(F.col(c).cast("double").alias(n) for c, n in classes.items()),
+    )
+
+
+def graded_pool(master: DataFrame, dataset: str, labels: dict[str, str], sides: Sequence[str], grades: Sequence[str], rater: str, cap: int = 0, seed: int = 0) -> DataFrame:
+    """Manifest of a collection with graded and side-resolved findings, cut to about cap rows by whole subjects within each split.
+
+    master has image_id, img_rel_path, subject_id, split, age, gender, view, study_date and the rater's
+    column. Labels are 1 or 0, anything else is NULL; a grade that is no number is NULL.
+    """
+    yes = lambda c: L.decode_codes(F.col(c), 1.0, [0.0])
+    there = set(master.columns)
+    pool = master.select(
+        F.concat(F.lit(f"{dataset}__"), F.col("image_id").cast("string")).alias("case_id"), F.lit(dataset).alias("dataset"), F.lit("cxr").alias("modality"), "image_id", F.col("img_rel_path").alias("image_key"), "subject_id",
+        F.col(rater).alias("reader_id"), L.split_name(F.col("split")).alias("split"), "age", F.col("gender").alias("sex"), "view", "study_date",
+        *(yes(native).alias(name) for native, name in labels.items()),
+        *(yes(f"{f}_{side}_binary").alias(f"side__{f}__{side}") for f in sides for side in ("right", "left") if f"{f}_{side}_binary" in there),
+        *(F.expr(f"try_cast(`{g}` AS double)").alias(f"grade__{g}") for g in grades if g in there),
+    )
+    if not cap:
+        return pool
+    pool = cut(pool)
+    sizes = {r.split: r.n for r in pool.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    total, parts = sum(sizes.values()), []
+    if total <= cap:
+        return pool
+    for split, n in sizes.items():
+        parts.append(S.take_fitting(pool.filter(F.col("split").eqNullSafe(F.lit(split))), "subject_id", round(cap * n / total), seed, "dataset"))
+    return R.union_all(*parts)
+
+
+REPORT = ["case_id", "dataset", "image_key", "split", "report_path", "report_text", "report_source"]
+
+
+def paired_reports(pool: DataFrame, plus: DataFrame, sections: Sequence[str], root: str = "", files: DataFrame | None = None, file_site: str = "mimic", section_site: str = "chexpert", key: str = "image_key") -> DataFrame:
+    """Cases of a pool with their reports: the path of a file at one site, the joined sections of a table at the other.
+
+    A file report counts if its path is given and, with files, there. Of a section report the non-blank
+    sections are joined, else its `report` stands for it; a case without either drops out, and so do
+    further rows of plus with the same key.
+    """
+    blank = lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "nan", "none")
+    told = pool.filter((F.col("dataset") == file_site) & ~blank(F.col("report_rel_path")))
+    told = told.withColumn("report_path", F.concat_ws("/", F.lit(root) if root else F.lit(None).cast("string"), "report_rel_path"))
+    if files is not None:
+        told = with_files(told, files, "report_path")
+    told = told.withColumn("report_text", F.lit(None).cast("string")).withColumn("report_source", F.lit(f"{file_site}_report_file"))
+    first = R.first_per_key(plus, [key], [*sections, "report"])
+    cleaned = [F.when(~blank(F.col(c)), F.trim(c)) for c in sections]
+    joined = F.concat_ws("\n", *cleaned)
+    fallback = F.when(~blank(F.col("report")), F.trim("report"))
+    said = pool.filter(F.col("dataset") == section_site).select("case_id", "dataset", F.col("image_key").alias("_key"), "split").join(first.withColumnRenamed(key, "_key"), "_key")
+    said = said.withColumn("report_text", F.when(joined != "", joined).otherwise(fallback)).filter("report_text IS NOT NULL")
+    said = said.withColumn("report_source", F.when(joined != "", "+".join(sections)).otherwise("report")).withColumn("image_key", F.col("_key")).withColumn("report_path", F.lit(None).cast("string"))
+    return told.select(*REPORT).unionByName(said.select(*REPORT))

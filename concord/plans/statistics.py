@@ -111,27 +111,19 @@ def jackknife_units(spark, d):
     return rounded(I.jackknife_units(nation_pairs(spark, d), "a", "b", F.avg("v")), "point", "std", "ci_low", "ci_high", digits=4)
 
 
-_EVENTS = "(SELECT event_id, event_type, value, user_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE event_id < 400)"
-
-
 def all_events(spark, d):
     return table(spark, d, "events").select("event_id", "event_type", "value", "user_id")
 
 
-def small_events(spark, d):
-    """The first events, which SQL can permute. The queries named *_whole do the same over all rows, without a twin."""
-    return all_events(spark, d).filter("event_id < 400")
-
-
 _MOVED = "m AS (SELECT b, value, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM e, unnest(range(0, 100)) t(b))"
 
 
-@query(f"""WITH e AS (SELECT event_id, value, event_type = 'click' AS f, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE event_id < 400), {_MOVED},
+@query(f"""WITH e AS (SELECT event_id, value, event_type = 'click' AS f, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events), {_MOVED},
 o AS (SELECT avg(value) FILTER (f) - avg(value) FILTER (NOT f) AS difference, count(*) FILTER (f) AS n_a, count(*) FILTER (NOT f) AS n_b FROM e),
 r AS (SELECT b, avg(value) FILTER (k < n_a) - avg(value) FILTER (k >= n_a) AS draw FROM m, o GROUP BY b)
 SELECT round(difference, 6) AS difference, n_a, n_b, CASE WHEN n_a >= 2 AND n_b >= 2 THEN (SELECT (count(*) FILTER (abs(draw) >= abs(difference)) + 1) / (count(*) + 1.0)::DOUBLE FROM r) END AS p_value FROM o""")
 def permutation_2(spark, d):
-    return _two(small_events(spark, d))
+    return _two(all_events(spark, d))
 
 
 def _two(events):
@@ -149,11 +141,11 @@ def _f(by: str, source: str) -> str:
     return f"(SELECT {lead}((sum(c * m * m) - sum(c) * (sum(c * m) / sum(c)) ** 2) / (count(*) - 1)) / (sum(c * v) / (sum(c) - count(*))) AS f, count(*) AS g, sum(c) AS n FROM (SELECT {lead}event_type, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM {source} GROUP BY {lead}event_type) {group})"
 
 
-@query(f"""WITH e AS (SELECT event_type, value, row_number() OVER (ORDER BY event_type, event_id) - 1 AS i FROM events WHERE event_id < 400), {_MOVED}, x AS (SELECT m.b, m.value, e.event_type FROM m JOIN e ON m.k = e.i),
+@query(f"""WITH e AS (SELECT event_type, value, row_number() OVER (ORDER BY event_type, event_id) - 1 AS i FROM events), {_MOVED}, x AS (SELECT m.b, m.value, e.event_type FROM m JOIN e ON m.k = e.i),
 o AS {_f('', 'e')}, r AS {_f('b', 'x')}
 SELECT round(f, 6) AS f, g AS n_groups, n::BIGINT AS n, (SELECT (count(*) FILTER (r.f >= o.f) + 1) / (count(*) + 1.0)::DOUBLE FROM r) AS p_value FROM o""")
 def permutation_k(spark, d):
-    return _groups(small_events(spark, d))
+    return _groups(all_events(spark, d))
 
 
 def _groups(events):
@@ -165,12 +157,12 @@ def permutation_k_whole(spark, d):
     return _groups(all_events(spark, d))
 
 
-@query(f"""WITH e AS (SELECT user_id % 8 AS reader, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events WHERE event_id < 400), {_MOVED}, x AS (SELECT m.b, m.value, e.reader FROM m JOIN e ON m.k = e.i),
+@query(f"""WITH e AS (SELECT user_id % 8 AS reader, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events), {_MOVED}, x AS (SELECT m.b, m.value, e.reader FROM m JOIN e ON m.k = e.i),
 s AS (SELECT b, reader, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM x GROUP BY ALL), r AS (SELECT b, (sum(c * m * m) - sum(c * m) ** 2 / sum(c)) / (sum(c * m * m) - sum(c * m) ** 2 / sum(c) + sum(c * v)) AS draw FROM s GROUP BY 1),
 s0 AS (SELECT reader, count(*) AS c, avg(value) AS m, var_pop(value) AS v FROM e GROUP BY 1), o AS (SELECT (sum(c * m * m) - sum(c * m) ** 2 / sum(c)) / (sum(c * m * m) - sum(c * m) ** 2 / sum(c) + sum(c * v)) AS share, sum(c)::BIGINT AS n, count(*) AS n_groups FROM s0)
 SELECT round(share, 6) AS share, n, n_groups, round((SELECT avg(draw) FROM r), 6) AS reference_mean, (SELECT (count(*) FILTER (draw >= share) + 1) / (count(*) + 1.0)::DOUBLE FROM r) AS p_raw, round(share - (SELECT avg(draw) FROM r), 6) AS excess FROM o""")
 def reader_variance_share(spark, d):
-    return _readers(small_events(spark, d))
+    return _readers(all_events(spark, d))
 
 
 @query()
@@ -197,11 +189,11 @@ def bh_fdr_family(spark, d):
     return rounded(I.benjamini_hochberg(p_values(spark, d), "p_raw", ["event_type"]), "p_raw", "p_fdr", digits=12)
 
 
-@query(f"""WITH e AS (SELECT * FROM {_P} WHERE event_id < 400), q AS (SELECT *, CASE WHEN p_raw IS NOT NULL THEN p_raw * count(*) OVER (PARTITION BY p_raw IS NOT NULL) / row_number() OVER (PARTITION BY p_raw IS NOT NULL ORDER BY p_raw, event_id) END AS q FROM e),
+@query(f"""WITH e AS (SELECT * FROM {_P}), q AS (SELECT *, CASE WHEN p_raw IS NOT NULL THEN p_raw * count(*) OVER (PARTITION BY p_raw IS NOT NULL) / row_number() OVER (PARTITION BY p_raw IS NOT NULL ORDER BY p_raw, event_id) END AS q FROM e),
 f AS (SELECT event_id, event_type, p_raw, CASE WHEN p_raw IS NOT NULL THEN least(1.0, min(q) OVER (PARTITION BY p_raw IS NOT NULL ORDER BY p_raw, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE END AS p_fdr FROM q)
 SELECT event_id, event_type, round(p_raw, 12) AS p_raw, round(p_fdr, 12) AS p_fdr, coalesce(p_fdr < 0.05, false) AS significant_fdr05 FROM f""")
 def bh_fdr(spark, d):
-    return rounded(I.benjamini_hochberg(p_values(spark, d).filter("event_id < 400"), "p_raw"), "p_raw", "p_fdr", digits=12)
+    return rounded(I.benjamini_hochberg(p_values(spark, d), "p_raw"), "p_raw", "p_fdr", digits=12)
 
 
 @query()
@@ -265,12 +257,12 @@ def mantel_objects(spark, d):
     return rounded(I.mantel(pairs, "a", "b", "x", "y", objects, 50), "spearman")
 
 
-@query("""WITH e AS (SELECT user_id, event_type, avg(value) AS v FROM events WHERE user_id < 60 GROUP BY ALL), k AS (SELECT user_id FROM e GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT event_type) FROM e)), w AS (SELECT * FROM e WHERE user_id IN (SELECT user_id FROM k)),
+@query("""WITH e AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL), k AS (SELECT user_id FROM e GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT event_type) FROM e)), w AS (SELECT * FROM e WHERE user_id IN (SELECT user_id FROM k)),
 m AS (SELECT event_type, avg(v) AS m FROM w GROUP BY 1), o AS (SELECT max(m) - min(m) AS r, count(*) AS g FROM m),
 s AS (SELECT b, v, row_number() OVER (PARTITION BY b, user_id ORDER BY md5('0|' || b || '|' || user_id || '|' || event_type), event_type) AS g FROM w, unnest(range(0, 50)) q(b)), n AS (SELECT b, g, avg(v) AS m FROM s GROUP BY ALL), c AS (SELECT b, max(m) - min(m) AS draw FROM n GROUP BY 1)
 SELECT round(r, 6) AS observed_range, g AS n_groups, round(avg(draw), 6) AS reference_mean, round(quantile_cont(draw, 0.025), 6) AS reference_ci_low, round(quantile_cont(draw, 0.975), 6) AS reference_ci_high, (count(*) FILTER (draw >= r) + 1) / (count(*) + 1.0)::DOUBLE AS p_reference, round(r - avg(draw), 6) AS excess FROM o, c GROUP BY r, g""")
 def subgroup_range(spark, d):
-    return _range(table(spark, d, "events").filter("user_id < 60"))
+    return _range(table(spark, d, "events"))
 
 
 @query()

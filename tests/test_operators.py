@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from concord.operators import agreement as A
 from concord.operators import inference as I
+from concord.operators import order as O
 from concord.operators import probes as P
 from concord.operators import relational as R
 from concord.operators import sampling as S
@@ -115,10 +116,23 @@ def test_conform_and_patch(spark):
 
 
 def test_ranks_agree_with_windows(spark):
-    df = spark.createDataFrame([(float(x),) for x in np.random.default_rng(1).integers(0, 9, 200)] + [(None,)], "x double")
-    a = sorted(r.r for r in I.ranked(df.filter("x IS NOT NULL"), "x", "r").collect())
-    b = sorted(r.r for r in df.filter("x IS NOT NULL").select(I.average_rank("x").alias("r")).collect())
-    assert a == b
+    r = np.random.default_rng(1)
+    values = [(str(g), float(x)) for g, x in zip(r.choice(["a", "b"], 200), r.integers(0, 9, 200))] + [(None, 3.0), (None, 3.0), (None, 4.0)]
+    df = spark.createDataFrame(values, "g string, x double").repartition(5)
+    for by in ([], ["g"]):
+        got = sorted((str(r.g), r.x, r.r) for r in I.ranked(df, "x", "r", by).collect())
+        of = lambda g: [x for h, x in values if not by or h == g]
+        assert got == sorted((str(g), x, sum(y < x for y in of(g)) + (sum(y == x for y in of(g)) + 1) / 2) for g, x in values)
+
+
+def test_positions_and_running_sums(spark):
+    rows = [(i % 3, i * 7 % 100, i) for i in range(90)]
+    df = spark.createDataFrame(rows, "g int, k int, n int").repartition(7)
+    for by in ([], ["g"]):
+        got = {(r.g, r.k): r.at for r in O.positions(df, ["k"], "at", by).collect()}
+        assert got == {(g, k): sum(1 for h, j, _ in rows if j < k and (not by or h == g)) for g, k, _ in rows}
+    summed = O.carried(O.spread(df, ["g", "k"]), ["k"], "n", "before", ["g"]).collect()
+    assert {(r.g, r.k): r.before for r in summed} == {(g, k): sum(m for h, j, m in rows if h == g and j < k) for g, k, _ in rows}
 
 
 def test_auroc_and_kappa(spark):
@@ -191,6 +205,43 @@ def test_neighbours_equal_brute_force(spark, sample, rows):
     assert [got[i] for i in range(len(x))] == slow_knn(x, 5).tolist()
 
 
+@pytest.mark.parametrize("rows", [700, 5000])
+def test_equal_vectors_give_few_edges(spark, rows, monkeypatch):
+    same = np.tile([0.6, 0.8], (2000, 1))
+    emitted = []
+    real = V.nearest
+    pairs = real(same[:300] @ same.T, np.arange(300), np.arange(2000), 4)
+    emitted.append(len(pairs[0]))
+    assert emitted == [1200]
+    got = V.knn_edges(frame(spark, a=same), 4, rows).collect()
+    assert len(got) == 8000 and {r.dst for r in got if r.src == 0} == {1, 2, 3, 4} and {r.dst for r in got if r.src == 1999} == {0, 1, 2, 3}
+
+
+def test_rows_without_encoder_case_or_vector_have_no_neighbours(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), (None, 3, [1.0, 0.0]), ("a", None, [1.0, 0.0]), ("a", 4, None), ("b", 1, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "encoder string, case_id long, embedding array<double>")
+    assert sorted((r.encoder, r.src, r.dst) for r in V.knn_edges(df, 3).collect()) == [("a", 1, 2), ("a", 2, 1)]
+    assert V.knn_edges(df.limit(0), 3).count() == 0
+
+
+def test_vectors_that_do_not_vary_agree_to_zero(spark, sample):
+    x = sample[0][:30]
+    df = frame(spark, a=x, b=np.ones_like(x))
+    assert A.linear_cka(V.grams(df), "a", "b") == 0.0 and A.rbf_cka(df, "a", "b") == 0.0
+
+
+def test_suite_and_safe_agreement(spark, sample):
+    x, y = sample[0][:60].copy(), sample[1][:60]
+    df = frame(spark, a=x, b=y)
+    suite = A.metric_suite(df, "a", "b", (4, 6), primary=6)
+    lists = V.neighbour_lists(V.knn_edges(df, 6))
+    assert suite["mknn_k6"] == suite["headline_mknn"] == pytest.approx(A.mutual_knn(lists, 6).first().mknn)
+    assert suite["procrustes"] == pytest.approx(A.procrustes(V.grams(df), "a", "b")) and set(suite) >= {"cka_rbf", "rsa_spearman", "cknna_k4", "cknna_binary_graph_k4"}
+    bad = df.withColumn("embedding", F.when((F.col("encoder") == "a") & (F.col("case_id") < 45), F.array(F.lit(float("nan")))).otherwise(F.col("embedding")))
+    r = A.safe_mutual_knn(bad, "a", "b", 3).first()
+    assert r.n == 15 and r.mknn is None
+
+
 def test_mutual_neighbours(spark, sample):
     x, y = sample
     q = np.linalg.qr(np.random.default_rng(4).normal(size=(8, 8)))[0]
