@@ -29,6 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_queries() -> tuple[dict[str, Query], dict[str, str]]:
-    from concord.plans import composed, geometry, manifest, statistics, studies, transfer  # noqa: F401
+    from concord.plans import composed, geometry, manifest, scans, statistics, studies, transfer  # noqa: F401
 
     return dict(QUERIES), dict(ORACLES)

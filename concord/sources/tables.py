@@ -32,7 +32,7 @@ def is_utf8(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
     """A CSV table with header by its declared schema, in UTF-8, or in Latin-1 if it is not valid UTF-8. Cells without text are NULL."""
     encoding = "UTF-8" if is_utf8(spark, path) else "ISO-8859-1"
-    df = spark.read.schema(schema).csv(path, header=True, sep=sep, encoding=encoding, enforceSchema=False, multiLine=False)
+    df = spark.read.schema(schema).csv(path, header=True, sep=sep, encoding=encoding, escape='"', enforceSchema=False, multiLine=False)
     return df.select(*columns) if columns else df
 
 
@@ -122,6 +122,18 @@ def write_table(df: DataFrame, path: str, by: Sequence[str] = (), params: dict |
         write_params(df.sparkSession, path, params)
 
 
+def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """A CSV folder with headers, refused if empty. It counts once Spark has committed it, with _SUCCESS; read_csv() reads it."""
+    if df.isEmpty():
+        raise NotReady(f"no rows for {path}")
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, encoding=encoding, escape='"')
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """JSON lines, NULL fields written out."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_unit(df: DataFrame, path: str, unit: str) -> None:
     """Rows of some units, replacing those units alone."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(unit).parquet(path)
