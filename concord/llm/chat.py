@@ -102,7 +102,7 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array of (role, text), unescaped."""
+    """The turns of a formatted conversation: array of (role, text), unescaped; none of an empty one, NULL of NULL."""
     pieces = F.split(formatted, r"<\|im_start\|>")
 
     def turn(piece: Column) -> Column:

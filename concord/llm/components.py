@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex other than the roots, and (root, root): root is the smallest vertex reachable.
 
     links has two columns of comparable ids. Rounds go on until nothing changes; the links stay
-    distributed and each round is written to the shared folder.
+    distributed and each round is written to the shared folder. Links that repeat count once, one
+    of a vertex with itself or with a null not at all; without links there are no rows.
     """
     a, b = links.columns
     edges = links.select(F.greatest(a, b).alias("v"), F.least(a, b).alias("root")).filter("v <> root")

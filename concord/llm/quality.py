@@ -138,7 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
 
     More than fit_rows such rows are represented by about fit_rows of them, chosen by a hash of
     their id and read whole; their bucket counts, at most BUCKETS numbers each, are all that
-    comes to the driver.
+    comes to the driver. A null text counts as empty; labels other than 0 and 1 and null ids teach
+    nothing, of labels that differ for an id the larger holds; other columns do not matter.
     """
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("of")).agg(F.max(label).alias("y"))
     total = known.count()

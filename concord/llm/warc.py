@@ -58,19 +58,21 @@ def records_of(data: bytes) -> Iterator[tuple[int, bytes]]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, record) of WARC files, plain or gzipped by record; offsets of gzipped ones are those of their members.
 
-    A file is read by one task, as WARC files are about a gigabyte at most by custom. An empty file has no
+    A file is read by one task, as WARC files are about a gigabyte at most by custom; above 2 GB Spark refuses it. An empty file has no
     records, a folder without files gives no rows, and files that repeat are told apart by name alone.
     """
 
     def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-        at = 0
-        while at < len(data):
-            one = zlib.decompressobj(31)
-            body = one.decompress(data[at:])
-            yield at, body
+        view, at = memoryview(data), 0
+        while at < len(view):
+            one, first, parts = zlib.decompressobj(31), at, []
+            while at < len(view) and not one.eof:
+                parts.append(one.decompress(view[at : at + 65536]))
+                at = min(at + 65536, len(view))
+            at -= len(one.unused_data)
+            yield first, b"".join(parts)
             if not one.eof:
                 return
-            at = len(data) - len(one.unused_data)
 
     def run(batches):
         for batch in batches:
