@@ -8,9 +8,9 @@ from concord.functions import labels as L
 from concord.operators import inference as I
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
-from concord.plans.geometry import _RANKED, K, _edges, _mknn, _view, views
+from concord.plans.geometry import _CENTRES, _RANKED, K, _edges, _mknn, _view, views
 from concord.plans.manifest import _PAIRS, nation_pairs
-from concord.plans.statistics import rounded
+from concord.plans.statistics import _rank, rounded
 
 
 @query("""SELECT doc_id::VARCHAR AS case_id, 'quality' AS finding, 'canonical' AS vocabulary, CASE WHEN quality = 1 THEN 1.0::DOUBLE WHEN quality = 0 THEN 0.0::DOUBLE END AS value FROM labels
@@ -61,7 +61,11 @@ def cross_modal_map(spark, d):
     return rounded(C.cross_map(views(spark, d, "va", "vb"), ["va"], ["vb"], K), "value")
 
 
-@query()
+@query(f"""WITH {_CENTRES.format('embeddings')}, p AS (SELECT a.label AS a, b.label AS b, 1 - list_inner_product(a.v, b.v) / (a.s * b.s) AS x, (b.label - a.label)::DOUBLE AS y FROM c a JOIN c b ON a.label < b.label),
+u AS (SELECT label AS o, row_number() OVER (ORDER BY label) - 1 AS i FROM c), t AS (SELECT b AS rep, o AS dest, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM u, unnest(range(0, 49)) q(b)),
+g AS (SELECT rep, u.o AS src, dest FROM t JOIN u ON t.k = u.i), w AS (SELECT ga.rep, p.x, q.y FROM p JOIN g ga ON ga.src = p.a JOIN g gb ON gb.src = p.b AND gb.rep = ga.rep JOIN p q ON q.a = least(ga.dest, gb.dest) AND q.b = greatest(ga.dest, gb.dest)),
+r AS (SELECT rep, {_rank('x', 'rep')} AS x, {_rank('y', 'rep')} AS y FROM w), d AS (SELECT rep, corr(x, y) AS draw FROM r GROUP BY 1), o0 AS (SELECT {_rank('x')} AS x, {_rank('y')} AS y FROM p), o AS (SELECT corr(x, y) AS s, count(*) AS n FROM o0)
+SELECT round(s, 6) AS spearman, n, (SELECT (count(*) FILTER (abs(draw) >= abs(s)) + 1) / (count(*) + 1.0)::DOUBLE FROM d) AS p_value FROM o""")
 def ontology_link(spark, d):
     e = table(spark, d, "embeddings").select("label", "embedding")
     pairs = spark.range(10).select(F.col("id").alias("a")).crossJoin(spark.range(10).select(F.col("id").alias("b"))).filter("a < b")  # ten classes
@@ -107,7 +111,11 @@ def grade_ladder(spark, d):
     return rounded(C.grade_ladder(views(spark, d, "full", "va").drop("label"), grades, 20, 100), "spearman", digits=5)
 
 
-@query()
+_DRAWS = """SELECT id, 'within:' || maker AS finding FROM (SELECT vec_id AS id, label % 2 AS maker, row_number() OVER (PARTITION BY label % 2 ORDER BY md5('0|' || vec_id), vec_id) AS r, count(*) OVER (PARTITION BY label % 2) AS n FROM embeddings) WHERE r <= 100 AND n >= 100
+UNION ALL SELECT id, 'random:' || i FROM (SELECT vec_id AS id, i, row_number() OVER (PARTITION BY i ORDER BY md5('0:' || i || '|' || vec_id), vec_id) AS r FROM embeddings, (VALUES (0), (1)) t(i)) WHERE r <= 100"""
+
+
+@query(f"""WITH {_knn_among(_DRAWS, 'finding', ('va', 'vb'), 5)} SELECT g AS draw, split_part(g, ':', 1) AS arm, ea AS encoder_a, eb AS encoder_b, round(avg(overlap), 6) AS mknn FROM o GROUP BY ALL""")
 def acquisition_draws(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), (F.col("label") % 2).alias("maker"))
     return rounded(C.within_group_draws(views(spark, d, "va", "vb").drop("label"), e, "maker", 100, 5), "mknn")

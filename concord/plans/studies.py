@@ -13,6 +13,7 @@ from concord.operators import relational as R
 from concord.operators import vectors as V
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
+from concord.plans.composed import _knn_among
 from concord.plans.geometry import _overlap, views
 from concord.plans.statistics import _JUDGED, _rank, judged, rounded
 from concord.plans.transfer import labelled
@@ -202,7 +203,8 @@ def demographic_tests(spark, d):
     return rounded(found, *(c for c, t in found.dtypes if t == "double"))
 
 
-@query()
+@query(f"""WITH {_knn_among("SELECT vec_id AS id, 'f' || (label % 3) AS finding FROM embeddings", 'finding', ('full', 'va', 'vb'), 5)}, m AS (SELECT g, ea, eb, avg(overlap) AS m FROM o GROUP BY ALL HAVING count(*) >= 20)
+SELECT g AS finding, round(avg(m), 6) AS gold_alignment, count(*) AS n_pairs FROM m GROUP BY 1""")
 def gold_agreement(spark, d):
     gold = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("f"), F.col("label") % 3).alias("finding"))
     return rounded(C.gold_agreement(views(spark, d, "full", "va", "vb").drop("label"), gold, 5), "gold_alignment")
