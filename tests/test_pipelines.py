@@ -1,5 +1,7 @@
 """Compositions on small made-up tables."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +89,53 @@ def test_reader_study(spark):
     other = right.withColumn("finding_present", F.when(F.col("display_id") == 0, "yes").when(F.col("display_id") == 1, "?").otherwise(F.col("finding_present")))
     r = C.reader_study(right, other, truth).first()
     assert (r.accuracy_a, r.n_b) == (1.0, 9) and r.specificity_b == 0.8 and r.sensitivity_b == 1.0 and 0 < r.kappa < 1
+
+
+def test_link_decision(spark):
+    r = np.random.default_rng(4)
+    units = [f"e{i}" for i in range(8)]
+    pairs = [(a, b) for i, a in enumerate(units) for b in units[i + 1 :]]
+    value = {p: float(x) for p, x in zip(pairs, r.normal(size=len(pairs)))}
+    alignment = spark.createDataFrame([("mknn", a, b, v) for (a, b), v in value.items()], "metric string, pair_lo string, pair_hi string, alignment double")
+    rows = [("anchor", n, a, b, "x", value[a, b] * 2 + float(r.normal()) * s, None) for n, s in ((256, 0.1), (64, 100.0)) for a, b in pairs]
+    kept = spark.createDataFrame(rows, "route string, n_anchors int, pair_lo string, pair_hi string, objective_pair string, retention double, chance_corrected double")
+    out = {(x.n_anchors, x.level): x for x in C.link_table(alignment, kept, ("anchor", "mknn", 256)).collect()}
+    assert out[256, "all_pairs"].meets_rule and out[256, "all_pairs"].role == "primary" and out[256, "all_pairs"].rho > 0.9 and out[256, "all_pairs"].n_units == 8
+    assert not out[64, "all_pairs"].meets_rule and (256, "objective_pair") in out
+    with pytest.raises(ValueError):
+        C.link_table(alignment, kept, ("anchor", "mknn", 1024))
+
+
+def test_map_budgets_and_probe_reference(spark):
+    from concord.operators import probes as P
+
+    r = np.random.default_rng(5)
+    y = r.integers(0, 2, 400)
+    x = r.normal(size=(400, 4)) + y[:, None] * 1.5
+    rows = [(e, int(i), (x[i] @ m).tolist(), int(y[i]), int(i) // 2) for e, m in (("a", np.eye(4)), ("b", r.normal(size=(4, 4)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "encoder string, case_id long, embedding array<double>, y int, subject int")
+    train, test = df.filter("case_id < 250"), df.filter("case_id >= 250")
+    sweep = P.map_budgets(train, test, ["y"], "a", "b", [50, 200])
+    assert [round(v.retention, 2) for v in sweep.collect()] == [1.0, 1.0] and P.budget_summary(sweep).count() == 2
+    for budget in (5, 300):
+        with pytest.raises(ValueError):
+            P.map_budgets(train, test, ["y"], "a", "b", [budget])
+    found = P.probe_reference(df.filter("encoder = 'a'"), "y", "subject", "case_id", 3).first()
+    assert found.auroc > 0.9 > 0.75 > found.reference_mean and found.excess > 0.2 and found.p_raw == 0.25
+    assert P.probe_reference(df.filter("encoder = 'a' AND case_id < 100"), "y", "subject", "case_id", 3) is None
+
+
+def test_graded_pool_is_cut_by_whole_subjects(spark):
+    rows = [(i, f"{i}.png", i // 4, "Train" if i < 60 else "VAL", 40, "F", "PA", "2020", "r", i % 3, "x") for i in range(80)]
+    master = spark.createDataFrame(rows, "image_id int, img_rel_path string, subject_id int, split string, age int, gender string, view string, study_date string, reader string, edema int, g string")
+    pool = C.graded_pool(master, "taix", {"edema": "edema"}, [], ["g"], "reader", cap=40).collect()
+    per = Counter(p.subject_id for p in pool)
+    assert set(per.values()) == {4} and len(pool) <= 40 and {p.split for p in pool} == {"train", "valid"} and {p.grade__g for p in pool} == {None}
+
+
+def test_site_policies(spark):
+    from concord.functions.sites import CANONICAL, site_policies
+
+    rows = site_policies(spark).collect()
+    assert len(CANONICAL) == 14 and {r.finding for r in rows if r.vocabulary == "canonical"} == set(CANONICAL)
+    assert {tuple(r.negatives) for r in rows if r.site == "mimic"} == {(0.0, 2.0)} and {tuple(r.negatives) for r in rows if r.site == "padchest"} == {(0.0,)}
