@@ -167,7 +167,7 @@ def class_pool(spark, d):
     return C.class_pool(e, "skin_c", "vec_id", {"C0": "one", "C1": "two"}, 20, 42, "c")
 
 
-@query("""SELECT 'taix__' || o_orderkey AS case_id, o_custkey AS subject_id, CASE WHEN o_orderstatus = 'O' THEN 'valid' ELSE 'train' END AS split, CASE WHEN o_orderkey % 3 = 1 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN 0.0 END::DOUBLE AS edema,
+@query("""SELECT 'graded__' || o_orderkey AS case_id, o_custkey AS subject_id, CASE WHEN o_orderstatus = 'O' THEN 'valid' ELSE 'train' END AS split, CASE WHEN o_orderkey % 3 = 1 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN 0.0 END::DOUBLE AS edema,
 CASE WHEN o_orderkey % 3 = 1 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN 0.0 END::DOUBLE AS side__effusion__left, (o_orderkey % 5)::DOUBLE AS grade__congestion, left(o_orderpriority, 1) AS reader_id FROM orders""")
 def graded_pool(spark, d):
     key = F.col("o_orderkey")
@@ -175,7 +175,7 @@ def graded_pool(spark, d):
         key.alias("image_id"), F.lit("x.png").alias("img_rel_path"), F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "O", "VAL").otherwise("Train").alias("split"), F.lit(50).alias("age"), F.lit("f").alias("gender"),
         F.lit("pa").alias("view"), F.lit("2020").alias("study_date"), F.left("o_orderpriority", F.lit(1)).alias("reader"), (key % 3).alias("oedema"), (key % 3).alias("effusion_left_binary"), (key % 5).cast("string").alias("congestion"),
     )
-    return C.graded_pool(master, "taix", {"oedema": "edema"}, ["effusion"], ["congestion", "absent"], "reader").select("case_id", "subject_id", "split", "edema", "side__effusion__left", "grade__congestion", "reader_id")
+    return C.graded_pool(master, "graded", {"oedema": "edema"}, ["effusion"], ["congestion", "absent"], "reader").select("case_id", "subject_id", "split", "edema", "side__effusion__left", "grade__congestion", "reader_id")
 
 
 @query("""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'mimic' ELSE 'chexpert' END AS dataset, 'k' || doc_id AS image_key, lang AS split, CASE WHEN doc_id % 3 <> 0 THEN 'r/' || doc_id || '.txt' ELSE ' ' END AS rel, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'nan' ELSE ' ' || lang END AS f,

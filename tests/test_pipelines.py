@@ -128,7 +128,7 @@ def test_map_budgets_and_probe_reference(spark):
 def test_graded_pool_is_cut_by_whole_subjects(spark):
     rows = [(i, f"{i}.png", i // 4, "Train" if i < 60 else "VAL", 40, "F", "PA", "2020", "r", i % 3, "x") for i in range(80)]
     master = spark.createDataFrame(rows, "image_id int, img_rel_path string, subject_id int, split string, age int, gender string, view string, study_date string, reader string, edema int, g string")
-    pool = C.graded_pool(master, "taix", {"edema": "edema"}, [], ["g"], "reader", cap=40).collect()
+    pool = C.graded_pool(master, "graded", {"edema": "edema"}, [], ["g"], "reader", cap=40).collect()
     per = Counter(p.subject_id for p in pool)
     assert set(per.values()) == {4} and len(pool) <= 40 and {p.split for p in pool} == {"train", "valid"} and {p.grade__g for p in pool} == {None}
 
