@@ -12,12 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import materialise
 from concord.llm.tokens import default_tokenizer, encoder
 from concord.sources.shared import shared_dir
 
@@ -27,7 +25,9 @@ END_OF_DOCUMENT = 49407
 #: Byte at which Spark may end a row while it reads a flat file; the more common, the shorter the rows. It stays part of the data.
 ROW_END = 0x0A
 
-_IDS = [T.StructField("_file", T.IntegerType()), T.StructField("_ordinal", T.LongType()), T.StructField("_ids", T.BinaryType())]
+_IDS = [T.StructField("_ordinal", T.LongType()), T.StructField("_ids", T.BinaryType())]
+_AS_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+_HEX, _OTHER_HEX = "0123456789ABCDEF", "ghijklmnopqrstuv"
 _FOUND = T.StructType(
     [T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n_bytes", T.LongType())]
     + [T.StructField("places", T.ArrayType(T.LongType())), T.StructField("head", T.BinaryType()), T.StructField("tail", T.BinaryType())]
@@ -37,8 +37,9 @@ _FOUND = T.StructType(
 def write_flat(docs: DataFrame, text: str, keeps: list[str], tokenizer: str | None = None, end_id: int = END_OF_DOCUMENT, dtype: str = DTYPE) -> tuple[str, DataFrame]:
     """(folder of flat files below the shared folder, manifest: the columns `keeps`, of_file, of_ordinal).
 
-    One flat file holds the texts of one task, in order; of_file is the name of its folder. Strings
-    of special tokens inside texts are ordinary text, so a text never holds the separator; an id
+    One flat file holds the texts of one task, in order; of_file is its name. Texts are read once: a
+    task writes its flat file and, beside it, whose texts they are, so nothing moves between
+    executors. Kept columns pass through JSON. Strings of special tokens inside texts are ordinary text, so a text never holds the separator; an id
     that dtype cannot hold fails the job. A null text is empty, texts that repeat are written each
     for itself, and an empty table gives no files and an empty manifest. Kept columns may have any
     names but the two new ones, which replace them. The manifest only tells whose count is whose; the scan does not read it.
@@ -46,12 +47,13 @@ def write_flat(docs: DataFrame, text: str, keeps: list[str], tokenizer: str | No
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     keeps = [c for c in keeps if c not in ("of_file", "of_ordinal")]
     names = [f"_kept_{i}" for i in range(len(keeps))]
-    schema = T.StructType([*(T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keeps)), *_IDS])
+    kept = T.StructType([T.StructField(n, docs.schema[c].dataType) for n, c in zip(names, keeps)])
+    schema = T.StructType([*kept, *_IDS])
     if not 0 <= end_id <= np.iinfo(dtype).max:
         raise ValueError("the separator does not fit into dtype")
 
     def run(batches):
-        encode, most, ordinal, task = encoder(tokenizer, True), np.iinfo(dtype).max, 0, TaskContext.get().partitionId()
+        encode, most, ordinal = encoder(tokenizer, True), np.iinfo(dtype).max, 0
         for batch in batches:
             out = []
             for body in batch.column(len(keeps)):
@@ -62,19 +64,27 @@ def write_flat(docs: DataFrame, text: str, keeps: list[str], tokenizer: str | No
                     raise ValueError("a text holds the separator")
                 out.append(ids.astype(dtype).tobytes())
             n = batch.num_rows
-            more = [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(ordinal, ordinal + n)), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.arange(ordinal, ordinal + n)), pa.array(out, pa.binary())], names=schema.names)
             ordinal += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=schema.names)
 
+    path, end = f"{shared_dir(spark)}/flat", np.array([end_id], dtype).tobytes()
+    # Spark's text writer puts out the bytes of a value as they are, and the line separator after each;
+    # the manifest is written in digits that do not hold the separator
+    digits = _OTHER_HEX if chr(end[0]) in _HEX else _HEX
     rows = docs.select(*(docs[f"`{c}`"].alias(n) for n, c in zip(names, keeps)), docs[f"`{text}`"].alias("_text")).mapInArrow(run, schema)
-    rows = materialise(rows, "ids")
-    path = f"{shared_dir(spark)}/flat"
-    end = np.array([end_id], dtype).tobytes().decode("latin-1")
-    # Spark's text writer puts out the bytes of a value as they are, and the line separator after each
-    files = rows.select("_file", "_ordinal", "_ids").repartition("_file").sortWithinPartitions("_file", "_ordinal").select(F.col("_ids").cast("string").alias("value"), "_file")
-    files.write.option("encoding", "ISO-8859-1").option("lineSep", end).option("compression", "none").partitionBy("_file").text(path)
-    file = F.concat(F.lit("_file="), F.col("_file").cast("string"))
-    return path, rows.select(*(F.col(n).alias(c) for n, c in zip(names, keeps)), file.alias("of_file"), F.col("_ordinal").alias("of_ordinal"))
+    whose = F.translate(F.hex(F.to_json(F.struct(*names, "_ordinal"), _AS_JSON)), _HEX, digits)
+    both = F.array(F.struct(F.lit("ids").alias("kind"), F.col("_ids").cast("string").alias("value")), F.struct(F.lit("whose").alias("kind"), whose.alias("value")))
+    lines = rows.select("_ordinal", F.explode(both).alias("x")).select("_ordinal", "x.*").sortWithinPartitions("kind", "_ordinal").select("value", "kind")
+    as_lines = {"encoding": "ISO-8859-1", "lineSep": end.decode("latin-1")}
+    lines.write.options(**as_lines, compression="none").partitionBy("kind").text(path)
+    if docs.isEmpty():
+        written = spark.createDataFrame([], "value string, file string")
+        written.select("value").write.text(f"{path}/kind=ids")
+    else:
+        written = spark.read.options(**as_lines).text(f"{path}/kind=whose").select("value", F.col("_metadata.file_name").alias("file"))
+    parsed = F.from_json(F.decode(F.unhex(F.translate("value", digits, _HEX)), "UTF-8"), T.StructType([*kept, _IDS[0]]), _AS_JSON)
+    manifest = written.select(parsed.alias("x"), "file").select(*(F.col(f"x.{n}").alias(c) for n, c in zip(names, keeps)), F.col("file").alias("of_file"), F.col("x._ordinal").alias("of_ordinal"))
+    return f"{path}/kind=ids", manifest
 
 
 def read_flat(spark: SparkSession, path: str, row_end: int = ROW_END) -> DataFrame:

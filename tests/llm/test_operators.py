@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from concord.llm import bitsliced, chat, components, decontaminate, extract, htmlblocks, langid, packing, quality, simhash, tokencount, tokens, warc
 from concord.llm.pagemaker import Maker
+from tests.llm.held_out_pages import PAGES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and reading water house garden summer winter table chair music paper river stone light".split()
@@ -457,12 +458,12 @@ def test_decontamination_equals_brute_force(spark, max_bytes):
 @pytest.mark.parametrize("split", ["100", "1g"])
 def test_token_counts_in_flat_files(spark, split):
     texts = TEXTS[1:8] + ["water stone garden"] * 9 + ["<|endoftext|>", LONG]
-    docs = documents(spark, texts, True).repartition(3)
+    docs = documents(spark, texts, True).withColumn("block", F.lit("é\n漢")).withColumn("at", F.timestamp_micros(F.lit(1234567))).repartition(3)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
         path, manifest = tokencount.write_flat(docs, "text", [c for c in docs.columns if c != "text"])
         counts = tokencount.count_tokens(tokencount.read_flat(spark, path))
-        counts = counts.select(F.element_at(F.split("file", "/"), -2).alias("of_file"), F.col("ordinal").alias("of_ordinal"), F.col("n_tokens").alias("counted"), "closed")
+        counts = counts.select(F.element_at(F.split("file", "/"), -1).alias("of_file"), F.col("ordinal").alias("of_ordinal"), F.col("n_tokens").alias("counted"), "closed")
         rows = manifest.join(counts, ["of_file", "of_ordinal"]).collect()
         assert counts.filter("NOT closed").count() == 0 and counts.count() == len(texts)
     finally:
@@ -470,9 +471,9 @@ def test_token_counts_in_flat_files(spark, split):
     tok = Tokenizer.from_file(tokens.default_tokenizer())
     tok.encode_special_tokens = True
     assert {r.doc_id: r.counted for r in rows} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
-    assert {r.data for r in rows} == {"clash"}
+    assert {(r.data, r.block, r["at"].microsecond) for r in rows} == {("clash", "é\n漢", 234567)}
     path, manifest = tokencount.write_flat(docs.limit(0), "text", ["doc_id"])
-    assert manifest.count() == 0
+    assert manifest.count() == 0 and tokencount.count_tokens(tokencount.read_flat(spark, path)).count() == 0
 
 
 def test_flat_files_refuse_ids_that_do_not_fit(spark):
@@ -580,6 +581,17 @@ def test_labeller_on_pages_not_seen():
     assert right / n > 0.99
 
 
+def test_labeller_on_hand_written_pages():
+    right = total = 0
+    for page in PAGES:
+        blocks, truth = htmlblocks.blocks_of("".join(m for m, _ in page)), []
+        for i, (_, main) in enumerate(page):
+            truth += [main] * (len(htmlblocks.blocks_of("".join(m for m, _ in page[: i + 1]))) - len(truth))
+        got = extract.default_labeller().label([htmlblocks.features(blocks)])[0]
+        right, total = right + sum(a == b for a, b in zip(truth, got, strict=True)), total + len(blocks)
+    assert right >= 0.9 * total
+
+
 def test_gradients_of_the_labeller():
     from concord.llm import blocklabeller as B
 
