@@ -17,6 +17,8 @@ from concord.operators.sampling import hash_key, hash_number
 from concord.sources.shared import cut
 
 REPLICATES = 1000
+#: About so many rows of a replicate are sorted at once.
+PIECE = 50_000
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
@@ -165,11 +167,24 @@ def normal_p(point: float | None, error: float | None) -> float | None:
     return 2 * NormalDist().cdf(-abs(point) / error)
 
 
-def permuted(df: DataFrame, value: str, order: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """Rows (b, i, value): the values of a table in a random order for every replicate."""
-    rows = replicated(positions(df.select(*dict.fromkeys([*order, value])), order, "i").select("i", value), replicates)
-    rows = rows.withColumn("_key", hash_key(seed, F.col("b"), F.col("i")))
-    return positions(rows, ["_key", "i"], "_place", ["b"]).select("b", F.col("_place").alias("i"), value)
+def permuted(df: DataFrame, value: str, order: Sequence[str], replicates: int, seed: int, piece: int = PIECE) -> DataFrame:
+    """Rows (b, i, value): the values of a table in a random order for every replicate.
+
+    A replicate is sorted in pieces of about `piece` rows, which the first digits of the hash make;
+    the rows before each piece come from counts.
+    """
+    rows = cut(positions(df.select(*dict.fromkeys([*order, value])), order, "i").select("i", value))
+    n, digits = rows.count(), 0
+    while n > piece * 16**digits:
+        digits += 1
+    keyed = replicated(rows, replicates).withColumn("_key", hash_key(seed, F.col("b"), F.col("i")))
+    keyed = keyed.withColumn("_piece", F.substring("_key", 1, digits) if digits else F.lit(""))
+    placed = keyed.withColumn("_place", F.row_number().over(Window.partitionBy("b", "_piece").orderBy("_key", "i")) - 1)
+    if digits:
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy("b").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = keyed.groupBy("b", "_piece").agg(F.count("*").alias("_n")).select("b", "_piece", before.alias("_before"))
+        placed = placed.join(counts, ["b", "_piece"]).withColumn("_place", F.col("_place") + F.col("_before"))
+    return placed.select("b", F.col("_place").alias("i"), value)
 
 
 def permutation_two(df: DataFrame, value: str, group: str, first: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:

@@ -179,6 +179,18 @@ def test_permutations(spark):
     assert I.permutation_two(df.filter("id < 21"), "v", "g", "a", ["id"], 9).first().p_value is None
 
 
+def test_permuted_in_pieces_equals_one_order_of_hashes(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(i, i * 3) for i in range(500)], "k int, v int").repartition(4)
+    want = {}
+    for b in range(3):
+        order = sorted(range(500), key=lambda i: (hashlib.md5(f"7|{b}|{i}".encode()).hexdigest(), i))
+        want |= {(b, place): i * 3 for place, i in enumerate(order)}
+    for piece in (1000, 100, 5):
+        assert {(r.b, r.i): r.v for r in I.permuted(df, "v", ["k"], 3, 7, piece).collect()} == want
+
+
 def test_residuals_and_slope(spark):
     r = np.random.default_rng(3)
     z = r.normal(size=80)
