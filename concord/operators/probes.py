@@ -141,7 +141,7 @@ def probe_reference(rows: DataFrame, label: str, subject: str, id_col: str, repl
     train, test = (cut(capped(parts.filter(F.col("part") == p), most, seed, id_col)) for p in ("train", "test"))
     if not usable(train, label, 100) or not usable(test, label, 50):
         return None
-    scored = cut(fit_probe(train, label).score(test).select(id_col, subject, label, "score"))
+    scored = cut(fit_probe(train, label).score(test).select(*dict.fromkeys([id_col, subject, label, "score"])))
     observed = auroc(scored, label, "score").first()
     draws = []
     for b in range(replicates):
