@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (name to function of session and folder) and ORACLES (name to DuckDB SQL).
-MODULES = ["query_packing", "query_bitsliced", "query_langid", "query_simhash", "query_warc", "query_chat", "query_decontaminate", "query_tokencount", "query_extract", "query_quality", "query_vectorcodes", "query_exactdedup"]
+MODULES = ["query_packing", "query_bitsliced", "query_langid", "query_simhash", "query_warc", "query_chat", "query_decontaminate", "query_tokencount", "query_extract", "query_quality", "query_hardnegatives", "query_vectorcodes", "query_exactdedup"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
