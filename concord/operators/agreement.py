@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.operators.inference import permuted, spearman
-from concord.operators.order import positions
+from concord.operators import resampling as X
+from concord.operators.inference import spearman
 from concord.operators.sampling import capped
 from concord.operators.vectors import finite_rows, grams, knn_edges, neighbour_lists
 from concord.sources.shared import cut
@@ -266,41 +266,66 @@ def safe_mutual_knn(vectors: DataFrame, encoder_a: str, encoder_b: str, k: int =
     return rows.agg(F.when(F.count("*") >= least, F.avg("overlap")).alias("mknn"), F.count("*").alias("n"))
 
 
+_BLOCK_SHARES = "block string, r2_alone double, r2_unique double, r2_full double, reference_mean double, reference_ci_low double, reference_ci_high double, excess double, p_value double"
+
+
 def block_reference(rows: DataFrame, id_col: str, outcome: str, blocks: dict[str, Sequence[str]], replicates: int, seed: int = 0) -> DataFrame:
     """(block, r2_alone, r2_unique, r2_full, reference_mean, reference_ci_low, reference_ci_high, excess, p_value) of each block of columns.
 
     r2_unique is what the full model loses without the block. Its reference are replicates in which
-    the rows of the block are in a random order, those of all other columns as they are. Each
-    replicate needs the products of a few columns alone, so all are sums in one pass over rows times replicates.
+    the rows of the block are in a random order, those of all other columns as they are. A replicate changes only the
+    products of the block with the rest, which tasks give (for X.ENTRIES rows at most). Absent values of blocks
+    count as 0; rows without the outcome drop out. Where the outcome does not vary, or without rows, all values are NULL.
     """
     columns = [c for cols in blocks.values() for c in cols]
     value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    base = cut(positions(rows.filter(F.col(outcome).isNotNull()).select(id_col, F.col(outcome).cast("double").alias("_y"), *(value(c).alias(c) for c in columns)), [id_col], "i"))
-    names = ["_y", *columns]
-
-    def products(df: DataFrame, by: list[str]) -> dict[tuple, np.ndarray]:
-        every = [*(F.col(c) for c in names), F.lit(1.0)]
-        pairs = [(i, j) for i in range(len(every)) for j in range(i, len(every))]
-        out = {}
-        for r in df.groupBy(*by).agg(*(F.sum(every[i] * every[j]).alias(f"p{n}") for n, (i, j) in enumerate(pairs))).collect():  # a row a replicate
-            g = np.zeros((len(every), len(every)))
-            for n, (i, j) in enumerate(pairs):
-                g[i, j] = g[j, i] = r[f"p{n}"]
-            out[tuple(r[c] for c in by)] = g
-        return out
-
-    gram, out = products(base, []).get(()), []
+    kept = rows.filter(F.col(outcome).isNotNull()).select(F.col(id_col).alias("_id"), F.col(outcome).cast("double").alias("_y"), *(value(c).alias(f"_x{i}") for i, c in enumerate(columns)), F.lit(1.0).alias("_one"))
+    places = X.placed_rows(kept, ["_id"], ["_y", *(f"_x{i}" for i in range(len(columns))), "_one"])
+    everything = list(range(len(columns) + 2))
     at = {name: [1 + columns.index(c) for c in cols] for name, cols in blocks.items()}
+    if not places.n:
+        return rows.sparkSession.createDataFrame([(name, *[None] * 8) for name in blocks], _BLOCK_SHARES)
+    gram, out = X.permuted_products(places, everything, everything, 0, seed)[0], []
     shares = block_r_squared(gram, 0, at)
-    for name, cols in blocks.items():
-        moved = permuted(base.select("i", F.struct(*cols).alias("_block")), "_block", ["i"], replicates, seed)
-        mixed = base.drop(*cols).join(moved, "i").select("b", "_y", *(c for c in columns if c not in cols), *(F.col(f"_block.`{c}`").alias(c) for c in cols))
-        draws = np.array([block_r_squared(g, 0, at)[name]["unique"] for g in products(mixed, ["b"]).values()], float)
+    for name in blocks:
         own = shares[name]["unique"]
+        if own is None:
+            out.append((name, shares[name]["alone"], *[None] * 7))
+            continue
+        rest = [i for i in everything if i not in at[name]]
+        draws = []
+        for moved in X.permuted_products(places, rest, at[name], replicates, seed)[1:]:
+            g = gram.copy()
+            g[np.ix_(rest, at[name])], g[np.ix_(at[name], rest)] = moved, moved.T
+            draws.append(block_r_squared(g, 0, at)[name]["unique"])
+        draws = np.array(draws, float)
         low, high = np.percentile(draws, [2.5, 97.5])
-        out.append((name, shares[name]["alone"], own, shares["full"]["alone"], float(draws.mean()), float(low), float(high), own - float(draws.mean()), float((int((draws >= own).sum()) + 1) / (len(draws) + 1))))
-    schema = "block string, r2_alone double, r2_unique double, r2_full double, reference_mean double, reference_ci_low double, reference_ci_high double, excess double, p_value double"
-    return rows.sparkSession.createDataFrame(out, schema)
+        p = (int(X.at_least(draws, own).sum()) + 1) / (len(draws) + 1)
+        out.append((name, shares[name]["alone"], own, shares["full"]["alone"], float(draws.mean()), float(low), float(high), own - float(draws.mean()), float(p)))
+    return rows.sparkSession.createDataFrame(out, _BLOCK_SHARES)
+
+
+def structural_reference(vectors: DataFrame, label: str, id_col: str, replicates: int, seed: int = 0, embedding: str = "embedding") -> DataFrame:
+    """(replicate, mean_distance): mean cosine distance of the classes' centroids, first (-1) as labelled, then with the labels in random orders.
+
+    Labels move as whole rows, so every class keeps its size. A replicate is the classes' sums of vectors,
+    for X.MOST_GROUPS classes at most; rows without a label or a finite vector drop out, and with fewer than two classes there are no rows.
+    """
+    from concord.operators.inference import MOST_GROUPS
+
+    rows = finite_rows(vectors.filter(F.col(label).isNotNull()), embedding)
+    sizes = [r.n for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).limit(MOST_GROUPS + 1).collect()]
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"a structure is of at most {MOST_GROUPS} classes")
+    schema = "replicate int, mean_distance double"
+    if len(sizes) < 2:
+        return vectors.sparkSession.createDataFrame([], schema)
+    sums = X.permuted_sums(X.placed_rows(rows, [label, id_col], [embedding]), sizes, replicates, seed)
+    centres = sums / np.array(sizes, float)[:, None]
+    centres /= np.maximum(np.linalg.norm(centres, axis=2, keepdims=True), 1e-9)
+    i, j = np.triu_indices(len(sizes), 1)
+    distances = [float((1 - (c[i] * c[j]).sum(1)).mean()) for c in centres]
+    return vectors.sparkSession.createDataFrame([(b - 1, x) for b, x in enumerate(distances)], schema)
 
 
 def top_singular_share(gram: np.ndarray) -> float:

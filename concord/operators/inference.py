@@ -1,7 +1,8 @@
-"""Resampling inference on result tables: ranks, bootstrap, jackknife, permutation, false discovery.
+"""Resampling inference: ranks, bootstrap, jackknife, permutation, false discovery.
 
-Replicates are rows: a replicate number is exploded against the table, draws come from hashes of
-seed, replicate and place, and the statistics are ordinary aggregates by replicate.
+Sums of replicates come from tasks that draw them on packed rows (operators/resampling.py), so no
+row is copied for a replicate. replicated(), resampled(), subsampled() and permuted() give the rows
+themselves, for statistics that are no sums; they are meant for tables of results.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators import resampling as X
 from concord.operators.order import carried, grouped_names, positions, ranked, same_group, spread
 from concord.operators.sampling import hash_key, hash_number
 from concord.sources.shared import cut
@@ -61,9 +64,14 @@ def resampled(df: DataFrame, order: Sequence[str], replicates: int, seed: int) -
     return draws.join(rows.drop("n"), "i").drop("i")
 
 
+def _checked_clusters(df: DataFrame, cluster: str) -> DataFrame:
+    absent = F.lower(F.trim(F.col(cluster).cast("string"))).isin("", "nan", "none") | F.col(cluster).isNull()
+    return df.withColumn(cluster, F.when(absent, F.raise_error(F.lit("a row has no cluster"))).otherwise(F.col(cluster)))
+
+
 def resampled_clusters(df: DataFrame, cluster: str, replicates: int, seed: int) -> DataFrame:
     """All rows of clusters drawn with replacement; a row without a cluster fails the query."""
-    checked = df.withColumn(cluster, F.when(F.lower(F.trim(F.col(cluster).cast("string"))).isin("", "nan", "none") | F.col(cluster).isNull(), F.raise_error(F.lit("a row has no cluster"))).otherwise(F.col(cluster)))
+    checked = _checked_clusters(df, cluster)
     clusters = numbered(checked.select(cluster).distinct(), [cluster])
     draws = replicated(clusters.select("i", "n"), replicates).select("b", F.pmod(hash_number(seed, F.col("b"), F.col("i")), F.col("n")).cast("int").alias("i"))
     drawn = draws.join(clusters.select("i", cluster), "i").groupBy("b", cluster).agg(F.count("*").alias("weight"))
@@ -75,38 +83,75 @@ def interval(draws: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return draws.groupBy(*by).agg(F.stddev_samp(value).alias("std"), F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"), F.count(value).alias("n_draws"))
 
 
-def bootstrap_mean(df: DataFrame, value: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    rows = df.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*order, value]))
-    draws = resampled(rows, order, replicates, seed).groupBy("b").agg(F.avg(value).alias("draw"))
-    return rows.agg(F.avg(value).alias("point"), F.count("*").alias("n")).crossJoin(interval(draws, "draw"))  # one row each
+def _spread_of(draws: np.ndarray) -> tuple[float | None, float | None, float | None, int]:
+    """Standard deviation, 95 % percentile interval and number of the finite values."""
+    good = draws[np.isfinite(draws)]
+    if not len(good):
+        return None, None, None, 0
+    low, high = np.percentile(good, [2.5, 97.5])
+    return (float(good.std(ddof=1)) if len(good) > 1 else None), float(low), float(high), len(good)
+
+
+_SPREAD = "std double, ci_low double, ci_high double, n_draws long"
+
+
+def _number(x: float) -> float | None:
+    return float(x) if np.isfinite(x) else None
+
+
+def _bootstrapped(df: DataFrame, values: np.ndarray, sizes: dict[str, int], extra: dict[str, float | None] | None = None) -> DataFrame:
+    """One row: the table's value as point, sizes, the spread of the replicates' values."""
+    extra = extra or {}
+    schema = ", ".join(["point double", *(f"{c} long" for c in sizes), _SPREAD, *(f"{c} double" for c in extra)])
+    return df.sparkSession.createDataFrame([(_number(values[0]), *sizes.values(), *_spread_of(values[1:]), *extra.values())], schema)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return a / b
+
+
+def bootstrap_mean(df: DataFrame, value: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Mean with its interval over as many rows drawn with replacement; NULL for an empty table."""
+    cells = X.value_cells(df.filter(F.col(value).isNotNull()), [value])
+    sums = X.bootstrap_sums(cells, lambda x: np.column_stack([x[:, 0], np.ones(len(x))]), 2, replicates, seed)
+    return _bootstrapped(df, _ratio(sums[:, 0], sums[:, 1]), {"n": cells.n})
 
 
 def cluster_bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    rows = df.filter(F.col(value).isNotNull()).select(cluster, value)
-    per = rows.groupBy(cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
-    draws = resampled_clusters(per, cluster, replicates, seed).groupBy("b").agg((F.sum(F.col("weight") * F.col("_s")) / F.sum(F.col("weight") * F.col("_c"))).alias("draw"))
-    return rows.agg(F.avg(value).alias("point"), F.count("*").alias("n")).crossJoin(interval(draws, "draw"))  # one row each
+    """Mean of all rows of clusters drawn with replacement; a row without a cluster fails the query."""
+    per = _checked_clusters(df.filter(F.col(value).isNotNull()).select(cluster, value), cluster).groupBy(cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
+    cells = X.value_cells(per, ["_s", "_c"])
+    sums = X.bootstrap_sums(cells, lambda x: x, 2, replicates, seed)
+    return _bootstrapped(df, _ratio(sums[:, 0], sums[:, 1]), {"n": int(sums[0, 1])})
 
 
-def paired_bootstrap(df: DataFrame, a: str, b: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+def paired_bootstrap(df: DataFrame, a: str, b: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """Mean difference with its interval, and the share of draws as far from it as it is from zero, at least 1 / replicates."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*order, (F.col(a) - F.col(b)).alias("d"))
-    draws = resampled(rows, order, replicates, seed).groupBy("b").agg(F.avg("d").alias("draw"))
-    point = rows.agg(F.avg("d").alias("point"), F.count("*").alias("n"))
-    tested = draws.crossJoin(F.broadcast(point)).agg(F.greatest(F.avg((F.abs(F.col("draw") - F.col("point")) >= F.abs("point")).cast("double")), F.lit(1.0 / replicates)).alias("p_value"))  # one row
-    return point.crossJoin(interval(draws, "draw")).crossJoin(tested)
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
+    cells = X.value_cells(rows, ["d"])
+    sums = X.bootstrap_sums(cells, lambda x: np.column_stack([x[:, 0], np.ones(len(x))]), 2, replicates, seed)
+    values = _ratio(sums[:, 0], sums[:, 1])
+    share = float(X.at_least(np.abs(values[1:] - values[0]), abs(values[0])).mean()) if cells.n else None
+    return _bootstrapped(df, values, {"n": cells.n}, {"p_value": None if share is None else max(share, 1.0 / replicates)})
 
 
 def bootstrap_spearman(df: DataFrame, x: str, y: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*order, x, y)
-    draws = spearman(resampled(rows, order, replicates, seed), x, y, ["b"])
-    return spearman(rows, x, y).withColumnRenamed("spearman", "point").crossJoin(interval(draws, "spearman"))  # one row each
+    """Rank correlation with its interval. Every task holds the distinct pairs of values; beyond X.ENTRIES of them rows are copied, told apart by `order`."""
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([*order, x, y]))
+    if rows.select(x, y).distinct().count() > X.ENTRIES:
+        draws = spearman(resampled(rows, order, replicates, seed), x, y, ["b"])
+        return spearman(rows, x, y).withColumnRenamed("spearman", "point").crossJoin(interval(draws, "spearman"))  # one row each
+    cells = X.value_cells(rows, [x, y])
+    return _bootstrapped(df, X.bootstrap_rank_correlations(cells, replicates, seed), {"n": cells.n})
 
 
-def bootstrap_slope(df: DataFrame, x: str, y: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*order, x, y)
-    draws = resampled(rows, order, replicates, seed).groupBy("b").agg(F.regr_slope(y, x).alias("draw"))
-    return rows.agg(F.regr_slope(y, x).alias("point"), F.count("*").alias("n")).crossJoin(interval(draws, "draw"))  # one row each
+def bootstrap_slope(df: DataFrame, x: str, y: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Slope of a straight line with its interval; a draw in which x does not vary counts for none."""
+    cells = X.value_cells(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y])
+    sums = X.bootstrap_sums(cells, lambda v: np.column_stack([np.ones(len(v)), v, v[:, 0] * v[:, 1], v[:, 0] ** 2]), 5, replicates, seed)
+    n, sx, sy, xy, xx = sums.T
+    return _bootstrapped(df, _ratio(n * xy - sx * sy, n * xx - sx * sx), {"n": cells.n})
 
 
 def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -119,10 +164,22 @@ def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Data
     return rows.groupBy(*by).agg(pos.alias("_p"), neg.alias("_q"), total.alias("_s")).select(*by, F.when((F.col("_p") > 0) & (F.col("_q") > 0), (F.col("_s") - F.col("_p") * (F.col("_p") + 1) / 2.0) / (F.col("_p") * F.col("_q"))).alias("auroc"), F.col("_p").cast("long").alias("n_positive"), F.col("_q").cast("long").alias("n_negative"))
 
 
-def bootstrap_auroc(df: DataFrame, label: str, score: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull()).select(*order, label, score)
-    draws = auroc(resampled(rows, order, replicates, seed), label, score, ["b"])
-    return auroc(rows, label, score).withColumnRenamed("auroc", "point").crossJoin(interval(draws, "auroc"))  # one row each
+def bootstrap_auroc(df: DataFrame, label: str, score: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Area under the ROC curve with its interval; draws of a single class count for none."""
+    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+    counts = {r.y: r.n for r in rows.groupBy(F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    cells = X.value_cells(rows, [score], label)
+    return _bootstrapped(df, X.bootstrap_aurocs(cells, replicates, seed) if cells.n else np.full(1 + replicates, np.nan), {"n_positive": counts.get(1, 0), "n_negative": counts.get(0, 0)})
+
+
+def subsample_mean(df: DataFrame, value: str, order: Sequence[str], m: int | None = None, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """Mean of the means of m rows without replacement, 0.632 of them if m is not given, with its spread; NULL below four rows or if m is no part of them."""
+    rows = X.placed_rows(df.filter(F.col(value).isNotNull()), order, [value])
+    m = m or max(2, round(0.632 * rows.n))
+    if rows.n < 4 or not 2 <= m <= rows.n:
+        return df.sparkSession.createDataFrame([(None, rows.n, m, None, None, None, 0)], f"point double, n long, n_sub long, {_SPREAD}")
+    draws = X.permuted_sums(rows, [m], replicates, seed)[1:, 0, 0] / m
+    return df.sparkSession.createDataFrame([(float(draws.mean()), rows.n, m, *_spread_of(draws))], f"point double, n long, n_sub long, {_SPREAD}")
 
 
 def subsampled(df: DataFrame, id_col: str, m: int, replicates: int, seed: int) -> DataFrame:
@@ -187,16 +244,41 @@ def permuted(df: DataFrame, value: str, order: Sequence[str], replicates: int, s
     return placed.select("b", F.col("_place").alias("i"), value)
 
 
+#: Groups whose sums of all replicates the driver holds at most; rows are copied for more.
+MOST_GROUPS = 512
+
+
+def _share(draws: np.ndarray, value: float) -> float:
+    """(draws that reach the value, plus one) / (draws plus one)."""
+    return float((X.at_least(draws, value).sum() + 1) / (len(draws) + 1))
+
+
 def permutation_two(df: DataFrame, value: str, group: str, first: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """Two-sided permutation p of the difference of two group means, (count + 1) / (replicates + 1); NULL below two rows a group."""
-    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
-    is_first = F.col(group) == first
-    observed = rows.agg((F.avg(F.when(is_first, F.col(value))) - F.avg(F.when(~is_first, F.col(value)))).alias("difference"), F.sum(is_first.cast("long")).alias("n_a"), F.sum((~is_first).cast("long")).alias("n_b"))
-    moved = permuted(rows, value, order, replicates, seed).crossJoin(F.broadcast(observed))  # one row
-    inside = F.col("i") < F.col("n_a")
-    draws = moved.groupBy("b", "difference").agg((F.avg(F.when(inside, F.col(value))) - F.avg(F.when(~inside, F.col(value)))).alias("draw"))
-    count = draws.agg(((F.sum((F.abs("draw") >= F.abs("difference")).cast("long")) + 1) / (F.count("*") + 1.0)).alias("_p"))
-    return observed.crossJoin(count).select("difference", "n_a", "n_b", F.when((F.col("n_a") >= 2) & (F.col("n_b") >= 2), F.col("_p")).alias("p_value"))
+    _, row = _two_groups(df, value, group, first, order, replicates, seed)
+    return df.sparkSession.createDataFrame([row], "difference double, n_a long, n_b long, p_value double")
+
+
+def _two_groups(df: DataFrame, value: str, group: str, first: str, order: Sequence[str], replicates: int, seed: int) -> tuple[tuple, tuple]:
+    """((mean of the first group, of the others), (difference, n_a, n_b, p))."""
+    rows = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(*dict.fromkeys([*order, value]), (F.col(group) == first).alias("_first"))
+    is_first = F.col("_first")
+    n_a, n_b, a, b = rows.agg(F.count(F.when(is_first, 1)), F.count(F.when(~is_first, 1)), F.avg(F.when(is_first, F.col(value))), F.avg(F.when(~is_first, F.col(value)))).first()
+    difference = None if a is None or b is None else a - b
+    if min(n_a, n_b) < 2:
+        return (a, b), (difference, n_a, n_b, None)
+    sums = X.permuted_sums(X.placed_rows(rows, order, [value]), [n_a, n_b], replicates, seed)[1:, :, 0]
+    draws = sums[:, 0] / n_a - sums[:, 1] / n_b
+    return (a, b), (difference, n_a, n_b, _share(np.abs(draws), abs(difference)))
+
+
+def two_group_report(df: DataFrame, value: str, group: str, first: str, order: Sequence[str], prefix: str = "diff", share: bool = True, tested: str = "", replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """permutation_two() under the names of reports; a share is shown in percent with a decimal."""
+    (a, b), (difference, n_a, n_b, p) = _two_groups(df, value, group, first, order, replicates, seed)
+    shown = lambda x: None if x is None else round(x * (100 if share else 1), 1)
+    cells = {f"{prefix}_unit": "percentage_points" if share else "raw", f"{prefix}_mean": shown(difference), f"{prefix}_mean_raw": difference, f"{prefix}_group_a_mean": shown(a), f"{prefix}_group_b_mean": shown(b), "n_a": n_a, "n_b": n_b, "p_raw": p, "p_fdr": None, "tested": tested}
+    kinds = {f"{prefix}_unit": "string", "n_a": "long", "n_b": "long", "tested": "string"}
+    return df.sparkSession.createDataFrame([tuple(cells.values())], ", ".join(f"`{c}` {kinds.get(c, 'double')}" for c in cells))
 
 
 def f_statistic(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -209,9 +291,51 @@ def f_statistic(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
     return per.groupBy(*by).agg((between / (k - 1) / (within / (n - k))).alias("f"), k.alias("n_groups"), n.alias("n"))
 
 
+def _large_groups(df: DataFrame, value: str, group: str) -> tuple[DataFrame, list]:
+    """Rows with a value whose group has two or more, and (group, n, mean) of each in order, at most MOST_GROUPS + 1 of them."""
+    rows = df.filter(F.col(value).isNotNull())
+    sizes = cut(rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).filter("n >= 2"))
+    kept = rows.join(sizes.select("_group"), F.col(group).eqNullSafe(F.col("_group")), "left_semi")
+    return kept, sizes.orderBy("_group").limit(MOST_GROUPS + 1).collect()
+
+
+def _f_values(sums: np.ndarray, sizes: np.ndarray, squares: float) -> np.ndarray:
+    """One-way F of each replicate from its groups' sums, given the sum of all squares."""
+    n, k = sizes.sum(), len(sizes)
+    between = (sums**2 / sizes).sum(1) - sums.sum(1) ** 2 / n
+    total = squares - sums.sum(1) ** 2 / n
+    return _ratio(between / max(1, k - 1), (total - between) / (n - k)) if n > k > 1 else np.full(len(sums), np.nan)
+
+
 def permutation_groups(df: DataFrame, value: str, group: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
-    """Permutation p of the one-way F over groups of two or more rows."""
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_size", F.count("*").over(Window.partitionBy(group))).filter("_size >= 2").drop("_size")
+    """(f, n_groups, n, p_value): permutation p of the one-way F over groups of two or more rows; NULL below two groups."""
+    rows, groups = _large_groups(df, value, group)
+    if len(groups) > MOST_GROUPS:
+        return _permutation_of_many(rows, value, group, order, replicates, seed)
+    f, p = _f_test(rows, value, group, order, groups, replicates, seed)
+    return df.sparkSession.createDataFrame([(f, len(groups), sum(g.n for g in groups), p)], "f double, n_groups long, n long, p_value double")
+
+
+def _f_test(rows: DataFrame, value: str, group: str, order: Sequence[str], groups: list, replicates: int, seed: int) -> tuple[float | None, float | None]:
+    if len(groups) < 2:
+        return None, None
+    squares = rows.agg(F.sum(F.col(value).cast("double") * F.col(value))).first()[0]
+    sums = X.permuted_sums(X.placed_rows(rows, [group, *order], [value]), [g.n for g in groups], replicates, seed)[:, :, 0]
+    values = _f_values(sums, np.array([g.n for g in groups], float), squares)
+    return _number(values[0]), _share(values[1:], values[0]) if np.isfinite(values[0]) else None
+
+
+def groups_report(df: DataFrame, value: str, group: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
+    """(k_groups, group_means_pct, p_raw, p_fdr): permutation_groups() under the names of reports, means in percent in the order of the groups."""
+    rows, groups = _large_groups(df, value, group)
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"a report lists at most {MOST_GROUPS} groups")
+    means = ";".join(str(round(g.mean * 100, 1)) for g in groups)
+    return df.sparkSession.createDataFrame([(len(groups), means, _f_test(rows, value, group, order, groups, replicates, seed)[1], None)], "k_groups long, group_means_pct string, p_raw double, p_fdr double")
+
+
+def _permutation_of_many(rows: DataFrame, value: str, group: str, order: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """permutation_groups() for any number of groups, with a row for each row and replicate."""
     observed = f_statistic(rows, value, group)
     places = numbered(rows, [group, *order]).select("i", group)
     moved = permuted(rows, value, [group, *order], replicates, seed).join(places, "i")
@@ -256,11 +380,19 @@ def kappa(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
 
 def kappa_permutation(df: DataFrame, a: str, b: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
     """kappa() of the whole table with its two-sided p under random orders of the second readings, (count + 1) / (replicates + 1)."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*order, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    places = positions(rows, order, "i").select("i", "_a")
-    draws = kappa(permuted(rows, "_b", order, replicates, seed).join(places, "i"), "_a", "_b", ["b"]).select(F.col("kappa").alias("draw"))
-    observed = kappa(rows, "_a", "_b")
-    return draws.crossJoin(F.broadcast(observed)).groupBy("kappa", "agreement", "n").agg(((F.sum((F.abs("draw") >= F.abs("kappa")).cast("long")) + 1) / (F.count("draw") + 1.0)).alias("p_value"))  # one row
+    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*order, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("_a"), F.lit(0.0))).first()
+    names = "kappa double, agreement double, n long, p_value double"
+    if not n:
+        return df.sparkSession.createDataFrame([], names)
+    zeros = n - int(ones)
+    sums = X.permuted_sums(X.placed_rows(rows, ["_a", *order], ["_b"]), [zeros, n - zeros], replicates, seed)[:, :, 0]
+    agreement = (zeros - sums[:, 0] + sums[:, 1]) / n
+    x, y = (n - zeros) / n, sums.sum(1) / n
+    chance = x * y + (1 - x) * (1 - y)
+    values = np.where(chance == 1, np.nan, _ratio(agreement - chance, 1 - chance))
+    p = _share(np.abs(values[1:]), abs(values[0])) if np.isfinite(values[0]) else None
+    return df.sparkSession.createDataFrame([(_number(values[0]), float(agreement[0]), n, p)], names)
 
 
 def variance_share(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
@@ -272,40 +404,117 @@ def variance_share(df: DataFrame, value: str, group: str, by: Sequence[str] = ()
     return per.groupBy(*by).agg((between / (between + F.sum(F.col("c") * F.col("v")))).alias("share"), n.alias("n"), F.count("*").alias("n_groups"))
 
 
-def variance_share_reference(df: DataFrame, value: str, group: str, order: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
-    """variance_share with its mean under permuted groups and the exceedance p."""
+def variance_share_reference(df: DataFrame, value: str, group: str, order: Sequence[str], replicates: int, seed: int = 0, least_rows: int = 0, least_groups: int = 0) -> DataFrame:
+    """variance_share with its mean under permuted groups and the exceedance p; no row for a table or a number of groups that is too small."""
     rows = df.filter(F.col(value).isNotNull())
-    places = numbered(rows, order).select("i", group)
-    draws = variance_share(permuted(rows, value, order, replicates, seed).join(places, "i"), value, group, ["b"]).select(F.col("share").alias("draw"))
+    sizes = [r.n for r in rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).limit(MOST_GROUPS + 1).collect()]
+    names = "share double, n long, n_groups long, reference_mean double, p_raw double, excess double"
+    if not sizes or sum(sizes) < least_rows or len(sizes) < least_groups:
+        return df.sparkSession.createDataFrame([], names)
+    if len(sizes) > MOST_GROUPS:
+        return _variance_share_of_many(rows, value, group, order, replicates, seed)
+    squares = rows.agg(F.sum(F.col(value).cast("double") * F.col(value))).first()[0]
+    sums, n = X.permuted_sums(X.placed_rows(rows, [group, *order], [value]), sizes, replicates, seed)[:, :, 0], sum(sizes)
+    mean = sums.sum(1) ** 2 / n
+    values = _ratio((sums**2 / np.array(sizes, float)).sum(1) - mean, squares - mean)
+    good = values[1:][np.isfinite(values[1:])]
+    reference = float(good.mean()) if len(good) else None
+    own = _number(values[0])
+    return df.sparkSession.createDataFrame([(own, n, len(sizes), reference, None if own is None else _share(good, own), None if own is None or reference is None else own - reference)], names)
+
+
+def _variance_share_of_many(rows: DataFrame, value: str, group: str, order: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """variance_share_reference() for any number of groups, with a row for each row and replicate."""
+    places = numbered(rows, [group, *order]).select("i", group)
+    draws = variance_share(permuted(rows, value, [group, *order], replicates, seed).join(places, "i"), value, group, ["b"]).select(F.col("share").alias("draw"))
     observed = variance_share(rows, value, group)
     return draws.crossJoin(F.broadcast(observed)).groupBy("share", "n", "n_groups").agg(F.avg("draw").alias("reference_mean"), exceedance(draws, "draw", F.col("share")).alias("p_raw")).withColumn("excess", F.col("share") - F.col("reference_mean"))  # one row
 
 
+_MANTEL = "spearman double, n long, p_value double"
+
+
+def _mantel_row(df: DataFrame, products: np.ndarray, x: np.ndarray, y: np.ndarray) -> DataFrame:
+    """The correlation of the table and its p, from sums of products of centred ranks."""
+    scale = float(np.sqrt((x @ x) * (y @ y)))
+    if not scale:
+        return df.sparkSession.createDataFrame([(None, len(x), None)], _MANTEL)
+    values = products / scale
+    return df.sparkSession.createDataFrame([(float(values[0]), len(x), _share(np.abs(values[1:]), abs(values[0])))], _MANTEL)
+
+
+def _centred_ranks(values: np.ndarray) -> np.ndarray:
+    """Average ranks less their mean."""
+    _, code, n = np.unique(values, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - n + (n + 1) / 2)[code]
+    return ranks - ranks.mean() if len(ranks) else ranks
+
+
+#: Objects whose distances every task holds as a matrix at most; more are permuted by joins.
+MOST_OBJECTS = 3000
+
+
 def mantel(d: DataFrame, a: str, b: str, x: str, y: str, objects: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
     """Spearman correlation of two distances and its p under permutation of the objects of the second.
 
-    d holds every unordered pair once (a before b); objects has one column of them.
+    d holds every unordered pair once (a before b); objects has one column of them. A permutation of the
+    objects of a full triangle leaves the multiset of ranks as it is, so ranks are made once and a replicate is one product of
+    two matrices of them. Where pairs are missing or a distance is, entries are permuted instead.
     """
+    names = [r[0] for r in objects.distinct().orderBy(objects.columns[0]).limit(MOST_OBJECTS + 1).collect()]
+    rows = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if len(names) > MOST_OBJECTS:
+        return _mantel_by_joins(d, a, b, x, y, objects, replicates, seed)
+    if rows.count() != len(names) * (len(names) - 1) // 2:
+        return mantel_entries(d, x, y, [a, b], replicates, seed)
+    at = {v: i for i, v in enumerate(names)}
+    pairs = rows.select(F.col(a), F.col(b), F.col(x).cast("double"), F.col(y).cast("double")).collect()  # a triangle of at most MOST_OBJECTS objects
+    i, j = (np.array([at[r[c]] for r in pairs], int) for c in (0, 1))
+    ranks, matrices = [_centred_ranks(np.array([r[c] for r in pairs], float)) for c in (2, 3)], []
+    for r in ranks:
+        m = np.zeros((len(names), len(names)))
+        m[i, j] = m[j, i] = r
+        matrices.append(m)
+    return _mantel_row(d, X.permuted_triangles(*matrices, d, replicates, seed), *ranks)
+
+
+def _mantel_by_joins(d: DataFrame, a: str, b: str, x: str, y: str, objects: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """mantel() for any number of objects, with a row for each pair and replicate."""
     name = objects.columns[0]
+    ranks = ranked(ranked(cut(d.select(a, b, x, y)), x, "_rx"), y, "_ry")
     numbers = numbered(objects, [name]).select(F.col(name).alias("o"), "i")
     maps = permuted(objects, name, [name], replicates, seed).select("b", "i", F.col(name).alias("to")).withColumnRenamed("b", "rep")
     moved = maps.join(numbers, "i").select("rep", F.col("o").alias("from"), "to")
-    pairs = d.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(x).alias("x"))
+    pairs = ranks.select(F.col(a).alias("a"), F.col(b).alias("b"), "_rx")
     one = pairs.join(moved.select("rep", F.col("from").alias("a"), F.col("to").alias("ta")), "a").join(moved.select("rep", F.col("from").alias("b"), F.col("to").alias("tb")), ["rep", "b"])
-    other = d.select(F.col(a).alias("lo"), F.col(b).alias("hi"), F.col(y).alias("y"))
-    drawn = one.join(other, (F.least("ta", "tb") == F.col("lo")) & (F.greatest("ta", "tb") == F.col("hi"))).select("rep", "x", "y")
-    draws = spearman(drawn, "x", "y", ["rep"]).select(F.col("spearman").alias("draw"))
-    observed = spearman(d, x, y)
+    other = ranks.select(F.col(a).alias("lo"), F.col(b).alias("hi"), "_ry")
+    drawn = one.join(other, (F.least("ta", "tb") == F.col("lo")) & (F.greatest("ta", "tb") == F.col("hi")))
+    draws = drawn.groupBy("rep").agg(F.corr("_rx", "_ry").alias("draw"))
+    observed = ranks.agg(F.corr("_rx", "_ry").alias("spearman"), F.count("*").alias("n"))
     return draws.crossJoin(F.broadcast(observed)).groupBy("spearman", "n").agg(((F.sum((F.abs("draw") >= F.abs("spearman")).cast("long")) + 1) / (F.count("*") + 1.0)).alias("p_value"))  # one row
 
 
 def mantel_entries(d: DataFrame, x: str, y: str, order: Sequence[str], replicates: int, seed: int = 0) -> DataFrame:
-    """mantel() for pairs that are no full triangle: the entries of the second distance are permuted, not the objects."""
-    rows = d.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*order, F.col(x).alias("x"), F.col(y).alias("y"))
-    places = positions(rows, order, "i").select("i", "x")
-    draws = spearman(permuted(rows, "y", order, replicates, seed).join(places, "i"), "x", "y", ["b"]).select(F.col("spearman").alias("draw"))
-    observed = spearman(rows, "x", "y")
-    return draws.crossJoin(F.broadcast(observed)).groupBy("spearman", "n").agg(((F.sum((F.abs("draw") >= F.abs("spearman")).cast("long")) + 1) / (F.count("*") + 1.0)).alias("p_value"))  # one row
+    """mantel() for pairs that are no full triangle: the entries of the second distance are permuted, not the objects.
+
+    Every task holds the ranks; beyond X.ENTRIES rows they are copied for each replicate, but not ranked anew.
+    """
+    rows = cut(d.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*order, F.col(x).alias("x"), F.col(y).alias("y")))
+    ranks = ranked(ranked(rows, "x", "rx"), "y", "ry")
+    if rows.count() > X.ENTRIES:
+        ranks = cut(ranks)
+        places = positions(ranks, order, "i").select("i", "rx")
+        draws = permuted(ranks, "ry", order, replicates, seed).join(places, "i").groupBy("b").agg(F.corr("rx", "ry").alias("draw"))
+        observed = ranks.agg(F.corr("rx", "ry").alias("spearman"), F.count("*").alias("n"))
+        return draws.crossJoin(F.broadcast(observed)).groupBy("spearman", "n").agg(((F.sum((F.abs("draw") >= F.abs("spearman")).cast("long")) + 1) / (F.count("*") + 1.0)).alias("p_value"))  # one row
+    n = rows.count()
+    places = X.placed_rows(ranks.select(*order, (F.col("rx") - (n + 1) / 2.0).alias("rx"), (F.col("ry") - (n + 1) / 2.0).alias("ry")), order, ["rx", "ry"])
+    sums = X.permuted_products(places, [0, 1], [0, 1], replicates, seed)
+    scale = float(np.sqrt(sums[0, 0, 0] * sums[0, 1, 1]))
+    if not n or not scale:
+        return d.sparkSession.createDataFrame([(None, n, None)], _MANTEL)
+    values = sums[:, 0, 1] / scale
+    return d.sparkSession.createDataFrame([(float(values[0]), n, _share(np.abs(values[1:]), abs(values[0])))], _MANTEL)
 
 
 def range_reference(wide: DataFrame, row_id: str, group: str, value: str, replicates: int, seed: int = 0) -> DataFrame:
@@ -341,8 +550,6 @@ def gap_reference(overall: float, counts: Sequence[tuple[int, int]], draws: int
 
     counts are few pairs of positives and negatives; a driver-side simulation over them.
     """
-    import numpy as np
-
     usable = [(p, q) for p, q in counts if p > 0 and q > 0]
     if len(usable) < 2 or overall != overall:
         return {"reference_mean": None, "reference_std": None, "reference_ci_low": None, "reference_ci_high": None, "n_subgroups": len(usable)}

@@ -10,7 +10,7 @@ from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
 from concord.plans.geometry import _CENTRES, _RANKED, K, _edges, _mknn, _view, views
 from concord.plans.manifest import _PAIRS, nation_pairs
-from concord.plans.statistics import _rank, rounded
+from concord.plans.statistics import _rank, _shuffled, rounded
 
 
 @query("""SELECT doc_id::VARCHAR AS case_id, 'quality' AS finding, 'canonical' AS vocabulary, CASE WHEN quality = 1 THEN 1.0::DOUBLE WHEN quality = 0 THEN 0.0::DOUBLE END AS value FROM labels
@@ -62,14 +62,14 @@ def cross_modal_map(spark, d):
 
 
 @query(f"""WITH {_CENTRES.format('embeddings')}, p AS (SELECT a.label AS a, b.label AS b, 1 - list_inner_product(a.v, b.v) / (a.s * b.s) AS x, (b.label - a.label)::DOUBLE AS y FROM c a JOIN c b ON a.label < b.label),
-u AS (SELECT label AS o, row_number() OVER (ORDER BY label) - 1 AS i FROM c), t AS (SELECT b AS rep, o AS dest, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM u, unnest(range(0, 49)) q(b)),
+u AS (SELECT label AS o, row_number() OVER (ORDER BY label) - 1 AS i FROM c), t AS (SELECT b AS rep, o AS dest, k FROM {_shuffled('FROM u', 'o', 'o', 999)}),
 g AS (SELECT rep, u.o AS src, dest FROM t JOIN u ON t.k = u.i), w AS (SELECT ga.rep, p.x, q.y FROM p JOIN g ga ON ga.src = p.a JOIN g gb ON gb.src = p.b AND gb.rep = ga.rep JOIN p q ON q.a = least(ga.dest, gb.dest) AND q.b = greatest(ga.dest, gb.dest)),
 r AS (SELECT rep, {_rank('x', 'rep')} AS x, {_rank('y', 'rep')} AS y FROM w), d AS (SELECT rep, corr(x, y) AS draw FROM r GROUP BY 1), o0 AS (SELECT {_rank('x')} AS x, {_rank('y')} AS y FROM p), o AS (SELECT corr(x, y) AS s, count(*) AS n FROM o0)
-SELECT round(s, 6) AS spearman, n, (SELECT (count(*) FILTER (abs(draw) >= abs(s)) + 1) / (count(*) + 1.0)::DOUBLE FROM d) AS p_value FROM o""")
+SELECT round(s, 6) AS spearman, n, (SELECT (count(*) FILTER (abs(draw) >= abs(s) * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE FROM d) AS p_value FROM o""")
 def ontology_link(spark, d):
     e = table(spark, d, "embeddings").select("label", "embedding")
     pairs = spark.range(10).select(F.col("id").alias("a")).crossJoin(spark.range(10).select(F.col("id").alias("b"))).filter("a < b")  # ten classes
-    return rounded(C.ontology_link(e, "label", pairs.select(F.col("a").cast("int").alias("finding_a"), F.col("b").cast("int").alias("finding_b"), (F.col("b") - F.col("a")).cast("double").alias("d")), 49), "spearman")
+    return rounded(C.ontology_link(e, "label", pairs.select(F.col("a").cast("int").alias("finding_a"), F.col("b").cast("int").alias("finding_b"), (F.col("b") - F.col("a")).cast("double").alias("d")), 999), "spearman")
 
 
 @query("""WITH e AS (SELECT c_nationkey, count(*)::DOUBLE AS params, avg(c_acctbal) AS auroc, max(c_acctbal) AS agreement FROM customer GROUP BY 1), l AS (

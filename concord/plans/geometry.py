@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from concord.operators import agreement as A
 from concord.operators import sampling as S
 from concord.operators import vectors as V
-from concord.operators.inference import interval, permuted, spearman
-from concord.plans.catalogue import ORACLES, query, table
-from concord.plans.statistics import rounded
+from concord.operators.inference import interval, spearman
+from concord.plans import pipelines as C
+from concord.plans.catalogue import query, table
+from concord.plans.statistics import _shuffled, rounded
 
 #: The fixture's encoders: first dimension and number of dimensions of each view.
 VIEWS = {"full": (1, 64), "va": (1, 48), "vb": (17, 48), "floor_a": (1, 32), "floor_b": (33, 32)}
@@ -141,23 +142,27 @@ def gpa_consensus(spark, d):
 _RANKED = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)::DOUBLE"
 
 
-@query(f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000), a AS ({_view('va')}), b AS ({_view('vb')}),
+def _rsa_sql(one: str, other: str) -> str:
+    return f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000), a AS ({_view(one)}), b AS ({_view(other)}),
 p AS (SELECT round(list_inner_product(x.v, y.v), 9) AS sa, round(list_inner_product(z.v, w.v), 9) AS sb FROM a x JOIN a y ON x.id < y.id JOIN b z ON z.id = x.id JOIN b w ON w.id = y.id WHERE x.id IN (SELECT vec_id FROM s) AND y.id IN (SELECT vec_id FROM s)),
-r AS (SELECT {_RANKED.format('sa')} AS x, {_RANKED.format('sb')} AS y FROM p) SELECT round(corr(x, y), 5) AS spearman, count(*) AS n FROM r""")
-def rsa_spearman(spark, d):
-    return _rsa(spark, d, 2000)
+r AS (SELECT {_RANKED.format('sa')} AS x, {_RANKED.format('sb')} AS y FROM p) SELECT round(corr(x, y), 5) AS spearman, count(*) AS n FROM r"""
 
 
-@query()
+@query(_rsa_sql("full", "floor_b"))
 def rsa_spearman_whole(spark, d):
-    """On the sample of 2000 that the operator is made for."""
+    """Of the whole vectors and their second halves."""
+    return _rsa(spark, d, 2000, "full", "floor_b")
+
+
+@query(_rsa_sql("va", "vb"))
+def rsa_spearman(spark, d):
     return _rsa(spark, d, 2000)
 
 
-def _rsa(spark, d, n):
+def _rsa(spark, d, n, one="va", other="vb"):
     chosen = S.capped(table(spark, d, "embeddings").select("vec_id"), n, 0, "vec_id")
-    v = views(spark, d, "va", "vb").join(chosen, F.col("case_id") == F.col("vec_id"), "left_semi")
-    pairs = rounded(A.similarity_pairs(v, "va", "vb"), "s_a", "s_b", digits=9)
+    v = views(spark, d, one, other).join(chosen, F.col("case_id") == F.col("vec_id"), "left_semi")
+    pairs = rounded(A.similarity_pairs(v, one, other), "s_a", "s_b", digits=9)
     return rounded(spearman(pairs, "s_a", "s_b"), "spearman", digits=5)
 
 
@@ -190,28 +195,25 @@ def class_centroid_distance(spark, d):
     return rounded(V.centroid_distances(V.centroids(table(spark, d, "embeddings"), "label"), "label").filter("a < b"), "distance")
 
 
-@query(f"""WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS i, label AS own FROM embeddings), m AS (SELECT b, own AS label, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM e, unnest(range(0, 10)) t(b)),
-p AS (SELECT b, m.label, e.embedding FROM m JOIN e ON m.k = e.i), c0 AS (SELECT b, label, i, avg(embedding[i]::DOUBLE) AS m FROM p, unnest(range(1, 65)) t(i) GROUP BY ALL), c AS (SELECT b, label, list(m ORDER BY i) AS v, greatest(sqrt(sum(m * m)), 1e-9) AS s FROM c0 GROUP BY ALL)
-SELECT x.b::INT AS b, round(avg(1 - list_inner_product(x.v, y.v) / (x.s * y.s)), 6) AS mean_distance FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1""")
-def structural_reference(spark, d):
-    return _structure(table(spark, d, "embeddings"), 10)
-
+def _structure(replicates: int) -> str:
+    return f"""WITH e AS (SELECT label, row_number() OVER (ORDER BY label, vec_id) - 1 AS i FROM embeddings), p AS (SELECT m.b, e.label, m.embedding FROM {_shuffled('FROM embeddings', 'label, vec_id', 'embedding', replicates)} m JOIN e ON m.k = e.i
+UNION ALL SELECT -1, label, embedding FROM embeddings), c0 AS (SELECT b, label, i, avg(embedding[i]::DOUBLE) AS m FROM p, unnest(range(1, 65)) t(i) GROUP BY ALL), c AS (SELECT b, label, list(m ORDER BY i) AS v, greatest(sqrt(sum(m * m)), 1e-9) AS s FROM c0 GROUP BY ALL),
+r AS (SELECT x.b, avg(1 - list_inner_product(x.v, y.v) / (x.s * y.s)) AS d FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1)"""
 
-@query()
-def structural_reference_whole(spark, d):
-    """All vectors, with the replicates of the reference."""
-    return _structure(table(spark, d, "embeddings"), 200)
 
+@query(f"{_structure(10)} SELECT b::INT AS b, round(d, 6) AS mean_distance FROM r WHERE b >= 0")
+def structural_reference(spark, d):
+    found = A.structural_reference(table(spark, d, "embeddings"), "label", "vec_id", 10)
+    return rounded(found.filter("replicate >= 0").withColumnRenamed("replicate", "b"), "mean_distance")
 
-def _structure(e, replicates):
-    from concord.operators.inference import numbered
 
-    places = numbered(e.select("vec_id", "embedding"), ["vec_id"]).drop("n")
-    moved = permuted(e.select("vec_id", "label"), "label", ["vec_id"], replicates, 0).join(places, "i").withColumn("group", F.concat_ws("|", "b", "label"))
-    centres = V.centroids(moved, "group").select(F.split("group", r"\|")[0].cast("int").alias("b"), F.split("group", r"\|")[1].cast("int").alias("label"), "centroid")
-    other = centres.select(F.col("b").alias("b2"), F.col("label").alias("l2"), F.col("centroid").alias("c2"))
-    pairs = centres.join(other, (F.col("b") == F.col("b2")) & (F.col("label") < F.col("l2")))
-    return pairs.groupBy("b").agg(F.round(F.avg(1.0 - V.dot(F.col("centroid"), F.col("c2"))), 6).alias("mean_distance"))
+@query(f"""{_structure(200)} SELECT round(any_value(o.d), 6) AS mean_distance, round(avg(r.d), 6) AS reference_mean, round(quantile_cont(r.d, 0.025), 6) AS reference_ci_low, round(quantile_cont(r.d, 0.975), 6) AS reference_ci_high,
+round(any_value(o.d) - avg(r.d), 6) AS excess, (count(*) FILTER (r.d >= o.d * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE AS p_value FROM r, (SELECT d FROM r WHERE b < 0) o WHERE r.b >= 0""")
+def structural_reference_whole(spark, d):
+    """The distance of the classes against its reference, with the replicates of the original."""
+    found = A.structural_reference(table(spark, d, "embeddings"), "label", "vec_id", 200)
+    draws, own = found.filter("replicate >= 0"), F.max(F.when(F.col("replicate") < 0, F.col("mean_distance")))
+    return rounded(C.referenced(draws, "mean_distance", found.agg(own).first()[0]), "mean_distance", "reference_mean", "reference_ci_low", "reference_ci_high", "excess")
 
 
 @query(f"""WITH x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM ({_view('full')})), n AS (SELECT greatest(1, count(*)) AS n FROM x), t AS (SELECT o_orderkey AS tid, o_orderkey % n AS a, o_custkey % n AS b, (o_orderkey + o_custkey) % n AS c FROM orders, n),
@@ -260,8 +262,3 @@ def mean_cosine(spark, d):
 @query("""SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0""")
 def finite_rows(spark, d):
     return V.finite_rows(table(spark, d, "embeddings")).select("vec_id")
-
-
-for _name in ("rsa_spearman", "triplet_choice"):
-    ORACLES[f"{_name}_whole"] = ORACLES[_name]
-ORACLES["structural_reference_whole"] = ORACLES["structural_reference"].replace("range(0, 10)", "range(0, 200)")

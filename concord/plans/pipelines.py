@@ -368,3 +368,11 @@ def paired_reports(pool: DataFrame, plus: DataFrame, sections: Sequence[str], ro
     said = said.withColumn("report_text", F.when(joined != "", joined).otherwise(fallback)).filter("report_text IS NOT NULL")
     said = said.withColumn("report_source", F.when(joined != "", "+".join(sections)).otherwise("report")).withColumn("image_key", F.col("_key")).withColumn("report_path", F.lit(None).cast("string"))
     return told.select(*REPORT).unionByName(said.select(*REPORT))
+
+
+def referenced(draws: DataFrame, value: str, own: float | None) -> DataFrame:
+    """(value, reference_mean, reference_ci_low, reference_ci_high, excess, p_value) of one number against its replicates; no row without replicates."""
+    reached = F.col(value) >= F.lit(own) - 1e-9 * F.abs(F.lit(own))
+    p = (F.sum(reached.cast("long")) + 1) / (F.count(value) + 1.0)
+    out = draws.agg(F.lit(own).cast("double").alias("_own"), F.avg(value).alias("reference_mean"), F.percentile(value, 0.025).alias("reference_ci_low"), F.percentile(value, 0.975).alias("reference_ci_high"), (F.lit(own) - F.avg(value)).alias("excess"), p.alias("p_value"), F.count(value).alias("_n"))
+    return out.filter("_n > 0").withColumnRenamed("_own", value).drop("_n")

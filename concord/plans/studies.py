@@ -15,7 +15,7 @@ from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
 from concord.plans.composed import _knn_among
 from concord.plans.geometry import _overlap, views
-from concord.plans.statistics import _JUDGED, _rank, judged, rounded
+from concord.plans.statistics import _JUDGED, _rank, _shuffled, judged, rounded
 from concord.plans.transfer import labelled
 
 
@@ -69,32 +69,30 @@ def site_decode(spark, d):
 _KAPPA = "CASE WHEN a * b + (1 - a) * (1 - b) <> 1 THEN (po - a * b - (1 - a) * (1 - b)) / (1 - a * b - (1 - a) * (1 - b)) END"
 
 
-@query(f"""WITH j AS (SELECT quality, (n_chars > 1000)::INT AS second, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM ({_JUDGED})),
-m AS (SELECT b, second, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM j, unnest(range(0, 100)) t(b)),
+@query(f"""WITH j AS (SELECT quality, (n_chars > 1000)::INT AS second, row_number() OVER (ORDER BY quality, doc_id) - 1 AS i FROM ({_JUDGED})),
+m AS {_shuffled(f"SELECT doc_id, quality, (n_chars > 1000)::INT AS second FROM ({_JUDGED})", 'quality, doc_id', 'second', 1000)},
 r AS (SELECT m.b AS rep, avg((quality = m.second)::INT) AS po, avg(quality) AS a, avg(m.second) AS b FROM m JOIN j ON m.k = j.i GROUP BY 1), n AS (SELECT {_KAPPA} AS draw FROM r),
 o0 AS (SELECT avg((quality = second)::INT) AS po, avg(quality) AS a, avg(second) AS b, count(*) AS n FROM j), o AS (SELECT {_KAPPA} AS kappa, po, n FROM o0)
-SELECT round(kappa, 6) AS kappa, round(po, 6) AS agreement, n, (SELECT (count(*) FILTER (abs(draw) >= abs(kappa)) + 1) / (count(draw) + 1.0)::DOUBLE FROM n) AS p_value FROM o""")
+SELECT round(kappa, 6) AS kappa, round(po, 6) AS agreement, n, (SELECT (count(*) FILTER (abs(draw) >= abs(kappa) * (1 - 1e-9)) + 1) / (count(draw) + 1.0)::DOUBLE FROM n) AS p_value FROM o""")
 def kappa_permutation(spark, d):
     rows = judged(spark, d).withColumn("second", (F.col("n_chars") > 1000).cast("int"))
-    return rounded(I.kappa_permutation(rows, "quality", "second", ["doc_id"], 100), "kappa", "agreement")
+    return rounded(I.kappa_permutation(rows, "quality", "second", ["doc_id"], 1000), "kappa", "agreement")
 
 
-@query(f"""WITH z AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey, o_totalprice AS x, o_custkey::DOUBLE AS y FROM orders WHERE o_orderstatus = 'P'),
-m AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || i), i) - 1 AS k FROM z, unnest(range(0, 50)) t(b)),
-w AS (SELECT m.b, {_rank('z.x', 'm.b')} AS rx, {_rank('m.y', 'm.b')} AS ry FROM m JOIN z ON m.k = z.i), c AS (SELECT b, corr(rx, ry) AS draw FROM w GROUP BY 1),
-o AS (SELECT corr(rx, ry) AS s, count(*) AS n FROM (SELECT {_rank('x')} AS rx, {_rank('y')} AS ry FROM z))
-SELECT round(s, 6) AS spearman, n, (SELECT (count(*) FILTER (abs(draw) >= abs(s)) + 1) / (count(*) + 1.0)::DOUBLE FROM c) AS p_value FROM o""")
+@query(f"""WITH z AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_orderkey, {_rank('o_totalprice')} AS rx, {_rank('o_custkey')} AS ry FROM orders),
+m AS {_shuffled('FROM z', 'o_orderkey', 'ry', 200)}, c AS (SELECT b, corr(z.rx, m.ry) AS draw FROM m JOIN z ON m.k = z.i GROUP BY 1), o AS (SELECT corr(rx, ry) AS s, count(*) AS n FROM z)
+SELECT round(s, 6) AS spearman, n, (SELECT (count(*) FILTER (abs(draw) >= abs(s) * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE FROM c) AS p_value FROM o""")
 def mantel_entries(spark, d):
-    """Entries permuted, where pairs are no full triangle."""
-    rows = table(spark, d, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("y"))
-    return rounded(I.mantel_entries(rows, "o_totalprice", "y", ["o_orderkey"], 50), "spearman")
+    """Entries permuted, as for pairs that are no full triangle."""
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("y"))
+    return rounded(I.mantel_entries(rows, "o_totalprice", "y", ["o_orderkey"], 200), "spearman")
 
 
 def _block(own: str, other: str, name: str) -> str:
     return f"""SELECT '{name}' AS block, round(pow(max(c_y{own}), 2), 6) AS r2_alone, round(max(f) - pow(max(c_y{other}), 2), 6) AS r2_unique, round(max(f), 6) AS r2_full, round(avg(draw), 6) AS reference_mean, round(quantile_cont(draw, 0.025), 6) AS reference_ci_low,
-round(quantile_cont(draw, 0.975), 6) AS reference_ci_high, round(max(f) - pow(max(c_y{other}), 2) - avg(draw), 6) AS excess, ((count(*) FILTER (draw >= f - pow(c_y{other}, 2)) + 1) / (count(*) + 1.0))::DOUBLE AS p_value
+round(quantile_cont(draw, 0.975), 6) AS reference_ci_high, round(max(f) - pow(max(c_y{other}), 2) - avg(draw), 6) AS excess, ((count(*) FILTER (draw >= f - pow(c_y{other}, 2) - 1e-9 * abs(f - pow(c_y{other}, 2))) + 1) / (count(*) + 1.0))::DOUBLE AS p_value
 FROM (SELECT m.rep, any_value(f) AS f, any_value(c_ya) AS c_ya, any_value(c_yb) AS c_yb, (pow(corr(j.y, m.v), 2) + pow(corr(j.y, j.{other}), 2) - 2 * corr(j.y, m.v) * corr(j.y, j.{other}) * corr(m.v, j.{other})) / (1 - pow(corr(m.v, j.{other}), 2)) - pow(corr(j.y, j.{other}), 2) AS draw
-FROM (SELECT rep, {own} AS v, row_number() OVER (PARTITION BY rep ORDER BY md5('0|' || rep || '|' || i), i) - 1 AS k FROM j, unnest(range(0, 50)) t(rep)) m JOIN j ON m.k = j.i, o GROUP BY 1)"""
+FROM (SELECT b AS rep, v, k FROM {_shuffled(f'SELECT i AS o, {own} AS v FROM j', 'o', 'v', 1000)}) m JOIN j ON m.k = j.i, o GROUP BY 1)"""
 
 
 @query(f"""WITH j AS (SELECT n_chars AS y, quality AS a, toxic AS b, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM ({_JUDGED})),
@@ -102,7 +100,7 @@ o AS (SELECT corr(y, a) AS c_ya, corr(y, b) AS c_yb, (pow(corr(y, a), 2) + pow(c
 {_block('a', 'b', 'quality')} UNION ALL {_block('b', 'a', 'toxicity')}""")
 def block_shares(spark, d):
     """What two blocks of columns explain of a length, alone and beside each other, with the reference of shuffled blocks."""
-    out = A.block_reference(judged(spark, d), "doc_id", "n_chars", {"quality": ["quality"], "toxicity": ["toxic"]}, 50)
+    out = A.block_reference(judged(spark, d), "doc_id", "n_chars", {"quality": ["quality"], "toxicity": ["toxic"]}, 1000)
     return rounded(out, "r2_alone", "r2_unique", "r2_full", "reference_mean", "reference_ci_low", "reference_ci_high", "excess")
 
 

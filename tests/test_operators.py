@@ -164,8 +164,8 @@ def test_jackknife_and_bootstrap(spark):
     r = I.jackknife_units(pairs, "a", "b", F.avg("v")).first()
     assert (r.point, r.std, r.n_units) == (3.0, 0.0, 5)
     df = spark.range(60).select("id", (F.col("id") % 5).cast("double").alias("v"), (F.col("id") % 4).cast("string").alias("c"))
-    b = I.bootstrap_mean(df, "v", ["id"], 100).first()
-    assert b.point == 2.0 and b.ci_low < 2.0 < b.ci_high and I.bracketed(I.bootstrap_mean(df, "v", ["id"], 100), "point", "ci_low", "ci_high").count() == 1
+    b = I.bootstrap_mean(df, "v", 100).first()
+    assert b.point == 2.0 and b.ci_low < 2.0 < b.ci_high and I.bracketed(I.bootstrap_mean(df, "v", 100), "point", "ci_low", "ci_high").count() == 1
     assert I.cluster_bootstrap_mean(df, "v", "c", 50).first().n == 60
     with pytest.raises(Exception, match="no cluster"):
         I.cluster_bootstrap_mean(df.withColumn("c", F.when(F.col("id") > 3, F.col("c"))), "v", "c", 5).collect()

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from concord.operators import agreement as A
+from concord.operators import resampling as X
 from concord.plans.catalogue import all_queries
 
 R = random.Random(5)
@@ -35,17 +36,23 @@ def key(*parts):
     return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
 
 
+def order_of(seed, b, n):
+    return np.argsort(X.keys_of(seed, b, np.arange(n)), kind="stable")
+
+
 def test_permutations_of_all_events(spark, tables):
     events = tables[1]
-    values = [e[2] for e in events]
-    first = np.array([e[1] == "click" for e in events])
+    values = np.array([e[2] for e in events]) / 100
+    first = np.array([e[1] == "view" for e in events])
     gap = lambda v, m: np.mean(v[m]) - np.mean(v[~m])
-    observed, n = gap(np.array(values), first), int(first.sum())
-    draws = [gap(np.array([values[i] for i in sorted(range(1000), key=lambda i: (key(0, b, i), i))]), np.arange(1000) < n) for b in range(100)]
+    observed, n = gap(values, first), int(first.sum())
+    draws = [gap(values[order_of(7, b, 1000)], np.arange(1000) < n) for b in range(1000)]
     (row,) = run(spark, "permutation_2_whole", tables)
-    assert (row.n_a, row.n_b) == (n, 1000 - n) and row.difference == pytest.approx(observed, abs=1e-6)
-    assert row.p_value == pytest.approx((sum(abs(x) >= abs(observed) for x in draws) + 1) / 101)
-    assert run(spark, "permutation_k_whole", tables)[0].n == 1000 and run(spark, "reader_variance_share_whole", tables)[0].n == 1000
+    assert (row.n_a, row.n_b) == (n, 1000 - n) and row.gain_mean_raw == pytest.approx(observed, abs=1e-6) and row.gain_unit == "percentage_points"
+    assert row.p_raw == pytest.approx((sum(abs(x) >= abs(observed) for x in draws) + 1) / 1001)
+    (row,) = run(spark, "permutation_k_whole", tables)
+    assert row.k_groups == 8 and [float(x) for x in row.group_means_pct.split(";")] == [pytest.approx(np.mean([e[2] for e in events if e[3] % 8 == k]) * 100, abs=0.06) for k in range(8)]
+    assert run(spark, "reader_variance_share_whole", tables)[0].n == sum(e[1] != "click" for e in events)
 
 
 def test_false_discovery_over_all_events(spark, tables):
@@ -54,7 +61,7 @@ def test_false_discovery_over_all_events(spark, tables):
     wanted, least = {}, 1.0
     for at, i in enumerate(order):
         wanted[i] = least = min(least, p[i] * len(p) / (len(p) - at))
-    got = {r.event_id: r.p_fdr for r in run(spark, "bh_fdr_whole", tables)}
+    got = {r.event_id: r.p_fdr for r in run(spark, "bh_fdr", tables)}
     assert len(got) == 1000 and {i for i, x in got.items() if x is None} == set(range(0, 1000, 7))
     assert all(got[i] == pytest.approx(x) for i, x in wanted.items())
 
@@ -64,7 +71,7 @@ def test_range_over_all_users(spark, tables):
     for _, kind, value, user in tables[1]:
         cells.setdefault(user, {}).setdefault(kind, []).append(value)
     means = [np.mean([np.mean(c[t]) for c in cells.values() if len(c) == 3]) for t in TYPES]
-    (row,) = run(spark, "subgroup_range_whole", tables)
+    (row,) = run(spark, "subgroup_range", tables)
     assert row.observed_range == pytest.approx(max(means) - min(means), abs=1e-6) and row.n_groups == 3
 
 
@@ -82,11 +89,19 @@ def test_triplets_and_structure_of_all_vectors(spark, tables):
             wanted.add((o, "b" if a @ b > a @ d else "c"))
     assert {(r.tid, r.nearer) for r in run(spark, "triplet_choice_whole", tables)} == wanted
     label, raw = np.arange(260) % 4, tables[2]
-    order = sorted(range(260), key=lambda i: (key(0, 199, i), i))
-    centres = np.array([raw[label[order] == k].mean(0) for k in range(4)])
-    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
-    got = {r.b: r.mean_distance for r in run(spark, "structural_reference_whole", tables)}
-    assert len(got) == 200 and got[199] == pytest.approx(np.mean(1 - (centres @ centres.T)[np.triu_indices(4, 1)]), abs=1e-6)
+    raw = raw[np.argsort(label, kind="stable")]
+
+    def distance(rows):
+        centres = np.array([rows[65 * k : 65 * k + 65].mean(0) for k in range(4)])
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        return np.mean(1 - (centres @ centres.T)[np.triu_indices(4, 1)])
+
+    got = {r.b: r.mean_distance for r in run(spark, "structural_reference", tables)}
+    assert len(got) == 10 and all(got[b] == pytest.approx(distance(raw[order_of(0, b, 260)]), abs=1e-6) for b in got)
+    (row,) = run(spark, "structural_reference_whole", tables)
+    draws = [distance(raw[order_of(0, b, 260)]) for b in range(200)]
+    assert row.mean_distance == pytest.approx(distance(raw), abs=1e-6) and row.reference_mean == pytest.approx(np.mean(draws), abs=1e-6)
+    assert row.p_value == pytest.approx((sum(x >= distance(raw) for x in draws) + 1) / 201)
 
 
 def test_samples_of_pairs(spark, tables):
