@@ -83,7 +83,7 @@ def interval(draws: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return draws.groupBy(*by).agg(F.stddev_samp(value).alias("std"), F.percentile(value, 0.025).alias("ci_low"), F.percentile(value, 0.975).alias("ci_high"), F.count(value).alias("n_draws"))
 
 
-def _spread_of(draws: np.ndarray) -> tuple[float | None, float | None, float | None, int]:
+def spread_of(draws: np.ndarray) -> tuple[float | None, float | None, float | None, int]:
     """Standard deviation, 95 % percentile interval and number of the finite values."""
     good = draws[np.isfinite(draws)]
     if not len(good):
@@ -103,10 +103,10 @@ def _bootstrapped(df: DataFrame, values: np.ndarray, sizes: dict[str, int], extr
     """One row: the table's value as point, sizes, the spread of the replicates' values."""
     extra = extra or {}
     schema = ", ".join(["point double", *(f"{c} long" for c in sizes), _SPREAD, *(f"{c} double" for c in extra)])
-    return df.sparkSession.createDataFrame([(_number(values[0]), *sizes.values(), *_spread_of(values[1:]), *extra.values())], schema)
+    return df.sparkSession.createDataFrame([(_number(values[0]), *sizes.values(), *spread_of(values[1:]), *extra.values())], schema)
 
 
-def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return a / b
 
@@ -115,7 +115,7 @@ def bootstrap_mean(df: DataFrame, value: str, replicates: int = REPLICATES, seed
     """Mean with its interval over as many rows drawn with replacement; NULL for an empty table."""
     cells = X.value_cells(df.filter(F.col(value).isNotNull()), [value])
     sums = X.bootstrap_sums(cells, lambda x: np.column_stack([x[:, 0], np.ones(len(x))]), 2, replicates, seed)
-    return _bootstrapped(df, _ratio(sums[:, 0], sums[:, 1]), {"n": cells.n})
+    return _bootstrapped(df, ratio(sums[:, 0], sums[:, 1]), {"n": cells.n})
 
 
 def cluster_bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
@@ -123,7 +123,7 @@ def cluster_bootstrap_mean(df: DataFrame, value: str, cluster: str, replicates:
     per = _checked_clusters(df.filter(F.col(value).isNotNull()).select(cluster, value), cluster).groupBy(cluster).agg(F.sum(value).alias("_s"), F.count("*").alias("_c"))
     cells = X.value_cells(per, ["_s", "_c"])
     sums = X.bootstrap_sums(cells, lambda x: x, 2, replicates, seed)
-    return _bootstrapped(df, _ratio(sums[:, 0], sums[:, 1]), {"n": int(sums[0, 1])})
+    return _bootstrapped(df, ratio(sums[:, 0], sums[:, 1]), {"n": int(sums[0, 1])})
 
 
 def paired_bootstrap(df: DataFrame, a: str, b: str, replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
@@ -131,7 +131,7 @@ def paired_bootstrap(df: DataFrame, a: str, b: str, replicates: int = REPLICATES
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
     cells = X.value_cells(rows, ["d"])
     sums = X.bootstrap_sums(cells, lambda x: np.column_stack([x[:, 0], np.ones(len(x))]), 2, replicates, seed)
-    values = _ratio(sums[:, 0], sums[:, 1])
+    values = ratio(sums[:, 0], sums[:, 1])
     share = float(X.at_least(np.abs(values[1:] - values[0]), abs(values[0])).mean()) if cells.n else None
     return _bootstrapped(df, values, {"n": cells.n}, {"p_value": None if share is None else max(share, 1.0 / replicates)})
 
@@ -151,7 +151,7 @@ def bootstrap_slope(df: DataFrame, x: str, y: str, replicates: int = REPLICATES,
     cells = X.value_cells(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), [x, y])
     sums = X.bootstrap_sums(cells, lambda v: np.column_stack([np.ones(len(v)), v, v[:, 0] * v[:, 1], v[:, 0] ** 2]), 5, replicates, seed)
     n, sx, sy, xy, xx = sums.T
-    return _bootstrapped(df, _ratio(n * xy - sx * sy, n * xx - sx * sx), {"n": cells.n})
+    return _bootstrapped(df, ratio(n * xy - sx * sy, n * xx - sx * sx), {"n": cells.n})
 
 
 def auroc(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
@@ -179,7 +179,7 @@ def subsample_mean(df: DataFrame, value: str, order: Sequence[str], m: int | Non
     if rows.n < 4 or not 2 <= m <= rows.n:
         return df.sparkSession.createDataFrame([(None, rows.n, m, None, None, None, 0)], f"point double, n long, n_sub long, {_SPREAD}")
     draws = X.permuted_sums(rows, [m], replicates, seed)[1:, 0, 0] / m
-    return df.sparkSession.createDataFrame([(float(draws.mean()), rows.n, m, *_spread_of(draws))], f"point double, n long, n_sub long, {_SPREAD}")
+    return df.sparkSession.createDataFrame([(float(draws.mean()), rows.n, m, *spread_of(draws))], f"point double, n long, n_sub long, {_SPREAD}")
 
 
 def subsampled(df: DataFrame, id_col: str, m: int, replicates: int, seed: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _f_values(sums: np.ndarray, sizes: np.ndarray, squares: float) -> np.ndarray
     n, k = sizes.sum(), len(sizes)
     between = (sums**2 / sizes).sum(1) - sums.sum(1) ** 2 / n
     total = squares - sums.sum(1) ** 2 / n
-    return _ratio(between / max(1, k - 1), (total - between) / (n - k)) if n > k > 1 else np.full(len(sums), np.nan)
+    return ratio(between / max(1, k - 1), (total - between) / (n - k)) if n > k > 1 else np.full(len(sums), np.nan)
 
 
 def permutation_groups(df: DataFrame, value: str, group: str, order: Sequence[str], replicates: int = REPLICATES, seed: int = 0) -> DataFrame:
@@ -390,7 +390,7 @@ def kappa_permutation(df: DataFrame, a: str, b: str, order: Sequence[str], repli
     agreement = (zeros - sums[:, 0] + sums[:, 1]) / n
     x, y = (n - zeros) / n, sums.sum(1) / n
     chance = x * y + (1 - x) * (1 - y)
-    values = np.where(chance == 1, np.nan, _ratio(agreement - chance, 1 - chance))
+    values = np.where(chance == 1, np.nan, ratio(agreement - chance, 1 - chance))
     p = _share(np.abs(values[1:]), abs(values[0])) if np.isfinite(values[0]) else None
     return df.sparkSession.createDataFrame([(_number(values[0]), float(agreement[0]), n, p)], names)
 
@@ -416,7 +416,7 @@ def variance_share_reference(df: DataFrame, value: str, group: str, order: Seque
     squares = rows.agg(F.sum(F.col(value).cast("double") * F.col(value))).first()[0]
     sums, n = X.permuted_sums(X.placed_rows(rows, [group, *order], [value]), sizes, replicates, seed)[:, :, 0], sum(sizes)
     mean = sums.sum(1) ** 2 / n
-    values = _ratio((sums**2 / np.array(sizes, float)).sum(1) - mean, squares - mean)
+    values = ratio((sums**2 / np.array(sizes, float)).sum(1) - mean, squares - mean)
     good = values[1:][np.isfinite(values[1:])]
     reference = float(good.mean()) if len(good) else None
     own = _number(values[0])

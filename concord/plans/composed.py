@@ -38,22 +38,28 @@ def split_roles(spark, d):
     return C.case_splits(pool, ["1-URGENT"])
 
 
-_PAIR_OVERLAPS = f"""{_edges('full', 'va', 'vb', 'floor_a')}, q AS (SELECT * FROM (VALUES (5), (10)) t(k)),
+def _pair_overlaps(*names: str) -> str:
+    return f"""{_edges(*names)}, q AS (SELECT * FROM (VALUES (5), (10)) t(k)),
 o AS (SELECT k, x.e AS ea, p.e AS eb, x.src, count(y.dst)::DOUBLE / k AS overlap FROM q JOIN edge x ON x.r <= k JOIN (SELECT DISTINCT e FROM edge) p ON x.e < p.e LEFT JOIN edge y ON y.e = p.e AND y.src = x.src AND y.dst = x.dst AND y.r <= k GROUP BY k, x.e, p.e, x.src)"""
 
 
-@query(f"""WITH {_PAIR_OVERLAPS}, n AS (SELECT greatest(1, round_even(0.632 * count(DISTINCT src), 0)) AS m FROM edge),
-s AS (SELECT k, ea, eb, b, overlap, row_number() OVER (PARTITION BY k, ea, eb, b ORDER BY md5('0|' || b || '|' || src), src) AS r FROM o, unnest(range(0, 20)) t(b)), w AS (SELECT k, ea, eb, b, avg(overlap) AS draw FROM s, n WHERE r <= m GROUP BY ALL),
+@query(f"""WITH {_pair_overlaps('full', 'va', 'vb', 'floor_a')}, n AS (SELECT greatest(1, round_even(0.632 * count(DISTINCT src), 0)) AS m FROM edge),
+s AS (SELECT b, src, k AS place FROM {_shuffled('SELECT DISTINCT src FROM edge', 'src', 'src', 200)}), w AS (SELECT k, ea, eb, b, avg(overlap) AS draw FROM o JOIN s USING (src), n WHERE place < m GROUP BY ALL),
 i AS (SELECT k, ea, eb, stddev_samp(draw) AS sd, quantile_cont(draw, 0.025) AS lo, quantile_cont(draw, 0.975) AS hi FROM w GROUP BY ALL)
 SELECT ea AS encoder_a, eb AS encoder_b, 'mknn_k' || k AS metric, round(avg(overlap), 6) AS value, count(*) AS n, CASE WHEN 'floor_a' IN (ea, eb) THEN 'floor' ELSE 'within' END AS comparison_type,
 round(any_value(sd), 6) AS value_std, round(any_value(lo), 6) AS value_ci_low, round(any_value(hi), 6) AS value_ci_high FROM o JOIN i USING (k, ea, eb) GROUP BY k, ea, eb""")
 def pairwise_map(spark, d):
-    return rounded(C.pairwise_map(views(spark, d, "full", "va", "vb", "floor_a"), [5, K], replicates=20, floor=["floor_a"]), "value", "value_std", "value_ci_low", "value_ci_high")
+    return rounded(C.pairwise_map(views(spark, d, "full", "va", "vb", "floor_a"), [5, K], replicates=200, floor=["floor_a"]), "value", "value_std", "value_ci_low", "value_ci_high")
 
 
-@query()
+_FIVE = "SELECT ea, eb, avg(overlap) AS v, ea NOT LIKE 'floor%' AND eb NOT LIKE 'floor%' AS f FROM o WHERE k = 10 GROUP BY ALL"
+
+
+@query(f"""WITH {_pair_overlaps('full', 'va', 'vb', 'floor_a', 'floor_b')}, p AS ({_FIVE}), c AS (SELECT avg(v) FILTER (f) - avg(v) FILTER (NOT f) AS difference, count(*) FILTER (f) AS n_a, count(*) FILTER (NOT f) AS n_b FROM p),
+r AS (SELECT b, avg(v) FILTER (k < n_a) - avg(v) FILTER (k >= n_a) AS draw FROM {_shuffled('FROM p', 'ea, eb', 'v', 999)}, c GROUP BY b), t AS (SELECT (count(*) FILTER (abs(draw) >= abs(difference) * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE AS p FROM r, c)
+SELECT 'mknn_k10' AS metric, round(difference, 6) AS difference, n_a, n_b, p AS p_raw, p AS p_fdr, p < 0.05 AS significant_fdr05 FROM c, t""")
 def pairwise_map_summary(spark, d):
-    return C.map_summary(C.pairwise_map(views(spark, d, "full", "va", "vb", "floor_a", "floor_b"), [K], floor=["floor_a", "floor_b"]), 99)
+    return rounded(C.map_summary(C.pairwise_map(views(spark, d, "full", "va", "vb", "floor_a", "floor_b"), [K], floor=["floor_a", "floor_b"]), 999), "difference")
 
 
 @query(_mknn("va", "vb").replace("AS mknn", "AS value"))
@@ -89,13 +95,13 @@ edge AS (SELECT * FROM (SELECT a.g, a.e, a.id AS src, b.id AS dst, row_number()
 o AS (SELECT x.g, x.e AS ea, p.e AS eb, x.src, count(y.dst)::DOUBLE / {k} AS overlap FROM edge x JOIN (SELECT DISTINCT e FROM edge) p ON x.e < p.e LEFT JOIN edge y ON y.g = x.g AND y.e = p.e AND y.src = x.src AND y.dst = x.dst GROUP BY ALL)"""
 
 
-_POSITIVES = "SELECT id, finding FROM (SELECT vec_id AS id, 'f' || label AS finding, row_number() OVER (PARTITION BY label ORDER BY md5('0|f' || label || '|' || vec_id), 'f' || label || '|' || vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label < 3) WHERE r <= 30 AND n >= 30"
+_POSITIVES = "SELECT id, finding FROM (SELECT vec_id AS id, 'f' || label AS finding, row_number() OVER (PARTITION BY label ORDER BY md5('0|f' || label || '|' || vec_id), 'f' || label || '|' || vec_id) AS r, count(*) OVER (PARTITION BY label) AS n FROM embeddings) WHERE r <= 30 AND n >= 30"
 
 
 @query(f"""WITH {_knn_among(_POSITIVES, 'finding', ('va', 'vb'), 5)} SELECT g AS finding, ea AS encoder_a, eb AS encoder_b, round(avg(overlap), 6) AS mknn, count(*) AS n FROM o GROUP BY ALL""")
 def finding_agreement(spark, d):
     e = table(spark, d, "embeddings")
-    positives = e.filter("label < 3").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("f"), "label").alias("finding"))
+    positives = e.select(F.col("vec_id").alias("case_id"), F.concat(F.lit("f"), "label").alias("finding"))
     return rounded(C.finding_agreement(views(spark, d, "va", "vb").drop("label"), positives, 30, 5), "mknn")
 
 
@@ -146,7 +152,16 @@ def reader_study(spark, d):
     return rounded(C.reader_study(said(800), said(1200), truth).select("accuracy_a", "sensitivity_a", "specificity_b", "kappa", "n"), "accuracy_a", "sensitivity_a", "specificity_b", "kappa")
 
 
-@query()
+def _dosed(d: float) -> str:
+    """DuckDB: the vectors of a dose, noise from hashes beside the case's own."""
+    noise = f"((('0x' || substr(md5('0:{d}|' || id || '|' || i), 1, 15))::BIGINT % 1073741824) / 1073741824.0 - 0.5) * 3.4641"
+    return f"SELECT 'dose_{d}' AS e, id, list_transform(y, lambda z: z / sqrt(list_inner_product(y, y))) AS v FROM (SELECT id, list_transform(range(1, 65), lambda i: {d} * (v[i] * sqrt(64.0)) + (1 - {d}) * ({noise})) AS y FROM ({_view('full')}))"
+
+
+@query(f"""WITH x AS (SELECT 'clean' AS e, id, v FROM ({_view('full')}) UNION ALL {' UNION ALL '.join(_dosed(x) for x in (0.0, 0.5, 0.9))}),
+edge AS (SELECT * FROM (SELECT a.e, a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.e, a.id ORDER BY list_inner_product(a.v, b.v) DESC, b.id) AS r FROM x a JOIN x b ON a.e = b.e AND a.id <> b.id) WHERE r <= {K}),
+o AS (SELECT q.e, x.src, count(y.dst) / {float(K)} AS overlap FROM edge x JOIN (SELECT DISTINCT e FROM edge WHERE e <> 'clean') q ON x.e = 'clean' LEFT JOIN edge y ON y.e = q.e AND y.src = x.src AND y.dst = x.dst GROUP BY ALL)
+SELECT 'clean' AS encoder_a, e AS encoder_b, round(avg(overlap), 6) AS value, count(*) AS n FROM o GROUP BY e""")
 def dose_control(spark, d):
     """Agreement of a clean view with views of rising dose."""
     clean = views(spark, d, "full").drop("label")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from concord.operators import agreement as A
 from concord.operators import sampling as S
 from concord.operators import vectors as V
-from concord.operators.inference import interval, spearman
+from concord.operators.inference import spearman, subsample_mean
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
 from concord.plans.statistics import _shuffled, rounded
@@ -73,14 +73,11 @@ def case_agreement(spark, d):
     return rounded(A.case_agreement(lists, K), "mean_overlap", "all_jaccard", "deviation")
 
 
-@query(f"""WITH {_overlap('va', 'vb')}, p AS (SELECT b, overlap, row_number() OVER (PARTITION BY b ORDER BY md5('0|' || b || '|' || src), src) AS r FROM o, unnest(range(0, 50)) t(b)), m AS (SELECT b, avg(overlap) AS draw FROM p WHERE r <= 200 GROUP BY 1)
+@query(f"""WITH {_overlap('va', 'vb')}, m AS (SELECT b, avg(overlap) AS draw FROM {_shuffled('FROM o', 'src', 'overlap', 1000)} WHERE k < 200 GROUP BY 1)
 SELECT round(avg(draw), 6)::DOUBLE AS point, round(stddev_samp(draw), 6) AS std, round(quantile_cont(draw, 0.025), 6)::DOUBLE AS ci_low, round(quantile_cont(draw, 0.975), 6)::DOUBLE AS ci_high, count(draw) AS n_draws FROM m""")
 def subsample_mknn(spark, d):
-    from concord.operators.inference import subsampled
-
     rows = A.row_overlap(V.neighbour_lists(V.knn_edges(views(spark, d, "va", "vb"), K)), K).select("case_id", "overlap")
-    draws = subsampled(rows, "case_id", 200, 50, 0).groupBy("b").agg(F.avg("overlap").alias("draw"))
-    return rounded(draws.agg(F.avg("draw").alias("point")).crossJoin(interval(draws, "draw")), "point", "std", "ci_low", "ci_high")
+    return rounded(subsample_mean(rows, "overlap", ["case_id"], 200, 1000, 0).drop("n", "n_sub"), "point", "std", "ci_low", "ci_high")
 
 
 def _hsic(a: str, b: str) -> str:

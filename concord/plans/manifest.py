@@ -91,15 +91,25 @@ def row_dependent_lookup(spark, d):
     return table(spark, d, "labels").select("doc_id", L.column_named_by(name, {"quality": F.col("quality"), "toxic": F.col("toxic")}).alias("value"))
 
 
-@query(r"""WITH s AS (SELECT conv_id, min(CASE WHEN role = 'system' THEN trim(text) END) AS a, min(CASE WHEN role = 'user' THEN trim(text) END) AS b, min(trim(text)) AS c FROM conversations WHERE turn < 2 GROUP BY conv_id)
-SELECT conv_id, CASE WHEN coalesce(nullif(a, ''), nullif(b, '')) IS NULL THEN coalesce(c, '') ELSE concat_ws(chr(10), nullif(a, ''), nullif(b, '')) END AS report FROM s""")
+def _sections_sql(rows: str) -> str:
+    return f"""WITH s AS (SELECT conv_id, min(CASE WHEN role = 'system' THEN trim(text) END) AS a, min(CASE WHEN role = 'user' THEN trim(text) END) AS b, min(trim(text)) AS c FROM ({rows}) GROUP BY conv_id)
+SELECT conv_id, CASE WHEN coalesce(nullif(a, ''), nullif(b, '')) IS NULL THEN coalesce(c, '') ELSE concat_ws(chr(10), nullif(a, ''), nullif(b, '')) END AS report FROM s"""
+
+
+@query(_sections_sql("FROM conversations"))
 def section_combine(spark, d):
-    return _sections(table(spark, d, "conversations").filter("turn < 2"))
+    return _sections(table(spark, d, "conversations"))
 
 
-@query()
+_KINDS = "CASE doc_id % 4 WHEN 0 THEN 'system' WHEN 1 THEN 'user' ELSE 'other' END"
+
+
+@query(_sections_sql(f"SELECT doc_id // 3 AS conv_id, {_KINDS} AS role, substr(text, 1 + 11 * (doc_id % 2)::INT) AS text FROM documents"))
 def section_combine_whole(spark, d):
-    return _sections(table(spark, d, "conversations"))
+    """Whole documents as sections, three to a report."""
+    n = F.col("doc_id")
+    role = F.when(n % 4 == 0, "system").when(n % 4 == 1, "user").otherwise("other")
+    return _sections(table(spark, d, "documents").select(F.floor(n / 3).alias("conv_id"), role.alias("role"), F.expr("substr(text, cast(1 + 11 * (doc_id % 2) AS int))").alias("text")))
 
 
 def _sections(turns):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import labels as L
@@ -17,6 +17,7 @@ from concord.functions import text as X
 from concord.operators import agreement as A
 from concord.operators import inference as I
 from concord.operators import relational as R
+from concord.operators import resampling as Y
 from concord.operators import sampling as S
 from concord.operators import vectors as V
 from concord.sources.shared import cut
@@ -56,7 +57,7 @@ def pairwise_map(vectors: DataFrame, k_ladder: Sequence[int], n: int | None = No
     """(encoder_a, encoder_b, metric, value, n, comparison_type) for every pair, one neighbour graph per encoder.
 
     With n, the same n cases are drawn for all encoders. With replicates, value_std, value_ci_low and
-    value_ci_high come from subsamples of the cases' overlaps.
+    value_ci_high come from subsamples of 0.632 of the cases, the same ones for all pairs, without a row for each replicate.
     """
     if n:
         vectors = vectors.join(S.capped(vectors.select("case_id").distinct(), n, seed, "case_id"), "case_id", "left_semi")
@@ -66,17 +67,25 @@ def pairwise_map(vectors: DataFrame, k_ladder: Sequence[int], n: int | None = No
         rows = A.row_overlap(lists, k)
         one = rows.groupBy("encoder_a", "encoder_b").agg(F.avg("overlap").alias("value"), F.count("*").alias("n"))
         if replicates:
-            m = max(1, round(0.632 * (n or lists.select("case_id").distinct().count())))
-            place = S.hash_key(seed, F.col("b"), F.col("case_id"))
-            drawn = I.replicated(rows, replicates).withColumn("_p", F.row_number().over(Window.partitionBy("encoder_a", "encoder_b", "b").orderBy(place, "case_id"))).filter(F.col("_p") <= m)
-            draws = drawn.groupBy("encoder_a", "encoder_b", "b").agg(F.avg("overlap").alias("draw"))
-            spread = I.interval(draws, "draw", ["encoder_a", "encoder_b"]).select("encoder_a", "encoder_b", F.col("std").alias("value_std"), F.col("ci_low").alias("value_ci_low"), F.col("ci_high").alias("value_ci_high"))
-            one = one.join(spread, ["encoder_a", "encoder_b"])
+            one = one.join(_subsample_spread(rows, replicates, seed), ["encoder_a", "encoder_b"])
         one = one.select("encoder_a", "encoder_b", F.lit(f"mknn_k{k}").alias("metric"), "value", "n", kind.alias("comparison_type"), *(c for c in one.columns if c.startswith("value_")))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _subsample_spread(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(encoder_a, encoder_b, value_std, value_ci_low, value_ci_high) of the mean overlap of each pair of a panel over subsamples of the cases."""
+    names = sorted(tuple(r) for r in rows.select("encoder_a", "encoder_b").distinct().collect())
+    by_pair = rows.groupBy("case_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("encoder_a", "encoder_b"), "overlap"))).alias("m"))
+    of = [F.try_element_at("m", F.struct(F.lit(a).alias("encoder_a"), F.lit(b).alias("encoder_b"))) for a, b in names]
+    wide = by_pair.select("case_id", F.array(*(F.coalesce(x, F.lit(0.0)) for x in of), *(x.isNotNull().cast("double") for x in of)).alias("x"))
+    places = Y.placed_rows(wide, ["case_id"], ["x"])
+    sums = Y.permuted_sums(places, [max(1, round(0.632 * places.n))], replicates, seed)[1:, 0]
+    schema = "encoder_a string, encoder_b string, value_std double, value_ci_low double, value_ci_high double"
+    found = [(*pair, *I.spread_of(I.ratio(sums[:, i], sums[:, len(names) + i]))[:3]) for i, pair in enumerate(names)]
+    return rows.sparkSession.createDataFrame(found, schema)
+
+
 def map_summary(pairs: DataFrame, replicates: int = 200, seed: int = 0) -> DataFrame:
     """By metric: mean of each comparison type, permutation p of within against the rest, false-discovery control."""
     out = None

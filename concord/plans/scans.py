@@ -9,6 +9,7 @@ from concord.functions import numbers as N
 from concord.operators import agreement as A
 from concord.operators import inference as I
 from concord.operators import vectors as V
+from concord.operators.order import positions
 from concord.plans import units as U
 from concord.plans.catalogue import query, table
 from concord.plans.geometry import _view, views
@@ -69,12 +70,14 @@ def fixed_width_codes(spark, d):
     return S.read_codes(spark, path)
 
 
-@query("""SELECT 'label=' || label AS class, count(*) > 0 AS found FROM embeddings GROUP BY label""")
+@query("""SELECT 'label=' || label AS class, count(*) AS n, min(vec_id) AS first, max(vec_id) AS last FROM embeddings GROUP BY label""")
 def directory_classes(spark, d):
-    """Files below folders that are named after their class."""
+    """The rows of files below folders that are named after their class."""
     path = shared_dir(spark)
     table(spark, d, "embeddings").select("label", "vec_id").write.partitionBy("label").parquet(path)
-    return S.list_files(spark, path, "*.parquet").groupBy("class").agg((F.count("*") > 0).alias("found"))
+    files = S.list_files(spark, path, "*.parquet").select("class", F.regexp_replace("path", "^[a-z]+:/*", "/").alias("at"))
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path).select("vec_id", F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/*", "/").alias("of"))
+    return rows.join(files, F.col("of") == F.col("at")).groupBy("class").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("vec_id").alias("last"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 3 <> 0 THEN 'file of ' || n_name WHEN n_nationkey % 2 = 0 THEN 'table of ' || n_name END AS report FROM nation WHERE n_nationkey % 3 <> 0 OR n_nationkey % 2 = 0""")
@@ -89,24 +92,27 @@ def report_files(spark, d):
     return found.select("n_nationkey", F.regexp_replace("report", "\n$", "").alias("report"))  # the text writer ends a line
 
 
-@query("""SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+@query("""SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1""")
 def unit_runner(spark, d):
     """Two runs of a resumable table: the second computes only the units that the first lacks."""
     path = f"{shared_dir(spark)}/units"
     orders = table(spark, d, "orders").select("o_orderstatus", "o_custkey")
-    units = orders.select("o_orderstatus").distinct().filter("o_orderstatus <> 'P'")
+    units = orders.select("o_orderstatus").distinct()
     compute = lambda left: orders.join(left, "o_orderstatus", "left_semi")
     U.run_units(units.filter("o_orderstatus = 'F'"), compute, path, {"v": 1}, "o_orderstatus")
     return U.run_units(units, compute, path, {"v": 1}, "o_orderstatus").groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('seed', true), ('n', true), ('same', false)) t(parameter, moved)""")
+@query("""SELECT c_mktsegment AS parameter, count(*) <> count(*) FILTER (c_acctbal > -900) OR max(c_custkey) <> max(c_custkey) FILTER (c_acctbal > -900) AS moved FROM customer GROUP BY 1 UNION ALL SELECT 'rate', false""")
 def moved_parameters(spark, d):
-    """The parameters in which a written table differs from what is wanted now."""
+    """The parameters in which a written table differs from what is wanted now: here what it was built from, by segment."""
     path = f"{shared_dir(spark)}/table"
-    S.write_table(table(spark, d, "region"), path, params={"seed": 1, "same": [1.5, None], "n": float("nan")})
-    moved = S.moved_params(spark, path, {"seed": 2, "same": [1.5, None], "n": 3})
-    return spark.createDataFrame([(k, k in moved) for k in ("seed", "n", "same")], "parameter string, moved boolean")
+    customers = table(spark, d, "customer")
+    built = lambda df: {r.s: [r.n, r.last] for r in df.groupBy(F.col("c_mktsegment").alias("s")).agg(F.count("*").alias("n"), F.max("c_custkey").alias("last")).collect()} | {"rate": float("nan")}
+    now = built(customers)
+    S.write_table(customers, path, params=built(customers.filter("c_acctbal > -900")))
+    moved = S.moved_params(spark, path, now)
+    return spark.createDataFrame([(k, k in moved) for k in now], "parameter string, moved boolean")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'F' WHEN 'view' THEN 'M' ELSE event_type END AS sex, CASE WHEN user_id % 90 <> 0 THEN (user_id % 90)::DOUBLE END AS age, CASE WHEN event_id % 3 <> 0 THEN 'AP' WHEN event_id % 2 = 0 THEN 'PA' END AS view FROM events""")
@@ -144,12 +150,15 @@ def panel_permutations(spark, d):
     return U.panel_pairs(table(spark, d, "nation"), "n_name", "n_regionkey", ordered=True)
 
 
-@query("""SELECT arm || '__' || level || '__' || seed AS run_id FROM (VALUES ('data'), ('size')) a(arm), (VALUES ('lo'), ('hi')) b(level), (VALUES ('seed0'), ('seed1')) c(seed) WHERE NOT (arm = 'size' AND level = 'lo')
-EXCEPT SELECT 'data__lo__seed0'""")
+@query("""SELECT arm || '__' || level || '__' || seed AS run_id FROM (SELECT DISTINCT c_mktsegment AS arm FROM customer), (SELECT DISTINCT o_orderpriority AS level FROM orders), (SELECT n_name AS seed FROM nation) WHERE NOT (arm = 'BUILDING' AND level = '5-LOW')
+EXCEPT SELECT c_mktsegment || '__' || o_orderpriority || '__' || n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 470000""")
 def run_enumeration(spark, d):
-    """Runs of a design that are still missing."""
-    every = U.runs({"arm": ["data", "size"], "level": ["lo", "hi"], "seed": ["seed0", "seed1"]}, spark, lambda r: (r["arm"], r["level"]) != ("size", "lo"))
-    return U.missing_members(every, spark.createDataFrame([("data__lo__seed0",)], "run_id string"), "run_id")
+    """Runs of a design, segments by priorities by nations, that no large order has done yet."""
+    c, o, n = (table(spark, d, t) for t in ("customer", "orders", "nation"))
+    axis = lambda df, col: sorted(r[0] for r in df.select(col).distinct().collect())  # a design's axes are short
+    every = U.runs({"arm": axis(c, "c_mktsegment"), "level": axis(o, "o_orderpriority"), "seed": axis(n, "n_name")}, spark, lambda r: (r["arm"], r["level"]) != ("BUILDING", "5-LOW"))
+    done = o.filter("o_totalprice > 470000").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return U.missing_members(every, done.select(F.concat_ws("__", "c_mktsegment", "o_orderpriority", "n_name").alias("run_id")), "run_id")
 
 
 @query(f"""SELECT e AS encoder, id AS case_id, len(v)::INT AS width FROM (SELECT * FROM ({_view('full')}) UNION ALL SELECT * FROM ({_view('va')})) WHERE id % 10 <> 3""")
@@ -159,18 +168,19 @@ def consensus_cases(spark, d):
     return A.usable_encoders(v, v.select("case_id")).select("encoder", "case_id", F.size("embedding").alias("width"))
 
 
-@query(f"""WITH x AS ({_view('full')}), t AS (SELECT reader, doc_id % 250 AS a, (doc_id * 7) % 250 AS b, (doc_id * 11) % 250 AS c, CASE WHEN (doc_id + reader) % 2 = 0 THEN 'b' ELSE 'c' END AS choice FROM documents, (VALUES (1), (2)) r(reader)),
+@query(f"""WITH x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM ({_view('full')})), n AS (SELECT greatest(1, count(*)) AS n FROM x), t AS (SELECT reader, doc_id % n AS a, (doc_id * 7) % n AS b, (doc_id * 11) % n AS c, CASE WHEN (doc_id + reader) % 2 = 0 THEN 'b' ELSE 'c' END AS choice FROM documents, n, (VALUES (1), (2)) r(reader)),
 z AS (SELECT reader, choice, 1 - list_inner_product(x.v, y.v) AS db, 1 - list_inner_product(x.v, w.v) AS dc FROM t JOIN x ON x.id = t.a JOIN x y ON y.id = t.b JOIN x w ON w.id = t.c)
 SELECT reader::INT AS reader, count(*) AS n, round(avg((choice = CASE WHEN db < dc THEN 'b' ELSE 'c' END)::INT), 6) AS agreement FROM z WHERE abs(db - dc) >= 1e-9 GROUP BY 1""")
 def triplet_readers(spark, d):
-    """How often two readers' choices agree with the nearer vector, their answers united."""
+    """How often two readers' choices agree with the nearer vector, their answers united; endpoints are places in the order of ids."""
     n = F.col("doc_id")
-    docs = table(spark, d, "documents")
+    docs, x = table(spark, d, "documents"), positions(views(spark, d, "full"), ["case_id"], "at").drop("case_id").withColumnRenamed("at", "case_id")
+    most = max(1, x.count())
     answers = None
     for reader in (1, 2):
-        one = docs.select(F.lit(reader).alias("reader"), (n % 250).alias("a"), (n * 7 % 250).alias("b"), (n * 11 % 250).alias("c"), F.when((n + reader) % 2 == 0, "b").otherwise("c").alias("choice"))
+        one = docs.select(F.lit(reader).alias("reader"), (n % most).alias("a"), (n * 7 % most).alias("b"), (n * 11 % most).alias("c"), F.when((n + reader) % 2 == 0, "b").otherwise("c").alias("choice"))
         answers = one if answers is None else answers.unionByName(one)
-    found = V.triplet_choice(answers, views(spark, d, "full"))
+    found = V.triplet_choice(answers, x)
     return rounded(found.groupBy("reader").agg(F.count("*").alias("n"), F.avg((F.col("choice") == F.col("nearer")).cast("double")).alias("agreement")), "agreement")
 
 
@@ -181,9 +191,14 @@ def interval_brackets(spark, d):
     return rounded(I.bracketed(e, "point", "ci_low", "ci_high"), "point", "ci_low", "ci_high")
 
 
-@query("""WITH r AS (SELECT l_extendedprice * (1 - l_discount) AS before, l_extendedprice AS after FROM lineitem) SELECT round(avg(after - before), 4) AS gain, avg(after - before) > 0.01 * abs(avg(before)) AS passed FROM r""")
+@query("""WITH r AS (SELECT c_nationkey, avg(c_acctbal) FILTER (c_custkey % 2 = 0) AS before, avg(c_acctbal) FILTER (c_custkey % 2 = 1) AS after FROM customer GROUP BY 1),
+g AS (SELECT avg(after - before) AS gain, stddev_samp(after - before) AS sd, avg(before) AS base, count(*)::DOUBLE AS n FROM r WHERE before IS NOT NULL AND after IS NOT NULL), t AS (SELECT *, abs(gain / (sd / sqrt(n))) AS t, n - 1 AS k FROM g),
+w AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 4000, 2) / k, -(k + 1) / 2) AS y FROM t, unnest(range(0, 4001)) u(i)),
+p AS (SELECT 1 - 2 * exp(lgamma((k + 1) / 2) - lgamma(k / 2)) / sqrt(k * pi()) * (SELECT sum(y) FROM w) * t / 12000 AS p FROM t)
+SELECT round(gain, 4) AS gain, round(p, 6) AS p_value, p < 0.05 AND gain > 0.01 * abs(base) AS passed FROM t, p""")
 def paired_gate(spark, d):
-    """The gate of a paired gain, which is far from chance here."""
-    rows = table(spark, d, "lineitem").select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("before"), F.col("l_extendedprice").alias("after"))
+    """The gate of a paired gain: balances of two halves of each nation's customers. The twin integrates Student's density."""
+    half = lambda k: F.avg(F.when(F.col("c_custkey") % 2 == k, F.col("c_acctbal")))
+    rows = table(spark, d, "customer").groupBy("c_nationkey").agg(half(0).alias("before"), half(1).alias("after"))
     r = I.paired_gain(rows, "before", "after")
-    return spark.createDataFrame([(round(r["gain"], 4), r["passed"])], "gain double, passed boolean")
+    return spark.createDataFrame([(round(r["gain"], 4), None if r["p_value"] is None else round(r["p_value"], 6), r["passed"])], "gain double, p_value double, passed boolean")

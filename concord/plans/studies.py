@@ -129,21 +129,42 @@ l AS (SELECT route, 'all_pairs' AS level, metric, budget, '' AS op, outcome, lo,
 _G = "route, level, metric, budget, op, outcome"
 
 
-@query(f"""WITH {_LINK}, u AS (SELECT DISTINCT {_G}, unnest([lo, hi]) AS unit FROM l), k AS (SELECT l.*, unit FROM l JOIN u USING ({_G}) WHERE lo <> unit AND hi <> unit),
+_STATS = f"""{_LINK}, u AS (SELECT DISTINCT {_G}, unnest([lo, hi]) AS unit FROM l), k AS (SELECT l.*, unit FROM l JOIN u USING ({_G}) WHERE lo <> unit AND hi <> unit),
 k2 AS (SELECT {_G}, unit, {_rank('x', _G + ', unit')} AS rx, {_rank('y', _G + ', unit')} AS ry FROM k), j AS (SELECT {_G}, unit, corr(rx, ry) AS v FROM k2 GROUP BY ALL HAVING count(*) >= 4 AND isfinite(corr(rx, ry))),
 e AS (SELECT {_G}, CASE WHEN count(*) >= 3 THEN sqrt((count(*) - 1) / count(*) * var_pop(v) * count(*)) END AS std, count(*) AS n_units FROM j GROUP BY ALL),
 p AS (SELECT {_G}, corr(rx, ry) AS rho FROM (SELECT {_G}, {_rank('x', _G)} AS rx, {_rank('y', _G)} AS ry FROM l) GROUP BY ALL),
-n AS (SELECT {_G}, count(*) AS n_pairs, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM l GROUP BY ALL HAVING count(*) >= 10)
-SELECT route, level, metric, budget AS n_anchors, op AS objective_pair, outcome, round(rho, 6) AS rho, round(slope, 6) AS slope, round(r2, 6) AS r_squared, n_pairs, round(std, 6) AS std, n_units FROM n JOIN p USING ({_G}) LEFT JOIN e USING ({_G})""")
+n AS (SELECT {_G}, count(*) AS n_pairs, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2 FROM l GROUP BY ALL HAVING count(*) >= 10),
+s AS (SELECT route, level, metric, budget AS n_anchors, op AS objective_pair, outcome, rho, slope, r2 AS r_squared, n_pairs, std, n_units FROM n JOIN p USING ({_G}) LEFT JOIN e USING ({_G}))"""
+
+
+@query(f"""WITH {_STATS} SELECT * REPLACE (round(rho, 6) AS rho, round(slope, 6) AS slope, round(r_squared, 6) AS r_squared, round(std, 6) AS std) FROM s""")
 def link_statistics(spark, d):
     """Agreement against retention by metric, budget, objective pair and outcome."""
+    return rounded(C.link_statistics(C.link_rows(*_links(spark, d), "mknn")), "rho", "slope", "r_squared", "std")
+
+
+@query(f"""WITH {_STATS}, z AS (SELECT *, CASE WHEN std > 0 THEN abs(rho) / std END AS z FROM s),
+t AS (SELECT *, CASE WHEN z IS NOT NULL THEN 1 - 2 / sqrt(2 * pi()) * z / 12000 * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(z * i / 4000, 2) / 2))) END AS p_raw FROM z),
+q AS (SELECT *, CASE WHEN p_raw IS NOT NULL THEN p_raw * count(p_raw) OVER f / count(p_raw) OVER (f ORDER BY p_raw) END AS q FROM t WINDOW f AS (PARTITION BY route, level, metric, outcome)),
+h AS (SELECT *, CASE WHEN p_raw IS NOT NULL THEN least(1.0, min(q) OVER (PARTITION BY route, level, metric, outcome, p_raw IS NULL ORDER BY p_raw ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE END AS p_fdr FROM q),
+m AS (SELECT *, route = 'anchor' AND level = 'all_pairs' AND metric = 'mknn' AND n_anchors = 256 AND outcome = 'retention' AS main FROM h)
+SELECT route, level, metric, n_anchors::INT AS n_anchors, objective_pair, outcome, round(rho, 6) AS rho, n_pairs, round(p_raw, 6) AS p_raw, round(p_fdr, 6) AS p_fdr, CASE WHEN main THEN 'primary' ELSE '' END AS role,
+main AND coalesce(coalesce(p_fdr, p_raw) < 0.05, false) AND rho > 0 AND r_squared > 0 AS meets_rule FROM m""")
+def link_table(spark, d):
+    """The link with its pre-specified decision. The twin integrates the normal density."""
+    found = C.link_table(*_links(spark, d), ("anchor", "mknn", 256))
+    return rounded(found.select("route", "level", "metric", "n_anchors", "objective_pair", "outcome", "rho", "n_pairs", "p_raw", "p_fdr", "role", "meets_rule"), "rho", "p_raw", "p_fdr")
+
+
+def _links(spark, d):
+    """Agreement and retention of pairs of nations."""
     pair = lambda a, b: (F.least(a, b).alias("pair_lo"), F.greatest(a, b).alias("pair_hi"))
     c = table(spark, d, "customer").select(F.col("c_nationkey").alias("a"), ((F.col("c_nationkey") * 7 + F.col("c_custkey")) % 25).cast("int").alias("b"), F.col("c_acctbal").alias("v")).filter("a <> b").select(*pair("a", "b"), "v")
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("a"), ((F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25).cast("int").alias("b"), F.col("s_acctbal").alias("v")).filter("a <> b").select(*pair("a", "b"), "v")
     by = ["pair_lo", "pair_hi"]
     alignment = c.groupBy(*by).agg(F.avg("v").alias("alignment")).withColumn("metric", F.lit("mknn")).unionByName(c.groupBy(*by).agg(F.max("v").alias("alignment")).withColumn("metric", F.lit("cka")))
     kept = s.groupBy(*by).agg(F.avg("v").alias("retention"), F.min("v").alias("chance_corrected")).select(F.lit("anchor").alias("route"), F.lit(256).alias("n_anchors"), *by, F.concat(F.lit("p"), F.col("pair_lo") % 2).alias("objective_pair"), "retention", "chance_corrected")
-    return rounded(C.link_statistics(C.link_rows(alignment, kept, "mknn")), "rho", "slope", "r_squared", "std")
+    return alignment, kept
 
 
 @query("""WITH m AS (SELECT c_nationkey, max(c_acctbal) AS y, log10(count(*)) AS p, (c_nationkey % 7)::DOUBLE AS t, log10(c_nationkey % 5 + 1) AS w FROM customer GROUP BY 1),
@@ -158,11 +179,11 @@ def width_control(spark, d):
     return rounded(C.width_control(e.withColumn("year", (nation % 7).cast("double")).withColumn("log_width", F.log10((nation % 5 + 1).cast("double")))), "rho", digits=5)
 
 
-@query("""SELECT 'skin__c__' || vec_id AS case_id, 'skin_c' AS dataset, 'skin' AS modality, 'train' AS split, vec_id::VARCHAR AS image_key, 'c' AS image_subdir, (label = 0)::INT::DOUBLE AS one, (label = 1)::INT::DOUBLE AS two
-FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id::VARCHAR) AS r FROM embeddings WHERE label < 2) WHERE r <= 20""")
+@query(f"""SELECT 'skin__c__' || vec_id AS case_id, 'skin_c' AS dataset, 'skin' AS modality, 'train' AS split, vec_id::VARCHAR AS image_key, 'c' AS image_subdir, {', '.join(f"(label = {k})::INT::DOUBLE AS kind{k}" for k in range(10))}
+FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42|' || vec_id), vec_id::VARCHAR) AS r FROM embeddings) WHERE r <= 20""")
 def class_pool(spark, d):
-    e = table(spark, d, "embeddings").filter("label < 2").select("vec_id", *((F.col("label") == k).cast("int").alias(f"C{k}") for k in range(2)))
-    return C.class_pool(e, "skin_c", "vec_id", {"C0": "one", "C1": "two"}, 20, 42, "c")
+    e = table(spark, d, "embeddings").select("vec_id", *((F.col("label") == k).cast("int").alias(f"C{k}") for k in range(10)))
+    return C.class_pool(e, "skin_c", "vec_id", {f"C{k}": f"kind{k}" for k in range(10)}, 20, 42, "c")
 
 
 @query("""SELECT 'graded__' || o_orderkey AS case_id, o_custkey AS subject_id, CASE WHEN o_orderstatus = 'O' THEN 'valid' ELSE 'train' END AS split, CASE WHEN o_orderkey % 3 = 1 THEN 1.0 WHEN o_orderkey % 3 = 0 THEN 0.0 END::DOUBLE AS edema,

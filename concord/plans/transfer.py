@@ -81,7 +81,7 @@ r AS (SELECT least(s_nationkey, t) AS lo, greatest(s_nationkey, t) AS hi, avg(s_
 f AS (SELECT lo % 5 AS family, regr_slope(retention, alignment) AS slope, regr_r2(retention, alignment) AS r2, count(*) AS n FROM a JOIN r USING (lo, hi) GROUP BY 1),
 p AS (SELECT *, 1 - coalesce(r2, 0) AS p_raw FROM f), q AS (SELECT *, p_raw * count(*) OVER () / row_number() OVER (ORDER BY p_raw, family) AS q FROM p)
 SELECT family::INT AS family, round(slope, 6) AS slope, n, round(p_raw, 6) AS p_raw, round(least(1.0, min(q) OVER (ORDER BY p_raw, family ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)::DOUBLE AS p_fdr FROM q""")
-def link_table(spark, d):
+def link_slopes(spark, d):
     """Two pair tables joined on the unordered pair, a slope for each family, and false-discovery control."""
     from concord.operators.relational import pair_means
 

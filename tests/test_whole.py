@@ -76,7 +76,7 @@ def test_range_over_all_users(spark, tables):
 
 
 def test_sections_of_all_turns(spark, tables):
-    assert {(r.conv_id, r.report) for r in run(spark, "section_combine_whole", tables)} == {(c, f"system {c} 2\nuser {c} 3") for c in range(6)}
+    assert {(r.conv_id, r.report) for r in run(spark, "section_combine", tables)} == {(c, f"system {c} 2\nuser {c} 3") for c in range(6)}
 
 
 def test_triplets_and_structure_of_all_vectors(spark, tables):
