@@ -178,7 +178,10 @@ def sums_at(slices: list[np.ndarray], rows: np.ndarray, constant: int) -> np.nda
 
 
 def build_index(vectors: DataFrame, vec_id: str, embedding: str, scale: int = SCALE, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """(one row per block of about block_rows rows, number of blocks). Rows are dealt evenly, whatever their ids."""
+    """(one row per block of about block_rows rows, number of blocks). Rows are dealt evenly, whatever their ids.
+
+    Rows that are not usable() are left out, rows that repeat are all kept; an empty table makes no block, or an empty one.
+    """
     rows = vectors.filter(usable(vec_id, embedding)).select(vec_id, embedding)
     blocks = max(1, -(-rows.count() // block_rows))
 
@@ -221,8 +224,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id"
     copies = min(n_sets, max(-(-n_sets // TASK_SETS), -(-cores // blocks)))
     left = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     right = sets.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("of"), F.pmod("chunk", F.lit(copies)).alias("own_copy"))
-    tasks = min(blocks * copies, 4096)
-    pairs = left.repartition(tasks, "block", "copy").hint("shuffle_hash").join(right.repartition(tasks, "of", "own_copy"), (F.col("block") == F.col("of")) & (F.col("copy") == F.col("own_copy")))
+    tasks = blocks * copies
+    # merged, not hashed: a task sorts its blocks and sets, on disk where they are many
+    pairs = left.repartition(tasks, "block", "copy").hint("merge").join(right.repartition(tasks, "of", "own_copy"), (F.col("block") == F.col("of")) & (F.col("copy") == F.col("own_copy")))
 
     def run(batches):
         for batch in batches:

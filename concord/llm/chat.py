@@ -101,13 +101,35 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     )
 
 
+def read_parts(formatted: Column) -> Column:
+    """The turns of a formatted conversation with their parts: array of (role, array of (type, text)), in order.
+
+    A placeholder is a part of its type with a NULL text; the text between two of them is one part, empty text none. What a text
+    says is escaped, so it is never taken for a placeholder. The references are in `attachments`, in the same order.
+    """
+    kind = "|".join(EXPANDS)
+    text_part = lambda t: F.struct(F.lit("text").alias("type"), unescape(t).alias("text"))
+
+    def parts(body: Column) -> Column:
+        texts, kinds = F.split(body, rf"<\|(?:{kind})\|>"), F.regexp_extract_all(body, F.lit(rf"<\|({kind})\|>"), F.lit(1))
+        placed = F.transform(kinds, lambda k: F.struct(k.alias("type"), F.lit(None).cast("string").alias("text")))
+        both = F.transform(texts, lambda t, i: F.concat(F.array(text_part(t)), F.slice(placed, i + 1, F.lit(1))))
+        return F.filter(F.flatten(both), lambda p: F.coalesce(p["text"] != "", F.lit(True)))
+
+    return F.transform(_turns(formatted), lambda t: F.struct(_unescape_role(t["role"]).alias("role"), parts(t["body"]).alias("parts")))
+
+
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text), unescaped; none of an empty one, NULL of NULL."""
+    return F.transform(_turns(formatted), lambda t: F.struct(_unescape_role(t["role"]).alias("role"), unescape(t["body"]).alias("text")))
+
+
+def _turns(formatted: Column) -> Column:
+    """(role, body) of each turn as they are written."""
     pieces = F.split(formatted, r"<\|im_start\|>")
 
     def turn(piece: Column) -> Column:
         role = F.substring_index(piece, "\n", 1)
-        text = F.substr(piece, F.length(role) + 2, F.length(piece) - F.length(role) - 1 - len(END) - 1)
-        return F.struct(_unescape_role(role).alias("role"), unescape(text).alias("text"))
+        return F.struct(role.alias("role"), F.substr(piece, F.length(role) + 2, F.length(piece) - F.length(role) - 1 - len(END) - 1).alias("body"))
 
     return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), turn)

@@ -7,6 +7,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.sources.shared import cut
@@ -32,6 +33,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return cut(df, label)
 
 
+def numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Columns of df under names that no operator uses, and the new name of each; named() gives the old names back."""
+    names = {c: f"column_{i}" for i, c in enumerate(dict.fromkeys(columns))}
+    return df.select(*(df[f"`{c}`"].alias(n) for c, n in names.items())), names
+
+
+def named(df: DataFrame, names: dict[str, str], keeps: list[str]) -> DataFrame:
+    """The numbered columns of `keeps` under their old names, before the other columns of df that are not numbered."""
+    new = [c for c in df.columns if c not in names.values()]
+    return df.select(*(F.col(names[c]).alias(c) for c in keeps), *(F.col(f"`{c}`") for c in new))
+
+
 def map_batches(
     df: DataFrame,
     make: Callable[[], Callable[[dict[str, pa.Array]], dict[str, pa.Array]]],

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import held, map_batches, materialise
+from concord.llm.common import held, map_batches, materialise, named, numbered
 
 WINDOW = 10
 #: Bytes of windows in one broadcast table; a larger benchmark is searched for in several passes.
@@ -158,8 +158,14 @@ def find_contamination(
     a larger benchmark is taken in parts, each searched for in a pass of its own. Which items a window belongs to is joined
     to the documents that hold one, from a table of the kept columns; without `items` that is left out.
     """
+    new = ("n_words", "spans", "n_hit", "contaminated", *(["items"] if items else []))
+    keeps = [c for c in (keeps if keeps is not None else docs.columns) if c not in new]
+    rows, names = numbered(docs, [*keeps, text])
+    return named(_found(rows, benchmark, names[text], [names[c] for c in keeps], item_id, item_text, window, max_bytes, items), names, keeps)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, keeps: list[str], item_id: str, item_text: str, window: int, max_bytes: int, items: bool) -> DataFrame:
     spark = docs.sparkSession
-    keeps = keeps if keeps is not None else docs.columns
     windows = materialise(benchmark_windows(benchmark, item_id, item_text, window).withColumn("number", F.monotonically_increasing_id()), "windows")
     size = windows.agg(F.sum(F.octet_length("window") + WINDOW_BYTES)).first()[0] or 0
     parts = max(1, -(-size // max_bytes))
@@ -172,15 +178,13 @@ def find_contamination(
         if k < parts - 1:
             found = materialise(found, f"part-{k}")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    new = ("n_hit", "contaminated", "_hits", *(["items"] if items else []))
-    names = [f"`{c}`" for c in found.columns if c not in new]
-    measured = found.select(*names, "_hits", hit.alias("n_hit"), (F.size("spans") > 0).alias("contaminated"))
+    measured = found.select("*", hit.alias("n_hit"), (F.size("spans") > 0).alias("contaminated"))
     if not items:
         return measured.drop("_hits")
     rows = materialise(measured.withColumn("_row_found", F.monotonically_increasing_id()), "found")
     each = rows.filter("contaminated").select(F.col("_row_found").alias("_of_row"), F.explode("_hits").alias("_number"))
     each = each.join(windows.select(F.col("number").alias("_number"), F.col("items").alias("_items")), "_number")
-    named = each.groupBy("_of_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items"))
-    out = rows.filter("contaminated").join(named, F.col("_row_found") == F.col("_of_row"), "left").drop("_row_found", "_of_row", "_hits")
+    whose = each.groupBy("_of_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("items"))
+    out = rows.filter("contaminated").join(whose, F.col("_row_found") == F.col("_of_row"), "left").drop("_row_found", "_of_row", "_hits")
     clean = rows.filter("NOT contaminated").withColumn("items", F.array().cast("array<string>")).drop("_row_found", "_hits")
     return out.unionByName(clean)

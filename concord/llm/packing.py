@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import materialise
+from concord.llm.common import materialise, named, numbered
 from concord.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -176,8 +176,13 @@ def pack(docs: DataFrame, text: str = "text", keeps: list[str] | None = None, ca
     itself; an empty table gives no rows; columns of docs with the name of a new one are left out.
     What the driver hands on to all tasks is the table of match(), some rows for each length at most.
     """
-    spark = docs.sparkSession
     keeps = [c for c in (keeps if keeps is not None else [c for c in docs.columns if c != text]) if c not in _NEW]
+    rows, names = numbered(docs, [*keeps, text])
+    return named(_packed(rows, names[text], [names[c] for c in keeps], capacity, tokenizer), names, keeps)
+
+
+def _packed(docs: DataFrame, text: str, keeps: list[str], capacity: int, tokenizer: str | None) -> DataFrame:
+    spark = docs.sparkSession
     pieces = materialise(tokenised_pieces(docs, text, keeps, capacity, tokenizer or default_tokenizer()), "pieces")
     counts = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

@@ -139,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     More than fit_rows such rows are represented by about fit_rows of them, chosen by a hash of
     their id and read whole; their bucket counts, at most BUCKETS numbers each, are all that
     comes to the driver. A null text counts as empty; labels other than 0 and 1 and null ids teach
-    nothing, of labels that differ for an id the larger holds; other columns do not matter.
+    nothing, of labels that differ for an id the larger holds, and of rows that share an id the one with the first text; other columns do not matter.
     """
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("of")).agg(F.max(label).alias("y"))
     total = known.count()
@@ -148,6 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     declared = F.col(length).cast("long") if length in docs.columns else F.lit(None).cast("long")
     rows = docs.filter(learn).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), declared.alias("declared"))
     rows = rows.join(F.broadcast(known), rows["id"] == known["of"]).select("id", "y", "text", "declared")
+    one = F.min(F.struct("text", "declared"))  # of the rows that share an id, so that no more come than ids were drawn
+    rows = rows.groupBy("id", "y").agg(one.alias("row")).select("id", "y", "row.*")
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("y", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("n", T.BinaryType()), T.StructField("stats", T.ArrayType(T.DoubleType()))])
 
     def run(batches):

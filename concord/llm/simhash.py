@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import map_batches, materialise
+from concord.llm.common import map_batches, materialise, named, numbered
 from concord.llm.components import components
 
 SEED = 42
@@ -263,6 +263,11 @@ def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str =
     gives an empty result. Columns of docs named fp, fingerprint or component_id are replaced.
     """
     keeps = [c for c in (keeps or [doc_id]) if c not in ("fp", "fingerprint", "component_id")]
+    rows, names = numbered(docs, [*keeps, doc_id, text])
+    return named(_classes(rows, names[doc_id], names[text], [names[c] for c in keeps], shingle, seed, groups), names, keeps)
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, keeps: list[str], shingle: int, seed: int, groups: int) -> DataFrame:
     printed = materialise(with_fingerprint(docs, text, list(dict.fromkeys([*keeps, doc_id])), shingle, seed), "fingerprints")
     reps = materialise(printed.groupBy("fp").agg(F.min(doc_id).alias("first_id")), "distinct")
     roots = components(links(reps.select("fp"), groups))

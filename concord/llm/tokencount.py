@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from concord.llm.common import materialise
 from concord.llm.tokens import default_tokenizer, encoder
 from concord.sources.shared import shared_dir
 
@@ -29,9 +30,11 @@ _IDS = [T.StructField("_ordinal", T.LongType()), T.StructField("_ids", T.BinaryT
 _AS_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 _HEX, _OTHER_HEX = "0123456789ABCDEF", "ghijklmnopqrstuv"
 _FOUND = T.StructType(
-    [T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("part", T.LongType()), T.StructField("n_bytes", T.LongType())]
-    + [T.StructField("places", T.ArrayType(T.LongType())), T.StructField("head", T.BinaryType()), T.StructField("tail", T.BinaryType())]
+    [T.StructField("file", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("block", "part", "size", "n_bytes"))]
+    + [T.StructField("places", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("counts", T.ArrayType(T.LongType())), T.StructField("lasts", T.ArrayType(T.LongType()))]
+    + [T.StructField("head", T.BinaryType()), T.StructField("tail", T.BinaryType())]
 )
+_ARROW = [pa.string(), *[pa.int64()] * 4, pa.list_(pa.list_(pa.int64())), *[pa.list_(pa.int64())] * 2, *[pa.binary()] * 2]
 
 
 def write_flat(docs: DataFrame, text: str, keeps: list[str], tokenizer: str | None = None, end_id: int = END_OF_DOCUMENT, dtype: str = DTYPE) -> tuple[str, DataFrame]:
@@ -113,45 +116,48 @@ def count_tokens(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, dtype: str =
     def run(batches):
         part: dict[tuple, int] = {}
         for batch in batches:
-            files, starts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            files, starts, sizes = (batch.column(c).to_pylist() for c in range(3))
             edges = [i for i in range(batch.num_rows) if i == 0 or starts[i] != starts[i - 1] or files[i] != files[i - 1]] + [batch.num_rows]
             rows = []
             for a, b in zip(edges, edges[1:]):
-                data = b"".join(batch.column(2).slice(a, b - a).to_pylist())
+                data = b"".join(batch.column(3).slice(a, b - a).to_pylist())
                 found = []
                 for shift in range(width):
                     ids = np.frombuffer(data, dtype, max(0, len(data) - shift) // width, shift) if len(data) > shift else np.empty(0, dtype)
                     found.append(np.flatnonzero(ids == end_id) * width + shift)
                 key = (files[a], starts[a])
                 part[key] = part.get(key, -1) + 1
-                rows.append((*key, part[key], len(data), np.sort(np.concatenate(found)), data[: width - 1], data[max(0, len(data) - width + 1) :]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=_FOUND.names)
-
-    typed = blocks.select("file", F.col("block").cast("long").alias("block"), F.coalesce("data", F.lit(b"")).alias("data"))
-    found = typed.mapInArrow(run, _FOUND)
-    sizes = blocks.groupBy(F.col("file").alias("of")).agg(F.max("size").alias("size"))
+                lasts = [int(f[-1]) if len(f) else None for f in found]
+                rows.append((*key, part[key], sizes[a], len(data), found, [len(f) for f in found], lasts, data[: width - 1], data[max(0, len(data) - width + 1) :]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW)], names=_FOUND.names)
+
+    typed = blocks.select("file", F.col("block").cast("long").alias("block"), F.col("size").cast("long").alias("size"), F.coalesce("data", F.lit(b"")).alias("data"))
+    found = materialise(typed.mapInArrow(run, _FOUND), "found")
+    # what a file's scan carries is a few numbers for each block; the places stay behind
+    scan = found.select("file", "block", "part", "size", "n_bytes", "counts", "lasts", "head", "tail")
     order = Window.partitionBy("file").orderBy("block", "part")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("at", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
+    scan = scan.withColumn("at", F.coalesce(F.sum("n_bytes").over(before), F.lit(0)))
     # the last bytes before a block, and its first ones: a separator may lie across
     tail, none = F.lit(b""), F.lit(b"")
     for back in range(1, width):
         tail = F.concat(F.coalesce(F.lag("tail", back).over(order), none), tail)
-    found = found.withColumn("left", F.substring(tail, F.greatest(F.octet_length(tail) - width + 2, F.lit(1)), F.lit(width - 1)))
+    scan = scan.withColumn("left", F.substring(tail, F.greatest(F.octet_length(tail) - width + 2, F.lit(1)), F.lit(width - 1)))
     across = F.concat("left", "head")
     begins = [F.when(F.substring(across, k, width) == F.lit(end), F.col("at") - F.octet_length("left") + k - 1) for k in range(1, width)]
-    crossing = F.filter(F.array(*begins), lambda x: x.isNotNull() & (x < F.col("at")) & (x + width > F.col("at")))
-    places = F.concat(crossing, F.transform("places", lambda x: x + F.col("at")))
-    ends = F.transform(F.filter(places, lambda x: x % width == 0), lambda x: (x / width).cast("long"))
-    found = found.select("file", "block", "part", "at", "n_bytes", ends.alias("ends"))
-    found = found.withColumn("done", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    found = found.withColumn("last_end", F.element_at(F.col("ends"), F.when(F.size("ends") > 0, F.lit(-1))))
-    found = found.withColumn("previous", F.coalesce(F.max("last_end").over(before), F.lit(-1).cast("long")))
-    found = found.withColumn("is_last", F.lead("block").over(order).isNull())
-    found = found.join(sizes, F.col("file") == F.col("of"))
+    crossing = F.filter(F.array(*begins), lambda x: x.isNotNull() & (x < F.col("at")) & (x + width > F.col("at")) & (x % width == 0))
+    scan = scan.withColumn("shift", F.pmod(-F.col("at"), F.lit(width)).cast("int")).withColumn("crossing", F.transform(crossing, lambda x: (x / width).cast("long")))
+    scan = scan.withColumn("n_ends", F.size("crossing") + F.col("counts")[F.col("shift")])
+    scan = scan.withColumn("last_end", F.coalesce(((F.col("lasts")[F.col("shift")] + F.col("at")) / width).cast("long"), F.element_at(F.col("crossing"), F.when(F.size("crossing") > 0, F.lit(-1)))))
+    scan = scan.withColumn("done", F.coalesce(F.sum("n_ends").over(before), F.lit(0))).withColumn("previous", F.coalesce(F.max("last_end").over(before), F.lit(-1).cast("long")))
+    scan = scan.withColumn("is_last", F.lead("block").over(order).isNull())
     n_ids = F.floor(F.col("size") / width)
-    tail = F.when(F.col("is_last") & (F.coalesce("last_end", "previous") < n_ids - 1), F.array(n_ids)).otherwise(F.array().cast("array<bigint>"))
-    spread = found.select("file", "done", "previous", F.size("ends").alias("n_ends"), F.concat("ends", tail).alias("stops"))
+    rest = F.when(F.col("is_last") & (F.coalesce("last_end", "previous") < n_ids - 1), F.array(n_ids)).otherwise(F.array().cast("array<bigint>"))
+    scan = scan.select("file", "block", "part", "at", "shift", "crossing", "n_ends", "done", "previous", rest.alias("rest"))
+    places = found.select(F.col("file").alias("of"), F.col("block").alias("of_block"), F.col("part").alias("of_part"), "places")
+    whole = scan.join(places, F.col("file").eqNullSafe(F.col("of")) & F.col("block").eqNullSafe(F.col("of_block")) & (F.col("part") == F.col("of_part")))
+    ends = F.concat("crossing", F.transform(F.col("places")[F.col("shift")], lambda x: ((x + F.col("at")) / width).cast("long")))
+    spread = whole.select("file", "done", "previous", "n_ends", F.concat(ends, "rest").alias("stops"))
     each = spread.select("file", "done", "previous", "n_ends", "stops", F.posexplode("stops").alias("i", "stop"))
     start = F.when(F.col("i") == 0, F.col("previous")).otherwise(F.col("stops")[F.col("i") - 1]) + 1
     return each.select("file", (F.col("done") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("i") < F.col("n_ends")).alias("closed"))

@@ -87,10 +87,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def leaves_of(records: DataFrame) -> DataFrame:
     """(file, offset, length, id, digest) of records (file, offset, record): all that a tree needs of their bytes.
 
-    id is the WARC-Record-ID, empty if there is none in the first 4096 bytes.
+    id is the WARC-Record-ID of the header, which ends at the first blank line however long it is; empty if it
+    has none, or if there is no blank line. Null bytes count as none; records that repeat are records of their own.
     """
-    head = F.decode(F.substring("record", 1, 4096), "ISO-8859-1")
-    record_id = F.regexp_extract(head, r"(?i)\nWARC-Record-ID:[ \t]*([^\r\n]*)", 1)
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1).cast("binary")  # of bytes, whatever they say
+    header = F.when(F.octet_length(head) < F.octet_length("record"), F.decode(head, "ISO-8859-1"))
+    record_id = F.regexp_extract(header, r"(?i)\nWARC-Record-ID:[ \t]*([^\r\n]*)", 1)
     return records.select(
         F.col("file").cast("string").alias("file"), "offset", F.coalesce(F.octet_length("record"), F.lit(0)).cast("long").alias("length"),
         F.coalesce(record_id, F.lit("")).alias("id"), F.sha2(F.coalesce("record", F.lit(b"")), 256).alias("digest"),
@@ -98,7 +100,10 @@ def leaves_of(records: DataFrame) -> DataFrame:
 
 
 def laid_out(leaves: DataFrame, place: str) -> DataFrame:
-    """Leaves with the offsets that they have when each file's records follow one another in order of `place`."""
+    """Leaves with the offsets that they have when each file's records follow one another in order of `place`.
+
+    Records of a null file are one file; those of one place go in any order; a null length counts as 0.
+    """
     before = Window.partitionBy("file").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     return leaves.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
 
