@@ -16,10 +16,14 @@ from pyspark.sql import types as T
 
 from concord.sources.shared import cut
 
-#: Rows of a block; a product of two blocks takes 32 MB.
+#: Rows of a block at most, and components; a product of two blocks takes 32 MB.
 BLOCK_ROWS = 2048
+BLOCK_VALUES = 1 << 20
 #: Blocks that a task holds of each side at most.
 STRIP = 16
+#: Vectors of an encoder, first by hash, around which its others are dealt into blocks; one for so many rows.
+PIVOTS = 32
+ROWS_A_PIVOT = 1024
 #: Similarities that agree to so many decimals are equal, as sums of products depend on their order.
 DECIMALS = 12
 
@@ -57,40 +61,86 @@ def last_per_case(df: DataFrame, id_col: str, order: str) -> DataFrame:
     return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
-def _matrix(values: pa.Array) -> np.ndarray:
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
+def _matrix(values: pa.Array, width: int | None = None) -> np.ndarray:
+    """Rows of a list array; vectors shorter than the longest, or than width, end in zeros."""
+    lists = pa.concat_arrays([values])
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    width = max(int(sizes.max(initial=0)), width or 0)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
 
 
 _BLOCK = T.StructType([T.StructField(n, t) for n, t in (("encoder", T.StringType()), ("block", T.IntegerType()), ("ids", T.BinaryType()), ("width", T.IntegerType()), ("data", T.BinaryType()))])
 _EDGES = T.StructType([T.StructField(n, t) for n, t in (("encoder", T.StringType()), ("src", T.LongType()), ("dst", T.LongType()), ("similarity", T.DoubleType()))])
 
 
+def _near(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(vectors with the number of the nearest pivot of their encoder and the distance from it, width of all): what is near in space gets near in order.
+
+    An encoder has PIVOTS pivots at most, its first vectors by hash; an encoder of few rows has one.
+    """
+    from concord.operators.sampling import hash_key
+
+    sizes = {r.encoder: (r.n, r.w) for r in vectors.groupBy("encoder").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("w")).collect()}  # a panel of encoders
+    width = max((w for _, w in sizes.values()), default=0)
+    first = F.row_number().over(Window.partitionBy("encoder").orderBy(hash_key("pivot", F.col("case_id")), "case_id", "embedding"))
+    table: dict[str, list] = {}
+    for r in vectors.select("encoder", "embedding", first.alias("_first")).filter(F.col("_first") <= PIVOTS).orderBy("encoder", "_first").collect():
+        if len(table.setdefault(r.encoder, [])) < max(1, sizes[r.encoder][0] // ROWS_A_PIVOT):
+            table[r.encoder].append([*r.embedding, *[0.0] * (width - len(r.embedding))])
+    shared = vectors.sparkSession.sparkContext.broadcast({e: np.array(v, np.float64) for e, v in table.items()})
+    schema = T.StructType([*vectors.schema, T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            names, pivot, away = np.array(batch.column(0).to_pylist()), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for name in np.unique(names):
+                own, centres = np.flatnonzero(names == name), shared.value[name]
+                rows = _matrix(batch.column(2).take(pa.array(own)), width)
+                squares = (rows * rows).sum(1)[:, None] + (centres * centres).sum(1) - 2 * rows @ centres.T
+                pivot[own] = squares.argmin(1)
+                away[own] = np.sqrt(np.maximum(squares[np.arange(len(own)), pivot[own]], 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot), pa.array(away)], names=schema.names)
+
+    return vectors.mapInArrow(run, schema), width
+
+
 def _blocks(vectors: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    n = max(1, -(-vectors.count() // rows))
+    near, width = _near(vectors)
+    rows = max(1, min(rows, BLOCK_VALUES // max(1, width)))
+    near = cut(near)
+    n = max(1, -(-near.count() // rows))
 
     def run(batches):
-        groups: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        groups: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            names, ids = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+            names, ids, pivots = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy(), batch.column(3).to_numpy()
             for name in np.unique(names):
-                own = np.flatnonzero(names == name)
-                groups.setdefault(name, []).append((ids[own], _matrix(batch.column(2).take(pa.array(own)))))
-        for name, parts in groups.items():
+                for pivot in np.unique(pivots[names == name]):
+                    own = np.flatnonzero((names == name) & (pivots == pivot))
+                    groups.setdefault((name, pivot), []).append((ids[own], _matrix(batch.column(2).take(pa.array(own)), width)))
+        for (name, _), parts in groups.items():
             ids, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             one = [[str(name)], [TaskContext.get().partitionId()], [ids.astype("<i8").tobytes()], [m.shape[1]], [m.tobytes()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, (pa.string(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], names=_BLOCK.names)
 
-    return cut(vectors.select("encoder", "case_id", "embedding").repartition(n).mapInArrow(run, _BLOCK)), n
+    dealt = near.repartitionByRange(n, "encoder", "pivot", "away", "case_id")
+    return cut(dealt.select("encoder", "case_id", "embedding", "pivot").mapInArrow(run, _BLOCK)), n
 
 
-def _rows_of(table: pa.Table, suffix: str = "") -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of each block, in order of id."""
+def _rows_of(table: pa.Table, suffix: str = "") -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """(ids, matrix, centre, radius) of each block, in order of id."""
     out = []
     for ids, width, data in zip(*(table.column(c + suffix).to_pylist() for c in ("ids", "width", "data"))):
         key = np.frombuffer(ids, "<i8")
         order = np.argsort(key, kind="stable")
-        out.append((key[order], np.frombuffer(data).reshape(len(key), width)[order]))
+        m = np.frombuffer(data).reshape(len(key), width)[order]
+        centre = m.mean(0)
+        out.append((key[order], m, centre, float(np.sqrt(((m - centre) ** 2).sum(1).max(initial=0)))))
     return out
 
 
@@ -117,43 +167,70 @@ def knn_edges(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """(encoder, src, dst, similarity, rank): each row's k nearest by inner product within its encoder.
 
     A row is not its own neighbour, by id; equal similarities go by ascending id. case_id is a long.
-    Rows without an encoder, a case or a vector belong to no graph. Blocks of rows meet in the cells of
+    Rows without an encoder or a case, and those whose vector is absent or holds a null or non-finite component, belong to no graph; a shorter
+    vector counts as ending in zeros. Blocks of rows that are near one another meet in the cells of
     a grid: a block is copied along its row and its column of the grid, not to every other block, and a
-    cell passes on k edges of a case at most, however many are equal.
+    cell passes on k edges of a case at most, however many are equal. A cell leaves out the pairs of blocks whose centres
+    and radii do not allow a similarity that any row still wants.
     """
-    usable = vectors.filter(F.col("encoder").isNotNull() & F.col("case_id").isNotNull() & F.col("embedding").isNotNull())
+    found = _found_edges(vectors, k, rows).filter("src IS NOT NULL")
+    best = F.row_number().over(Window.partitionBy("encoder", "src").orderBy(F.desc(F.round("similarity", DECIMALS)), "dst"))
+    return found.withColumn("rank", best).filter(F.col("rank") <= k)
+
+
+def block_pairs(vectors: DataFrame, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(encoder, pairs, skipped): pairs of blocks that meet in knn_edges(), and those whose product it leaves out."""
+    told = _found_edges(vectors, k, rows).filter("src IS NULL")
+    return told.groupBy("encoder").agg(F.sum("dst").alias("pairs"), F.sum("similarity").cast("long").alias("skipped"))
+
+
+def _found_edges(vectors: DataFrame, k: int, rows: int) -> DataFrame:
+    """Edges that cells pass on, and for each cell a row without src: its pairs of blocks as dst, those left out as similarity."""
+    usable = finite_rows(vectors.filter(F.col("encoder").isNotNull() & F.col("case_id").isNotNull())).select(F.col("encoder").cast("string").alias("encoder"), F.col("case_id").cast("long").alias("case_id"), "embedding")
     blocks, n = _blocks(usable, rows)
     side = min(n, max(-(-n // STRIP), int(vectors.sparkSession.sparkContext.defaultParallelism**0.5)))
     strip, every = F.pmod("block", F.lit(side)), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
     left = blocks.select("encoder", strip.alias("i"), every.alias("j"), "ids", "width", "data")
     right = blocks.select(F.col("encoder").alias("of"), every.alias("k"), strip.alias("l"), F.col("ids").alias("ids2"), F.col("width").alias("width2"), F.col("data").alias("data2"))
 
-    empty = pa.schema([("encoder", pa.string()), ("src", pa.int64()), ("dst", pa.int64()), ("similarity", pa.float64())])
-
     def cell(one: pa.Table, other: pa.Table) -> pa.Table:
+        empty = [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64(), pa.float64())]
         if not one.num_rows or not other.num_rows:
-            return pa.table([pa.array([], f.type) for f in empty], names=_EDGES.names)
-        out, names, against = [], one.column("encoder"), _rows_of(other, "2")
-        for src, x in _rows_of(one):
-            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-            for dst, y in against:
+            return pa.table(empty, names=_EDGES.names)
+        out, name, against, skipped = [], one.column("encoder")[0].as_py(), _rows_of(other, "2"), 0
+        for src, x, centre, radius in _rows_of(one):
+            size = float(np.linalg.norm(centre))
+            # no inner product of rows of two blocks is larger
+            most = [float(centre @ c) + radius * float(np.linalg.norm(c)) + r * size + radius * r for _, _, c, r in against]
+            kth, found = np.full(len(src), -np.inf), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+            for b in np.argsort(most)[::-1]:
+                if most[b] < kth.min() - 1e-9 * (1 + abs(most[b])):
+                    skipped += 1
+                    continue
+                dst, y = against[b][:2]
                 exact = x @ y.T
                 i, j = nearest(exact, src, dst, k)
                 found.append((i, dst[j], exact[i, j]))
+                i, d, s = (np.concatenate([f[c] for f in found]) for c in range(3))
+                if len(found) > 2:  # the best so far
+                    order = np.lexsort((d, -np.round(s, DECIMALS), i))
+                    i, d, s = i[order], d[order], s[order]
+                    first = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
+                    place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) if len(i) else i
+                    i, d, s = i[place < k], d[place < k], s[place < k]
+                found = [found[0], (i, d, s)]
+                full = np.bincount(i, minlength=len(src)) == k
+                worst = np.full(len(src), np.inf)
+                np.minimum.at(worst, i, s)
+                kth = np.where(full, worst, -np.inf)
             i, d, s = (np.concatenate([f[c] for f in found]) for c in range(3))
-            if len(against) > 1:  # the best of the cell
-                order = np.lexsort((d, -np.round(s, DECIMALS), i))
-                i, d, s = i[order], d[order], s[order]
-                first = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
-                place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) if len(i) else i
-                i, d, s = i[place < k], d[place < k], s[place < k]
             out.append((src[i], d, s))
         src, dst, sim = (np.concatenate([np.empty(0, t), *(o[c] for o in out)]) for c, t in enumerate((np.int64, np.int64, np.float64)))
-        return pa.table([pa.array([names[0].as_py()] * len(src), pa.string()), pa.array(src), pa.array(dst), pa.array(sim)], names=_EDGES.names)
+        told = pa.table([pa.array([name], pa.string()), pa.array([None], pa.int64()), pa.array([one.num_rows * other.num_rows]), pa.array([float(skipped)])], names=_EDGES.names)
+        edges = pa.table([pa.array([name] * len(src), pa.string()), pa.array(src), pa.array(dst), pa.array(sim)], names=_EDGES.names)
+        return pa.concat_tables([edges, told])
 
-    found = left.groupBy("encoder", "i", "j").cogroup(right.groupBy("of", "k", "l")).applyInArrow(cell, _EDGES)
-    best = F.row_number().over(Window.partitionBy("encoder", "src").orderBy(F.desc(F.round("similarity", DECIMALS)), "dst"))
-    return found.withColumn("rank", best).filter(F.col("rank") <= k)
+    return left.groupBy("encoder", "i", "j").cogroup(right.groupBy("of", "k", "l")).applyInArrow(cell, _EDGES)
 
 
 def neighbour_lists(edges: DataFrame) -> DataFrame:
@@ -162,37 +239,51 @@ def neighbour_lists(edges: DataFrame) -> DataFrame:
     return listed.select("encoder", "case_id", F.transform("n", lambda x: x["dst"]).alias("neighbours"))
 
 
+#: Rows of a Gram matrix that travel as one value.
+GRAM_ROWS = 64
+
+
 def grams(vectors: DataFrame) -> dict[tuple[str, str], np.ndarray]:
     """Sums over shared cases of the outer products of every two encoders' vectors, each with a last component of 1.
 
-    One pass: each task adds up its cases' products and gives one matrix per pair. Row and column
-    sums and the count come from the extra component. A case counts for a pair if it has both.
+    One pass: each task adds up its cases' products and gives pieces of GRAM_ROWS rows as bytes, which are
+    added in a tree, so no cell of a matrix is a row. Row and column sums and the count come from the extra component. A
+    case counts for a pair if it has both; of several vectors of a case and encoder one counts. The driver takes pieces one by one and holds the matrices alone.
     """
-    cases = vectors.groupBy("case_id").agg(F.collect_list(F.struct("encoder", "embedding")).alias("v"))
-    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("rows", T.IntegerType()), T.StructField("data", T.ArrayType(T.DoubleType()))])
+    from concord.operators.resampling import added
+
+    cases = vectors.groupBy("case_id").agg(F.collect_list(F.struct(F.col("encoder").cast("string").alias("encoder"), F.col("embedding").cast("array<double>").alias("embedding"))).alias("v"))
+    schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("width", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
     def run(batches):
         sums: dict[tuple[str, str], np.ndarray] = {}
         for batch in batches:
-            wide: dict[str, dict[int, np.ndarray]] = {}
-            for i, members in enumerate(batch.column(0).to_pylist()):
-                for m in members:
-                    wide.setdefault(m["encoder"], {})[i] = np.array([*m["embedding"], 1.0])
-            for a in wide:
-                for b in wide:
-                    if a <= b and (shared := sorted(wide[a].keys() & wide[b].keys())):
-                        g = np.stack([wide[a][i] for i in shared]).T @ np.stack([wide[b][i] for i in shared])
-                        sums[a, b] = sums[a, b] + g if (a, b) in sums else g
-        rows = [(a, b, len(g), g.ravel()) for (a, b), g in sums.items()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64())))], names=schema.names)
-
-    parts = cases.select("v").mapInArrow(run, schema)
-    total = parts.select("a", "b", "rows", F.posexplode("data").alias("i", "x")).groupBy("a", "b", "rows", "i").agg(F.sum("x").alias("x")).groupBy("a", "b", "rows").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("d"))
-    out = {}
-    for r in total.select("a", "b", "rows", F.transform("d", lambda v: v["x"]).alias("d")).collect():
-        g = np.array(r.d).reshape(r.rows, -1)
-        out[r.a, r.b], out[r.b, r.a] = g, g.T
+            lists = pa.concat_arrays([batch.column(0)])
+            case = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            members = lists.flatten()
+            names, rows = np.array(members.field("encoder").to_pylist()), members.field("embedding")
+            wide = {}
+            for name in np.unique(names):
+                own, first = np.unique(case[names == name], return_index=True)
+                wide[str(name)] = own, np.column_stack([_matrix(rows.take(pa.array(np.flatnonzero(names == name)[first]))), np.ones(len(own))])
+            for a, (cases_a, x) in wide.items():
+                for b, (cases_b, y) in wide.items():
+                    if a <= b:
+                        _, i, j = np.intersect1d(cases_a, cases_b, assume_unique=True, return_indices=True)
+                        if len(i):
+                            g = x[i].T @ y[j]
+                            sums[a, b] = sums[a, b] + g if (a, b) in sums else g
+        for (a, b), g in sums.items():
+            pieces = [g[at : at + GRAM_ROWS] for at in range(0, len(g), GRAM_ROWS)]
+            cols = [[a] * len(pieces), [b] * len(pieces), [g.shape[1]] * len(pieces), range(len(pieces)), [p.tobytes() for p in pieces]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()))], names=schema.names)
+
+    out, parts = {}, {}
+    for r in added(cases.select("v").mapInArrow(run, schema), ["a", "b", "width", "piece"]).toLocalIterator():
+        parts.setdefault((r.a, r.b), {})[r.piece] = np.frombuffer(r.data).reshape(-1, r.width)
+    for (a, b), pieces in parts.items():
+        out[a, b] = np.concatenate([pieces[k] for k in sorted(pieces)])
+        out[b, a] = out[a, b].T
     return out
 
 
@@ -220,24 +311,34 @@ def relative(vectors: DataFrame, anchors: DataFrame, largest: int = 1 << 15) ->
     """(encoder, case_id, relative): inner products with the anchors of the same encoder, in their order.
 
     anchors holds (case_id, pos), at most `largest` of them, as the result has a component for each;
-    a vector with a NaN gives NaNs. Cases without a vector of an anchor's encoder lack nothing else.
+    a vector with a NaN gives NaNs. An encoder without any anchor's vector gives empty ones, and rows without a vector
+    NULL; where an anchor lacks an encoder's vector, the others keep their order. Shorter vectors count as ending in zeros.
     """
     if anchors.count() > largest:
         raise ValueError(f"more than {largest} anchors make vectors too long")
-    chosen = vectors.join(F.broadcast(anchors), "case_id").select("encoder", "pos", "embedding")
+    chosen = vectors.filter(F.col("embedding").isNotNull()).join(F.broadcast(anchors), "case_id").select("encoder", "pos", "embedding")
     table = {}
     for r in chosen.orderBy("encoder", "pos").collect():
         table.setdefault(r.encoder, []).append(r.embedding)
-    shared = vectors.sparkSession.sparkContext.broadcast({k: np.array(v, np.float64) for k, v in table.items()})
+    width = max((len(x) for v in table.values() for x in v), default=0)
+    filled = {k: np.array([[np.nan if c is None else c for c in x] + [0.0] * (width - len(x)) for x in v], np.float64) for k, v in table.items()}
+    shared = vectors.sparkSession.sparkContext.broadcast(filled)
     schema = T.StructType([vectors.schema["encoder"], vectors.schema["case_id"], T.StructField("relative", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            names, rows = np.array(batch.column(0).to_pylist()), [None] * batch.num_rows
-            for name in np.unique(names):
-                own = np.flatnonzero(names == name)
-                for i, r in zip(own, _matrix(batch.column(2).take(pa.array(own))) @ shared.value[name].T):
-                    rows[i] = r
+            names, rows = batch.column(0).to_pylist(), [None] * batch.num_rows
+            there = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            for name in set(names):
+                own = np.flatnonzero([n == name and t for n, t in zip(names, there)])
+                if name not in shared.value:
+                    for i in own:
+                        rows[i] = []
+                elif len(own):
+                    centres = shared.value[name]
+                    x = _matrix(batch.column(2).take(pa.array(own)), centres.shape[1])
+                    for i, r in zip(own, x[:, : centres.shape[1]] @ centres.T):
+                        rows[i] = r
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=schema.names)
 
     return vectors.select("encoder", "case_id", "embedding").mapInArrow(run, schema)
