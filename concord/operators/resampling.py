@@ -250,7 +250,7 @@ def bootstrap_aurocs(cells: Cells, replicates: int, seed: int) -> np.ndarray:
     return _collected(parts.groupBy("chunk").applyInArrow(combine, _STATE), 1 + replicates, ())
 
 
-def _by_chunk(df: DataFrame, replicates: int, statistic: Callable[[int], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+def by_replicate(df: DataFrame, replicates: int, statistic: Callable[[int], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
     """(1 + replicates, *shape) of a function of the replicate, from -1, chunks in tasks."""
     spark = df.sparkSession
     chunks = _chunks(1 + replicates)
@@ -288,7 +288,7 @@ def bootstrap_rank_correlations(cells: Cells, replicates: int, seed: int) -> np.
         scale = (w @ (x * x)) * (w @ (y * y))
         return w @ (x * y) / np.sqrt(scale) if scale > 0 else np.nan
 
-    return _by_chunk(cells.table, replicates, statistic, ())
+    return by_replicate(cells.table, replicates, statistic, ())
 
 
 @dataclass(frozen=True)
@@ -424,7 +424,7 @@ def permuted_products(rows: Places, left: Sequence[int], right: Sequence[int], r
         a, c = shared.value
         return a.T @ c[_order(seed, b, len(a))]
 
-    return _by_chunk(rows.table, replicates, statistic, (len(left), len(right)))
+    return by_replicate(rows.table, replicates, statistic, (len(left), len(right)))
 
 
 def permuted_triangles(x: np.ndarray, y: np.ndarray, df: DataFrame, replicates: int, seed: int) -> np.ndarray:
@@ -436,7 +436,7 @@ def permuted_triangles(x: np.ndarray, y: np.ndarray, df: DataFrame, replicates:
         order = _order(seed, b, len(one))
         return float((one * other[np.ix_(order, order)]).sum() / 2)
 
-    return _by_chunk(df, replicates, statistic, ())
+    return by_replicate(df, replicates, statistic, ())
 
 
 def at_least(draws: np.ndarray, value: float) -> np.ndarray:

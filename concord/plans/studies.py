@@ -108,7 +108,7 @@ def block_shares(spark, d):
 def probe_reference(spark, d):
     """A probe of a class against its reference of shuffled labels, subjects being cases."""
     rows = views(spark, d, "full").withColumn("y", (F.col("label") < 5).cast("int"))
-    found = P.probe_reference(rows, "y", "case_id", "case_id", 3)
+    found = P.probe_reference(rows, "y", "case_id", "case_id", 200)
     return rounded(found, *(c for c, t in found.dtypes if t == "double" and c != "p_raw"), digits=3)
 
 

@@ -36,19 +36,16 @@ def finding_aurocs(spark, d):
 @query()
 def multiclass_probe(spark, d):
     rows = labelled(spark, d, "full").withColumn("k", F.col("label") % 3)
-    probe = P.fit_probe(rows.filter("part = 'train'"), "k")
-    return rounded(P.accuracy(probe.score(rows.filter("part = 'test'")), "k"), "accuracy", "majority", digits=4)
+    found = P.multiclass_accuracy(rows.filter("part = 'train'"), rows.filter("part = 'test'"), "k")
+    return rounded(found, "accuracy", "majority", digits=4)
 
 
 @query()
 def refit_budget(spark, d):
+    """Twenty probes on a hundred labelled cases each."""
     rows = labelled(spark, d, "full")
-    out = None
-    for draw in range(2):
-        probe = P.fit_probe(P.budget_draw(rows.filter("part = 'train'"), "y", 100, draw, 0, "case_id"), "y", c=1.0)
-        one = auroc(probe.score(rows.filter("part = 'test'")), "y", "score").withColumn("draw", F.lit(draw))
-        out = one if out is None else out.unionByName(one)
-    return rounded(out, "auroc", digits=4)
+    found = P.budget_refits(rows.filter("part = 'train'"), rows.filter("part = 'test'"), "y", 100)
+    return rounded(found, "auroc", digits=4)
 
 
 @query()
