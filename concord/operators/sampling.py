@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.operators.order import carried, spread
+from concord.sources.shared import cut
 
 
 def hash_key(seed: int | str, *ids: Column) -> Column:
@@ -91,20 +91,22 @@ def take_until(df: DataFrame, unit: str, cap: int, seed: int, by: Sequence[str]
 def take_fitting(df: DataFrame, unit: str, cap: int, seed: int, by: str) -> DataFrame:
     """Rows of whole units in hash order, each taken unless it would pass the cap of its group.
 
-    What is taken depends on all before, so one group's (unit, size) pairs meet in one task; rows do not.
+    In rounds, for all groups at once: the units before the first that does not fit are taken by their running sum, those
+    larger than what is then left can never be, and the rest go on from there. A round takes
+    prefix sums over range partitions, so no group meets in one task.
     """
-    sizes = df.groupBy(by, unit).agg(F.count("*").alias("n")).withColumn("key", hash_key(seed, F.col(unit)))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group, taken, keep = group.sort_values(["key", unit]), 0, []
-        for n in group["n"]:
-            fits = taken < cap and taken + n <= cap
-            taken += n if fits else 0
-            keep.append(fits)
-        return group.loc[keep, [by, unit]]
-
-    kinds = dict(df.dtypes)
-    return df.join(sizes.groupBy(by).applyInPandas(pick, f"`{by}` {kinds[by]}, `{unit}` {kinds[unit]}"), [by, unit], "left_semi")
+    sizes = df.groupBy(by, unit).agg(F.count("*").alias("_n")).withColumn("_key", hash_key(seed, F.col(unit)))
+    rows, taken, order = cut(sizes.filter(F.col("_n") <= cap).withColumn("_left", F.lit(cap).cast("long"))), None, ["_key", unit]
+    while not rows.isEmpty():
+        placed = cut(carried(spread(rows, [by, *order]), order, "_n", "_before", [by]).drop("_part"))
+        fits = F.col("_before") + F.col("_n") <= F.col("_left")
+        own = placed.filter(fits)
+        taken = own.select(by, unit) if taken is None else taken.unionByName(own.select(by, unit))
+        spent = own.groupBy(F.col(by).alias("_of")).agg(F.sum("_n").alias("_spent"))
+        left = F.col("_left") - F.coalesce("_spent", F.lit(0))
+        rows = placed.filter(~fits).join(spent, F.col(by).eqNullSafe(F.col("_of")), "left").withColumn("_left", left)
+        rows = cut(rows.filter("_n <= _left").select(by, unit, "_n", "_key", "_left"))
+    return df.join(taken, [by, unit], "left_semi") if taken is not None else df.limit(0)
 
 
 def unit_split(df: DataFrame, unit: str, seed: int, share: float = 0.7) -> DataFrame:

@@ -233,6 +233,86 @@ def _found_edges(vectors: DataFrame, k: int, rows: int) -> DataFrame:
     return left.groupBy("encoder", "i", "j").cogroup(right.groupBy("of", "k", "l")).applyInArrow(cell, _EDGES)
 
 
+#: Draws whose numbers the rows of blocks carry at most.
+MOST_DRAWS = 4096
+
+
+def knn_edges_of_draws(vectors: DataFrame, drawn: DataFrame, k: int, draw: str = "draw", rows: int = BLOCK_ROWS) -> DataFrame:
+    """(draw, encoder, src, dst, similarity, rank): each row's k nearest among the cases of every draw (case_id, draw) that it is in.
+
+    A block of rows is stored once, with the draws of each row beside it; two blocks are multiplied once, and
+    each draw takes its k best from the part of the product that is its own. What knn_edges() says of vectors and of ties holds here.
+    """
+    names = [r[0] for r in drawn.filter(F.col(draw).isNotNull()).select(draw).distinct().orderBy(draw).limit(MOST_DRAWS + 1).collect()]
+    if len(names) > MOST_DRAWS:
+        raise ValueError(f"more than {MOST_DRAWS} draws")
+    schema = T.StructType([T.StructField("number", T.IntegerType()), *_EDGES])
+    number = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i))) if names else F.create_map().cast("map<string,int>")
+    numbered = drawn.filter(F.col(draw).isNotNull() & F.col("case_id").isNotNull()).groupBy(F.col("case_id").alias("_case")).agg(F.array_sort(F.collect_set(number[F.col(draw)])).alias("draws"))
+    usable = finite_rows(vectors.filter(F.col("encoder").isNotNull())).join(numbered, F.col("case_id") == F.col("_case"))
+    usable = cut(usable.select(F.col("encoder").cast("string").alias("encoder"), F.col("case_id").cast("long").alias("case_id"), "embedding", "draws"))
+    n, width = usable.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-n // max(1, min(rows, BLOCK_VALUES // max(1, width or 0)))))
+    block_schema = T.StructType([*_BLOCK, T.StructField("counts", T.BinaryType()), T.StructField("draws", T.BinaryType())])
+
+    def block(batches):
+        groups: dict[str, list] = {}
+        for batch in batches:
+            encoders = np.array(batch.column(0).to_pylist())
+            for name in np.unique(encoders):
+                own = pa.array(np.flatnonzero(encoders == name))
+                lists = pa.concat_arrays([batch.column(3).take(own)])
+                groups.setdefault(str(name), []).append((batch.column(1).take(own).to_numpy(), _matrix(batch.column(2).take(own), width), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()))
+        for name, parts in groups.items():
+            ids, m, counts, draws = (np.concatenate(p) for p in zip(*parts))
+            one = [[name], [TaskContext.get().partitionId()], [ids.astype("<i8").tobytes()], [m.shape[1]], [m.tobytes()], [counts.astype("<i4").tobytes()], [draws.astype("<i4").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(one, (pa.string(), pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 3))], names=block_schema.names)
+
+    packed = cut(usable.repartition(blocks).mapInArrow(block, block_schema))
+    side = min(blocks, max(-(-blocks // STRIP), int(vectors.sparkSession.sparkContext.defaultParallelism**0.5)))
+    strip, every = F.pmod("block", F.lit(side)), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    left = packed.select("encoder", strip.alias("i"), every.alias("j"), "ids", "width", "data", "counts", "draws")
+    right = packed.select(F.col("encoder").alias("of"), every.alias("k"), strip.alias("l"), *(F.col(c).alias(f"{c}2") for c in ("ids", "width", "data", "counts", "draws")))
+
+    def opened(table: pa.Table, suffix: str = "") -> list:
+        """(ids, matrix, rows of each draw) of each block, in order of id."""
+        out = []
+        for ids, wide, data, counts, draws in zip(*(table.column(c + suffix).to_pylist() for c in ("ids", "width", "data", "counts", "draws"))):
+            key, counts, draws = np.frombuffer(ids, "<i8"), np.frombuffer(counts, "<i4"), np.frombuffer(draws, "<i4")
+            order = np.argsort(key, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            row = np.repeat(place, counts)
+            at = np.lexsort((row, draws))
+            cuts = np.flatnonzero(np.diff(draws[at])) + 1
+            members = {int(draws[a[0]]): row[a] for a in np.split(at, cuts) if len(a)}
+            out.append((key[order], np.frombuffer(data).reshape(len(key), wide)[order], members))
+        return out
+
+    def cell(one: pa.Table, other: pa.Table) -> pa.Table:
+        out = [[np.empty(0, t)] for t in (np.int32, np.int64, np.int64, np.float64)]
+        if one.num_rows and other.num_rows:
+            against = opened(other, "2")
+            for src, x, mine in opened(one):
+                for dst, y, others in against:
+                    exact = x @ y.T
+                    for d in mine.keys() & others.keys():
+                        r, c = mine[d], others[d]
+                        part = exact[np.ix_(r, c)]
+                        i, j = nearest(part, src[r], dst[c], k)
+                        for into, v in zip(out, (np.full(len(i), d, np.int32), src[r][i], dst[c][j], part[i, j])):
+                            into.append(v)
+        number, src, dst, sim = map(np.concatenate, out)
+        name = one.column("encoder")[0].as_py() if one.num_rows else ""
+        return pa.table([pa.array(number), pa.array([name] * len(src), pa.string()), pa.array(src), pa.array(dst), pa.array(sim)], names=schema.names)
+
+    found = left.groupBy("encoder", "i", "j").cogroup(right.groupBy("of", "k", "l")).applyInArrow(cell, schema)
+    best = F.row_number().over(Window.partitionBy("number", "encoder", "src").orderBy(F.desc(F.round("similarity", DECIMALS)), "dst"))
+    ranked = found.withColumn("rank", best).filter(F.col("rank") <= k)
+    name = F.array(*map(F.lit, names))[F.col("number")] if names else F.lit(None).cast("string")
+    return ranked.select(name.alias(draw), "encoder", "src", "dst", "similarity", "rank")
+
+
 def neighbour_lists(edges: DataFrame) -> DataFrame:
     """(encoder, case_id, neighbours): ids in order of rank; the first k of them are the k-graph."""
     listed = edges.groupBy("encoder", F.col("src").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("n"))
@@ -360,6 +440,54 @@ def triplet_choice(triplets: DataFrame, vectors: DataFrame, tie: float = 1e-9) -
     return out.filter(F.abs(F.col("distance_b") - F.col("distance_c")) >= tie).withColumn("nearer", F.when(F.col("distance_b") < F.col("distance_c"), "b").otherwise("c"))
 
 
+def triplet_strata(triplets: DataFrame, positives: DataFrame, cases: DataFrame) -> DataFrame:
+    """triplets (a, b, c, ...) with label_stratum: whether exactly one of b and c shares a positive finding with a.
+
+    positives holds (case_id, finding) of at most 63 findings, cases the case_id of all that labels are known for; a triplet with a case
+    that is not among them is labels_unavailable. A case's findings are one bitmap, so two cases share one where both bitmaps have a bit.
+    """
+    names = [r[0] for r in positives.filter(F.col("finding").isNotNull()).select("finding").distinct().orderBy("finding").limit(64).collect()]
+    if len(names) > 63:
+        raise ValueError("a bitmap holds 63 findings")
+    bit = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, 1 << i)))[F.col("finding")] if names else F.lit(0)
+    found = positives.filter(F.col("finding").isNotNull()).groupBy(F.col("case_id").alias("_of")).agg(F.bit_or(bit.cast("long")).alias("_found"))
+    maps = cases.select("case_id").distinct().join(found, F.col("case_id") == F.col("_of"), "left").select("case_id", F.coalesce("_found", F.lit(0).cast("long")).alias("_bits"))
+    for name in "abc":
+        triplets = triplets.join(maps.select(F.col("case_id").alias(f"_{name}"), F.col("_bits").alias(f"_bits_{name}")), F.col(name) == F.col(f"_{name}"), "left").drop(f"_{name}")
+    shares = [F.bit_count(F.col("_bits_a").bitwiseAND(F.col(f"_bits_{x}"))) > 0 for x in "bc"]
+    stratum = F.when(shares[0].isNull() | shares[1].isNull(), "labels_unavailable").when(shares[0] != shares[1], "one_candidate_shares_a_finding").otherwise("ambiguous_by_labels")
+    return triplets.withColumn("label_stratum", stratum).drop("_bits_a", "_bits_b", "_bits_c")
+
+
+def triplet_accuracy(triplets: DataFrame, vectors: DataFrame, kinds: dict[str, str] | None = None, tie: float = 1e-9) -> DataFrame:
+    """(encoder, encoder_kind, conditioning, triplet_acc, n_scored, n_tied, n_absent_case, n_triplets) by encoder, over all and by label_stratum.
+
+    A triplet has a, b, c and the choice b or c, in any case; it scores if the nearer of the two is the choice. One with a case that lacks a finite
+    vector of the encoder counts as absent, one with equal distances as tied. kinds names the kind of encoders that are not of the
+    frozen panel, the consensus say. A stratum without scored triplets has no row.
+    """
+    rows = triplets.select(*"abc", F.lower(F.trim("choice")).alias("choice"), (F.col("label_stratum") if "label_stratum" in triplets.columns else F.lit("labels_unavailable")).alias("label_stratum"))
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    encoders = [r[0] for r in vectors.select("encoder").distinct().orderBy("encoder").collect()]  # a panel
+    good = finite_rows(vectors).groupBy("encoder", "case_id").agg(F.min("embedding").alias("embedding"))
+    each = cut(rows.withColumn("encoder", F.explode(F.array(*map(F.lit, encoders))) if encoders else F.lit(None).cast("string")))
+    for name in "abc":
+        own = good.select(F.col("encoder").alias("_e"), F.col("case_id").alias("_c"), F.col("embedding").alias(f"_v{name}"))
+        each = each.join(own, (F.col("encoder") == F.col("_e")) & (F.col(name) == F.col("_c")), "left").drop("_e", "_c")
+    gap = dot(F.col("_va"), F.col("_vb")) - dot(F.col("_va"), F.col("_vc"))
+    absent = F.col("_va").isNull() | F.col("_vb").isNull() | F.col("_vc").isNull()
+    each = each.select("encoder", "label_stratum", "choice", F.when(~absent, gap).alias("gap"))
+    tied, hit = F.abs("gap") < tie, (F.when(F.col("gap") > 0, "b").otherwise("c") == F.col("choice")).cast("double")
+    scored = F.col("gap").isNotNull() & ~tied
+    sums = cut(each.groupBy("encoder", "label_stratum").agg(F.count("*").alias("n"), F.count(F.when(F.col("gap").isNull(), 1)).alias("absent"), F.count(F.when(tied, 1)).alias("tied"), F.count(F.when(scored, 1)).alias("scored"), F.sum(F.when(scored, hit)).alias("hits")))
+    whole = sums.groupBy("encoder").agg(*(F.sum(c).alias(f"_{c}") for c in ("n", "absent", "tied", "scored", "hits")))
+    rest = [F.col("_tied").alias("n_tied"), F.col("_absent").alias("n_absent_case"), F.col("_n").alias("n_triplets")]
+    kind = F.coalesce(F.create_map(*(F.lit(x) for p in kinds.items() for x in p))[F.col("encoder")], F.lit("frozen_panel")) if kinds else F.lit("frozen_panel")
+    out = whole.select("encoder", F.lit("all").alias("conditioning"), (F.col("_hits") / F.col("_scored")).alias("triplet_acc"), F.col("_scored").alias("n_scored"), *rest).filter("n_scored > 0")
+    strata = sums.filter("scored > 0").join(whole, "encoder").select("encoder", F.col("label_stratum").alias("conditioning"), (F.col("hits") / F.col("scored")).alias("triplet_acc"), F.col("scored").alias("n_scored"), *rest)
+    return out.unionByName(strata).select("encoder", kind.alias("encoder_kind"), "conditioning", "triplet_acc", "n_scored", "n_tied", "n_absent_case", "n_triplets")
+
+
 def mean_cosine(df: DataFrame, by: list[str], embedding: str = "embedding") -> DataFrame:
     """Mean cosine of two different rows of a group, from the length of the sum of its unit vectors."""
     unit = df.select(*by, F.posexplode(normalised(F.col(embedding))).alias("d", "x"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import labels as L
 from concord.operators import inference as I
+from concord.operators.resampling import drawn_sql
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
 from concord.plans.geometry import _CENTRES, _RANKED, K, _edges, _mknn, _view, views
@@ -127,6 +128,38 @@ def acquisition_draws(spark, d):
     return rounded(C.within_group_draws(views(spark, d, "va", "vb").drop("label"), e, "maker", 100, 5), "mknn")
 
 
+@query(f"""WITH {_knn_among(_DRAWS, 'finding', ('va', 'vb'), 5)}, m AS (SELECT g AS draw, split_part(g, ':', 1) AS arm, avg(overlap) AS v FROM o GROUP BY ALL), c AS (SELECT avg(v) FILTER (arm = 'within') AS w, avg(v) FILTER (arm <> 'within') AS a, count(*) FILTER (arm = 'within') AS n FROM m),
+r AS (SELECT b, avg(v) FILTER (k < n) - avg(v) FILTER (k >= n) AS draw FROM {_shuffled('FROM m', 'draw', 'v', 999)}, c GROUP BY b)
+SELECT 'va' AS encoder_a, 'vb' AS encoder_b, 'acquisition' AS test, n::INT AS n_manufacturers, '0;1' AS manufacturers, 100 AS matched_n, 5 AS k, round(w - a, 6) AS difference, round(w, 6) AS within_mean, round(a, 6) AS across_mean,
+(SELECT (count(*) FILTER (abs(draw) >= abs(w - a) * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE FROM r) AS p_raw FROM c""")
+def acquisition_arm(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), (F.col("label") % 2).alias("maker"))
+    return rounded(C.acquisition_arm(views(spark, d, "va", "vb").drop("label"), e, "maker", 100, 5, 999), "difference", "within_mean", "across_mean")
+
+
+_SAME = "SELECT id, 'draw ' || i AS finding FROM (SELECT vec_id AS id, i, row_number() OVER (PARTITION BY i ORDER BY md5('0:' || i || '|' || vec_id), vec_id) AS r FROM embeddings, (SELECT unnest(range(0, greatest(4, (SELECT count(*) FROM embeddings) // 60))) AS i)) WHERE r <= 60"
+
+
+@query(f"""WITH {_knn_among(_SAME, 'finding', ('va', 'vb', 'floor_a', 'floor_b'), 5)}, m AS (SELECT g, avg(overlap) FILTER (ea = 'va' AND eb = 'vb') AS native, avg(overlap) FILTER (ea = 'floor_a' AND eb = 'floor_b') AS harmonized FROM o GROUP BY 1),
+j AS (SELECT harmonized - native AS d, row_number() OVER (ORDER BY harmonized - native) - 1 AS i FROM m), r AS (SELECT x.b, avg(j.d) AS draw FROM {drawn_sql('SELECT harmonized - native AS d FROM m', 'd', 1000, 0)} x JOIN j ON x.k = j.i GROUP BY 1)
+SELECT 'one' AS encoder_a, 'two' AS encoder_b, 'preprocessing' AS test, (SELECT count(*) FROM m) AS n_draws, (SELECT round(avg(native), 6) FROM m) AS native_mean, (SELECT round(avg(harmonized), 6) FROM m) AS harmonized_mean, (SELECT round(avg(d), 6) FROM j) AS difference,
+round(quantile_cont(draw, 0.025), 6) AS ci_low, round(quantile_cont(draw, 0.975), 6) AS ci_high, round(greatest(avg((abs(draw - (SELECT avg(d) FROM j)) >= abs((SELECT avg(d) FROM j)) * (1 - 1e-9))::INT), 0.001), 6)::DOUBLE AS p_value, 60 AS matched_n, 5 AS k FROM r""")
+def preprocessing_arm(spark, d):
+    """Two encoders each in two ways: overlapping slices as native vectors, disjoint ones as harmonised."""
+    of = lambda one, two: views(spark, d, one, two).drop("label").withColumn("encoder", F.when(F.col("encoder") == one, "one").otherwise("two"))
+    found = C.preprocessing_arm(of("va", "vb"), of("floor_a", "floor_b"), 60, 5)
+    return rounded(found, "native_mean", "harmonized_mean", "difference", "ci_low", "ci_high", "p_value")
+
+
+_SITES = "SELECT id, tag AS finding FROM (SELECT id, tag, row_number() OVER (PARTITION BY tag ORDER BY md5('0|' || tag || '|' || id), tag || '|' || id) AS r, count(*) OVER (PARTITION BY tag) AS n FROM (SELECT vec_id AS id, 'seen_pool' AS tag FROM embeddings UNION ALL SELECT vec_id, 'seen_pool:s' || (label % 4) FROM embeddings)) WHERE r <= 80 AND n >= 80"
+
+
+@query(f"""WITH {_knn_among(_SITES, 'finding', ('full', 'va', 'vb'), 5)} SELECT ea AS encoder_a, eb AS encoder_b, g AS pool, 'pretraining_exposure' AS test, round(avg(overlap), 6) AS alignment, true AS panel_saw_this_site, 80 AS matched_n, 5 AS k FROM o GROUP BY ALL""")
+def exposure_arm(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("s"), F.col("label") % 4).alias("site"))
+    return rounded(C.exposure_arm(views(spark, d, "full", "va", "vb").drop("label"), e, "seen_pool", 80, 5, ["other"]), "alignment")
+
+
 @query(f"""WITH p AS (SELECT a, b, v, CASE WHEN length(a) > length(b) THEN 'x' ELSE 'base' END AS g FROM {_PAIRS}), u AS (SELECT a AS unit FROM p UNION SELECT b FROM p),
 l AS (SELECT unit, avg(v) FILTER (g = 'x') - avg(v) FILTER (g = 'base') AS v FROM p JOIN u ON a <> unit AND b <> unit GROUP BY 1 HAVING count(*) >= 4), e AS (SELECT sqrt((count(v) - 1) / count(v) * var_pop(v) * count(v)) AS std FROM l WHERE v IS NOT NULL)
 SELECT 'x' AS "group", 'base' AS baseline, round(avg(v) FILTER (g = 'x') - avg(v) FILTER (g = 'base'), 4) AS point, count(*) AS n, (SELECT round(std, 4) FROM e) AS std FROM p""")

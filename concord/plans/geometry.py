@@ -221,9 +221,27 @@ def triplet_choice(spark, d):
     return _triplets(spark, d)
 
 
-@query()
+_TRIPLETS = """t AS (SELECT o_orderkey % n AS a, o_custkey % n AS b, (o_orderkey + o_custkey) % n AS c, CASE WHEN o_orderkey % 3 = 0 THEN ' B ' ELSE 'c' END AS choice FROM orders, (SELECT greatest(1, count(*)) + 7 AS n FROM embeddings)),
+f AS (SELECT vec_id AS id, (1 << label) | (1 << ((vec_id % 4)::INT + 10)) AS bits FROM embeddings WHERE vec_id % 11 <> 0)"""
+
+
+@query(f"""WITH {_TRIPLETS}, x AS (SELECT e, id, v FROM ({_view('full')}) UNION ALL SELECT e, id, v FROM ({_view('va')}) WHERE id % 10 <> 3 UNION ALL SELECT 'consensus', id, v FROM ({_view('vb')})),
+z AS (SELECT p.e, CASE WHEN fa.bits IS NULL OR fb.bits IS NULL OR fc.bits IS NULL THEN 'labels_unavailable' WHEN (fa.bits & fb.bits > 0) <> (fa.bits & fc.bits > 0) THEN 'one_candidate_shares_a_finding' ELSE 'ambiguous_by_labels' END AS s,
+  lower(trim(choice)) AS choice, list_inner_product(x.v, y.v) - list_inner_product(x.v, w.v) AS gap FROM t JOIN (VALUES ('full'), ('va'), ('consensus')) p(e) ON true LEFT JOIN x ON x.e = p.e AND x.id = t.a LEFT JOIN x y ON y.e = p.e AND y.id = t.b LEFT JOIN x w ON w.e = p.e AND w.id = t.c
+  LEFT JOIN f fa ON fa.id = t.a LEFT JOIN f fb ON fb.id = t.b LEFT JOIN f fc ON fc.id = t.c),
+n AS (SELECT e, count(*) FILTER (abs(gap) < 1e-9) AS n_tied, count(*) FILTER (gap IS NULL) AS n_absent_case, count(*) AS n_triplets FROM z GROUP BY 1),
+g AS (SELECT e, coalesce(s, 'all') AS conditioning, round(avg((CASE WHEN gap > 0 THEN 'b' ELSE 'c' END = choice)::INT), 6) AS triplet_acc, count(*) AS n_scored FROM z WHERE abs(gap) >= 1e-9 GROUP BY GROUPING SETS ((e), (e, s)))
+SELECT e AS encoder, CASE e WHEN 'consensus' THEN 'consensus' ELSE 'frozen_panel' END AS encoder_kind, conditioning, triplet_acc, n_scored, n_tied, n_absent_case, n_triplets FROM g JOIN n USING (e)""")
 def triplet_choice_whole(spark, d):
-    return _triplets(spark, d)
+    """Triplets of all orders by encoder and by what the labels say, some of whose cases have no labels, no vector or no row."""
+    e = table(spark, d, "embeddings")
+    most = max(1, e.count()) + 7
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = table(spark, d, "orders").select((o % most).alias("a"), (c % most).alias("b"), ((o + c) % most).alias("c"), F.when(o % 3 == 0, " B ").otherwise("c").alias("choice"))
+    known = e.filter("vec_id % 11 <> 0").select(F.col("vec_id").alias("case_id"), F.explode(F.array(F.concat(F.lit("f"), "label"), F.concat(F.lit("g"), F.col("vec_id") % 4))).alias("finding"))
+    v = views(spark, d, "full", "va", "vb").filter("encoder <> 'va' OR case_id % 10 <> 3").withColumn("encoder", F.when(F.col("encoder") == "vb", "consensus").otherwise(F.col("encoder")))
+    found = V.triplet_accuracy(V.triplet_strata(t, known, known), v, {"consensus": "consensus"})
+    return rounded(found, "triplet_acc")
 
 
 def _triplets(spark, d):

@@ -127,9 +127,9 @@ def scaling_fits(encoders: DataFrame, outcomes: Sequence[str], axes: Sequence[st
 
 
 def agreement_of_draws(vectors: DataFrame, drawn: DataFrame, k: int) -> DataFrame:
-    """(finding, encoder_a, encoder_b, mknn, n): agreement of every two encoders among the cases of each draw (case_id, finding)."""
-    keyed = vectors.select("encoder", "case_id", "embedding").join(drawn.select("finding", "case_id"), "case_id").withColumn("encoder", F.concat_ws("\t", "finding", "encoder"))
-    lists = V.neighbour_lists(V.knn_edges(keyed, k)).select(F.split("encoder", "\t")[0].alias("finding"), F.split("encoder", "\t")[1].alias("encoder"), "case_id", "neighbours")
+    """(finding, encoder_a, encoder_b, mknn, n): agreement of every two encoders among the cases of each draw (case_id, finding). No vector is copied for a draw."""
+    edges = V.knn_edges_of_draws(vectors, drawn, k, "finding")
+    lists = edges.groupBy("finding", "encoder", F.col("src").alias("case_id")).agg(F.collect_list("dst").alias("neighbours"))  # k at most
     a = lists.select("finding", F.col("encoder").alias("encoder_a"), "case_id", F.col("neighbours").alias("na"))
     b = lists.select("finding", F.col("encoder").alias("encoder_b"), "case_id", F.col("neighbours").alias("nb"))
     share = F.size(F.array_intersect("na", "nb")) / float(k)
@@ -198,6 +198,67 @@ def within_group_draws(vectors: DataFrame, cases: DataFrame, group: str, n: int,
     return pairs.select(F.col("finding").alias("draw"), F.split("finding", ":")[0].alias("arm"), "encoder_a", "encoder_b", "mknn")
 
 
+def acquisition_arm(vectors: DataFrame, cases: DataFrame, maker: str, n: int, k: int, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """For every two encoders: agreement within makers against as many draws from all cases, with its permutation p.
+
+    (encoder_a, encoder_b, test, n_manufacturers, manufacturers, matched_n, k, difference, within_mean, across_mean, p_raw); no rows with
+    fewer than two makers of n cases.
+    """
+    pairs = cut(within_group_draws(vectors, cases, maker, n, k, seed))
+    out = None
+    for a, b in sorted(tuple(r) for r in pairs.select("encoder_a", "encoder_b").distinct().collect()):
+        own = pairs.filter((F.col("encoder_a") == a) & (F.col("encoder_b") == b))
+        makers = sorted(r.draw.split(":", 1)[1] for r in own.filter("arm = 'within'").select("draw").collect())
+        if len(makers) < 2:
+            continue
+        found = I.two_group_report(own, "mknn", "arm", "within", ["draw"], "d", share=False, tested="within_manufacturer", replicates=replicates, seed=seed).first()
+        row = (a, b, "acquisition", len(makers), ";".join(makers), n, k, found.d_mean_raw, own.filter("arm = 'within'").agg(F.avg("mknn")).first()[0], own.filter("arm = 'random'").agg(F.avg("mknn")).first()[0], found.p_raw)
+        out = [row] if out is None else [*out, row]
+    return vectors.sparkSession.createDataFrame(out or [], "encoder_a string, encoder_b string, test string, n_manufacturers int, manufacturers string, matched_n int, k int, difference double, within_mean double, across_mean double, p_raw double")
+
+
+def preprocessing_arm(native: DataFrame, harmonised: DataFrame, n: int, k: int, replicates: int = 1000, seed: int = 0) -> DataFrame:
+    """For every two encoders: agreement of harmonised vectors against that of native ones on the same draws of n cases, with a bootstrap of the paired difference.
+
+    (encoder_a, encoder_b, test, n_draws, native_mean, harmonized_mean, difference, ci_low, ci_high, p_value, matched_n, k). Draws are of the cases that all encoders have both ways, as many as
+    n goes into them, four at least; no rows if they are fewer than n.
+    """
+    both = V.finite_rows(native).select(F.concat(F.lit("native|"), "encoder").alias("encoder"), "case_id", "embedding").unionByName(V.finite_rows(harmonised).select(F.concat(F.lit("harmonized|"), "encoder").alias("encoder"), "case_id", "embedding"))
+    both = cut(both)
+    shared = cut(R.in_all(both, "case_id", "encoder"))
+    schema = "encoder_a string, encoder_b string, test string, n_draws long, native_mean double, harmonized_mean double, difference double, ci_low double, ci_high double, p_value double, matched_n int, k int"
+    count = shared.count()
+    if count < n:
+        return native.sparkSession.createDataFrame([], schema)
+    drawn = None
+    for i in range(max(4, count // n)):
+        one = S.capped(shared, n, f"{seed}:{i}", "case_id").select("case_id", F.lit(f"draw {i}").alias("finding"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+    found = agreement_of_draws(both, drawn, k)
+    way = lambda c, i: F.split(c, r"\|")[i]
+    found = found.filter(way("encoder_a", 0) == way("encoder_b", 0)).select("finding", way("encoder_a", 1).alias("a"), way("encoder_b", 1).alias("b"), way("encoder_a", 0).alias("way"), "mknn")
+    found = cut(found.groupBy("finding", "a", "b").pivot("way", ["native", "harmonized"]).agg(F.first("mknn")))
+    out = []
+    for a, b in sorted(tuple(r) for r in found.select("a", "b").distinct().collect()):
+        own = found.filter((F.col("a") == a) & (F.col("b") == b))
+        r = I.paired_bootstrap(own, "harmonized", "native", replicates, seed).first()
+        m = own.agg(F.avg("native"), F.avg("harmonized")).first()
+        out.append((a, b, "preprocessing", r.n, m[0], m[1], r.point, r.ci_low, r.ci_high, r.p_value, n, k))
+    return native.sparkSession.createDataFrame(out, schema)
+
+
+def exposure_arm(vectors: DataFrame, cases: DataFrame, pool: str, n: int, k: int, unseen: Sequence[str] = (), seed: int = 0) -> DataFrame:
+    """(encoder_a, encoder_b, pool, test, alignment, panel_saw_this_site, matched_n, k): agreement on n cases of the pool and of each of its sites.
+
+    cases holds (case_id, site). A site with fewer than n cases has no row; unseen names the pools that no encoder was trained on.
+    """
+    keyed = cases.select("case_id", F.concat(F.lit(f"{pool}:"), F.col("site").cast("string")).alias("tag")).filter("tag IS NOT NULL").unionByName(cases.select("case_id", F.lit(pool).alias("tag"))).distinct()
+    drawn = S.matched_draw(keyed.withColumn("_key", F.concat_ws("|", "tag", "case_id")), "tag", n, seed, "_key").select("case_id", F.col("tag").alias("finding"))
+    found = agreement_of_draws(V.finite_rows(vectors), drawn, k)
+    base = F.replace(F.split("finding", ":")[0], F.lit("_pool"), F.lit(""))
+    return found.select("encoder_a", "encoder_b", F.col("finding").alias("pool"), F.lit("pretraining_exposure").alias("test"), F.col("mknn").alias("alignment"), ~base.isin(*unseen) if unseen else F.lit(True).alias("panel_saw_this_site"), F.lit(n).alias("matched_n"), F.lit(k).alias("k")).toDF("encoder_a", "encoder_b", "pool", "test", "alignment", "panel_saw_this_site", "matched_n", "k")
+
+
 def arm_contrasts(pairs: DataFrame, value: str, group: str, baseline: str) -> DataFrame:
     """Mean of every group of run pairs and its difference from a baseline group, with jackknife over runs."""
     out = None

@@ -87,7 +87,7 @@ def test_triplets_and_structure_of_all_vectors(spark, tables):
         a, b, d = x[o % 260], x[c % 260], x[(o + c) % 260]
         if abs(a @ b - a @ d) >= 1e-9:
             wanted.add((o, "b" if a @ b > a @ d else "c"))
-    assert {(r.tid, r.nearer) for r in run(spark, "triplet_choice_whole", tables)} == wanted
+    assert {(r.tid, r.nearer) for r in run(spark, "triplet_choice", tables)} == wanted
     label, raw = np.arange(260) % 4, tables[2]
     raw = raw[np.argsort(label, kind="stable")]
 
