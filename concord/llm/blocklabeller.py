@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN = 16
+HIDDEN = 24
+#: From this probability on a block counts as main text: a lost paragraph is worse than a kept line.
+LEAST = 0.2
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -97,7 +99,7 @@ class Labeller:
             group = [order.pop()]
             while order and len(group) < self.room // len(pages[group[0]]):
                 group.append(order.pop())
-            found = scores(self.weights, *padded([pages[k] for k in group])) >= 0.5
+            found = scores(self.weights, *padded([pages[k] for k in group])) >= LEAST
             for j, k in enumerate(group):
                 out[k] = found[: len(pages[k]), j]
         return out

@@ -18,7 +18,7 @@ from concord.llm.htmlblocks import blocks_of, features, features_of
 from concord.llm.pagemaker import Maker
 
 #: Made-up pages that the labeller is trained on.
-TRAIN_PAGES = 1200
+TRAIN_PAGES = 3000
 #: Pages that are labelled at once.
 GROUP = 256
 

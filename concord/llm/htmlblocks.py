@@ -31,7 +31,14 @@ _MARK = re.compile(
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-PATH, LEAF, WORDS, NUMBERS = 256, 32, 32, 9
+#: Words that the parts around articles are made of.
+FURNITURE = frozenset(
+    "home about contact news sport login register sign signup search menu subscribe subscribers newsletter inbox briefing cookie cookies privacy policy terms conditions accept settings preferences consent copyright © rights reserved advertisement advertise "
+    "sponsored offer sale shop cart checkout buy share tweet follow facebook twitter reply replies comment comments related popular trending recommended latest recent posts next previous prev page pages more read also like likes may "
+    "categories category tags archive archives by skip content contents toc edit jump navigation up back top feedback help support careers jobs sitemap imprint accessibility download app email e-mail mail password username name send submit "
+    "print views powered version changelog docs epaper notify free trial references footnotes".split()
+)
+PATH, LEAF, WORDS, NUMBERS = 256, 32, 64, 11
 WIDTH = PATH + LEAF + WORDS + NUMBERS
 
 
@@ -188,6 +195,7 @@ def features_of(pages: list[list[Block]]) -> list[np.ndarray]:
     stops = np.fromiter((len(t) - len(t.translate(None, b".,;:!?")) for t in raw), np.int64, n)
     more = (
         np.log1p(size) / 5, np.log1p(counts) / 4, np.fromiter((b.linked for b in blocks), np.int64, n) / size, stops / counts, [t[-1] in ".!?:;\"”" for t in texts],
+        [sum(w.strip(".,:;!?()|") in FURNITURE for w in t) / max(1, min(len(t), 12)) for t in words], [any(c.isdigit() for c in t[:12]) for t in texts],
         place / of_page, np.fromiter((b.path.depth if b.path else 0 for b in blocks), np.int64, n) / 10, ["©" in t for t in texts], np.log1p(of_page) / 5,
     )
     x[:, -NUMBERS:] = np.stack([np.asarray(c, float) for c in more], 1)

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from concord.llm import bitsliced, chat, components, decontaminate, extract, htmlblocks, langid, packing, quality, simhash, tokencount, tokens, warc
 from concord.llm.pagemaker import Maker
 from tests.llm.held_out_pages import PAGES
+from tests.llm.more_pages import MORE
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and reading water house garden summer winter table chair music paper river stone light".split()
@@ -578,18 +579,19 @@ def test_labeller_on_pages_not_seen():
         assert len(blocks) == len(labels)
         right += int((model.label([htmlblocks.features(blocks)])[0] == np.array(labels, bool)).sum())
         n += len(labels)
-    assert right / n > 0.99
+    assert right / n > 0.98
 
 
 def test_labeller_on_hand_written_pages():
-    right = total = 0
-    for page in PAGES:
+    right = total = found = main_blocks = kept = 0
+    for page in PAGES + MORE:
         blocks, truth = htmlblocks.blocks_of("".join(m for m, _ in page)), []
         for i, (_, main) in enumerate(page):
             truth += [main] * (len(htmlblocks.blocks_of("".join(m for m, _ in page[: i + 1]))) - len(truth))
         got = extract.default_labeller().label([htmlblocks.features(blocks)])[0]
         right, total = right + sum(a == b for a, b in zip(truth, got, strict=True)), total + len(blocks)
-    assert right >= 0.9 * total
+        found, main_blocks, kept = found + sum(a and b for a, b in zip(truth, got)), main_blocks + sum(truth), kept + sum(got)
+    assert right >= 0.95 * total and found >= 0.93 * main_blocks and found >= 0.97 * kept and len(MORE) == 40
 
 
 def test_gradients_of_the_labeller():
