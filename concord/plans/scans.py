@@ -13,7 +13,8 @@ from concord.operators.order import positions
 from concord.plans import units as U
 from concord.plans.catalogue import query, table
 from concord.plans.geometry import _view, views
-from concord.plans.statistics import rounded
+from concord.plans.statistics import judged, rounded
+from concord.sources import npz as Z
 from concord.sources import tables as S
 from concord.sources.shared import shared_dir
 
@@ -202,3 +203,74 @@ def paired_gate(spark, d):
     rows = table(spark, d, "customer").groupBy("c_nationkey").agg(half(0).alias("before"), half(1).alias("after"))
     r = I.paired_gain(rows, "before", "after")
     return spark.createDataFrame([(round(r["gain"], 4), None if r["p_value"] is None else round(r["p_value"], 6), r["passed"])], "gain double, p_value double, passed boolean")
+
+
+@query("""SELECT vec_id::VARCHAR AS case_id, len(embedding)::INT AS width, round(embedding[1]::DOUBLE, 6) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings""")
+def npz_rows(spark, d):
+    """Vectors written as npz archives and read back by row ranges."""
+    path = shared_dir(spark)
+    Z.write_npz(table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), "embedding"), path)
+    rows = Z.read_npz_rows(spark, path, ["case_id", "embedding"], range_bytes=1 << 16)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("case_id", F.size("embedding").alias("width"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.round(total, 5).alias("total"))
+
+
+@query("""SELECT name, count(*) AS n_rows, CASE name WHEN 'embeddings' THEN 64 ELSE 0 END::BIGINT AS width, name = 'ids' AS compressed FROM embeddings, (VALUES ('case_ids'), ('embeddings')) t(name) GROUP BY name""")
+def npz_shapes(spark, d):
+    """Shapes of archives, from their headers."""
+    path = shared_dir(spark)
+    Z.write_npz(table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), "embedding").repartition(3), path)
+    return Z.shapes(spark, path).groupBy("name", F.coalesce("width", F.lit(0)).cast("long").alias("width"), "compressed").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("""SELECT doc_id, length(coalesce(text, '')) AS n_letters, length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')) AS n_e FROM documents""")
+def encoded_texts(spark, d):
+    """Texts through the hook of outside encoders, here one that counts."""
+    found = V.encoded(table(spark, d, "documents"), "text", lambda texts: [(len(t or ""), (t or "").count("e")) for t in texts], ["doc_id"])
+    return found.select("doc_id", F.col("embedding")[0].cast("long").alias("n_letters"), F.col("embedding")[1].cast("long").alias("n_e"))
+
+
+@query("""SELECT r_name AS region, CASE WHEN count(s_suppkey) FILTER (s_acctbal > 9000) > 0 THEN 'valid' ELSE 'not ready' END AS state, count(s_suppkey) FILTER (s_acctbal > 9000) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1""")
+def table_states(spark, d):
+    """Tables of rich suppliers by region: finished ones are valid, those without rows are not ready."""
+    s = table(spark, d, "supplier").filter("s_acctbal > 9000").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    path, out = shared_dir(spark), []
+    for r in table(spark, d, "region").collect():
+        params, at = {"region": r.r_name}, f"{path}/{r.r_regionkey}"
+        own = s.filter(F.col("n_regionkey") == r.r_regionkey)
+        try:
+            S.write_table(own, at, params=params)
+            out.append((r.r_name, "valid" if S.is_valid(spark, at, params) and not S.is_valid(spark, at, {"region": ""}) else "moved", spark.read.parquet(at).count()))
+        except S.NotReady:
+            out.append((r.r_name, "not ready", 0))
+    return spark.createDataFrame(out, "region string, state string, n long")
+
+
+@query("""SELECT n_name AS nation, '/data/' || r_name || '/' || n_nationkey || '/${absent}' AS folder FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def resolved_folders(spark, d):
+    """A configuration of all nations whose values name others."""
+    n, r = table(spark, d, "nation").collect(), table(spark, d, "region").collect()
+    config = {"root": "/data", "regions": {f"r{x.r_regionkey}": {"name": x.r_name, "folder": f"${{root}}/${{regions.r{x.r_regionkey}.name}}"} for x in r}}
+    config["nations"] = {x.n_name: f"${{regions.r{x.n_regionkey}.folder}}/{x.n_nationkey}/${{absent}}" for x in n}
+    return spark.createDataFrame(sorted(U.resolved(config)["nations"].items()), "nation string, folder string")
+
+
+@query("""WITH j AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT l.doc_id, n_chars::DOUBLE AS n_chars FROM labels l JOIN documents USING (doc_id))),
+d AS (SELECT b, ('0x' || substr(md5('0|' || b || '|' || i), 1, 15))::BIGINT % n AS k FROM j, unnest(range(0, 50)) t(b)) SELECT b::INT AS b, round(median(n_chars) - avg(n_chars), 6) AS draw FROM d JOIN j ON d.k = j.i GROUP BY b""")
+def bootstrap_any(spark, d):
+    """A statistic that is no sum, of the rows of each replicate: the median less the mean."""
+    import pandas as pd
+
+    rows = I.resampled(judged(spark, d).select("doc_id", "n_chars"), ["doc_id"], 50, 0)
+    skew = lambda f: pd.DataFrame({"b": [int(f["b"].iloc[0])], "draw": [f["n_chars"].median() - f["n_chars"].mean()]})
+    return rounded(I.by_replicate(rows, skew, "b int, draw double"), "draw")
+
+
+@query()
+def auroc_gaps(spark, d):
+    """The range of AUROCs that sources of their class counts would show if all were alike."""
+    rows = judged(spark, d)
+    per = rows.groupBy("source").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("p"), F.count(F.when(F.col("quality") == 0, 1)).alias("q")).collect()
+    overall = I.auroc(rows, "quality", "n_chars").first().auroc
+    found = I.gap_reference(overall, [(r.p, r.q) for r in per])
+    return rounded(spark.createDataFrame([tuple(found.values())], "reference_mean double, reference_std double, reference_ci_low double, reference_ci_high double, n_subgroups int"), "reference_mean", "reference_std", "reference_ci_low", "reference_ci_high")
