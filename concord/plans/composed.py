@@ -22,14 +22,15 @@ def policy_decode(spark, d):
     return L.decode_by_policy(long, policies)
 
 
-@query(r"""WITH m AS (SELECT source AS dataset, doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE (source = 'src0' AND lang IN ('en', 'fr')) OR source = 'src1')
+@query(r"""WITH m AS (SELECT source AS dataset, doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE source <> 'src0' OR lang IN ('en', 'fr'))
 SELECT dataset || '__d' || doc_id AS case_id, dataset, 'cxr' AS modality, CASE WHEN doc_id % 3 = 0 THEN 'valid' ELSE 'train' END AS split, quality::DOUBLE AS good FROM m""")
 def pool_build(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     docs = docs.select(F.concat(F.lit("d"), "doc_id").alias("image_key"), F.col("lang").alias("view"), F.when(F.col("doc_id") % 3 == 0, "VAL").otherwise("Train").alias("split"), F.lit(None).cast("string").alias("image_subdir"), "quality", "source")
-    policies = spark.createDataFrame([(s, "quality", "good", "canonical", 1.0, [0.0]) for s in ("src0", "src1")], "site string, native string, finding string, vocabulary string, positive double, negatives array<double>")
-    masters = {s: docs.filter(F.col("source") == s).drop("source") for s in ("src0", "src1")}
-    return C.build_pool(masters, policies, {"src0": ["en", "fr"], "src1": None}, ["good"]).select("case_id", "dataset", "modality", "split", "good")
+    sites = sorted(r[0] for r in docs.select("source").distinct().collect())
+    policies = spark.createDataFrame([(s, "quality", "good", "canonical", 1.0, [0.0]) for s in sites], "site string, native string, finding string, vocabulary string, positive double, negatives array<double>")
+    masters = {s: docs.filter(F.col("source") == s).drop("source") for s in sites}
+    return C.build_pool(masters, policies, {s: ["en", "fr"] if s == "src0" else None for s in sites}, ["good"]).select("case_id", "dataset", "modality", "split", "good")
 
 
 @query("""SELECT o_orderkey AS case_id, o_orderpriority AS dataset, CASE o_orderstatus WHEN 'P' THEN 'train' ELSE 'test' END AS split, o_custkey AS subject_id,
