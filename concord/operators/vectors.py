@@ -361,7 +361,8 @@ def grams(vectors: DataFrame) -> dict[tuple[str, str], np.ndarray]:
     out, parts = {}, {}
     for r in added(cases.select("v").mapInArrow(run, schema), ["a", "b", "width", "piece"]).toLocalIterator():
         parts.setdefault((r.a, r.b), {})[r.piece] = np.frombuffer(r.data).reshape(-1, r.width)
-    for (a, b), pieces in parts.items():
+    for a, b in list(parts):
+        pieces = parts.pop((a, b))
         out[a, b] = np.concatenate([pieces[k] for k in sorted(pieces)])
         out[b, a] = out[a, b].T
     return out

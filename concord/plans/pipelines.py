@@ -446,3 +446,95 @@ def referenced(draws: DataFrame, value: str, own: float | None) -> DataFrame:
     p = (F.sum(reached.cast("long")) + 1) / (F.count(value) + 1.0)
     out = draws.agg(F.lit(own).cast("double").alias("_own"), F.avg(value).alias("reference_mean"), F.percentile(value, 0.025).alias("reference_ci_low"), F.percentile(value, 0.975).alias("reference_ci_high"), (F.lit(own) - F.avg(value)).alias("excess"), p.alias("p_value"), F.count(value).alias("_n"))
     return out.filter("_n > 0").withColumnRenamed("_own", value).drop("_n")
+
+
+RUN = ["arm", "level", "backbone", "init", "seed"]
+
+
+def run_pairs(pairs: DataFrame, value: str = "mknn") -> DataFrame:
+    """Pairs of runs (run_id_a, run_id_b, experiment, value) with the parts of both run ids and the value as `v`; pairs without a value drop out."""
+    parts = [p.alias(f"{n}_{s}") for s in "ab" for n, p in zip(RUN, X.key_parts(F.col(f"run_id_{s}"), RUN))]
+    return pairs.select("run_id_a", "run_id_b", "experiment", F.col(value).cast("double").alias("v"), *parts).filter("v IS NOT NULL")
+
+
+def _contrasted(rows: DataFrame, contrasts: Sequence[tuple[str | Column, Column, Column]]) -> DataFrame:
+    """(contrast, setting, run_id_a, run_id_b, v): a row for each contrast (name, setting, condition) that a pair is part of."""
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    each = F.array(*(F.when(c, F.struct(text(name).alias("contrast"), text(setting).alias("setting"))) for name, setting, c in contrasts))
+    return rows.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("c"), "run_id_a", "run_id_b", "v").select("c.*", "run_id_a", "run_id_b", "v")
+
+
+def _by_runs(rows: DataFrame, by: Sequence[str], statistic: Column, least: int = 4, least_left: int = 2) -> DataFrame:
+    """(by..., std, n_units): error of a statistic of each group of pairs by leaving out one run at a time; NULL below four pairs or three runs."""
+    units = rows.select(*by, F.col("run_id_a").alias("unit")).union(rows.select(*by, "run_id_b")).distinct()
+    kept = rows.join(units, list(by)).filter((F.col("run_id_a") != F.col("unit")) & (F.col("run_id_b") != F.col("unit")))  # pair tables by their few runs
+    left = kept.groupBy(*by, "unit").agg(statistic.alias("s"), F.count("*").alias("n")).filter((F.col("n") >= least_left) & F.col("s").isNotNull())
+    g = F.count("*")
+    error = left.groupBy(*by).agg(F.when(g >= 3, F.sqrt((g - 1) * F.var_pop("s"))).alias("std"), g.alias("n_units"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    return sizes.join(error, list(by), "left").select(*by, F.when(F.col("_n") >= least, F.col("std")).alias("std"), F.coalesce("n_units", F.lit(0)).alias("n_units"))
+
+
+def contrast_rows(long: DataFrame) -> DataFrame:
+    """Of each contrast and setting: (alignment, n_pairs, n_cells, min_raw, max_raw, crossed_std, crossed_ci_low, crossed_ci_high, crossed_n_cells)."""
+    long, by = cut(long), ["contrast", "setting"]
+    runs = long.select(*by, F.explode(F.array("run_id_a", "run_id_b")).alias("run")).groupBy(*by).agg(F.countDistinct("run").alias("n_cells"))
+    per = long.groupBy(*by).agg(F.avg("v").alias("alignment"), F.count("*").alias("n_pairs"), F.min("v").alias("min_raw"), F.max("v").alias("max_raw"))
+    out = per.join(runs, by).join(_by_runs(long, by, F.avg("v")), by)
+    m, e = F.col("alignment"), F.col("std")
+    return out.select(*by, "alignment", "n_pairs", "n_cells", "min_raw", "max_raw", e.alias("crossed_std"), (m - 1.96 * e).alias("crossed_ci_low"), (m + 1.96 * e).alias("crossed_ci_high"), F.col("n_units").alias("crossed_n_cells"))
+
+
+def initialization_pairs(rows: DataFrame, backbone: str = "vit_s", experiment: str = "E5", one: str = "dinov3", other: str = "random") -> DataFrame:
+    """The contrasts of initialization among run_pairs(): across and within initializations, of the same and of different objectives, by arm. Arms without a pair across initializations have none."""
+    rows = rows.filter((F.col("experiment") == experiment) & (F.col("backbone_a") == backbone) & (F.col("backbone_b") == backbone))
+    crossed = rows.filter("init_a <> init_b").select(F.col("arm_a").alias("_arm")).distinct()
+    rows = rows.join(crossed, F.col("arm_a") == F.col("_arm"), "left_semi")
+    cross, same = F.col("init_a") != F.col("init_b"), F.col("level_a") == F.col("level_b")
+    both = lambda i: (F.col("init_a") == i) & (F.col("init_b") == i)
+    setting = F.concat(F.col("arm_a"), F.lit(f"/{backbone}"))
+    return _contrasted(rows, [
+        ("same_objective_across_initializations", setting, cross & same),
+        ("different_objectives_across_initializations", setting, cross & ~same),
+        (f"different_objectives_both_{other}", setting, both(other)),
+        (f"same_objective_seed_pairs_both_{one}", setting, both(one) & same & (F.col("seed_a") != F.col("seed_b"))),
+        (f"different_objectives_both_{one}", setting, both(one) & ~same),
+    ])
+
+
+def initialization_difference(long: DataFrame) -> DataFrame:
+    """(setting, difference, crossed_std, crossed_ci_low, crossed_ci_high, p_raw, n_pairs_a, n_pairs_b, crossed_n_cells): same less different objectives across initializations, with the normal p of the error over runs."""
+    same = F.col("contrast") == "same_objective_across_initializations"
+    rows = cut(long.filter(same | (F.col("contrast") == "different_objectives_across_initializations")))
+    gap = F.avg(F.when(same, F.col("v"))) - F.avg(F.when(~same, F.col("v")))
+    per = rows.groupBy("setting").agg(gap.alias("d"), F.count(F.when(same, 1)).alias("a"), F.count(F.when(~same, 1)).alias("b")).filter("a > 0 AND b > 0")
+    found = per.join(_by_runs(rows, ["setting"], gap), "setting").collect()  # a row for each arm
+    out = [(r.setting, r.d, r["std"], *((r.d - 1.96 * r["std"], r.d + 1.96 * r["std"]) if r["std"] is not None else (None, None)), I.normal_p(r.d, r["std"]), r.a, r.b, r.n_units) for r in found]
+    return long.sparkSession.createDataFrame(out, "setting string, difference double, crossed_std double, crossed_ci_low double, crossed_ci_high double, p_raw double, n_pairs_a long, n_pairs_b long, crossed_n_cells long")
+
+
+def disjoint_pairs(rows: DataFrame, experiment: str = "E5_disjoint", setting: str = "cxr_disjoint/vit_s") -> DataFrame:
+    """The contrasts of training halves without shared patients: within a half, and across halves with the same and with different seeds."""
+    half, seed = F.col("arm_a") == F.col("arm_b"), F.col("seed_a") == F.col("seed_b")
+    return _contrasted(rows.filter(F.col("experiment") == experiment), [("within_half_different_seed", setting, half & ~seed), ("across_halves_different_seed", setting, ~half & ~seed), ("across_halves_same_seed", setting, ~half & seed)])
+
+
+def content_pairs(rows: DataFrame, arm: str = "frame_cxr", level: str = "image_text") -> DataFrame:
+    """The contrasts of content: natural training among seeds, and each altered condition of it against natural training."""
+    rows = rows.filter((F.col("arm_a") == arm) & (F.col("backbone_a") == F.col("backbone_b")) & F.startswith("level_a", F.lit(level)) & F.startswith("level_b", F.lit(level)))
+    a, b, seed = F.col("level_a") == level, F.col("level_b") == level, F.col("seed_a") == F.col("seed_b")
+    altered, setting = F.when(a, F.col("level_b")).otherwise(F.col("level_a")), F.concat(F.lit(f"{arm}/"), F.col("backbone_a"))
+    return _contrasted(rows, [
+        ("natural_seed_pairs", setting, a & b & ~seed),
+        (F.concat(altered, F.lit("_vs_natural_different_seed")), setting, (a != b) & ~seed),
+        (F.concat(altered, F.lit("_vs_natural_same_seed")), setting, (a != b) & seed),
+    ])
+
+
+def retention_rows(rows: DataFrame, cells: DataFrame, init: str = "dinov3") -> DataFrame:
+    """(contrast, setting, level, alignment, n_cells, min_raw, max_raw, seed_pair_agreement): how much of its initialization each kind of run (arm_group, backbone, axis_level, mknn) keeps, beside the agreement of its seeds."""
+    same = rows.filter((F.col("init_a") == init) & (F.col("init_b") == init) & (F.col("backbone_a") == F.col("backbone_b")) & (F.col("level_a") == F.col("level_b")) & (F.col("seed_a") != F.col("seed_b")))
+    seeds = same.groupBy(F.col("arm_a").alias("_arm"), F.col("backbone_a").alias("_backbone"), F.col("level_a").alias("_level")).agg(F.avg("v").alias("seed_pair_agreement"))
+    per = cells.groupBy("arm_group", "backbone", "axis_level").agg(F.avg("mknn").alias("alignment"), F.count("*").alias("n_cells"), F.min("mknn").alias("min_raw"), F.max("mknn").alias("max_raw"))
+    out = per.join(seeds, (F.col("arm_group") == F.col("_arm")) & (F.col("backbone") == F.col("_backbone")) & (F.col("axis_level") == F.col("_level")), "left")
+    return out.select(F.lit("cell_to_initialization").alias("contrast"), F.concat_ws("/", "arm_group", "backbone").alias("setting"), F.col("axis_level").alias("level"), "alignment", "n_cells", "min_raw", "max_raw", "seed_pair_agreement")

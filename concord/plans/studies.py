@@ -227,3 +227,74 @@ SELECT g AS finding, round(avg(m), 6) AS gold_alignment, count(*) AS n_pairs FRO
 def gold_agreement(spark, d):
     gold = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), F.concat(F.lit("f"), F.col("label") % 3).alias("finding"))
     return rounded(C.gold_agreement(views(spark, d, "full", "va", "vb").drop("label"), gold, 5), "gold_alignment")
+
+
+_RUNS = """r AS (SELECT n_nationkey AS n, m, CASE n_nationkey % 5 WHEN 0 THEN 'frame_cxr' WHEN 1 THEN 'half_a' WHEN 2 THEN 'half_b' ELSE 'cxr' END AS arm,
+  CASE WHEN n_nationkey % 5 = 0 THEN CASE WHEN n_nationkey % 3 = 0 THEN 'image_text_shuffled' ELSE 'image_text' END ELSE CASE n_nationkey % 2 WHEN 0 THEN 'ssl' ELSE 'sup' END END AS level,
+  CASE WHEN n_nationkey % 4 < 2 THEN 'dinov3' ELSE 'random' END AS init, 'seed' || (n_nationkey // 5) % 4 AS seed FROM nation JOIN (SELECT c_nationkey, avg(c_acctbal) / 10000 AS m FROM customer GROUP BY 1) ON c_nationkey = n_nationkey),
+q AS (SELECT *, concat_ws('__', arm, level, 'vit_s', init, seed) AS id FROM r),
+p AS (SELECT a.id AS run_id_a, b.id AS run_id_b, CASE WHEN a.arm LIKE 'half%' AND b.arm LIKE 'half%' THEN 'E5_disjoint' ELSE 'E5' END AS experiment, (a.m + b.m) / 2 AS v,
+  a.arm AS arm_a, b.arm AS arm_b, a.level AS level_a, b.level AS level_b, a.init AS init_a, b.init AS init_b, a.seed AS seed_a, b.seed AS seed_b FROM q a JOIN q b ON a.n < b.n)"""
+_INIT = """l AS (SELECT *, arm_a || '/vit_s' AS setting, unnest(list_filter([
+  CASE WHEN init_a <> init_b AND level_a = level_b THEN 'same_objective_across_initializations' END, CASE WHEN init_a <> init_b AND level_a <> level_b THEN 'different_objectives_across_initializations' END,
+  CASE WHEN init_a = 'random' AND init_b = 'random' THEN 'different_objectives_both_random' END, CASE WHEN init_a = 'dinov3' AND init_b = 'dinov3' AND level_a = level_b AND seed_a <> seed_b THEN 'same_objective_seed_pairs_both_dinov3' END,
+  CASE WHEN init_a = 'dinov3' AND init_b = 'dinov3' AND level_a <> level_b THEN 'different_objectives_both_dinov3' END], lambda x: x IS NOT NULL)) AS contrast FROM p WHERE experiment = 'E5' AND arm_a IN (SELECT arm_a FROM p WHERE experiment = 'E5' AND init_a <> init_b))"""
+_ROWS_OF = """u AS (SELECT DISTINCT contrast, setting, unnest([run_id_a, run_id_b]) AS unit FROM l), j AS (SELECT contrast, setting, unit, avg(v) AS s FROM l JOIN u USING (contrast, setting) WHERE run_id_a <> unit AND run_id_b <> unit GROUP BY ALL HAVING count(*) >= 2),
+e AS (SELECT contrast, setting, CASE WHEN count(*) >= 3 THEN sqrt((count(*) - 1) * var_pop(s)) END AS std, count(*) AS n FROM j GROUP BY ALL), c AS (SELECT contrast, setting, count(*) AS n_cells FROM u GROUP BY ALL),
+g AS (SELECT contrast, setting, avg(v) AS m, count(*) AS n_pairs, min(v) AS lo, max(v) AS hi FROM l GROUP BY ALL)
+SELECT contrast, setting, round(m, 6) AS alignment, n_pairs, n_cells, round(lo, 6) AS min_raw, round(hi, 6) AS max_raw, round(CASE WHEN n_pairs >= 4 THEN std END, 6) AS crossed_std, coalesce(e.n, 0) AS crossed_n_cells FROM g JOIN c USING (contrast, setting) LEFT JOIN e USING (contrast, setting)"""
+
+
+def _matrix(spark, d):
+    """Pairs of runs in the shape of a controlled matrix: a run for each nation."""
+    n = F.col("n_nationkey")
+    means = table(spark, d, "customer").groupBy("c_nationkey").agg((F.avg("c_acctbal") / 10000).alias("m"))
+    arm = F.when(n % 5 == 0, "frame_cxr").when(n % 5 == 1, "half_a").when(n % 5 == 2, "half_b").otherwise("cxr")
+    level = F.when(n % 5 == 0, F.when(n % 3 == 0, "image_text_shuffled").otherwise("image_text")).otherwise(F.when(n % 2 == 0, "ssl").otherwise("sup"))
+    seed = F.concat(F.lit("seed"), (F.floor(n / 5) % 4).cast("string"))
+    runs = table(spark, d, "nation").join(means, n == F.col("c_nationkey")).select("n_nationkey", "m", arm.alias("arm"), F.concat_ws("__", arm, level, F.lit("vit_s"), F.when(n % 4 < 2, "dinov3").otherwise("random"), seed).alias("id"))
+    one, other = (runs.select(F.col("n_nationkey").alias(f"n{s}"), F.col("id").alias(f"run_id_{s}"), F.col("arm").alias(f"arm{s}"), F.col("m").alias(f"m{s}")) for s in "ab")
+    pairs = one.join(other, F.col("na") < F.col("nb"))  # few runs
+    experiment = F.when(F.startswith("arma", F.lit("half")) & F.startswith("armb", F.lit("half")), "E5_disjoint").otherwise("E5")
+    return C.run_pairs(pairs.select("run_id_a", "run_id_b", experiment.alias("experiment"), ((F.col("ma") + F.col("mb")) / 2).alias("mknn")))
+
+
+def _contrast_rows(long):
+    return rounded(C.contrast_rows(long).drop("crossed_ci_low", "crossed_ci_high"), "alignment", "min_raw", "max_raw", "crossed_std")
+
+
+@query(f"WITH {_RUNS}, {_INIT}, {_ROWS_OF}")
+def matrix_initialization(spark, d):
+    return _contrast_rows(C.initialization_pairs(_matrix(spark, d)))
+
+
+@query(f"""WITH {_RUNS}, {_INIT}, f AS (SELECT *, contrast LIKE 'same_obj%' AS same FROM l WHERE contrast LIKE '%across_init%'), u AS (SELECT DISTINCT setting, unnest([run_id_a, run_id_b]) AS unit FROM f),
+j AS (SELECT setting, unit, avg(v) FILTER (same) - avg(v) FILTER (NOT same) AS s FROM f JOIN u USING (setting) WHERE run_id_a <> unit AND run_id_b <> unit GROUP BY ALL HAVING count(*) >= 2),
+e AS (SELECT setting, CASE WHEN count(s) >= 3 THEN sqrt((count(s) - 1) * var_pop(s)) END AS std, count(s) AS n FROM j GROUP BY 1), g AS (SELECT setting, avg(v) FILTER (same) - avg(v) FILTER (NOT same) AS d, count(*) FILTER (same) AS a, count(*) FILTER (NOT same) AS b FROM f GROUP BY 1)
+SELECT setting, round(d, 6) AS difference, round(CASE WHEN a + b >= 4 THEN std END, 6) AS crossed_std, a AS n_pairs_a, b AS n_pairs_b, n AS crossed_n_cells FROM g JOIN e USING (setting) WHERE a > 0 AND b > 0""")
+def matrix_difference(spark, d):
+    found = C.initialization_difference(C.initialization_pairs(_matrix(spark, d)))
+    return rounded(found.select("setting", "difference", "crossed_std", "n_pairs_a", "n_pairs_b", "crossed_n_cells"), "difference", "crossed_std")
+
+
+@query(f"""WITH {_RUNS}, l AS (SELECT *, 'cxr_disjoint/vit_s' AS setting, CASE WHEN arm_a = arm_b AND seed_a <> seed_b THEN 'within_half_different_seed' WHEN arm_a <> arm_b AND seed_a <> seed_b THEN 'across_halves_different_seed' WHEN arm_a <> arm_b THEN 'across_halves_same_seed' END AS contrast FROM p WHERE experiment = 'E5_disjoint' AND (arm_a <> arm_b OR seed_a <> seed_b)), {_ROWS_OF}""")
+def matrix_disjoint(spark, d):
+    return _contrast_rows(C.disjoint_pairs(_matrix(spark, d)))
+
+
+@query(f"""WITH {_RUNS}, k AS (SELECT *, 'frame_cxr/vit_s' AS setting, level_a = 'image_text' AS na, level_b = 'image_text' AS nb FROM p WHERE arm_a = 'frame_cxr' AND level_a LIKE 'image_text%' AND level_b LIKE 'image_text%'),
+l AS (SELECT * FROM (SELECT *, CASE WHEN na AND nb AND seed_a <> seed_b THEN 'natural_seed_pairs' WHEN na <> nb THEN CASE WHEN na THEN level_b ELSE level_a END || CASE WHEN seed_a <> seed_b THEN '_vs_natural_different_seed' ELSE '_vs_natural_same_seed' END END AS contrast FROM k) WHERE contrast IS NOT NULL), {_ROWS_OF}""")
+def matrix_content(spark, d):
+    return _contrast_rows(C.content_pairs(_matrix(spark, d)))
+
+
+@query(f"""WITH {_RUNS}, s AS (SELECT arm_a AS arm, level_a AS level, avg(v) AS seed_pair_agreement FROM p WHERE init_a = 'dinov3' AND init_b = 'dinov3' AND level_a = level_b AND seed_a <> seed_b GROUP BY ALL)
+SELECT 'cell_to_initialization' AS contrast, arm || '/vit_s' AS setting, level, round(avg(m), 6) AS alignment, count(*) AS n_cells, round(min(m), 6) AS min_raw, round(max(m), 6) AS max_raw, round(any_value(seed_pair_agreement), 6) AS seed_pair_agreement FROM r LEFT JOIN s USING (arm, level) GROUP BY ALL""")
+def matrix_retention(spark, d):
+    pairs = _matrix(spark, d)
+    n = F.col("n_nationkey")
+    cells = table(spark, d, "customer").groupBy("c_nationkey").agg((F.avg("c_acctbal") / 10000).alias("mknn")).withColumnRenamed("c_nationkey", "n_nationkey")
+    arm = F.when(n % 5 == 0, "frame_cxr").when(n % 5 == 1, "half_a").when(n % 5 == 2, "half_b").otherwise("cxr")
+    level = F.when(n % 5 == 0, F.when(n % 3 == 0, "image_text_shuffled").otherwise("image_text")).otherwise(F.when(n % 2 == 0, "ssl").otherwise("sup"))
+    found = C.retention_rows(pairs, cells.select(arm.alias("arm_group"), F.lit("vit_s").alias("backbone"), level.alias("axis_level"), "mknn"))
+    return rounded(found, "alignment", "min_raw", "max_raw", "seed_pair_agreement")
