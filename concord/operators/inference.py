@@ -523,7 +523,7 @@ def range_reference(wide: DataFrame, row_id: str, group: str, value: str, replic
     observed = means.agg((F.max("m") - F.min("m")).alias("observed_range"), F.count("*").alias("n_groups"))
     place = F.row_number().over(Window.partitionBy("b", row_id).orderBy(hash_key(seed, F.col("b"), F.col(row_id), F.col(group)), group))
     drawn = replicated(wide, replicates).withColumn("g", place).groupBy("b", "g").agg(F.avg(value).alias("m")).groupBy("b").agg((F.max("m") - F.min("m")).alias("draw"))
-    return drawn.crossJoin(F.broadcast(observed)).groupBy("observed_range", "n_groups").agg(F.avg("draw").alias("reference_mean"), F.percentile("draw", 0.025).alias("reference_ci_low"), F.percentile("draw", 0.975).alias("reference_ci_high"), exceedance(drawn, "draw", F.col("observed_range")).alias("p_reference")).withColumn("excess", F.col("observed_range") - F.col("reference_mean"))  # one row
+    return drawn.crossJoin(F.broadcast(observed)).groupBy("observed_range", "n_groups").agg(F.avg("draw").alias("reference_mean"), F.percentile("draw", 0.025).alias("reference_ci_low"), F.percentile("draw", 0.975).alias("reference_ci_high"), exceedance(drawn, "draw", F.col("observed_range") * (1 - 1e-9)).alias("p_reference")).withColumn("excess", F.col("observed_range") - F.col("reference_mean"))  # one row
 
 
 def bracketed(df: DataFrame, point: str, low: str, high: str, slack: float = 1e-9) -> DataFrame:

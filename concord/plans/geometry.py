@@ -42,12 +42,12 @@ def knn_graph(spark, d):
     return rounded(V.knn_edges(views(spark, d, "full"), K), "similarity", digits=9)
 
 
-def _overlap(a: str, b: str) -> str:
-    return f"""{_edges(a, b)}, o AS (SELECT x.src, count(y.dst) / {float(K)} AS overlap FROM edge x LEFT JOIN edge y ON y.e = '{b}' AND x.src = y.src AND x.dst = y.dst WHERE x.e = '{a}' GROUP BY 1)"""
+def _overlap(a: str, b: str, k: int = K) -> str:
+    return f"""{_edges(a, b, k=k)}, o AS (SELECT x.src, count(y.dst) / {float(k)} AS overlap FROM edge x LEFT JOIN edge y ON y.e = '{b}' AND x.src = y.src AND x.dst = y.dst WHERE x.e = '{a}' GROUP BY 1)"""
 
 
-def _mknn(a: str, b: str) -> str:
-    return f"WITH {_overlap(a, b)} SELECT '{a}' AS encoder_a, '{b}' AS encoder_b, round(avg(overlap), 6)::DOUBLE AS mknn, count(*) AS n FROM o"
+def _mknn(a: str, b: str, k: int = K) -> str:
+    return f"WITH {_overlap(a, b, k)} SELECT '{a}' AS encoder_a, '{b}' AS encoder_b, round(avg(overlap), 6)::DOUBLE AS mknn, count(*) AS n FROM o"
 
 
 @query(_mknn("va", "vb"))
@@ -85,8 +85,12 @@ def _hsic(a: str, b: str) -> str:
  - 2 * (SELECT coalesce(sum(c * r), 0) FROM (SELECT dst AS i, sum(w) AS c FROM {a} GROUP BY 1) JOIN (SELECT src AS i, sum(w) AS r FROM {b} GROUP BY 1) USING (i)) / (n - 2)) / (n * (n - 3)) FROM (SELECT count(*)::DOUBLE AS n FROM embeddings))"""
 
 
-@query(f"""WITH {_edges('va', 'vb')}, a AS (SELECT src, dst, s AS w FROM edge WHERE e = 'va'), b AS (SELECT src, dst, s AS w FROM edge WHERE e = 'vb'), ab AS (SELECT a.* FROM a SEMI JOIN b USING (src, dst)), ba AS (SELECT b.* FROM b SEMI JOIN a USING (src, dst))
-SELECT round({_hsic('ab', 'ba')} / sqrt({_hsic('a', 'a')} * {_hsic('b', 'b')}), 6) AS cknna""")
+def _weighted(k: int) -> str:
+    return f"""WITH {_edges('va', 'vb', k=k)}, a AS (SELECT src, dst, s AS w FROM edge WHERE e = 'va'), b AS (SELECT src, dst, s AS w FROM edge WHERE e = 'vb'), ab AS (SELECT a.* FROM a SEMI JOIN b USING (src, dst)), ba AS (SELECT b.* FROM b SEMI JOIN a USING (src, dst))
+SELECT round({_hsic('ab', 'ba')} / sqrt({_hsic('a', 'a')} * {_hsic('b', 'b')}), 6) AS cknna"""
+
+
+@query(_weighted(K))
 def cknna_weighted(spark, d):
     from concord.sources.shared import cut
 
@@ -101,8 +105,12 @@ def _trace(a: str, b: str) -> str:
     return f"(SELECT (SELECT count(*) FROM {a} p JOIN {b} q ON p.src = q.dst AND p.dst = q.src) - {dot(a, b)} / n - {dot(b, a)} / n + (SELECT count(*) FROM {a}) * (SELECT count(*) FROM {b}) / (n * n) FROM (SELECT count(*)::DOUBLE AS n FROM embeddings))"
 
 
-@query(f"""WITH {_edges('va', 'vb')}, a AS (SELECT src, dst FROM edge WHERE e = 'va'), b AS (SELECT src, dst FROM edge WHERE e = 'vb')
-SELECT round({_trace('a', 'b')} / sqrt({_trace('a', 'a')} * {_trace('b', 'b')}), 6) AS cknna_binary""")
+def _binary(k: int) -> str:
+    return f"""WITH {_edges('va', 'vb', k=k)}, a AS (SELECT src, dst FROM edge WHERE e = 'va'), b AS (SELECT src, dst FROM edge WHERE e = 'vb')
+SELECT round({_trace('a', 'b')} / sqrt({_trace('a', 'a')} * {_trace('b', 'b')}), 6) AS cknna_binary"""
+
+
+@query(_binary(K))
 def cknna_binary(spark, d):
     from concord.sources.shared import cut
 
@@ -119,7 +127,10 @@ def _cov(a: str, b: str) -> str:
     return f"(SELECT sum(c * c) FROM (SELECT p.i, q.i AS j, sum(p.x * q.x) - sum(p.x) * sum(q.x) / count(*) AS c FROM {a} p JOIN {b} q USING (id) GROUP BY ALL))"
 
 
-@query(f"""WITH a AS ({_flat('va')}), b AS ({_flat('vb')}) SELECT round({_cov('a', 'b')} / sqrt({_cov('a', 'a')} * {_cov('b', 'b')}), 6) AS cka""")
+_LINEAR = f"""WITH a AS ({_flat('va')}), b AS ({_flat('vb')}) SELECT round({_cov('a', 'b')} / sqrt({_cov('a', 'a')} * {_cov('b', 'b')}), 6) AS cka"""
+
+
+@query(_LINEAR)
 def cka_linear(spark, d):
     return spark.createDataFrame([(round(A.linear_cka(V.grams(views(spark, d, "va", "vb")), "va", "vb"), 6),)], "cka double")
 
@@ -163,11 +174,14 @@ def _rsa(spark, d, n, one="va", other="vb"):
     return rounded(spearman(pairs, "s_a", "s_b"), "spearman", digits=5)
 
 
-@query(f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000), a AS ({_view('va')}), b AS ({_view('vb')}), x AS (SELECT a.id, a.v AS va, b.v AS vb FROM a JOIN b USING (id) JOIN s ON a.id = s.vec_id),
+_RBF = f"""WITH s AS (SELECT vec_id FROM embeddings ORDER BY md5('0|' || vec_id), vec_id LIMIT 2000), a AS ({_view('va')}), b AS ({_view('vb')}), x AS (SELECT a.id, a.v AS va, b.v AS vb FROM a JOIN b USING (id) JOIN s ON a.id = s.vec_id),
 q AS (SELECT x.id AS i, y.id AS j, greatest(list_inner_product(x.va, x.va) + list_inner_product(y.va, y.va) - 2 * list_inner_product(x.va, y.va), 0) AS da, greatest(list_inner_product(x.vb, x.vb) + list_inner_product(y.vb, y.vb) - 2 * list_inner_product(x.vb, y.vb), 0) AS db FROM x JOIN x y ON x.id <> y.id),
 w AS (SELECT median(da) AS w, (SELECT count(*) FROM x)::DOUBLE AS n FROM q WHERE da > 0), k AS (SELECT i, j, exp(-da / (2 * w)) AS k, exp(-db / (2 * w)) AS l, n FROM q, w), r AS (SELECT i, sum(k) AS rk, sum(l) AS rl FROM k GROUP BY 1),
 h AS (SELECT sum(k * l) AS kl, sum(k * k) AS kk, sum(l * l) AS ll, sum(k) AS sk, sum(l) AS sl, any_value(n) AS n FROM k), g AS (SELECT sum(rk * rl) AS kl, sum(rk * rk) AS kk, sum(rl * rl) AS ll FROM r)
-SELECT round((h.kl - 2 * g.kl / n + sk * sl / (n * n)) / sqrt((h.kk - 2 * g.kk / n + sk * sk / (n * n)) * (h.ll - 2 * g.ll / n + sl * sl / (n * n))), 6) AS cka_rbf FROM h, g""")
+SELECT round((h.kl - 2 * g.kl / n + sk * sl / (n * n)) / sqrt((h.kk - 2 * g.kk / n + sk * sk / (n * n)) * (h.ll - 2 * g.ll / n + sl * sl / (n * n))), 6) AS cka_rbf FROM h, g"""
+
+
+@query(_RBF)
 def cka_rbf(spark, d):
     return spark.createDataFrame([(round(float(A.rbf_cka(views(spark, d, "va", "vb"), "va", "vb")), 6),)], "cka_rbf double")
 

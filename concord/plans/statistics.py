@@ -287,7 +287,7 @@ def mantel_objects(spark, d):
 _RANGE = """WITH e AS ({rows}), k AS (SELECT user_id FROM e GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT event_type) FROM e)), w AS (SELECT * FROM e WHERE user_id IN (SELECT user_id FROM k)),
 m AS (SELECT event_type, avg(v) AS m FROM w GROUP BY 1), o AS (SELECT max(m) - min(m) AS r, count(*) AS g FROM m),
 s AS (SELECT b, v, row_number() OVER (PARTITION BY b, user_id ORDER BY md5('0|' || b || '|' || user_id || '|' || event_type), event_type) AS g FROM w, unnest(range(0, {n})) q(b)), n AS (SELECT b, g, avg(v) AS m FROM s GROUP BY ALL), c AS (SELECT b, max(m) - min(m) AS draw FROM n GROUP BY 1)
-SELECT round(r, 6) AS observed_range, g AS n_groups, round(avg(draw), 6) AS reference_mean, round(quantile_cont(draw, 0.025), 6) AS reference_ci_low, round(quantile_cont(draw, 0.975), 6) AS reference_ci_high, (count(*) FILTER (draw >= r) + 1) / (count(*) + 1.0)::DOUBLE AS p_reference, round(r - avg(draw), 6) AS excess FROM o, c GROUP BY r, g"""
+SELECT round(r, 6) AS observed_range, g AS n_groups, round(avg(draw), 6) AS reference_mean, round(quantile_cont(draw, 0.025), 6) AS reference_ci_low, round(quantile_cont(draw, 0.975), 6) AS reference_ci_high, (count(*) FILTER (draw >= r * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE AS p_reference, round(r - avg(draw), 6) AS excess FROM o, c GROUP BY r, g"""
 
 
 @query(_RANGE.format(rows="SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL", n=50))

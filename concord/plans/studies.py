@@ -14,16 +14,20 @@ from concord.operators import vectors as V
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
 from concord.plans.composed import _knn_among
-from concord.plans.geometry import _overlap, views
+from concord.plans.geometry import _LINEAR, _RBF, _binary, _mknn, _overlap, _rsa_sql, _weighted, views
 from concord.plans.statistics import _JUDGED, _rank, _shuffled, judged, rounded
 from concord.plans.transfer import labelled
 
 
-@query()
+_SUITE = [(f"{name}_k{k}", f"SELECT {c} FROM ({sql(k)})") for k in (5, 10) for name, c, sql in (("mknn", "mknn", lambda k: _mknn("va", "vb", k)), ("cknna", "cknna", _weighted), ("cknna_binary_graph", "cknna_binary", _binary))]
+_SUITE += [("cka_linear", f"SELECT cka FROM ({_LINEAR})"), ("cka_rbf", f"SELECT cka_rbf FROM ({_RBF})"), ("rsa_spearman", f"SELECT spearman FROM ({_rsa_sql('va', 'vb')})"), ("headline_mknn", f"SELECT mknn FROM ({_mknn('va', 'vb')})"), ("headline_cknna", f"SELECT cknna FROM ({_weighted(10)})")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS metric, round(({sql}), 4)::DOUBLE AS value" for name, sql in _SUITE))
 def metric_suite(spark, d):
-    """All metrics of two overlapping views."""
+    """All metrics of two overlapping views but the Procrustes distance, which has a query of its own, as SQL has no singular values."""
     found = A.metric_suite(views(spark, d, "va", "vb"), "va", "vb", (5, 10))
-    return spark.createDataFrame([(k, None if v is None else round(float(v), 6)) for k, v in found.items()], "metric string, value double")
+    return spark.createDataFrame([(k, None if v is None else round(float(v), 4)) for k, v in found.items() if k != "procrustes"], "metric string, value double")
 
 
 @query(f"WITH {_overlap('va', 'vb')} SELECT CASE WHEN count(*) >= 20 THEN round(avg(overlap), 6)::DOUBLE END AS mknn, count(*) AS n FROM o")
@@ -214,7 +218,26 @@ def paired_reports(spark, d):
     return C.paired_reports(pool, plus.union(plus), ["findings", "impression"], "/x", files)
 
 
-@query()
+_LEVELS = """SELECT id, attribute || '|' || level AS finding FROM (SELECT *, min(n) OVER (PARTITION BY attribute) AS least FROM (SELECT *, row_number() OVER (PARTITION BY attribute, level ORDER BY md5('0|' || id), id) AS r, count(*) OVER (PARTITION BY attribute, level) AS n
+FROM (SELECT vec_id AS id, 'parity' AS attribute, (label % 2)::VARCHAR AS level FROM embeddings UNION ALL SELECT vec_id, 'third', (vec_id % 3)::VARCHAR FROM embeddings))) WHERE r <= least"""
+
+
+def _tested(attribute: str) -> str:
+    """DuckDB: one row of the tests of an attribute, from w (attribute, level, pair, v)."""
+    own = f"SELECT level, pair, v FROM w WHERE attribute = '{attribute}'"
+    f = lambda by, source: f"(SELECT {by}(sum(c * m * m) - sum(c * m) ** 2 / sum(c)) / (count(*) - 1) / (sum(c * s) / (sum(c) - count(*))) AS f FROM (SELECT {by}level, count(*) AS c, avg(v) AS m, var_pop(v) AS s FROM {source} GROUP BY ALL) {'GROUP BY ' + by.rstrip(', ') if by else ''})"
+    return f"""SELECT '{attribute}' AS attribute, r AS observed_range, g AS n_groups, rm AS reference_mean, lo AS reference_ci_low, hi AS reference_ci_high, pr AS p_reference, r - rm AS excess, f, pg AS p_groups FROM
+(SELECT max(m) - min(m) AS r, count(*) AS g FROM (SELECT level, avg(v) AS m FROM ({own}) GROUP BY 1)) o,
+(SELECT avg(draw) AS rm, quantile_cont(draw, 0.025) AS lo, quantile_cont(draw, 0.975) AS hi, (count(*) FILTER (draw >= (SELECT max(m) - min(m) FROM (SELECT level, avg(v) AS m FROM ({own}) GROUP BY 1)) * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE AS pr FROM (SELECT b, max(m) - min(m) AS draw FROM (
+  SELECT b, g, avg(v) AS m FROM (SELECT b, v, row_number() OVER (PARTITION BY b, pair ORDER BY md5('0|' || b || '|' || pair || '|' || level), level) AS g FROM ({own}), unnest(range(0, 50)) t(b)) GROUP BY ALL) GROUP BY 1)) d,
+{f('', f'({own})')} x, (SELECT (count(*) FILTER (y.f >= x.f * (1 - 1e-9)) + 1) / (count(*) + 1.0)::DOUBLE AS pg FROM {f('b, ', f"(SELECT z.b, z.v, e.level FROM {_shuffled(own, 'level, pair', 'v', 50)} z JOIN (SELECT *, row_number() OVER (ORDER BY level, pair) - 1 AS i FROM ({own})) e ON z.k = e.i)")} y, {f('', f'({own})')} x) q"""
+
+
+@query(f"""WITH {_knn_among(_LEVELS, 'finding', ('full', 'va', 'vb'), 5)}, w AS (SELECT split_part(g, '|', 1) AS attribute, split_part(g, '|', 2) AS level, ea || '|' || eb AS pair, avg(overlap) AS v FROM o GROUP BY ALL),
+t AS ({_tested('parity')} UNION ALL {_tested('third')}), q AS (SELECT *, p_reference * 2 / row_number() OVER (ORDER BY p_reference, attribute) AS qr, p_groups * 2 / row_number() OVER (ORDER BY p_groups, attribute) AS qg FROM t),
+h AS (SELECT *, least(1.0, min(qr) OVER (ORDER BY p_reference, attribute ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS p_reference_fdr, least(1.0, min(qg) OVER (ORDER BY p_groups, attribute ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS p_groups_fdr FROM q)
+SELECT attribute, round(observed_range, 6) AS observed_range, n_groups, round(reference_mean, 6) AS reference_mean, round(reference_ci_low, 6) AS reference_ci_low, round(reference_ci_high, 6) AS reference_ci_high, round(p_reference, 6) AS p_reference, round(excess, 6) AS excess,
+round(f, 6) AS f, round(p_groups, 6) AS p_groups, round(p_reference_fdr, 6) AS p_reference_fdr, round(p_groups_fdr, 6) AS p_groups_fdr, p_groups_fdr < 0.05 AS significant_fdr05 FROM h""")
 def demographic_tests(spark, d):
     """Agreement of three views by class parity and by thirds, with its reference."""
     cases = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), (F.col("label") % 2).alias("parity"), (F.col("vec_id") % 3).alias("third"))
