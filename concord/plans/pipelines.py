@@ -20,6 +20,7 @@ from concord.operators import relational as R
 from concord.operators import resampling as Y
 from concord.operators import sampling as S
 from concord.operators import vectors as V
+from concord.operators.order import positions
 from concord.sources.shared import cut
 from concord.sources.tables import with_files
 
@@ -538,3 +539,64 @@ def retention_rows(rows: DataFrame, cells: DataFrame, init: str = "dinov3") -> D
     per = cells.groupBy("arm_group", "backbone", "axis_level").agg(F.avg("mknn").alias("alignment"), F.count("*").alias("n_cells"), F.min("mknn").alias("min_raw"), F.max("mknn").alias("max_raw"))
     out = per.join(seeds, (F.col("arm_group") == F.col("_arm")) & (F.col("backbone") == F.col("_backbone")) & (F.col("axis_level") == F.col("_level")), "left")
     return out.select(F.lit("cell_to_initialization").alias("contrast"), F.concat_ws("/", "arm_group", "backbone").alias("setting"), F.col("axis_level").alias("level"), "alignment", "n_cells", "min_raw", "max_raw", "seed_pair_agreement")
+
+
+def _existing(rows: DataFrame, files: DataFrame | None, *parts: str | Column) -> DataFrame:
+    """Rows whose image is among the files, if files are given; parts of the path are joined by slashes."""
+    if files is None:
+        return rows
+    at = F.concat_ws("/", *(F.lit(p) if isinstance(p, str) else p for p in parts))
+    return with_files(rows.withColumn("_path", at), files, "_path").drop("_path")
+
+
+def fundus_pool(master: DataFrame, source: str, id_col: str, grade_col: str, cap: int, split: str = "train", referable: float = 2, gradable: str | None = None, suffix: str = "", root: str = "", files: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """Manifest of graded fundus images: as many referable ones (grade of `referable` or more) as others, at most cap of each.
+
+    Rows that are not gradable drop out first; a grade that is no number is NULL and not referable.
+    """
+    rows = master.filter(F.col(gradable) == 1) if gradable and gradable in master.columns else master
+    rows = rows.withColumn("_key", F.concat(F.col(id_col).cast("string"), F.lit(suffix))).withColumn("_grade", F.expr(f"try_cast(`{grade_col}` AS double)"))
+    rows = _existing(rows.withColumn("_label", F.coalesce((F.col("_grade") >= referable).cast("double"), F.lit(0.0))), files, root, source, F.col("_key"))
+    chosen = S.balanced(rows, "_label", cap, seed, id_col)
+    return chosen.select(
+        F.concat(F.lit(f"fundus__{source}__"), F.col(id_col).cast("string")).alias("case_id"), F.lit(f"fundus_{source}").alias("dataset"), F.lit("fundus").alias("modality"), F.lit(split).alias("split"),
+        F.col("_key").alias("image_key"), F.lit(source).alias("image_subdir"), F.col("_label").alias("referable_dr"), F.col("_grade").alias("dr_grade"), F.lit(source).alias("source_tag"),
+    )
+
+
+def tissue_pool(files: DataFrame, dataset: str, splits: dict[str, str], classes: Sequence[str], cap: int, tumor: Sequence[str] = ("TUM",), pattern: str = r"\.tif$", seed: int = 42) -> DataFrame:
+    """Manifest of a tree of folders, one for each split and in it one for each tissue class: at most cap images of a class over all splits.
+
+    files has the path of each file; splits maps folders to splits. Other folders, classes and names that the pattern does not find are left out.
+    """
+    parts = F.split("path", "/")
+    rows = files.select(F.element_at(parts, -3).alias("_folder"), F.element_at(parts, -2).alias("tissue_class"), F.element_at(parts, -1).alias("_name"))
+    rows = rows.filter(F.col("_folder").isin(*splits) & F.col("tissue_class").isin(*classes) & F.col("_name").rlike(pattern))
+    split = F.create_map(*(F.lit(x) for p in splits.items() for x in p))[F.col("_folder")]
+    rows = rows.withColumn("split", split).withColumn("case_id", F.concat(F.lit(f"{dataset}__"), F.concat_ws("_", split, "tissue_class", F.regexp_replace("_name", r"\.[^.]*$", ""))))
+    return S.cap_per_group(rows, "tissue_class", cap, seed, "case_id").select(
+        "case_id", F.lit(dataset).alias("dataset"), F.lit("histo").alias("modality"), "split", F.concat_ws("/", "_folder", "tissue_class", "_name").alias("image_key"), F.lit(None).cast("string").alias("image_subdir"),
+        "tissue_class", F.col("tissue_class").isin(*tumor).cast("double").alias("tumor_label"),
+    )
+
+
+def acquisition_pool(master: DataFrame, dataset: str, order: Sequence[str], reports: Sequence[str] = (), modalities: Sequence[str] = ("CR", "DX", "DR"), views: Sequence[str] = ("AP", "PA"), cap: int = 0, seed: int = 42) -> DataFrame:
+    """Manifest of images with the institution and the maker of their device, cut to cap rows by whole subjects.
+
+    master has ImagePath, split, subject_id, institution, manufacturer, view and perhaps ImageModality. Rows of other modalities and views drop
+    out, the rest are numbered in the given order, and then those without an institution or a maker drop out. Leading ../ go, lists of makers become one name, and
+    the sections of reports are joined by a space, NULL where there are no such columns.
+    """
+    rows = master.filter(F.col("ImageModality").isin(*modalities)) if "ImageModality" in master.columns else master
+    rows = positions(rows.filter(F.col("view").isin(*views)), order, "_number")
+    told = [c for c in reports if c in master.columns]
+    text = F.trim(F.concat_ws(" ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in told))) if told else F.lit(None).cast("string")
+    split = F.when(F.lower("split") == "val", "valid").otherwise(F.lower("split"))
+    pool = rows.select(
+        F.concat(F.lit(f"{dataset}__"), F.col("_number").cast("string")).alias("case_id"), F.lit(dataset).alias("dataset"), F.lit("cxr").alias("modality"), F.regexp_replace("ImagePath", r"^(\.\./)+", "").alias("image_key"), split.alias("split"),
+        "subject_id", X.vendor(F.col("institution")).alias("institution"), X.vendor(F.col("manufacturer")).alias("manufacturer"), "view", text.alias("report_text"),
+    ).filter("institution IS NOT NULL AND manufacturer IS NOT NULL")
+    if not cap:
+        return pool
+    pool = cut(pool)
+    return pool if pool.count() <= cap else S.take_fitting(pool.filter("subject_id IS NOT NULL"), "subject_id", cap, seed, "dataset")

@@ -274,3 +274,42 @@ def auroc_gaps(spark, d):
     overall = I.auroc(rows, "quality", "n_chars").first().auroc
     found = I.gap_reference(overall, [(r.p, r.q) for r in per])
     return rounded(spark.createDataFrame([tuple(found.values())], "reference_mean double, reference_std double, reference_ci_low double, reference_ci_high double, n_subgroups int"), "reference_mean", "reference_std", "reference_ci_low", "reference_ci_high")
+
+
+@query("""SELECT n_regionkey, count(*) AS n_files, count(*) = min(c) AS one_digest FROM nation, (SELECT count(*) AS c, n_regionkey AS k FROM nation GROUP BY 2) WHERE k = n_regionkey GROUP BY 1""")
+def digests_of_files(spark, d):
+    """Files of a region hold the same text and so have one digest, which no other region's have."""
+    path = shared_dir(spark)
+    table(spark, d, "nation").select(F.concat(F.lit("region "), "n_regionkey").alias("value"), F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r")).repartition("k").write.partitionBy("r", "k").text(path)
+    region = F.regexp_extract("path", r"/r=(\d+)/", 1).cast("int")
+    found = S.file_digests(spark, path, "*.txt").select(region.alias("n_regionkey"), "digest")
+    of = found.groupBy("digest").agg(F.countDistinct("n_regionkey").alias("regions")).withColumnRenamed("digest", "_of")
+    each = found.join(of, F.col("digest") == F.col("_of"))
+    return each.groupBy("n_regionkey").agg(F.count("*").alias("n_files"), ((F.countDistinct("digest") == 1) & (F.max("regions") == 1)).alias("one_digest"))
+
+
+@query("""SELECT r_name AS region, CASE WHEN count(n_nationkey) % 2 = 0 THEN 'unknown' WHEN min(n_nationkey) % 2 = 0 THEN 'current' ELSE 'stale' END AS state FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
+def stale_tables(spark, d):
+    """Tables by region under a regime that their smallest nation gives; one with an even number of nations has no stage in the registry."""
+    path, out = shared_dir(spark), []
+    per = table(spark, d, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("least"), F.count("*").alias("n"))
+    for r in table(spark, d, "region").join(per, F.col("r_regionkey") == F.col("n_regionkey"), "left").collect():
+        at = f"{path}/{r.r_regionkey}"
+        S.write_table(table(spark, d, "region").filter(F.col("r_regionkey") == r.r_regionkey), at, params={"regime": (r.least or 0) % 2})
+        regimes = {} if (r.n or 0) % 2 == 0 else {"regions": 0}
+        out.append((r.r_name, "unknown" if not regimes else "current" if S.stale_reason(spark, at, "regions", regimes) is None else "stale"))
+    return spark.createDataFrame(out, "region string, state string")
+
+
+@query("""SELECT o_orderpriority || '/' || o_orderstatus || '.txt' AS path, CASE o_orderstatus WHEN 'F' THEN 'gone' WHEN 'O' THEN 'changed' ELSE 'new' END AS change FROM orders GROUP BY ALL""")
+def files_that_changed(spark, d):
+    """Listings of two folders by priority: files of one status are gone, others are longer, others new."""
+    o = table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    tail = lambda df, p: df.withColumn("path", F.concat(F.regexp_replace(F.element_at(F.split("path", "/"), -3), "^p=", ""), F.lit("/"), F.regexp_replace(F.element_at(F.split("path", "/"), -2), "^s=", ""), F.lit(".txt")))
+    seen = []
+    for kept, more in (("F|O", ""), ("O|P", " more")):
+        path = shared_dir(spark)
+        rows = o.filter(F.col("o_orderstatus").rlike(kept)).select(F.concat(F.col("n").cast("string"), F.lit(more)).alias("value"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+        rows.coalesce(1).write.partitionBy("p", "s").text(path)
+        seen.append(tail(S.fingerprints(spark, path, "*.txt"), path))
+    return S.changed_files(*seen)

@@ -321,3 +321,37 @@ def matrix_retention(spark, d):
     level = F.when(n % 5 == 0, F.when(n % 3 == 0, "image_text_shuffled").otherwise("image_text")).otherwise(F.when(n % 2 == 0, "ssl").otherwise("sup"))
     found = C.retention_rows(pairs, cells.select(arm.alias("arm_group"), F.lit("vit_s").alias("backbone"), level.alias("axis_level"), "mknn"))
     return rounded(found, "alignment", "min_raw", "max_raw", "seed_pair_agreement")
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 5 END AS g FROM orders WHERE o_orderstatus <> 'P'), l AS (SELECT *, coalesce((g >= 2)::INT, 0) AS y FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || id), id) AS r, (SELECT min(c) FROM (SELECT count(*) AS c FROM l GROUP BY y)) AS least FROM l)
+SELECT 'fundus__ord__' || id AS case_id, 'fundus_ord' AS dataset, 'fundus' AS modality, 'test' AS split, id || '.png' AS image_key, 'ord' AS image_subdir, y::DOUBLE AS referable_dr, g::DOUBLE AS dr_grade, 'ord' AS source_tag FROM r WHERE r <= least(500, least)""")
+def fundus_pool(spark, d):
+    n = F.col("o_orderkey")
+    master = table(spark, d, "orders").select("o_orderkey", F.when(n % 7 == 0, "none").otherwise((n % 5).cast("string")).alias("grade"), (F.col("o_orderstatus") != "P").cast("int").alias("gradable"))
+    return C.fundus_pool(master, "ord", "o_orderkey", "grade", 500, "test", gradable="gradable", suffix=".png")
+
+
+@query("""WITH f AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'valid' ELSE 'train' END AS split, CASE WHEN p_partkey % 3 = 0 THEN 'VAL' ELSE 'TRAIN' END AS folder, 'K' || p_size % 6 AS c, 'img' || p_partkey AS stem FROM part WHERE p_partkey % 13 <> 0),
+t AS (SELECT *, 'tis__' || split || '_' || c || '_' || stem AS case_id FROM f WHERE c <> 'K5'), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY md5('42|' || case_id), case_id) AS r FROM t)
+SELECT case_id, 'tis' AS dataset, 'histo' AS modality, split, folder || '/' || c || '/' || stem || '.tif' AS image_key, NULL::VARCHAR AS image_subdir, c AS tissue_class, (c = 'K1')::INT::DOUBLE AS tumor_label FROM r WHERE r <= 150""")
+def tissue_pool(spark, d):
+    """Files by split and class, of which some are of another kind and one class is not asked for."""
+    n = F.col("p_partkey")
+    name = F.concat(F.lit("img"), n, F.when(n % 13 == 0, ".txt").otherwise(".tif"))
+    files = table(spark, d, "part").select(F.concat_ws("/", F.lit("file:///data"), F.when(n % 3 == 0, "VAL").otherwise("TRAIN"), F.concat(F.lit("K"), F.col("p_size") % 6), name).alias("path"))
+    return C.tissue_pool(files, "tis", {"TRAIN": "train", "VAL": "valid"}, [f"K{k}" for k in range(5)], 150, ["K1"])
+
+
+@query("""WITH m AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_orderkey % 4 <> 3 AND o_orderkey % 10 <> 9)
+SELECT 'acq__' || i AS case_id, 'acq' AS dataset, 'cxr' AS modality, 'a/' || o_orderkey AS image_key, CASE o_orderstatus WHEN 'F' THEN 'valid' ELSE lower(o_orderstatus) END AS split, o_custkey AS subject_id, o_orderpriority AS institution,
+CASE o_orderkey % 3 WHEN 0 THEN 'one' WHEN 1 THEN 'mixed: a + b' ELSE 'solo' END AS manufacturer, CASE WHEN o_orderkey % 2 = 0 THEN 'AP' ELSE 'PA' END AS view, trim(o_orderpriority || ' ' || CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE o_orderstatus END) AS report_text FROM m WHERE o_orderkey % 11 <> 0""")
+def acquisition_pool(spark, d):
+    """Images with lists of makers, foreign modalities and views, and some without an institution."""
+    n = F.col("o_orderkey")
+    master = table(spark, d, "orders").select(
+        F.concat(F.when(n % 2 == 0, "../../").otherwise(""), F.lit("a/"), n).alias("ImagePath"), F.when(F.col("o_orderstatus") == "F", "VAL").otherwise(F.col("o_orderstatus")).alias("split"), F.col("o_custkey").alias("subject_id"), F.when(n % 11 != 0, F.col("o_orderpriority")).alias("institution"),
+        F.when(n % 3 == 0, "one").when(n % 3 == 1, "['b', 'a']").otherwise(" ['solo'] ").alias("manufacturer"), F.when(n % 4 == 3, "LL").when(n % 2 == 0, "AP").otherwise("PA").alias("view"), F.when(n % 10 == 9, "CT").otherwise("DX").alias("ImageModality"),
+        F.col("o_orderpriority").alias("findings"), F.when(n % 6 != 0, F.col("o_orderstatus")).alias("impression"), "o_orderkey",
+    )
+    return C.acquisition_pool(master, "acq", ["o_orderkey"], ["findings", "impression", "absent"])

@@ -163,3 +163,45 @@ def moved_params(spark: SparkSession, path: str, params: dict) -> list[str] | No
 def is_valid(spark: SparkSession, path: str, params: dict) -> bool:
     """Whether a finished table stands at path that was built with these parameters. Without a record it does not count as valid."""
     return _exists(spark, f"{path}/_SUCCESS") and moved_params(spark, path, params) == []
+
+
+def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of the files below a folder, from their listing alone."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, digest): the 16-byte BLAKE2b of each file's bytes, in hex digits."""
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            digests = [hashlib.blake2b(x.as_py(), digest_size=16).hexdigest() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], names=["path", "digest"])
+
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return found.select("path", "content").mapInArrow(run, "path string, digest string")
+
+
+def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(path, change) of files that are new, gone or of another size or time, between two fingerprints()."""
+    old = before.select(F.col("path").alias("_path"), F.col("size").alias("_size"), F.col("modified").alias("_modified"))
+    both = now.join(old, F.col("path") == F.col("_path"), "full_outer")
+    change = F.when(F.col("_path").isNull(), "new").when(F.col("path").isNull(), "gone").when((F.col("size") != F.col("_size")) | (F.col("modified") != F.col("_modified")), "changed")
+    return both.select(F.coalesce("path", "_path").alias("path"), change.alias("change")).filter("change IS NOT NULL")
+
+
+def stale_reason(spark: SparkSession, path: str, stage: str, regimes: dict[str, str | int]) -> str | None:
+    """Why a table is not to be read: its record names another regime of its stage than the current one. None if it may be, if it is not there, or if the stage has no regime.
+
+    A regime is the version of a stage's rules; it is a parameter `regime` of write_table().
+    """
+    if stage not in regimes or not _exists(spark, f"{path}/_SUCCESS"):
+        return None
+    got = json.loads(spark.read.text(f"{path}.params").first()[0]).get("regime") if _exists(spark, f"{path}.params") else None
+    if got == regimes[stage]:
+        return None
+    return f"{path.rstrip('/').rsplit('/', 1)[-1]} was written under regime {got!r} of {stage}, and the current one is {regimes[stage]!r}"
