@@ -617,3 +617,28 @@ def reported(df: DataFrame, prefix: str, share: bool = True) -> DataFrame:
     shown = lambda c: F.round(F.col(c) * (100.0 if share else 1.0), 1)
     cols = [x for c, n in names.items() if c in df.columns for x in (shown(c).alias(f"{prefix}_{n}"), F.col(c).alias(f"{prefix}_{n}_raw"))]
     return df.select(*(F.col(c) for c in df.columns if c not in names), *cols)
+
+
+def grouped_means(df: DataFrame, value: str, by: Sequence[str], replicates: int = REPLICATES, seed: int = 0, tested: bool = False) -> DataFrame:
+    """(by..., point, n, std, ci_low, ci_high) of the mean of each group, and with `tested` p_value as paired_bootstrap() has it; values that are absent do not count.
+
+    For tables of results: a group's values meet in a task, which draws its replicates there. The draws are those that bootstrap_mean() of the group alone would make, as long as
+    it is one cell.
+    """
+    import pandas as pd
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "point double, n long, std double, ci_low double, ci_high double, p_value double"])
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        x, n = np.unique(frame["_value"].to_numpy(float), return_counts=True)
+        total = int(n.sum())
+        draws = np.array([X.weights(seed, b, 0, total, n) @ x / total for b in range(replicates)])
+        point = float(n @ x / total)
+        std, low, high, _ = spread_of(draws)
+        p = max(float(X.at_least(np.abs(draws - point), abs(point)).mean()), 1.0 / replicates)
+        return pd.DataFrame([(*(frame[c].iloc[0] for c in by), point, total, std, low, high, p)], columns=[*by, "point", "n", "std", "ci_low", "ci_high", "p_value"])
+
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
+    out = rows.groupBy(*by).applyInPandas(of, schema)
+    return out if tested else out.drop("p_value")

@@ -55,6 +55,7 @@ def fit_probe(df: DataFrame, label: str, embedding: str = "embedding", c: float
     probe = Probe(mean, scale, None)
     weight = F.create_map(*(F.lit(x) for k, w in weights.items() for x in (k, w * n)))[F.col("label")]
     data = rows.select("label", weight.alias("weight"), probe._scaled(F.col("v")).alias("_features"))
+    data = cut(data.select("label", "weight", vector_to_array("_features").alias("x"))).coalesce(max(1, -(-n // CELL_ROWS))).select("label", "weight", array_to_vector("x").alias("_features"))  # few rows in few tasks, as each step is a job
     probe.model = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="weight", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations).fit(data)
     return probe
 

@@ -600,3 +600,80 @@ def acquisition_pool(master: DataFrame, dataset: str, order: Sequence[str], repo
         return pool
     pool = cut(pool)
     return pool if pool.count() <= cap else S.take_fitting(pool.filter("subject_id IS NOT NULL"), "subject_id", cap, seed, "dataset")
+
+
+def with_transfer_columns(ladder: DataFrame) -> DataFrame:
+    """ladder with above_reference_p975 (whether the transfer's AUROC passes the end of its reference, 1 or 0) and the retention above chance, both NULL where they make no sense."""
+    t, hi, o = (F.col(c).cast("double") for c in ("auroc_transfer", "reference_ci_high", "auroc_oracle"))
+    return ladder.withColumn("above_reference_p975", (t > hi).cast("double")).withColumn("retention_chance_corrected", F.when(o > 0.5, (t - 0.5) / (o - 0.5)))
+
+
+def transfer_summary(ladder: DataFrame) -> DataFrame:
+    """Of each step of a ladder of with_transfer_columns(): pairs, shares above the reference and significant, the least p that its replicates allow, medians."""
+    middle = lambda c, name: F.median(c).alias(name)
+    return ladder.groupBy("step").agg(
+        F.count("*").alias("n_pairs"), F.avg("above_reference_p975").alias("share_above_reference_p975"), F.avg(F.coalesce((F.col("p_fdr") < 0.05).cast("double"), F.lit(0.0))).alias("share_significant_fdr"),
+        (1.0 / (F.max("n_perm") + 1)).alias("min_attainable_p"), middle("auroc_transfer", "median_transfer_auroc"), middle("auroc_oracle", "median_oracle_auroc"), middle("retention", "median_retention"), middle("retention_chance_corrected", "median_retention_chance_corrected"),
+    )
+
+
+_LEVELS = {"finding": ["finding"], "encoder_pair": ["enc_train", "enc_eval"], "objective_pair": ["objective_train", "objective_eval"], "anchor_budget": ["n_anchors"]}
+
+
+def paired_summaries(transfer: DataFrame, budgets: Sequence[int], primary: int, spaces: Sequence[str] = ("anchor", "native"), replicates: int = 1000, seed: int = 0, least: int = 5) -> DataFrame:
+    """(level, group, comparator, label_budget, mean, n, std, ci_low, ci_high, p_raw, p_fdr): transfer by finding, pair of encoders, pair of objectives and number of anchors.
+
+    A row without a comparator is the mean retention; the others are the paired difference of the transfer's AUROC from that of a refit on a budget of labels
+    (columns refit_{space}_b{budget}), for groups with `least` pairs. All levels but the last take the primary number of anchors; p is adjusted within level and comparator.
+    """
+    none = F.lit(None)
+    rows = []
+    for level, cols in _LEVELS.items():
+        own = transfer if level == "anchor_budget" else transfer.filter(F.col("n_anchors") == primary)
+        base = [F.lit(level).alias("level"), F.concat_ws("|", *(F.col(c).cast("string") for c in cols)).alias("group")]
+        rows.append(own.select(*base, none.cast("string").alias("comparator"), none.cast("int").alias("label_budget"), F.col("retention").cast("double").alias("v")))
+        for space in spaces:
+            for b in budgets:
+                if (name := f"refit_{space}_b{b}") in transfer.columns:
+                    rows.append(own.select(*base, F.lit(f"refit_{space}").alias("comparator"), F.lit(b).alias("label_budget"), (F.col("auroc_xenc") - F.col(name)).alias("v")))
+    every = rows[0]
+    for one in rows[1:]:
+        every = every.unionByName(one)
+    by = ["level", "group", "comparator", "label_budget"]
+    found = I.grouped_means(every, "v", by, replicates, seed, tested=True)
+    p = F.when(F.col("comparator").isNotNull(), F.col("p_value")).alias("p_raw")
+    found = found.filter(F.col("comparator").isNull() | (F.col("n") >= least)).select(*by, F.col("point").alias("mean"), "n", "std", "ci_low", "ci_high", p)
+    return I.benjamini_hochberg(found, "p_raw", ["level", "comparator"]).drop("significant_fdr05")
+
+
+def acquisition_predictability(vectors: DataFrame, cases: DataFrame, targets: Sequence[str], subject: str, anchors: DataFrame | None = None, seed: int = 42, least: int = 500, replicates: int = 1000) -> DataFrame:
+    """(encoder, target, space, accuracy, ci_low, ci_high, majority_baseline, accuracy_above_baseline, n_classes, n_train, n_test): how well the maker of a device, say, is told from vectors.
+
+    cases holds (case_id, subject, targets). A probe learns on the cases of 70 % of the subjects and is tested on the rest, in the encoder's own space and, with at least 64
+    anchors (case_id, pos), in that of its anchors; classes need 20 training cases. Encoders with fewer than `least` cases and probes with fewer than 200 cases in all, 100 to learn from or 50 to be tested on have no row.
+    The interval is a bootstrap over subjects.
+    """
+    from concord.operators import probes as P
+
+    parts = S.unit_split(cases.select("case_id", subject, *targets), subject, seed)
+    spaces = {"native": V.finite_rows(vectors.select("encoder", "case_id", "embedding"))}
+    if anchors is not None and anchors.count() >= 64:
+        spaces["shared_anchor"] = V.finite_rows(V.relative(vectors, anchors).withColumnRenamed("relative", "embedding"))
+    out = []
+    for space, table_ in spaces.items():
+        rows = cut(table_.join(parts, "case_id"))
+        for e in [r.encoder for r in rows.groupBy("encoder").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy("encoder").collect()]:
+            for target in targets:
+                own = rows.filter((F.col("encoder") == e) & F.col(target).isNotNull())
+                train, test = own.filter("part = 'train'"), own.filter("part = 'test'")
+                kept = [r[0] for r in train.groupBy(target).agg(F.count("*").alias("n")).filter("n >= 20").orderBy(target).collect()]
+                a, b = (df.filter(F.col(target).isin(*kept)) if kept else df.limit(0) for df in (train, test))
+                n, m = a.count(), b.count()
+                if len(kept) < 2 or n + m < 200 or n < 100 or m < 50:
+                    continue
+                number = F.create_map(*(F.lit(x) for i, k in enumerate(kept) for x in (k, i)))[F.col(target)]
+                scored = cut(P.fit_probe(a.withColumn("_y", number), "_y").score(b.withColumn("_y", number)).select(subject, "_y", (F.col("predicted") == F.col("_y")).cast("double").alias("_right")))
+                r = I.cluster_bootstrap_mean(scored, "_right", subject, replicates, seed).first()
+                base = scored.groupBy("_y").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] / m
+                out.append((e, target, space, r.point, r.ci_low, r.ci_high, base, r.point - base, len(kept), n, m))
+    return vectors.sparkSession.createDataFrame(out, "encoder string, target string, space string, accuracy double, ci_low double, ci_high double, majority_baseline double, accuracy_above_baseline double, n_classes int, n_train long, n_test long")

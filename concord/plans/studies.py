@@ -10,7 +10,9 @@ from concord.operators import agreement as A
 from concord.operators import inference as I
 from concord.operators import probes as P
 from concord.operators import relational as R
+from concord.operators import sampling as S
 from concord.operators import vectors as V
+from concord.operators.resampling import mixed_sql
 from concord.plans import pipelines as C
 from concord.plans.catalogue import query, table
 from concord.plans.composed import _knn_among
@@ -355,3 +357,63 @@ def acquisition_pool(spark, d):
         F.col("o_orderpriority").alias("findings"), F.when(n % 6 != 0, F.col("o_orderstatus")).alias("impression"), "o_orderkey",
     )
     return C.acquisition_pool(master, "acq", ["o_orderkey"], ["findings", "impression", "absent"])
+
+
+_LADDER = "SELECT o_orderpriority AS step, o_totalprice / 600000 AS auroc_transfer, CASE WHEN o_orderkey % 9 <> 0 THEN 0.3 + (o_orderkey % 40) / 100.0 END AS reference_ci_high, 0.45 + (o_custkey % 50) / 100.0 AS auroc_oracle, CASE WHEN o_orderkey % 8 <> 0 THEN (o_custkey % 100) / 1000.0 END AS p_fdr, 100 + o_custkey % 3 AS n_perm FROM orders"
+
+
+@query(f"""WITH l AS (SELECT *, auroc_transfer / auroc_oracle AS retention, CASE WHEN auroc_oracle > 0.5 THEN (auroc_transfer - 0.5) / (auroc_oracle - 0.5) END AS c FROM ({_LADDER}))
+SELECT step, count(*) AS n_pairs, round(avg((auroc_transfer > reference_ci_high)::INT), 6) AS share_above_reference_p975, round(avg(coalesce((p_fdr < 0.05)::INT, 0)), 6) AS share_significant_fdr, round(1.0 / (max(n_perm) + 1), 6)::DOUBLE AS min_attainable_p,
+round(median(auroc_transfer), 6) AS median_transfer_auroc, round(median(auroc_oracle), 6)::DOUBLE AS median_oracle_auroc, round(median(retention), 6) AS median_retention, round(median(c), 4) AS median_retention_chance_corrected FROM l GROUP BY 1""")
+def ladder_summary(spark, d):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    oracle = F.lit(0.45) + (c % 50) / 100.0
+    ladder = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("step"), (F.col("o_totalprice") / 600000).alias("auroc_transfer"), F.when(k % 9 != 0, F.lit(0.3) + (k % 40) / 100.0).alias("reference_ci_high"), oracle.alias("auroc_oracle"),
+        (F.col("o_totalprice") / 600000 / oracle).alias("retention"), F.when(k % 8 != 0, (c % 100) / 1000.0).alias("p_fdr"), (F.lit(100) + c % 3).alias("n_perm"),
+    )
+    found = C.transfer_summary(C.with_transfer_columns(ladder))
+    return rounded(rounded(found, "share_above_reference_p975", "share_significant_fdr", "min_attainable_p", "median_transfer_auroc", "median_oracle_auroc", "median_retention"), "median_retention_chance_corrected", digits=4)
+
+
+_TRANSFER = """SELECT o_orderpriority AS finding, 'e' || o_custkey % 3 AS enc_train, 'e' || o_orderkey % 3 AS enc_eval, 'g' || o_custkey % 2 AS objective_train, 'g' || o_orderkey % 2 AS objective_eval, CASE o_orderstatus WHEN 'F' THEN 256 ELSE 1024 END AS n_anchors,
+o_totalprice / 600000 AS auroc_xenc, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice / 500000 END AS retention, CASE WHEN o_orderkey % 5 <> 0 THEN 0.3 + (o_custkey % 30) / 100.0 END AS refit_anchor_b64, 0.2 + (o_custkey % 60) / 100.0 AS refit_native_b64 FROM orders"""
+
+
+def _levels_sql() -> str:
+    rows = []
+    for level, cols in (("finding", ["finding"]), ("encoder_pair", ["enc_train", "enc_eval"]), ("objective_pair", ["objective_train", "objective_eval"]), ("anchor_budget", ["n_anchors"])):
+        where = "" if level == "anchor_budget" else " WHERE n_anchors = 1024"
+        for comparator, v in (("NULL", "retention"), ("'refit_anchor'", "auroc_xenc - refit_anchor_b64"), ("'refit_native'", "auroc_xenc - refit_native_b64")):
+            rows.append(f"""SELECT '{level}' AS level, concat_ws('|', {', '.join(f'{c}::VARCHAR' for c in cols)}) AS "group", {comparator}::VARCHAR AS comparator, {v} AS v FROM t{where}""")
+    return " UNION ALL ".join(rows)
+
+
+@query(f"""WITH t AS ({_TRANSFER}), l AS (SELECT * FROM ({_levels_sql()}) WHERE v IS NOT NULL), k AS (SELECT *, dense_rank() OVER (ORDER BY level, "group", comparator) AS gid FROM l),
+i AS (SELECT *, row_number() OVER (PARTITION BY gid ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY gid) AS n, avg(v) OVER (PARTITION BY gid) AS point FROM k),
+d AS (SELECT gid, b, h * n >> 32 AS p FROM {mixed_sql("SELECT gid, n, b, i AS j FROM i, unnest(range(0, 100)) t(b)", 0, 'b', '0', 'j')}), r AS (SELECT d.gid, b, avg(v) AS draw, any_value(point) AS point FROM d JOIN i ON d.gid = i.gid AND d.p = i.i GROUP BY ALL),
+s AS (SELECT gid, stddev_samp(draw) AS std, quantile_cont(draw, 0.025) AS lo, quantile_cont(draw, 0.975) AS hi, greatest(avg((abs(draw - point) >= abs(point) * (1 - 1e-9))::INT), 0.01) AS p FROM r GROUP BY 1),
+g AS (SELECT gid, any_value(level) AS level, any_value("group") AS "group", any_value(comparator) AS comparator, any_value(point) AS point, count(*) AS n FROM i GROUP BY 1), j AS (SELECT *, CASE WHEN comparator IS NOT NULL THEN p END AS p_raw FROM g JOIN s USING (gid) WHERE comparator IS NULL OR n >= 5),
+q AS (SELECT *, CASE WHEN p_raw IS NOT NULL THEN p_raw * count(p_raw) OVER f / count(p_raw) OVER (f ORDER BY p_raw) END AS q FROM j WINDOW f AS (PARTITION BY level, comparator))
+SELECT level, "group", comparator, round(point, 6) AS mean, n, round(std, 6) AS std, round(lo, 6) AS ci_low, round(hi, 6) AS ci_high, round(p_raw, 6)::DOUBLE AS p_raw,
+CASE WHEN p_raw IS NOT NULL THEN round(least(1.0, min(q) OVER (PARTITION BY level, comparator ORDER BY p_raw ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6)::DOUBLE END AS p_fdr FROM q""")
+def paired_summaries(spark, d):
+    """Transfer against refits on 64 labels by finding, pairs and anchors, on orders in the role of results."""
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    named = lambda letter, n, of: F.concat(F.lit(letter), (of % n).cast("string"))
+    transfer = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("finding"), named("e", 3, c).alias("enc_train"), named("e", 3, k).alias("enc_eval"), named("g", 2, c).alias("objective_train"), named("g", 2, k).alias("objective_eval"),
+        F.when(F.col("o_orderstatus") == "F", 256).otherwise(1024).alias("n_anchors"), (price / 600000).alias("auroc_xenc"), F.when(k % 7 != 0, price / 500000).alias("retention"), F.when(k % 5 != 0, F.lit(0.3) + (c % 30) / 100.0).alias("refit_anchor_b64"), (F.lit(0.2) + (c % 60) / 100.0).alias("refit_native_b64"),
+    )
+    found = C.paired_summaries(transfer, [64, 999], 1024, replicates=100).drop("label_budget")
+    return rounded(found, "mean", "std", "ci_low", "ci_high", "p_raw", "p_fdr")
+
+
+@query()
+def acquisition_predictability(spark, d):
+    """Class parity and class group told from vectors, in their own space and in that of 64 anchors."""
+    e = table(spark, d, "embeddings")
+    cases = e.select(F.col("vec_id").alias("case_id"), F.floor(F.col("vec_id") / 2).alias("subject"), F.concat(F.lit("m"), F.col("label") % 2).alias("maker"), F.concat(F.lit("i"), F.col("label") % 5).alias("institution"))
+    anchors = S.capped(e.select(F.col("vec_id").alias("case_id")), 64, 1, "case_id").withColumn("pos", F.col("case_id"))
+    found = C.acquisition_predictability(views(spark, d, "full").drop("label"), cases, ["maker", "institution"], "subject", anchors)
+    return rounded(found, "accuracy", "ci_low", "ci_high", "majority_baseline", "accuracy_above_baseline", digits=4)

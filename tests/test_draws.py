@@ -74,3 +74,22 @@ def test_arms_without_enough_cases(spark):
     assert same.n_draws == 4 and same.difference == pytest.approx(0, abs=1e-12) and same.native_mean == pytest.approx(same.harmonized_mean)
     rows = {x.pool: x for x in C.exposure_arm(v, cases, "clean_pool", 15, 3, ["clean"]).collect()}
     assert set(rows) == {"clean_pool", "clean_pool:s"} and not rows["clean_pool"].panel_saw_this_site
+
+
+def test_summaries_of_few_rows(spark):
+    from concord.operators import inference as I
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("b", None), ("c", 5.0)], "g string, v double")
+    rows = {r.g: r for r in I.grouped_means(df, "v", ["g"], 50, 3).collect()}
+    alone = I.bootstrap_mean(df.filter("g = 'a'"), "v", 50, 3).first()
+    assert set(rows) == {"a", "c"} and rows["a"][1:] == pytest.approx((alone.point, alone.n, alone["std"], alone.ci_low, alone.ci_high)) and rows["c"]["std"] == 0
+    assert I.grouped_means(df.limit(0), "v", ["g"], 5, tested=True).count() == 0
+    ladder = spark.createDataFrame([("s", 0.6, None, 0.5, 0.1, 0.2, 99)], "step string, auroc_transfer double, reference_ci_high double, auroc_oracle double, retention double, p_fdr double, n_perm int")
+    r = C.transfer_summary(C.with_transfer_columns(ladder)).first()
+    assert r.share_above_reference_p975 is None and r.median_retention_chance_corrected is None and r.min_attainable_p == 0.01 and r.share_significant_fdr == 0
+    few = spark.createDataFrame([("f", "a", "b", "x", "y", 8, 0.7, 0.9, 0.6)] * 4, "finding string, enc_train string, enc_eval string, objective_train string, objective_eval string, n_anchors int, auroc_xenc double, retention double, refit_anchor_b4 double")
+    found = C.paired_summaries(few, [4], 8, replicates=20).collect()
+    assert {(x.level, x.comparator) for x in found} == {(level, None) for level in ("finding", "encoder_pair", "objective_pair", "anchor_budget")}
+    v = spark.createDataFrame([("e", i, [float(i)]) for i in range(40)], SCHEMA)
+    cases = spark.createDataFrame([(i, i, "m") for i in range(40)], "case_id long, subject long, maker string")
+    assert C.acquisition_predictability(v, cases, ["maker"], "subject").count() == 0 and C.acquisition_predictability(v, cases, ["maker"], "subject", least=5).count() == 0
