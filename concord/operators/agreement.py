@@ -135,7 +135,12 @@ def block_r_squared(gram: np.ndarray, outcome: int, blocks: dict[str, list[int]]
 
 
 def generalised_procrustes(grams: dict, encoders: list[str], iterations: int = 2000, tolerance: float = 1e-6) -> tuple[dict[str, float], list[float], bool]:
-    """(residual of each encoder, mean residual by iteration, converged) of the rotation to a common consensus.
+    """(residual of each encoder, mean residual by iteration, converged) of the rotation to a common consensus."""
+    return consensus_maps(grams, encoders, iterations, tolerance)[:3]
+
+
+def consensus_maps(grams: dict, encoders: list[str], iterations: int = 2000, tolerance: float = 1e-6) -> tuple[dict[str, float], list[float], bool, dict[str, np.ndarray]]:
+    """generalised_procrustes() with the map of each encoder's vectors, an affine one of (d + 1) rows, whose sum over the encoders is the consensus.
 
     Vectors are centred and scaled. Rotations depend on the encoders' Gram matrices alone, so the
     rows are read once and the iterations are on the driver: consensus = sum of M_k A_k.
@@ -151,6 +156,14 @@ def generalised_procrustes(grams: dict, encoders: list[str], iterations: int = 2
             cross[a, b] = g
     weights = {e: np.eye(d) * (e == encoders[0]) for e in encoders}
 
+    def maps(w: dict) -> dict[str, np.ndarray]:
+        out = {}
+        for e in encoders:
+            g = grams[e, e]
+            linear = w[e][: len(g) - 1] / scale[e]
+            out[e] = np.vstack([linear, -(g[-1, :-1] / g[-1, -1]) @ linear])
+        return out
+
     def rotations(w: dict) -> tuple[dict, dict]:
         r, onto = {}, {}
         for e in encoders:
@@ -165,11 +178,11 @@ def generalised_procrustes(grams: dict, encoders: list[str], iterations: int = 2
         residual = {e: np.trace(cross[e, e]) + size - 2 * onto[e] for e in encoders}
         history.append(float(np.mean(list(residual.values()))))
         if len(history) > 1 and abs(history[-2] - history[-1]) < tolerance:
-            return {e: float(x) for e, x in residual.items()}, history, True
+            return {e: float(x) for e, x in residual.items()}, history, True, maps(weights)
         mean = {e: r[e] / len(encoders) for e in encoders}
         length = np.sqrt(sum(np.trace(mean[a].T @ cross[a, b] @ mean[b]) for a in encoders for b in encoders))
         weights = {e: mean[e] / (length or 1.0) for e in encoders}
-    return {e: float(x) for e, x in residual.items()}, history, False
+    return {e: float(x) for e, x in residual.items()}, history, False, maps(weights)
 
 
 def similarity_pairs(vectors: DataFrame, encoder_a: str, encoder_b: str, largest: int = 5000) -> DataFrame:

@@ -7,6 +7,7 @@ library. Panels, pairs of encoders and findings are few; cases are many.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from concord.functions import numbers as N
 from concord.functions import text as X
 from concord.operators import agreement as A
 from concord.operators import inference as I
+from concord.operators import probes as P
 from concord.operators import relational as R
 from concord.operators import resampling as Y
 from concord.operators import sampling as S
@@ -653,8 +655,6 @@ def acquisition_predictability(vectors: DataFrame, cases: DataFrame, targets: Se
     anchors (case_id, pos), in that of its anchors; classes need 20 training cases. Encoders with fewer than `least` cases and probes with fewer than 200 cases in all, 100 to learn from or 50 to be tested on have no row.
     The interval is a bootstrap over subjects.
     """
-    from concord.operators import probes as P
-
     parts = S.unit_split(cases.select("case_id", subject, *targets), subject, seed)
     spaces = {"native": V.finite_rows(vectors.select("encoder", "case_id", "embedding"))}
     if anchors is not None and anchors.count() >= 64:
@@ -677,3 +677,58 @@ def acquisition_predictability(vectors: DataFrame, cases: DataFrame, targets: Se
                 base = scored.groupBy("_y").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] / m
                 out.append((e, target, space, r.point, r.ci_low, r.ci_high, base, r.point - base, len(kept), n, m))
     return vectors.sparkSession.createDataFrame(out, "encoder string, target string, space string, accuracy double, ci_low double, ci_high double, majority_baseline double, accuracy_above_baseline double, n_classes int, n_train long, n_test long")
+
+
+@dataclass(frozen=True)
+class Consensus:
+    """What consensus() makes: audit of the encoders, their residuals, the consensus vectors and the deviation of each case, and the state."""
+
+    audit: DataFrame
+    residuals: DataFrame
+    vectors: DataFrame
+    deviations: DataFrame
+    state: str
+
+
+def consensus_audit(vectors: DataFrame, requested: Sequence[str], least_finite: float = 0.5) -> DataFrame:
+    """(encoder, finite_row_fraction, status): USED, SKIPPED_MOSTLY_NAN below least_finite, or MISSING."""
+    finite = V.finite_rows(vectors).groupBy(F.col("encoder").alias("_e")).agg(F.count("*").alias("_f"))
+    share = vectors.groupBy("encoder").agg(F.count("*").alias("_n")).join(finite, F.col("encoder") == F.col("_e"), "left").select("encoder", (F.coalesce("_f", F.lit(0)) / F.col("_n")).alias("share"))
+    wanted = vectors.sparkSession.createDataFrame([(e,) for e in requested], "encoder string")
+    status = F.when(F.col("share").isNull(), "MISSING").when(F.col("share") < least_finite, "SKIPPED_MOSTLY_NAN").otherwise("USED")
+    return wanted.join(share, "encoder", "left").select("encoder", F.coalesce("share", F.lit(0.0)).alias("finite_row_fraction"), status.alias("status"))
+
+
+def consensus(vectors: DataFrame, anchors: DataFrame, requested: Sequence[str], iterations: int = 2000, tolerance: float = 1e-6, k: int = 10, lost_encoders: float = 0.25, lost_cases: float = 0.2, deviation_cases: int = 20_000, seed: int = 42) -> Consensus:
+    """The consensus of encoders over the cases that all of them have: audit, relative vectors, rotations, deviations.
+
+    Encoders that are absent or mostly not finite are left out; the build fails if that is more than lost_encoders of those requested, if fewer than two are left, or if more
+    than lost_cases of the cases lack a finite vector of one of the rest. Vectors are those relative to the anchors (case_id, pos). The deviation of
+    a case is 1 less the Jaccard of all encoders' k neighbours, among at most deviation_cases cases by hash; others have none.
+    """
+    audit = cut(consensus_audit(vectors, requested))
+    used = sorted(r.encoder for r in audit.filter("status = 'USED'").collect())
+    if len(used) < 2 or len(requested) - len(used) > lost_encoders * len(requested):
+        raise ValueError(f"{len(used)} of {len(requested)} encoders are usable")
+    own = vectors.filter(F.col("encoder").isin(*used))
+    rel = cut(V.finite_rows(V.relative(own, anchors).withColumnRenamed("relative", "embedding")))
+    shared = cut(R.in_all(rel, "case_id", "encoder"))
+    total = own.select("case_id").distinct().count()
+    if shared.count() < max(2, (1 - lost_cases) * total):
+        raise ValueError("too few cases have a finite vector of every encoder")
+    rel = cut(rel.join(shared, "case_id", "left_semi"))
+    residual, history, converged, maps = A.consensus_maps(V.grams(rel), used, iterations, tolerance)
+    change = abs(history[-1] - history[-2]) if len(history) > 1 else None
+    spark = vectors.sparkSession
+    residuals = spark.createDataFrame([(e, residual[e], converged, len(history), history[-1], change, tolerance) for e in used], "encoder string, residual double, converged boolean, iterations int, final_mean_distance double, last_change double, tolerance double")
+    moved = None
+    for e in used:
+        one = P.mapped(rel.filter(F.col("encoder") == e).select("case_id", F.col("embedding").cast("array<double>").alias("embedding")), maps[e])
+        moved = one if moved is None else moved.unionByName(one)
+    add = lambda s, x: F.zip_with(s, x, lambda a, b: a + b)
+    listed = moved.groupBy("case_id").agg(F.collect_list("embedding").alias("_v"))  # one of each encoder
+    agreed = cut(listed.select("case_id", F.aggregate(F.slice("_v", 2, max(1, len(used) - 1)), F.col("_v")[0], add).alias("embedding")))
+    chosen = S.capped(shared, deviation_cases, seed, "case_id")
+    near = V.neighbour_lists(V.knn_edges(rel.join(chosen, "case_id", "left_semi"), k))
+    deviations = shared.join(A.case_agreement(near, k).select("case_id", "deviation"), "case_id", "left")
+    return Consensus(audit, residuals, agreed, deviations, A.consensus_state(len(used), len(used), converged))

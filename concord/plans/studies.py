@@ -417,3 +417,26 @@ def acquisition_predictability(spark, d):
     anchors = S.capped(e.select(F.col("vec_id").alias("case_id")), 64, 1, "case_id").withColumn("pos", F.col("case_id"))
     found = C.acquisition_predictability(views(spark, d, "full").drop("label"), cases, ["maker", "institution"], "subject", anchors)
     return rounded(found, "accuracy", "ci_low", "ci_high", "majority_baseline", "accuracy_above_baseline", digits=4)
+
+
+def _panel(spark, d):
+    """Three views, and two encoders of which one lacks every third vector and one two of three."""
+    v = views(spark, d, "full", "va", "vb", "floor_a", "floor_b").drop("label")
+    gone = ((F.col("encoder") == "floor_a") & (F.col("case_id") % 10 == 0)) | ((F.col("encoder") == "floor_b") & (F.col("case_id") % 3 != 0))
+    return v.withColumn("embedding", F.when(~gone, F.col("embedding")))
+
+
+@query("""SELECT e AS encoder, round(CASE e WHEN 'floor_a' THEN avg((vec_id % 10 <> 0)::INT) WHEN 'floor_b' THEN avg((vec_id % 3 = 0)::INT) WHEN 'absent' THEN 0 ELSE 1 END, 6)::DOUBLE AS finite_row_fraction,
+CASE e WHEN 'floor_b' THEN 'SKIPPED_MOSTLY_NAN' WHEN 'absent' THEN 'MISSING' ELSE 'USED' END AS status FROM embeddings, (VALUES ('full'), ('va'), ('floor_a'), ('floor_b'), ('absent')) t(e) GROUP BY e""")
+def consensus_audit(spark, d):
+    return rounded(C.consensus_audit(_panel(spark, d), ["full", "va", "floor_a", "floor_b", "absent"]), "finite_row_fraction")
+
+
+@query()
+def consensus_build(spark, d):
+    """Residuals of four encoders of five, the spread of their consensus and the mean deviation of cases."""
+    anchors = S.capped(table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id")).filter("case_id % 10 <> 0"), 24, 1, "case_id").withColumn("pos", F.col("case_id"))
+    found = C.consensus(_panel(spark, d), anchors, ["full", "va", "vb", "floor_a", "floor_b"])
+    size = found.vectors.agg(F.sum(V.dot(F.col("embedding"), F.col("embedding"))).alias("size"), F.count("*").alias("n_cases"))
+    deviation = found.deviations.agg(F.avg("deviation").alias("mean_deviation"))
+    return rounded(found.residuals.select("encoder", "residual", "iterations", "converged").crossJoin(size).crossJoin(deviation), "residual", "size", "mean_deviation", digits=4)  # one row each

@@ -30,6 +30,7 @@ REASONS = {
     "paired_reports": {"doc_id % 11 <> 0": "cases that the other table lacks", "doc_id % 13 <> 0": "files that are not there"},
     "stale_tables": {'F.col("r_regionkey") == r.r_regionkey': "a table for each region"},
     "files_that_changed": {'F.col("o_orderstatus").rlike(kept)': "files that an older or a newer folder lacks, which is the result"},
+    "consensus_build": {"case_id % 10 <> 0": "anchors are cases that every encoder has"},
     "linear_probe": PART,
     "finding_aurocs": PART,
     "multiclass_probe": PART,
