@@ -176,3 +176,11 @@ def test_large_groups_take_the_way_by_rows(spark, monkeypatch):
     assert many.f == pytest.approx(few.f) and 0 < many.p_value <= 1
     assert I.variance_share_reference(df, "x", "y", ["id"], 9).first().n_groups == 4
     assert I.two_group_report(df, "x", "l", 1, ["id"], replicates=9).first().n_a == df.filter(F.col("l") == 1).count()
+
+
+def test_draws_of_rows_are_not_broadcast(spark):
+    df = spark.range(400).selectExpr("id", "id * 2.0 AS x", "id % 50 AS c")
+    for drawn in (I.resampled(df, ["id"], 50, 0), I.resampled_clusters(df, "c", 50, 0)):
+        plan = drawn._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin [cast(i" in plan and "BroadcastHashJoin [cast(i" not in plan
+    assert I.resampled(df, ["id"], 50, 0).count() == 50 * 400
