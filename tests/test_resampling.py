@@ -184,3 +184,15 @@ def test_draws_of_rows_are_not_broadcast(spark):
         plan = drawn._jdf.queryExecution().sparkPlan().toString()
         assert "ShuffledHashJoin [cast(i" in plan and "BroadcastHashJoin [cast(i" not in plan
     assert I.resampled(df, ["id"], 50, 0).count() == 50 * 400
+
+
+def test_entries_in_parts_are_permuted_alike(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(r.integers(0, 90)), float(r.normal())) for i in range(700)], "id long, x double, y double")
+    few = I.mantel_entries(df, "x", "y", ["id"], 60).first()
+    monkeypatch.setattr(X, "ENTRIES", 256)
+    monkeypatch.setattr(X, "CELL_ROWS", 128)
+    for side in (1 << 24, 300):
+        monkeypatch.setattr(X, "SIDE_ROWS", side)
+        many = I.mantel_entries(df, "x", "y", ["id"], 60).first()
+        assert many.spearman == pytest.approx(few.spearman) and (many.n, many.p_value) == (few.n, few.p_value)
