@@ -80,3 +80,26 @@ def test_added_pieces(spark):
     df = spark.createDataFrame([(k, x.tobytes()) for k, x in rows], "k int, data binary").repartition(7)
     got = {r.k: np.frombuffer(r.data) for r in X.added(df, ["k"]).collect()}
     assert all(got[k] == pytest.approx(sum(x for j, x in rows if j == k)) for k in range(3))
+
+
+def plain_nearest(sim, src, dst, k):
+    sim = np.where(src[:, None] == dst[None], -np.inf, np.round(sim, V.DECIMALS))
+    return {(i, int(j)) for i in range(len(sim)) for j in np.lexsort((np.arange(len(dst)), -sim[i]))[:k] if np.isfinite(sim[i, j])}
+
+
+@pytest.mark.parametrize("columns", [3, 40, 900])
+def test_nearest_equals_a_sort_of_each_row(columns):
+    r = np.random.default_rng(columns)
+    src, dst = np.arange(5, 65), np.sort(r.integers(0, 90, columns))
+    for sim in (r.normal(size=(60, columns)), r.integers(0, 3, (60, columns)).astype(float), r.integers(0, 40, (60, columns)) + r.normal(size=(60, columns)) * 1e-14):
+        sim[0, 0] = np.nan
+        wanted = plain_nearest(np.where(np.isfinite(sim), sim, -np.inf), src, dst, 5)
+        assert set(zip(*map(np.ndarray.tolist, V.nearest(sim.copy(), src, dst, 5)))) == wanted
+
+
+def test_nearest_leaves_out_what_is_below_the_bound():
+    sim, at = np.random.default_rng(0).normal(size=(200, 200)), np.arange(200)
+    least = np.sort(np.where(np.eye(200) > 0, -9.0, sim), axis=1)[:, -3]
+    i, j = V.nearest(sim.copy(), at, at, 10, least)
+    assert (np.bincount(i) == 3).all() and {*zip(i.tolist(), j.tolist())} == plain_nearest(sim, at, at, 3)
+    assert not len(V.nearest(sim.copy(), at, at, 10, np.full(200, 99.0))[0])
