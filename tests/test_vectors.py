@@ -103,3 +103,18 @@ def test_nearest_leaves_out_what_is_below_the_bound():
     i, j = V.nearest(sim.copy(), at, at, 10, least)
     assert (np.bincount(i) == 3).all() and {*zip(i.tolist(), j.tolist())} == plain_nearest(sim, at, at, 3)
     assert not len(V.nearest(sim.copy(), at, at, 10, np.full(200, 99.0))[0])
+
+
+@pytest.mark.parametrize("values", [1 << 23, 60])
+def test_triplets_do_not_carry_vectors(spark, monkeypatch, values):
+    monkeypatch.setattr(V, "SIDE_VALUES", values)
+    monkeypatch.setattr(V, "CELL_PAIRS", 64)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(50, 6))
+    rows = [(i, x[i].tolist()) for i in range(50)] + [(50, None), (51, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (52, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "case_id long, embedding array<double>")
+    t = [tuple(map(int, z)) for z in r.integers(0, 55, (300, 3))] + [(None, 1, 2), (3, 4, 4)]
+    found = V.triplet_choice(spark.createDataFrame([(k, *z) for k, z in enumerate(t)], "t long, a long, b long, c long"), v)
+    wanted = {k: "b" if x[a] @ x[b] > x[a] @ x[c] else "c" for k, (a, b, c) in enumerate(t) if a is not None and max(a, b, c) < 50 and b != c}
+    assert {r.t: r.nearer for r in found.collect()} == wanted and found.columns == ["t", "a", "b", "c", "distance_b", "distance_c", "nearer"]
+    assert "zip_with" not in found._jdf.queryExecution().toString()
