@@ -6,7 +6,7 @@ from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return cut(df, label)
 
 
+def spread_over(spark: SparkSession) -> int:
+    """Partitions for rows that are few in bytes and take long: Spark joins small partitions by their bytes unless their number is given."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def numbered(df: DataFrame, columns: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """Columns of df under names that no operator uses, and the new name of each; named() gives the old names back."""
     names = {c: f"column_{i}" for i, c in enumerate(dict.fromkeys(columns))}

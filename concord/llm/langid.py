@@ -25,16 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import held, map_batches
+from concord.llm.common import held, map_batches, spread_over
 
-#: About so many rows of each language are taken to fit the probabilities.
-FIT_ROWS = 3000
-#: About so many rows of each language are taken to tell texts from shuffled letters.
-LIMIT_ROWS = 300
 #: Words that a Python worker remembers.
 CACHE = 400_000
-#: Longer words are not remembered while fitting; they are read whole all the same.
-REMEMBERED = 64
+#: Different words of a language that a task counts before it hands their numbers on.
+COUNTED = 200_000
+#: Digits of a log-likelihood per letter whose median is taken, so that a language has a bounded number of values.
+DIGITS = 4
 #: Below this a forward value is carried on in a smaller unit.
 SMALL = 1e-100
 #: Texts that are scored at once.
@@ -215,12 +213,12 @@ class Scorer:
             out[rows] = self.pieces.forward([words[i] for i in rows])
         return out
 
-    def log_likelihoods(self, texts: list[list[str]]) -> np.ndarray:
+    def log_likelihoods(self, texts: list[list[str]], remember: bool = True) -> np.ndarray:
         """A row of the languages' log-likelihoods for each list of words."""
         known = self.known
         new = list({w for words in texts for w in words if w not in known})
         scored = self._words(new)
-        room = min(len(new), CACHE - len(known))
+        room = min(len(new), CACHE - len(known)) if remember else 0
         self.table[len(known) : len(known) + room] = scored[:room]
         known.update(zip(new[:room], range(len(known), len(known) + room)))
         rest, extra = dict(zip(new[room:], range(len(new) - room))), scored[room:]
@@ -234,56 +232,58 @@ class Scorer:
         return out
 
 
-def _chosen(docs: DataFrame, learn: Column, doc_id: str, text: str, lang: str, rows: int) -> DataFrame | None:
-    """(lang, text) of about so many usable rows of each language, by a hash of their id; None if there are none."""
-    usable = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n_rows = {r.lang: r.n for r in usable.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not n_rows:
-        return None
-    share = F.create_map(*(F.lit(x) for k, n in n_rows.items() for x in (k, int(min(1.0, rows / n) * (1 << 31)))))
-    place = F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 31))
-    return usable.filter(place < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+def _usable(docs: DataFrame, learn: Column, text: str, lang: str) -> DataFrame:
+    """(lang, text) of every row that can teach."""
+    return docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
 
-def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS, vocab: str | None = None) -> Model:
+def _counted_words(rows: DataFrame) -> DataFrame:
+    """(lang, word, n): how often each word stands in all texts of each language."""
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+
+    def flat(language: str, seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([language] * len(seen), pa.string()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=schema.names)
+
+    def count(batches):
+        words: dict[str, Counter] = defaultdict(Counter)
+        for batch in batches:
+            for language, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words[language].update(words_of(body.as_py()))
+                if len(words[language]) > COUNTED:
+                    yield flat(language, words.pop(language))
+        for language, seen in words.items():
+            yield flat(language, seen)
+
+    return rows.mapInArrow(count, schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", vocab: str | None = None) -> Model:
     """Piece probabilities of every non-null language among the rows where learn is true.
 
-    A language of more than fit_rows such rows is represented by about fit_rows of them, chosen
-    by a hash of their id and read whole; what comes to the driver is one number for each piece
-    and language. Rows with a null text or language teach nothing, texts without letters neither;
+    All those rows count, each read whole: Spark counts the words of each language, and each
+    different word is cut up once and weighs as often as it stands. What comes to the driver is one
+    number for each piece and language. Rows with a null text or language teach nothing, texts without letters neither;
     rows that repeat count as often as they stand; an empty table gives a model without languages;
     other columns do not matter.
     """
     vocab = vocab or default_vocabulary()
-    chosen = _chosen(docs, learn, doc_id, text, lang, fit_rows)
-    if chosen is None:
-        return Model([], {}, (), 1)
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("piece", T.StringType()), T.StructField("n", T.DoubleType())])
 
     def count(batches):
         ids, longest = vocabulary(vocab)
         weight = {p: 1.0 / (i + 1000) for p, i in ids.items()}.get  # more common pieces have smaller numbers
-        known: dict[str, dict[str, float]] = {}
         sums: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
         for batch in batches:
-            words: dict[str, Counter] = defaultdict(Counter)
-            for language, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for w in words_of(body.as_py()):
-                    words[language][w] += 1
-            for language, seen in words.items():
+            for language, w, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
                 into = sums[language]
-                for w, n in seen.items():
-                    if (parts := known.get(w)) is None:
-                        parts = expected_pieces(w, weight, longest)
-                        if len(w) <= REMEMBERED and len(known) < CACHE // 8:
-                            known[w] = parts
-                    for p, x in parts.items():
-                        into[p] += n * x
+                for p, x in expected_pieces(w, weight, longest).items():
+                    into[p] += n * x
         rows = [(k, p, n) for k, s in sums.items() for p, n in s.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=schema.names)
 
-    rows = chosen.mapInArrow(count, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+    words = _counted_words(_usable(docs, learn, text, lang)).repartition(spread_over(docs.sparkSession), "word")
+    rows = words.mapInArrow(count, schema).groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r.lang for r in rows})
     ids, longest = vocabulary(vocab)
     counts, single = {k: defaultdict(float) for k in languages}, defaultdict(float)
@@ -295,7 +295,7 @@ def fit(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "tex
     pooled = {p: (n + 0.1) / (everything + 0.1 * size + 1) for p, n in single.items()}
     totals = {k: sum(c.values()) for k, c in counts.items()}
     weights = {p: tuple((counts[k].get(p, 0.0) + PRIOR * q) / (totals[k] + PRIOR) for k in languages) for p, q in pooled.items()}
-    # pieces that no chosen text holds: as rare as a tenth of one occurrence
+    # pieces that no text holds: as rare as a tenth of one occurrence
     floor = tuple(0.1 / (everything + PRIOR) for _ in languages)
     return Model(languages, weights, floor, min(longest, max((len(p) for p in weights), default=1)))
 
@@ -316,32 +316,34 @@ def shuffled(words: list[str], seed: int) -> list[str]:
     return out
 
 
-def limits(docs: DataFrame, model: Model, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = LIMIT_ROWS) -> dict[str, float]:
+def limits(docs: DataFrame, model: Model, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, float]:
     """For each language the log-likelihood per letter half-way between its rows and the same rows with their letters shuffled.
 
-    Each side is the median over about `rows` rows where learn is true, so odd rows among them do not
+    Each side is the median over all rows where learn is true, to DIGITS digits, so odd rows among them do not
     count. Unlike the posterior, the measure neither depends on how many languages there are nor
     grows with the text.
     """
-    chosen = _chosen(docs, learn & F.col(lang).isin(model.languages), doc_id, text, lang, rows)
-    if chosen is None:
-        return {}
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("own", T.DoubleType()), T.StructField("shuffled", T.DoubleType())])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("side", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
     def measure(batches):
         m = shared.value
-        scorer, place = Scorer(m), {k: i for i, k in enumerate(m.languages)}
+        scorer, place = held(("language", m.key), lambda: Scorer(m)), {k: i for i, k in enumerate(m.languages)}
         for batch in batches:
-            out = []
-            for language, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if words := words_of(body.as_py()):
-                    both = scorer.log_likelihoods([words, shuffled(words, len(words))])[:, place[language]] / letters_of(words)
-                    out.append((language, *map(float, both)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=schema.names)
-
-    found = chosen.mapInArrow(measure, schema).groupBy("lang").agg(F.percentile("own", 0.5).alias("own"), F.percentile("shuffled", 0.5).alias("shuffled"))
+            languages, bodies = batch.column(0).to_pylist(), batch.column(1)
+            for start in range(0, len(bodies), GROUP):
+                words = [words_of(x.as_py()) for x in bodies[start : start + GROUP]]
+                rows = [i for i, w in enumerate(words) if w]
+                own = [words[i] for i in rows]
+                at = [place[languages[start + i]] for i in rows]
+                letters = np.array([letters_of(w) for w in own], float)
+                both = [scorer.log_likelihoods(texts, remember)[np.arange(len(rows)), at] / letters for texts, remember in ((own, True), ([shuffled(w, len(w)) for w in own], False))] if rows else []
+                for side, values in enumerate(both):
+                    yield pa.RecordBatch.from_arrays([pa.array([languages[start + i] for i in rows]), pa.array([side] * len(rows), pa.int32()), pa.array(values)], names=schema.names)
+
+    rows = _usable(docs, learn & F.col(lang).isin(model.languages), text, lang)
+    per = rows.mapInArrow(measure, schema).groupBy("lang", "side", F.round("value", DIGITS).alias("value")).agg(F.count("*").alias("n"))
+    found = per.groupBy("lang").agg(*(F.percentile(F.when(F.col("side") == side, F.col("value")), 0.5, F.col("n")).alias(name) for side, name in enumerate(("own", "shuffled"))))
     return {r.lang: (r.own + r.shuffled) / 2 for r in found.collect()}
 
 
