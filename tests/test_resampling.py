@@ -196,3 +196,14 @@ def test_entries_in_parts_are_permuted_alike(spark, monkeypatch):
         monkeypatch.setattr(X, "SIDE_ROWS", side)
         many = I.mantel_entries(df, "x", "y", ["id"], 60).first()
         assert many.spearman == pytest.approx(few.spearman) and (many.n, many.p_value) == (few.n, few.p_value)
+
+
+def test_keys_below_edges_are_those_that_comparison_counts():
+    keys = X.keys_of(3, 5, np.arange(5000))
+    edges = np.sort(np.r_[0, keys[:50], keys[:50] + 1, np.random.default_rng(1).integers(0, 1 << 62, 200), 1 << 62])
+    assert X.below(keys, edges).tolist() == [(keys < e).sum() for e in edges]
+
+
+def test_counts_come_from_as_many_tasks_as_keep_the_cores_busy(spark):
+    rows = spark.range(40 * X.CELL_ROWS).select("id", F.lit(1.0).alias("x"))
+    assert X._tasks(X.placed_rows(rows, ["id"], ["x"])) == min(40, 2 * spark.sparkContext.defaultParallelism)
