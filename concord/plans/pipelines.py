@@ -131,7 +131,11 @@ def scaling_fits(encoders: DataFrame, outcomes: Sequence[str], axes: Sequence[st
 
 def agreement_of_draws(vectors: DataFrame, drawn: DataFrame, k: int) -> DataFrame:
     """(finding, encoder_a, encoder_b, mknn, n): agreement of every two encoders among the cases of each draw (case_id, finding). No vector is copied for a draw."""
-    edges = V.knn_edges_of_draws(vectors, drawn, k, "finding")
+    return _agreement(V.knn_edges_of_draws(vectors, drawn, k, "finding"), k)
+
+
+def _agreement(edges: DataFrame, k: int) -> DataFrame:
+    """(finding, encoder_a, encoder_b, mknn, n) of the edges of draws."""
     lists = edges.groupBy("finding", "encoder", F.col("src").alias("case_id")).agg(F.collect_list("dst").alias("neighbours"))  # k at most
     a = lists.select("finding", F.col("encoder").alias("encoder_a"), "case_id", F.col("neighbours").alias("na"))
     b = lists.select("finding", F.col("encoder").alias("encoder_b"), "case_id", F.col("neighbours").alias("nb"))
@@ -233,11 +237,8 @@ def preprocessing_arm(native: DataFrame, harmonised: DataFrame, n: int, k: int,
     count = shared.count()
     if count < n:
         return native.sparkSession.createDataFrame([], schema)
-    drawn = None
-    for i in range(max(4, count // n)):
-        one = S.capped(shared, n, f"{seed}:{i}", "case_id").select("case_id", F.lit(f"draw {i}").alias("finding"))
-        drawn = one if drawn is None else drawn.unionByName(one)
-    found = agreement_of_draws(both, drawn, k)
+    drawn = S.capped_draws(shared, n, max(4, count // n), seed, "case_id").select("case_id", F.concat(F.lit("draw "), F.col("i").cast("string")).alias("finding"))
+    found = _agreement(V.knn_edges_of_small_draws(both, drawn, k, "finding"), k)
     way = lambda c, i: F.split(c, r"\|")[i]
     found = found.filter(way("encoder_a", 0) == way("encoder_b", 0)).select("finding", way("encoder_a", 1).alias("a"), way("encoder_b", 1).alias("b"), way("encoder_a", 0).alias("way"), "mknn")
     found = cut(found.groupBy("finding", "a", "b").pivot("way", ["native", "harmonized"]).agg(F.first("mknn")))

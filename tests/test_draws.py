@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from concord.operators import sampling as S
 from concord.operators import vectors as V
@@ -93,3 +94,18 @@ def test_summaries_of_few_rows(spark):
     v = spark.createDataFrame([("e", i, [float(i)]) for i in range(40)], SCHEMA)
     cases = spark.createDataFrame([(i, i, "m") for i in range(40)], "case_id long, subject long, maker string")
     assert C.acquisition_predictability(v, cases, ["maker"], "subject").count() == 0 and C.acquisition_predictability(v, cases, ["maker"], "subject", least=5).count() == 0
+
+
+def test_draws_of_one_scan_are_those_of_a_query_each(spark):
+    rows = spark.range(700).select(F.col("id").alias("case_id"))
+    got = sorted(map(tuple, S.capped_draws(rows, 9, 40, 3, "case_id").collect()))
+    assert len(got) == 360 and [x for x in got if x[0] < 6] == sorted((i, r.case_id) for i in range(6) for r in S.capped(rows, 9, f"3:{i}", "case_id").collect())
+
+
+def test_more_draws_than_a_product_can_number(spark):
+    vectors = spark.range(8).select(F.lit("e").alias("encoder"), F.col("id").alias("case_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    drawn = spark.range(V.MOST_DRAWS + 1).select(F.col("id").cast("string").alias("draw")).crossJoin(vectors.select("case_id").limit(3))
+    assert V.knn_edges_of_small_draws(vectors, drawn, 2).count() == 6 * (V.MOST_DRAWS + 1)
+    few = drawn.filter("draw < '2'").limit(300)
+    rows = [sorted(tuple(r)[:4] for r in f(vectors, few, 2).select("draw", "src", "dst", "rank").collect()) for f in (V.knn_edges_of_draws, V.knn_edges_of_small_draws)]
+    assert rows[0] == rows[1]
