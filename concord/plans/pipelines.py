@@ -305,13 +305,13 @@ def dosed_views(vectors: DataFrame, doses: Sequence[float], seed: int = 0) -> Da
         unit = lambda i: (F.pmod(S.hash_number(f"{seed}:{d}", F.col("case_id"), i), F.lit(1 << 30)) / float(1 << 30) - 0.5) * 3.4641
         return F.transform(F.sequence(F.lit(1), F.size("embedding")), unit)
 
-    clean = vectors.withColumn("encoder", F.lit("clean"))
+    clean = vectors.withColumn("encoder", F.lit("clean")).repartition(vectors.sparkSession.sparkContext.defaultParallelism)
     out = clean
     for d in doses:
         scale = F.sqrt(F.size("embedding").cast("double"))
         mixed = F.zip_with(F.transform("embedding", lambda x: x * scale), noise(d), lambda x, e: d * x + (1 - d) * e)
         out = out.unionByName(clean.withColumn("encoder", F.lit(f"dose_{d}")).withColumn("embedding", V.normalised(mixed)))
-    return out
+    return cut(out)  # the hashes are made once
 
 
 def width_control(encoders: DataFrame) -> DataFrame:

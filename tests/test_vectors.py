@@ -118,3 +118,26 @@ def test_triplets_do_not_carry_vectors(spark, monkeypatch, values):
     wanted = {k: "b" if x[a] @ x[b] > x[a] @ x[c] else "c" for k, (a, b, c) in enumerate(t) if a is not None and max(a, b, c) < 50 and b != c}
     assert {r.t: r.nearer for r in found.collect()} == wanted and found.columns == ["t", "a", "b", "c", "distance_b", "distance_c", "nearer"]
     assert "zip_with" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e100])
+def test_two_blocks_meet_once_and_single_precision_tells_nothing(spark, monkeypatch, scale):
+    monkeypatch.setattr(V, "SIDE_VALUES", 256)  # four strips of an encoder
+    r = np.random.default_rng(6)
+    base = r.normal(size=4)
+    rows = [(e, i, (scale ** 0.5 * (base + 1e-8 * r.normal(size=4))).tolist()) for e in "ab" for i in range(200)] + [("b", 500 + i, [scale**0.5] * 4) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for x in V.knn_edges(df, 5, rows=20).collect():
+        got.setdefault((x.encoder, x.src), []).append((x["rank"], x.similarity))
+    for e, n in (("a", 200), ("b", 260)):
+        m = np.array([v for f, _, v in rows if f == e])
+        sim = m @ m.T
+        np.fill_diagonal(sim, -np.inf)
+        want = np.sort(sim, axis=1)[:, ::-1][:, :5]
+        for (_, src), own in ((k, v) for k, v in got.items() if k[0] == e):
+            at = [i for i, (f, c, _) in enumerate(x for x in rows if x[0] == e) if c == src][0]
+            assert np.allclose([s for _, s in sorted(own)], want[at], rtol=1e-12, atol=1e-12) and len(own) == 5
+    for t in V.block_pairs(df, 5, rows=20).collect():
+        blocks = (8 * t.pairs + 1) ** 0.5
+        assert blocks == int(blocks)  # n (n + 1) / 2 of n blocks
