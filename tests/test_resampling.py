@@ -207,3 +207,16 @@ def test_keys_below_edges_are_those_that_comparison_counts():
 def test_counts_come_from_as_many_tasks_as_keep_the_cores_busy(spark):
     rows = spark.range(40 * X.CELL_ROWS).select("id", F.lit(1.0).alias("x"))
     assert X._tasks(X.placed_rows(rows, ["id"], ["x"])) == min(40, 2 * spark.sparkContext.defaultParallelism)
+
+
+def test_means_of_large_groups_draw_as_sql_does_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(I, "PART_VALUES", 900)
+    monkeypatch.setattr(I, "PART_COPIES", 2)
+    n = X.HASHED + 4321
+    df = spark.range(n).selectExpr("'big' AS g", "CAST(id * id % 2003 AS double) / 7 AS v", "CAST(NULL AS string) AS h").unionByName(spark.range(50).selectExpr("'small' AS g", "CAST(id AS double) AS v", "'x' AS h"))
+    rows = {r.g: r for r in I.grouped_means(df, "v", ["g", "h"], 7, 3, tested=True).collect()}
+    for g, x in (("big", np.sort(np.arange(n) ** 2 % 2003 / 7)), ("small", np.arange(50.0))):
+        draws = np.array([x[(X.mixed(3, b, 0, np.arange(len(x))).astype(np.int64) * len(x)) >> 32].mean() for b in range(7)])
+        p = max(float((np.abs(draws - x.mean()) >= abs(x.mean()) * (1 - 1e-9)).mean()), 1 / 7)
+        assert rows[g][2:] == pytest.approx((x.mean(), len(x), draws.std(ddof=1), *np.percentile(draws, [2.5, 97.5]), p), rel=1e-9)
+    assert rows["big"].h is None and rows["small"].h == "x"
