@@ -1,5 +1,7 @@
 """Neighbours with pruning, Gram matrices as merged pieces, ragged and absent vectors."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -141,3 +143,76 @@ def test_two_blocks_meet_once_and_single_precision_tells_nothing(spark, monkeypa
     for t in V.block_pairs(df, 5, rows=20).collect():
         blocks = (8 * t.pairs + 1) ** 0.5
         assert blocks == int(blocks)  # n (n + 1) / 2 of n blocks
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_draws_of_two_blocks_take_one_comparison_and_a_strip_of_products(same):
+    r = np.random.default_rng(8)
+    n, k = 2048, 4
+    m = r.normal(size=(2 * n, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[n : n + 40] = m[:40]  # copies in the other block
+    m[100:130] = m[200:230]
+    ids = np.arange(2 * n)
+    ids[-3:] = [0, 1, 2]  # further vectors of cases of the first block
+    order = n + np.argsort(ids[n:], kind="stable")
+    x, y = V._Rows(ids[:n], m[:n]), V._Rows(ids[order], m[order])
+    y = x if same else y
+    draws = [(np.arange(n), np.arange(len(y.ids))), tuple(np.sort(r.choice(len(b.ids), 1400, replace=False)) for b in (x, y))]
+    draws = [(a, a if same else b) for a, b in draws]
+    sides, strip = [], np.empty(n * n // 16, np.float32)
+    for a, b in draws:
+        bests = [V._Best(len(w), k, V._bounds(block.part(w), k)) for block, w in ((x, a), (y, b))]
+        assert min(b.least for b in bests) > 0
+        sides.append((a, b, bests[0], None if same else bests[1]))
+    tracemalloc.start()
+    assert V._meet_settled(x, y, sides, strip)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * n * n  # less than the products of the blocks in single precision
+    for a, b, one, other in sides:
+        for best, p, q, mine, theirs in ((one, x, y, a, b), (other, y, x, b, a)):
+            if best is None:
+                continue
+            sim = np.round(p.m[mine] @ q.m[theirs].T, V.DECIMALS)
+            sim[p.ids[mine][:, None] == q.ids[theirs]] = -np.inf
+            found, bound = {}, V._bounds(p.part(mine), k)
+            for i, d, s in zip(*best.settled()):
+                found.setdefault(i, []).append((d, s))
+            for i, row in enumerate(sim):
+                near = np.flatnonzero(row >= bound[i])
+                near = near[np.argsort(-row[near], kind="stable")][:k]
+                assert [d for d, s in found.get(i, []) if s >= bound[i]] == q.ids[theirs][near].tolist()
+
+
+def test_bounds_are_reached_by_k_others():
+    r = np.random.default_rng(9)
+    for n, k, scale in ((300, 5, 1.0), (40, 5, 1.0), (6, 5, 1.0), (5, 5, 1.0), (64, 3, 1e100)):
+        rows = V._Rows(np.sort(r.integers(0, n, n)), np.concatenate([np.ones((n // 3, 8)), r.normal(size=(n - n // 3, 8))]) * scale)
+        sim = rows.m @ rows.m.T
+        sim[rows.ids[:, None] == rows.ids] = -np.inf
+        bound = V._bounds(rows, k)
+        assert ((sim >= bound[:, None]).sum(1)[np.isfinite(bound)] >= k).all()
+        assert np.isfinite(bound).any() == (n > 6 and scale == 1.0) or n == 6
+
+
+@pytest.mark.parametrize("copies", [1, 30])
+def test_draws_of_many_rows_equal_brute_force(spark, copies):
+    r = np.random.default_rng(10)
+    n, k = 2400, 3
+    base = r.normal(size=(n // copies, 24))
+    m = np.concatenate([base] * copies)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    level = {f"d{d}": np.flatnonzero(r.integers(0, 3, n) == 0) if d else np.arange(n)[::2] for d in range(3)}
+    df = spark.createDataFrame([("a", i, v.tolist()) for i, v in enumerate(m)], SCHEMA)
+    drawn = spark.createDataFrame([(int(i), d) for d, own in level.items() for i in own], "case_id long, draw string")
+    got = {}
+    for x in V.knn_edges_of_draws(df, drawn, k, rows=600).collect():
+        got.setdefault((x.draw, x.src), []).append((x["rank"], x.dst))
+    for d, own in level.items():
+        sim = np.round(m[own] @ m[own].T, V.DECIMALS)
+        np.fill_diagonal(sim, -np.inf)
+        for i, row in zip(own, sim):
+            near = np.lexsort((own, -row))[:k]
+            assert [j for _, j in sorted(got.pop((d, int(i))))] == own[near].tolist()
+    assert not got
