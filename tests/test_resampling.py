@@ -198,6 +198,29 @@ def test_entries_in_parts_are_permuted_alike(spark, monkeypatch):
         assert many.spearman == pytest.approx(few.spearman) and (many.n, many.p_value) == (few.n, few.p_value)
 
 
+@pytest.mark.parametrize("side,most,narrow", [(1 << 24, 1 << 26, 1 << 31), (300, 1 << 26, 1 << 31), (300, 400, 1 << 31), (300, 400, 10)])
+def test_rank_products_in_parts_equal_a_full_sort(spark, small, monkeypatch, side, most, narrow):
+    for name, value in (("SIDE_ROWS", side), ("MOST_ROWS", most), ("NARROW", narrow), ("COUNTED", 150)):
+        monkeypatch.setattr(X, name, value)
+    x = np.random.default_rng(2).integers(-400, 400, (700, 2)) / 2
+    places = X.placed_rows(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, x double, y double"), ["id"], ["x", "y"])
+    got = X.permuted_rank_products(places, 12, 4)
+    assert got.tolist() == [x[:, 0] @ x[:, 1], *(x[:, 0] @ x[order_of(4, b, 700), 1] for b in range(12))]
+
+
+def test_part_of_the_key_space_is_sorted_with_its_values(monkeypatch):
+    monkeypatch.setattr(X, "COUNTED", 150)
+    n, keys = 1000, X.keys_of(7, 3, np.arange(1000))
+    assert np.concatenate([k.copy() for _, k in X.first_keys(7, 3, n)]).tolist() == (keys >> 30).tolist()
+    y = np.random.default_rng(0).integers(-(2**31), 2**31, n).astype(np.int32)
+    for low, high in ((0, 1 << 32), (0, 1 << 31), (3 << 29, 1 << 32), (1 << 30, 3 << 30)):
+        own = [i for i in np.argsort(keys) if low <= keys[i] >> 30 < high]
+        for start, stop in ((0, n), (130, 710), (150, 300), (0, 1)):
+            for kind in (np.int32, np.float64):
+                below, values = X._of_part(7, 3, n, low, high, start, y[start:stop].astype(kind))
+                assert below == (keys >> 30 < low).sum() and values.tolist() == [y[i] if start <= i < stop else 0 for i in own]
+
+
 def test_keys_below_edges_are_those_that_comparison_counts():
     keys = X.keys_of(3, 5, np.arange(5000))
     edges = np.sort(np.r_[0, keys[:50], keys[:50] + 1, np.random.default_rng(1).integers(0, 1 << 62, 200), 1 << 62])
